@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming work (no watermark, event-time window,
+stateful operator or late-data handling): its reports run once per month end
+over warehouse snapshots. Every report here is a batch DataFrame graph; a
+monthly run over a newly landed partition is an ordinary batch job.
+"""
