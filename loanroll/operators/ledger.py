@@ -42,9 +42,28 @@ def with_sequence(ledger: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame
     Must be computed before any product filter (``Duracion_p10`` counts the
     months spent in other products). Ties on ``(credito, id_fecha)`` are broken
     by ``tie_break`` columns.
+
+    Skew-safe two-level numbering instead of one window over each loan's raw
+    rows (a loan holding a third of the ledger would sort in one task):
+
+    1. rows per ``(credito, id_fecha)`` cell - an aggregate with map-side
+       partial aggregation;
+    2. rows before each cell - a running sum over that cell table, whose
+       windows hold one row per month of a loan, not one per ledger row;
+    3. the offset joined back (left join: no row is dropped) plus the row's
+       number inside its cell.
     """
-    w = Window.partitionBy("credito").orderBy(F.col("id_fecha").asc(), *[F.col(c).asc() for c in tie_break])
-    return ledger.withColumn("orden", F.row_number().over(w))
+    cell = ["credito", "id_fecha"]
+    counts = ledger.groupBy(*cell).agg(F.count(F.lit(1)).alias("_cell_rows"))
+    earlier = Window.partitionBy("credito").orderBy(F.col("id_fecha").asc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*cell, F.coalesce(F.sum("_cell_rows").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*cell).orderBy(F.col("id_fecha").asc(), *[F.col(c).asc() for c in tie_break])
+    return (
+        ledger.join(offsets, cell, "left")
+        .withColumn("orden", (F.coalesce(F.col("_offset"), F.lit(0)) + F.row_number().over(inside)).cast("int"))
+        .drop("_offset")
+    )
 
 
 def with_year_month(df: DataFrame) -> DataFrame:
@@ -206,20 +225,25 @@ def adjusted_recovery_base(profile: DataFrame, exposure_baseline: str = "as_writ
     )
 
 
-def last_two_rows(ledger_seq: DataFrame) -> DataFrame:
-    """The last two rows of each loan by (id_fecha, orden), all products."""
-    w = Window.partitionBy("credito").orderBy(F.col("id_fecha").desc(), F.col("orden").desc())
-    return ledger_seq.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= 2).drop("_pos")
-
-
 def last_two_non_product(ledger_seq: DataFrame, zero_start: DataFrame,
                          product: int = PRODUCT) -> DataFrame:
-    """M3b (older script): of the last two rows of each zero-start loan, those
-    not in ``product``; 0, 1 or 2 rows per loan, so a later join can fan out.
+    """W5 + M3b (older script): of the last two rows of each zero-start loan,
+    those not in ``product``; 0, 1 or 2 rows per loan, so a later join fans out.
+
+    "Last two" is ``slice((which.max(id_fecha) - 1):which.max(id_fecha))`` on
+    rows ordered by ``orden``: the position of the first row of the latest
+    month and the row before it. The position comes from an aggregate
+    (partial aggregation, skew-safe) and is joined back, instead of a
+    descending window over each loan's rows.
     """
-    rows = ledger_seq.join(zero_start.select("credito"), "credito", "left_semi")
+    last_key = F.col("id_fecha").cast("long") * _ORDEN_SPAN - F.col("orden")
+    pos = (
+        ledger_seq.join(zero_start.select("credito"), "credito", "left_semi")
+        .groupBy("credito").agg(F.max_by("orden", last_key).alias("_last_pos"))
+    )
     return (
-        last_two_rows(rows)
+        ledger_seq.join(pos, "credito")
+        .filter((F.col("orden") >= F.col("_last_pos") - 1) & (F.col("orden") <= F.col("_last_pos")))
         .filter(F.col("tipo_producto") != product)
         .select("credito", F.col("saldo_capital").alias("capital_ant"))
     )

@@ -88,8 +88,10 @@ def bucket_one_hot(p70: DataFrame, year: int, month: int) -> DataFrame:
 
 def common_loans(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
     """Distinct loans present in both months (set intersection)."""
-    c0 = p70.filter(month_range(*t0)).select("credito")
-    c1 = p70.filter(month_range(*t1)).select("credito")
+    # Each side is made distinct first (partial aggregation), so a loan with
+    # many rows in a month reaches the set operation as one row.
+    c0 = p70.filter(month_range(*t0)).select("credito").distinct()
+    c1 = p70.filter(month_range(*t1)).select("credito").distinct()
     return c1.intersect(c0)
 
 

@@ -393,10 +393,13 @@ SELECT s.credito, s.Fecha_desembolso_media AS Fecha_desembolso, s.fecha_inicio_p
 FROM span s LEFT JOIN firsts f ON s.credito = f.credito LEFT JOIN lasts a ON s.credito = a.credito""")
 
 cte("last_two", ["ledger_seq", "cap_v1"], """
-SELECT credito, saldo_capital AS capital_ant FROM (
-  SELECT *, row_number() OVER (PARTITION BY credito ORDER BY id_fecha DESC, orden DESC) AS pos
-  FROM ledger_seq WHERE credito IN (SELECT credito FROM cap_v1 WHERE Saldo_capital_inicial = 0)) t
-WHERE pos <= 2 AND tipo_producto <> 70""")
+SELECT l.credito, l.saldo_capital AS capital_ant
+FROM ledger_seq l JOIN (
+  SELECT credito, min(orden) FILTER (WHERE id_fecha = max_fecha) AS wm
+  FROM (SELECT credito, id_fecha, orden, max(id_fecha) OVER (PARTITION BY credito) AS max_fecha
+        FROM ledger_seq WHERE credito IN (SELECT credito FROM cap_v1 WHERE Saldo_capital_inicial = 0)) t
+  GROUP BY credito) w ON l.credito = w.credito
+WHERE l.orden BETWEEN w.wm - 1 AND w.wm AND l.tipo_producto <> 70""")
 
 cte("adj_v1", ["cap_v1", "last_two"], f"""
 SELECT c.credito, c.Fecha_desembolso, c.fecha_inicio_p70, c.fecha_vigencia, c.Duracion_p70, c.Duracion_p10,

@@ -30,7 +30,7 @@ from loanroll.operators import valuation as V
 from loanroll.plans.presentation import OUTER_JOIN_INTS, ROUND_DIGITS
 from loanroll.plans.reports import ExtractReport, ReportParams, RollReport, ValuationReport
 from loanroll.sources import readers, sinks
-from loanroll.sources.fixtures import fixture_sources
+from loanroll.sources.fixtures import staged_sources as fixture_sources
 from loanroll.sources.schemas import LEDGER_COLUMNS
 from loanroll.session import scratch_dir
 

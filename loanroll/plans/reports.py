@@ -63,6 +63,7 @@ class _Base:
 
     @cached_property
     def product_rows(self) -> DataFrame:
+        """Product rows with ``orden`` (the sequence counts all products first)."""
         return L.product_slice(self.ledger_seq, self.params.product)
 
     @cached_property
@@ -226,7 +227,11 @@ class ExtractReport(_Base):
 
 
 class RollReport(_Base):
-    """Delinquency migration of the product book."""
+    """Delinquency migration of the product book (no sequence number needed)."""
+
+    @cached_property
+    def product_rows(self) -> DataFrame:
+        return L.product_slice(self.src.ledger_month, self.params.product)
 
     @cached_property
     def bucketed(self) -> DataFrame:
@@ -258,4 +263,6 @@ class RollReport(_Base):
 
     @cached_property
     def collections_flag(self) -> DataFrame:
-        return RM.collections_flag(self.product_rows, self.src.collections)
+        # The script's ledger query carries ``orden``; keep it on these rows.
+        sequenced = L.product_slice(self.ledger_seq, self.params.product)
+        return RM.collections_flag(sequenced, self.src.collections)

@@ -41,10 +41,15 @@ def test_daily_snapshot_filters_reach_the_scan(stored):
            "valor_pago_ttl_canc:double,ind_cierre:int>" in plan
 
 
-def test_rate_stage_has_one_ledger_exchange(stored):
+def test_rate_stage_is_skew_safe(stored):
+    """No window sorts a loan's raw rows in one task: the only window over raw
+    rows is per (loan, month) cell, and per-loan values pre-aggregate
+    map-side (partial aggregates) before the exchange by loan."""
     seq = L.with_sequence(stored["ledger_month"])
     plan = _plan(L.adjusted_recovery_base(L.loan_profile(seq)))
-    assert len(re.findall(r"Exchange hashpartitioning\(credito", plan)) == 1, plan
+    specs = re.findall(r"Window \[row_number\(\) windowspecdefinition\(([^,]*), ([^,]*),", plan)
+    assert specs and all(b.startswith("id_fecha") for _, b in specs), specs
+    assert re.search(r"HashAggregate\(keys=\[credito[^\]]*\], functions=\[partial_", plan)
     assert "SortAggregate" not in plan  # fixed-width buffers -> hash aggregate
 
 
