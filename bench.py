@@ -7,7 +7,7 @@ on ``local[$BENCH_CPUS]`` and prints ONE JSON line:
 The source tables are first derived from the driver's tables and staged as
 Parquet (``staging_sec``, reported apart: it plays the warehouse load). Each
 query is then executed in full through the ``noop`` sink (no rows are pulled
-to the driver); its time is the best of ``$BENCH_REPEAT`` runs (default 2)
+to the driver); its time is the best of ``$BENCH_REPEAT`` runs (default 3)
 after one warm-up run of a small query.
 """
 
@@ -37,7 +37,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
 

@@ -96,21 +96,54 @@ def month_range(year: int, month: int) -> Column:
     return F.col("id_fecha").between(lo + 1, lo + 31)
 
 
-def loan_profile(ledger_seq: DataFrame, product: int = PRODUCT, strict_na: bool = True) -> DataFrame:
+def months_before_first(ledger: DataFrame, product: int = PRODUCT) -> DataFrame:
+    """``Duracion_p10`` without numbering rows: per loan, the rows dated before
+    its first ``product`` month, plus one.
+
+    Works on the ``(credito, id_fecha)`` cell table (an aggregate with partial
+    aggregation); its window per loan holds one row per month, never the
+    loan's raw rows. Rows with no date sort first, as in SQL Server.
+    """
+    is_p = (F.col("tipo_producto") == product).cast("int")
+    cells = ledger.groupBy("credito", "id_fecha").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(is_p).alias("_has_p"))
+    loan = Window.partitionBy("credito")
+    first_p = F.min(F.when(F.col("_has_p") == 1, F.col("id_fecha"))).over(loan)
+    before = F.col("id_fecha").isNull() | (F.col("id_fecha") < F.col("_first_p"))
+    return (
+        cells.withColumn("_first_p", first_p)
+        .filter(F.col("_first_p").isNotNull())
+        .groupBy("credito")
+        .agg((F.coalesce(F.sum(F.when(before, F.col("_n"))), F.lit(0)) + 1).cast("int").alias("Duracion_p10"))
+    )
+
+
+def loan_profile(ledger: DataFrame, product: int = PRODUCT, strict_na: bool = True) -> DataFrame:
     """One row per loan with at least one ``product`` month.
 
     Columns: the span (A1/A1b), first and last product observation with
     ``_inicial``/``_actual`` suffixes (A2, P5), exposures (M1, M2), and the
     last observation under any other product (M3: ``capital_ant``,
-    ``saldo_ant``, ``n_prior``). First = lowest ``orden``; last = highest
-    ``id_fecha`` then lowest ``orden`` (``which.max`` keeps the first tie).
+    ``saldo_ant``, ``n_prior``).
+
+    With a sequenced ledger (``orden`` present, e.g. from tie-break columns)
+    first = lowest ``orden`` and last = highest ``id_fecha`` then lowest
+    ``orden`` (``which.max`` keeps the first tie), and ``Duracion_p10`` is
+    the lowest product ``orden``. On a plain ledger, whose
+    ``(credito, id_fecha)`` cells are unique, the month key orders the rows
+    and ``Duracion_p10`` comes from :func:`months_before_first`: the raw
+    ledger is then never shuffled, only partial aggregates are.
     """
     tipo = F.col("tipo_producto")
     is_p = tipo == product
     other = tipo != product
-    orden = F.col("orden")
-    last_key = F.col("id_fecha").cast("long") * _ORDEN_SPAN - orden
-    k_first = F.when(is_p, orden)
+    sequenced = "orden" in ledger.columns
+    if sequenced:
+        first_key = F.col("orden")
+        last_key = F.col("id_fecha").cast("long") * _ORDEN_SPAN - F.col("orden")
+    else:
+        first_key = last_key = F.col("id_fecha")
+    k_first = F.when(is_p, first_key)
     k_last = F.when(is_p, last_key)
     k_prior = F.when(other, last_key)
     desemb = F.col("id_fecha_desembolso").cast("double")
@@ -128,8 +161,9 @@ def loan_profile(ledger_seq: DataFrame, product: int = PRODUCT, strict_na: bool
         F.min(F.when(is_p, F.col("id_fecha"))).alias("fecha_inicio_p70"),
         F.max(F.when(is_p, F.col("id_fecha"))).alias("fecha_vigencia"),
         F.count(F.when(is_p, 1)).alias("Duracion_p70"),
-        F.min(k_first).alias("Duracion_p10"),
     ]
+    if sequenced:
+        aggs.append(F.min(k_first).alias("Duracion_p10"))
     aggs += [F.min_by(c, k_first).alias(f"{c}_inicial") for c in OBSERVED_COLUMNS]
     aggs += [F.max_by(c, k_last).alias(f"{c}_actual") for c in OBSERVED_COLUMNS]
     aggs += [
@@ -137,9 +171,11 @@ def loan_profile(ledger_seq: DataFrame, product: int = PRODUCT, strict_na: bool
         F.max_by("saldo_capital", k_prior).alias("saldo_ant"),
         F.count(F.when(other, 1)).alias("n_prior"),
     ]
+    profile = ledger.groupBy("credito").agg(*aggs).filter(F.col("Duracion_p70") > 0)
+    if not sequenced:
+        profile = profile.join(months_before_first(ledger, product), "credito", "left")
     return (
-        ledger_seq.groupBy("credito").agg(*aggs)
-        .filter(F.col("Duracion_p70") > 0)
+        profile
         .withColumn("Saldo_exposicion_inicial", exposure("_inicial"))
         .withColumn("Saldo_exposicion_actual", exposure("_actual"))
     )
@@ -192,9 +228,12 @@ def prior_product_balance(profile: DataFrame) -> DataFrame:
     )
 
 
-def zero_start_history(ledger_seq: DataFrame, base: DataFrame) -> DataFrame:
-    """Every ledger row (all products) of the zero-start loans (left semi join)."""
-    return ledger_seq.join(zero_start_loans(base).select("credito"), "credito", "left_semi")
+def zero_start_history(ledger: DataFrame, base: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
+    """Every ledger row (all products) of the zero-start loans (left semi
+    join), numbered after the semi join: a loan's sequence depends only on
+    its own rows, so only the selected loans are sequenced."""
+    rows = ledger.join(zero_start_loans(base).select("credito"), "credito", "left_semi")
+    return with_sequence(rows, tie_break)
 
 
 def adjusted_recovery_base(profile: DataFrame, exposure_baseline: str = "as_written") -> DataFrame:
@@ -225,10 +264,10 @@ def adjusted_recovery_base(profile: DataFrame, exposure_baseline: str = "as_writ
     )
 
 
-def last_two_non_product(ledger_seq: DataFrame, zero_start: DataFrame,
-                         product: int = PRODUCT) -> DataFrame:
-    """W5 + M3b (older script): of the last two rows of each zero-start loan,
-    those not in ``product``; 0, 1 or 2 rows per loan, so a later join fans out.
+def last_two_non_product(ledger_seq: DataFrame, product: int = PRODUCT) -> DataFrame:
+    """W5 + M3b (older script): of the last two rows of each loan of
+    ``ledger_seq`` (pass the zero-start loans' sequenced rows), those not in
+    ``product``; 0, 1 or 2 rows per loan, so a later join fans out.
 
     "Last two" is ``slice((which.max(id_fecha) - 1):which.max(id_fecha))`` on
     rows ordered by ``orden``: the position of the first row of the latest
@@ -237,10 +276,7 @@ def last_two_non_product(ledger_seq: DataFrame, zero_start: DataFrame,
     descending window over each loan's rows.
     """
     last_key = F.col("id_fecha").cast("long") * _ORDEN_SPAN - F.col("orden")
-    pos = (
-        ledger_seq.join(zero_start.select("credito"), "credito", "left_semi")
-        .groupBy("credito").agg(F.max_by("orden", last_key).alias("_last_pos"))
-    )
+    pos = ledger_seq.groupBy("credito").agg(F.max_by("orden", last_key).alias("_last_pos"))
     return (
         ledger_seq.join(pos, "credito")
         .filter((F.col("orden") >= F.col("_last_pos") - 1) & (F.col("orden") <= F.col("_last_pos")))
@@ -271,7 +307,7 @@ def capital_base_v1(profile: DataFrame) -> DataFrame:
     )
 
 
-def adjusted_capital_v1(ledger_seq: DataFrame, profile: DataFrame) -> DataFrame:
+def adjusted_capital_v1(ledger: DataFrame, profile: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
     """Zero-start one-month loans take the prior capital; else keep initial.
 
     The prior rows come from M3b and may be 0-2 per loan: the left join fans
@@ -279,7 +315,8 @@ def adjusted_capital_v1(ledger_seq: DataFrame, profile: DataFrame) -> DataFrame:
     """
     base = capital_base_v1(profile)
     zero = base.filter(F.col("Saldo_capital_inicial") == 0)
-    prior = last_two_non_product(ledger_seq, zero)
+    prior = last_two_non_product(with_sequence(ledger.join(zero.select("credito"), "credito", "left_semi"),
+                                               tie_break))
     s0 = F.col("Saldo_capital_inicial")
     return (
         base.join(prior, "credito", "left")

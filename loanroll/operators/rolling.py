@@ -96,46 +96,55 @@ def common_loans(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> Da
 
 
 def _bucket_index(col: Column) -> Column:
+    """1-based position of a bucket label (0 when null or unknown)."""
     return F.array_position(F.array(*[F.lit(b) for b in BUCKETS]), col)
 
 
+def _bucket_label(idx: Column) -> Column:
+    return F.when(idx > 0, F.element_at(F.array(*[F.lit(b) for b in BUCKETS]), idx.cast("int")))
+
+
 def roll_pairs(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
     """Each loan present in both months with its bucket at t0 and t1.
 
     Both slices are read once and paired per loan by an aggregate on
-    ``credito`` (one exchange).
+    ``credito`` (partial aggregation, one exchange; integer bucket codes keep
+    it a hash aggregate).
     """
     in0, in1 = month_range(*t0), month_range(*t1)
-    rows = with_bucket(p70.filter(in0 | in1)).withColumn("_t1", in1)
+    rows = p70.filter(in0 | in1).select(
+        "credito", in1.alias("_t1"), _bucket_index(dpd_bucket(F.col("numero_dias_mora"))).alias("_b"))
     pairs = rows.groupBy("credito").agg(
         F.max(F.when(~F.col("_t1"), F.lit(1))).alias("_in0"),
         F.max(F.when(F.col("_t1"), F.lit(1))).alias("_in1"),
-        F.max(F.when(~F.col("_t1"), F.col("icvs"))).alias("bucket_t0"),
-        F.max(F.when(F.col("_t1"), F.col("icvs"))).alias("bucket_t1"),
+        F.max(F.when(~F.col("_t1"), F.col("_b"))).alias("_b0"),
+        F.max(F.when(F.col("_t1"), F.col("_b"))).alias("_b1"),
     )
     return pairs.filter(F.col("_in0").isNotNull() & F.col("_in1").isNotNull()).select(
-        "credito", "bucket_t0", "bucket_t1")
+        "credito", _bucket_label(F.col("_b0")).alias("bucket_t0"), _bucket_label(F.col("_b1")).alias("bucket_t1"))
 
 
 def roll_matrix_units(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
     """Loans in bucket i at t0 and j at t1; full 14 x 14 grid.
 
     Loans without a bucket in either month count nowhere (their one-hot row
-    is all zeros in the script's matrix product).
+    is all zeros in the script's matrix product). Pairs are counted per
+    (from, to) cell (at most 196 groups, partial aggregation), gathered into
+    one map bounded by the grid size, and unfolded into the 14 rows with 0
+    for absent cells.
     """
-    pairs = roll_pairs(p70, t0, t1)
-    i0, i1 = _bucket_index(F.col("bucket_t0")), _bucket_index(F.col("bucket_t1"))
-    cells = pairs.agg(*[
-        F.count(F.when((i0 == a + 1) & (i1 == b + 1), 1)).alias(f"c_{a}_{b}")
-        for a in range(len(BUCKETS)) for b in range(len(BUCKETS))
-    ])
+    pairs = roll_pairs(p70, t0, t1).filter(F.col("bucket_t0").isNotNull() & F.col("bucket_t1").isNotNull())
+    cells = pairs.groupBy("bucket_t0", "bucket_t1").agg(F.count(F.lit(1)).alias("n"))
+    cell_map = cells.agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws("|", "bucket_t0", "bucket_t1"), F.col("n")))).alias("m"))
     grid = F.array(*[
-        F.struct(F.lit(a + 1).alias("_ord"), F.lit(BUCKETS[a]).alias("bucket_from"),
-                 *[F.col(f"c_{a}_{b}").alias(BUCKETS[b]) for b in range(len(BUCKETS))])
-        for a in range(len(BUCKETS))
+        F.struct(F.lit(a).alias("bucket_from"),
+                 *[F.coalesce(F.try_element_at(F.col("m"), F.lit(f"{a}|{b}")), F.lit(0)).alias(b)
+                   for b in BUCKETS])
+        for a in BUCKETS
     ])
-    # One aggregate row unfolded in bucket order: rows come out in grid order.
-    return cells.select(F.inline(grid)).drop("_ord")
+    # One map row unfolded in bucket order: rows come out in grid order.
+    return cell_map.select(F.inline(grid))
 
 
 def _row_total(df: DataFrame) -> Column:

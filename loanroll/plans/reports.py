@@ -68,7 +68,10 @@ class _Base:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return L.loan_profile(self.ledger_seq, self.params.product)
+        # Tie-break columns need the numbered ledger; otherwise the month key
+        # orders each loan and no raw ledger row is shuffled.
+        ledger = self.ledger_seq if self.params.tie_break else self.src.ledger_month
+        return L.loan_profile(ledger, self.params.product)
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -159,7 +162,7 @@ class ExtractReport(_Base):
 
     @cached_property
     def adjusted(self) -> DataFrame:
-        return L.adjusted_capital_v1(self.ledger_seq, self.profile)
+        return L.adjusted_capital_v1(self.src.ledger_month, self.profile, self.params.tie_break)
 
     @cached_property
     def rates(self) -> DataFrame:

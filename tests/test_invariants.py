@@ -47,3 +47,14 @@ def test_origin_duration_at_least_one(spark, src):
     nv = ValuationReport(src)
     assert nv.profile.filter(F.col("Duracion_p10") < 1).count() == 0
     assert nv.profile.filter(F.col("Duracion_p70") < 1).count() == 0
+
+
+def test_profile_paths_agree(spark, src):
+    """Month-keyed profile (no row numbering) equals the sequenced one."""
+    from loanroll.operators import ledger as L
+
+    plain = L.loan_profile(src.ledger_month)
+    sequenced = L.loan_profile(L.with_sequence(src.ledger_month))
+    cols = sorted(plain.columns)
+    assert plain.count() == sequenced.count()
+    assert plain.select(cols).exceptAll(sequenced.select(cols)).count() == 0

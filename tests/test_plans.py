@@ -41,7 +41,24 @@ def test_daily_snapshot_filters_reach_the_scan(stored):
            "valor_pago_ttl_canc:double,ind_cierre:int>" in plan
 
 
-def test_rate_stage_is_skew_safe(stored):
+def test_rate_stage_shuffles_only_aggregates(spark, stored):
+    """On the plain ledger the raw rows are never shuffled: every exchange
+    carries hash-aggregate output (partial per-loan aggregates, or the
+    narrow (loan, month) cell table), and no window numbers raw rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(L.adjusted_recovery_base(L.loan_profile(stored["ledger_month"])))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    exchanges = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert exchanges
+    for i in exchanges:
+        assert "HashAggregate(" in lines[i + 1], lines[i + 1]
+    assert "row_number" not in plan and "SortAggregate" not in plan
+
+
+def test_sequence_is_skew_safe(stored):
     """No window sorts a loan's raw rows in one task: the only window over raw
     rows is per (loan, month) cell, and per-loan values pre-aggregate
     map-side (partial aggregates) before the exchange by loan."""
