@@ -66,6 +66,15 @@ def with_sequence(ledger: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame
     )
 
 
+def assert_unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """D4 option: rows whose key appears more than once (empty when unique).
+
+    An aggregate with partial aggregation; run it (e.g. ``.isEmpty()``) before
+    a join that must not fan out.
+    """
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+
+
 def with_year_month(df: DataFrame) -> DataFrame:
     """``anio`` and ``mes`` as text cut from the ``yyyymmdd`` key."""
     key = F.col("id_fecha").cast("string")

@@ -118,3 +118,25 @@ def newest_path(spark: SparkSession, folder: str, prefix: str) -> str:
 def read_latest_csv2(spark: SparkSession, folder: str, prefix: str, schema: T.StructType) -> DataFrame:
     """S7 + S8: read the newest extract of the folder."""
     return read_csv2(spark, newest_path(spark, folder, prefix), schema)
+
+
+def warehouse_sources(spark: SparkSession, paths: dict[str, str]):
+    """S1-S6 from stored tables: ``paths`` maps each source name of
+    :class:`loanroll.sources.fixtures.Sources` to a Parquet folder (the
+    purchase tape may be a ``.csv`` export instead)."""
+    from loanroll.sources import schemas
+    from loanroll.sources.fixtures import Sources
+
+    declared = {
+        "ledger_month": schemas.LEDGER_MONTH, "ledger_day": schemas.LEDGER_DAY, "ltv": schemas.LTV,
+        "restructuring_mark": schemas.RESTRUCTURING_MARK, "collections": schemas.COLLECTIONS,
+        "purchase_tape_raw": schemas.PURCHASE_TAPE,
+    }
+    tables = {}
+    for name, schema in declared.items():
+        path = paths[name]
+        if name == "purchase_tape_raw" and path.endswith(".csv"):
+            tables[name] = read_purchase_tape_csv(spark, path)
+        else:
+            tables[name] = read_parquet_table(spark, path, schema)
+    return Sources(**tables)
