@@ -25,6 +25,14 @@ from loanroll.sources import sinks
 from loanroll.sources.fixtures import Sources, staged_sources
 
 
+# Report folder and dataset names (the scripts' file names, without
+# their hard-coded period suffix, see D9).
+VALUATION_FOLDER = "Resumen y créditos vigentes"
+SHARE_HISTORY_NAME = "PROPORCION DE SALDO A CAPITAL POR CATEGORIA DE VENCIMIENTO"
+UNITS_MATRIX_NAME = "MATRIZ RODAMIENTOS UNIDADES"
+SHARE_MATRIX_NAME = "MATRIZ RODAMIENTOS PROPORCIONES"
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back (cuts lineage)."""
     path = scratch_dir(spark, name)
@@ -41,7 +49,7 @@ def write_valuation_report(spark: SparkSession, report: ValuationReport, out_dir
     """K1 + K5: the five sheets of the newest script, one dataset each, under a
     folder named after the previous month (``Resumen y créditos vigentes <Mes>``)."""
     _share(spark, report, "priced")
-    folder = f"{out_dir.rstrip('/')}/Resumen y créditos vigentes {previous_month_name(report.params.as_of)}"
+    folder = f"{out_dir.rstrip('/')}/{VALUATION_FOLDER} {previous_month_name(report.params.as_of)}"
     return sinks.write_bundle(report.bundle(), folder)
 
 
@@ -60,7 +68,7 @@ def write_extract_report(spark: SparkSession, report: ExtractReport, out_dir: st
         "Vigentes_70": report.live_70,
         "Vigentes_71": report.live_71,
     }
-    return sinks.write_bundle(bundle, f"{out_dir.rstrip('/')}/Resumen y créditos vigentes modificado")
+    return sinks.write_bundle(bundle, f"{out_dir.rstrip('/')}/{VALUATION_FOLDER} modificado")
 
 
 def write_roll_report(spark: SparkSession, report: RollReport, out_dir: str) -> dict[str, str]:
@@ -68,9 +76,9 @@ def write_roll_report(spark: SparkSession, report: RollReport, out_dir: str) ->
     _share(spark, report, "units")
     base = out_dir.rstrip("/")
     return sinks.write_bundle({
-        "PROPORCION DE SALDO A CAPITAL POR CATEGORIA DE VENCIMIENTO": report.share_history,
-        "MATRIZ RODAMIENTOS UNIDADES": report.units,
-        "MATRIZ RODAMIENTOS PROPORCIONES": report.share,
+        SHARE_HISTORY_NAME: report.share_history,
+        UNITS_MATRIX_NAME: report.units,
+        SHARE_MATRIX_NAME: report.share,
     }, base)
 
 

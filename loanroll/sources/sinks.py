@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Output names the report consumers expect.
 EXTRACT_PREFIX = "VALORACION_PRUEBA_pd70_total_"
 
 # Display names of the report columns (snake_case inside the engine).
