@@ -132,9 +132,11 @@ def exclude_loans(spark, sf_dir):
     negative interest) and never apply them; here the list is derived by that
     rule from the ledger itself and applied with a left anti join.
     """
-    seq = _nv(spark, sf_dir).ledger_seq
-    excluded = seq.filter(F.col("saldo_capital").isNull() | (F.col("saldo_interes") < 0)).select("credito")
-    return seq.join(excluded, "credito", "left_anti").select(*LEDGER_COLUMNS, "orden")
+    src = fixture_sources(spark, sf_dir)
+    ledger = src.ledger_month
+    excluded = ledger.filter(F.col("saldo_capital").isNull() | (F.col("saldo_interes") < 0)).select("credito")
+    report = ValuationReport(src, ReportParams(), exclusions=excluded)
+    return report.ledger_seq.select(*LEDGER_COLUMNS, "orden")
 
 
 # --- per-loan profile ---------------------------------------------------------------
@@ -165,7 +167,7 @@ def zero_start_loans(spark, sf_dir):
 
 def zero_start_history(spark, sf_dir):
     r = _nv(spark, sf_dir)
-    return L.zero_start_history(r.src.ledger_month, r.base).select(*LEDGER_COLUMNS, "orden")
+    return L.zero_start_history(r.ledger, r.base).select(*LEDGER_COLUMNS, "orden")
 
 
 def prior_product_balance(spark, sf_dir):
@@ -175,7 +177,7 @@ def prior_product_balance(spark, sf_dir):
 def last_two_non70(spark, sf_dir):
     r = _ov(spark, sf_dir)
     zero = r.capital_base.filter(F.col("Saldo_capital_inicial") == 0).select("credito")
-    rows = r.src.ledger_month.join(zero, "credito", "left_semi")
+    rows = r.ledger.join(zero, "credito", "left_semi")
     return L.last_two_non_product(L.with_sequence(rows))
 
 

@@ -38,6 +38,7 @@ class ReportParams:
     roll_months: tuple[tuple[int, int], tuple[int, int]] = ROLL_MONTHS
     include_over_360: bool = False             # D11
     live_71_source: str = "active"             # D7: or "inactive"
+    assert_unique: bool = False                # D4: fail instead of fanning out
 
     @property
     def report_key(self) -> int:
@@ -56,10 +57,18 @@ class ReportParams:
 class _Base:
     src: Sources
     params: ReportParams = field(default_factory=ReportParams)
+    exclusions: DataFrame | None = None        # P15: loan ids left out of every report
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """The monthly ledger, without excluded loans (left anti join) if given."""
+        if self.exclusions is None:
+            return self.src.ledger_month
+        return self.src.ledger_month.join(self.exclusions.select("credito").distinct(), "credito", "left_anti")
 
     @cached_property
     def ledger_seq(self) -> DataFrame:
-        return L.with_sequence(self.src.ledger_month, self.params.tie_break)
+        return L.with_sequence(self.ledger, self.params.tie_break)
 
     @cached_property
     def product_rows(self) -> DataFrame:
@@ -70,7 +79,7 @@ class _Base:
     def profile(self) -> DataFrame:
         # Tie-break columns need the numbered ledger; otherwise the month key
         # orders each loan and no raw ledger row is shuffled.
-        ledger = self.ledger_seq if self.params.tie_break else self.src.ledger_month
+        ledger = self.ledger_seq if self.params.tie_break else self.ledger
         return L.loan_profile(ledger, self.params.product)
 
     @cached_property
@@ -82,6 +91,12 @@ class _Base:
         return V.purchase_tape(self.src.purchase_tape_raw)
 
 
+def _require_unique(df: DataFrame, what: str) -> None:
+    """D4 option: raise when a per-loan side would fan a left join out."""
+    if not L.assert_unique_key(df, ["credito"]).isEmpty():
+        raise ValueError(f"{what} holds several rows for some loans; the join would fan out")
+
+
 class ValuationReport(_Base):
     """Newest script: recovery rates -> valuation -> priced portfolio -> report."""
 
@@ -103,6 +118,9 @@ class ValuationReport(_Base):
 
     @cached_property
     def valuation(self) -> DataFrame:
+        if self.params.assert_unique:
+            _require_unique(self.ltv_snapshot, "LTV snapshot")
+            _require_unique(self.daily, "daily closing snapshot")
         return V.valuation_table(self.rates, self.ltv_snapshot, self.daily)
 
     @cached_property
@@ -162,7 +180,7 @@ class ExtractReport(_Base):
 
     @cached_property
     def adjusted(self) -> DataFrame:
-        return L.adjusted_capital_v1(self.src.ledger_month, self.profile, self.params.tie_break)
+        return L.adjusted_capital_v1(self.ledger, self.profile, self.params.tie_break)
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -234,7 +252,7 @@ class RollReport(_Base):
 
     @cached_property
     def product_rows(self) -> DataFrame:
-        return L.product_slice(self.src.ledger_month, self.params.product)
+        return L.product_slice(self.ledger, self.params.product)
 
     @cached_property
     def bucketed(self) -> DataFrame:

@@ -59,3 +59,24 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/loanroll/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cluster_conf(shuffle_bytes: float, cores: int, target_partition_bytes: float = 256 * 1024 ** 2) -> dict[str, str]:
+    """Sizing for a cluster run (apply at session build or with ``spark.conf.set``).
+
+    ``shuffle_bytes`` is the largest stage's shuffle volume (for the reports:
+    the ledger's partial aggregates, roughly its size in the columns read).
+    Partitions are sized to ~``target_partition_bytes`` so a task fits in
+    executor memory without spilling, and never fewer than 2 per core; AQE
+    coalesces small ones and splits skewed join partitions at runtime.
+    """
+    partitions = max(2 * cores, int(shuffle_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(int(target_partition_bytes)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(int(target_partition_bytes * 4)),
+    }

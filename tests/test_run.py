@@ -22,3 +22,22 @@ def test_assert_unique_key(spark):
     src = staged_sources(spark, SF_SMALL)
     assert L.assert_unique_key(src.ledger_month, ["credito", "id_fecha"]).isEmpty()
     assert not L.assert_unique_key(src.ledger_month.select("credito"), ["credito"]).isEmpty()
+
+
+def test_exclusions_and_unique_option(spark):
+    from loanroll.plans.reports import ValuationReport
+
+    src = staged_sources(spark, SF_SMALL)
+    some = src.ledger_month.select("credito").distinct().limit(5)
+    kept = ValuationReport(src, exclusions=some).profile
+    assert kept.join(some, "credito").isEmpty()
+    checked = ValuationReport(src, ReportParams(assert_unique=True))
+    assert checked.valuation.count() == ValuationReport(src).valuation.count()
+
+
+def test_cluster_conf_sizes_partitions():
+    from loanroll.session import cluster_conf
+
+    conf = cluster_conf(shuffle_bytes=10 * 1024 ** 4, cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 40961
+    assert cluster_conf(1.0, cores=8)["spark.sql.shuffle.partitions"] == "16"
