@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanroll.functions.rnum import r_eq, r_ifelse
+from loanroll.functions.rnum import eq_sql, ifelse_sql
 
 # Columns whose first and last product-70 values the reports keep.
 OBSERVED_COLUMNS = [
@@ -77,8 +77,10 @@ def assert_unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def with_year_month(df: DataFrame) -> DataFrame:
     """``anio`` and ``mes`` as text cut from the ``yyyymmdd`` key."""
-    key = F.col("id_fecha").cast("string")
-    return df.withColumn("mes", F.substring(key, 5, 2)).withColumn("anio", F.substring(key, 1, 4))
+    return df.withColumns({
+        "mes": F.expr("substring(CAST(id_fecha AS STRING), 5, 2)"),
+        "anio": F.expr("substring(CAST(id_fecha AS STRING), 1, 4)"),
+    })
 
 
 def product_slice(ledger: DataFrame, product: int = PRODUCT, negate: bool = False) -> DataFrame:
@@ -87,12 +89,13 @@ def product_slice(ledger: DataFrame, product: int = PRODUCT, negate: bool = Fals
     return ledger.filter(~cond if negate else cond)
 
 
+def exposure_sql(suffix: str = "") -> str:
+    return " + ".join(f"{part}{suffix}" for part in EXPOSURE_PARTS)
+
+
 def exposure(suffix: str = "") -> Column:
     """M1: exposure of one observation (columns carry ``suffix``)."""
-    total = F.col(EXPOSURE_PARTS[0] + suffix)
-    for part in EXPOSURE_PARTS[1:]:
-        total = total + F.col(part + suffix)
-    return total
+    return F.expr(exposure_sql(suffix))
 
 
 def with_exposure(ledger: DataFrame) -> DataFrame:
@@ -113,17 +116,16 @@ def months_before_first(ledger: DataFrame, product: int = PRODUCT) -> DataFrame:
     aggregation); its window per loan holds one row per month, never the
     loan's raw rows. Rows with no date sort first, as in SQL Server.
     """
-    is_p = (F.col("tipo_producto") == product).cast("int")
     cells = ledger.groupBy("credito", "id_fecha").agg(
-        F.count(F.lit(1)).alias("_n"), F.max(is_p).alias("_has_p"))
+        F.expr("count(1) AS _n"), F.expr(f"max(CAST(tipo_producto = {product} AS INT)) AS _has_p"))
     loan = Window.partitionBy("credito")
-    first_p = F.min(F.when(F.col("_has_p") == 1, F.col("id_fecha"))).over(loan)
-    before = F.col("id_fecha").isNull() | (F.col("id_fecha") < F.col("_first_p"))
+    first_p = F.min(F.expr("CASE WHEN _has_p = 1 THEN id_fecha END")).over(loan)
     return (
         cells.withColumn("_first_p", first_p)
-        .filter(F.col("_first_p").isNotNull())
+        .filter("_first_p IS NOT NULL")
         .groupBy("credito")
-        .agg((F.coalesce(F.sum(F.when(before, F.col("_n"))), F.lit(0)) + 1).cast("int").alias("Duracion_p10"))
+        .agg(F.expr("CAST(coalesce(sum(CASE WHEN id_fecha IS NULL OR id_fecha < _first_p THEN _n END), 0) + 1 "
+                    "AS INT) AS Duracion_p10"))
     )
 
 
@@ -143,51 +145,45 @@ def loan_profile(ledger: DataFrame, product: int = PRODUCT, strict_na: bool = Tr
     and ``Duracion_p10`` comes from :func:`months_before_first`: the raw
     ledger is then never shuffled, only partial aggregates are.
     """
-    tipo = F.col("tipo_producto")
-    is_p = tipo == product
-    other = tipo != product
+    is_p, other = f"tipo_producto = {product}", f"tipo_producto <> {product}"
     sequenced = "orden" in ledger.columns
     if sequenced:
-        first_key = F.col("orden")
-        last_key = F.col("id_fecha").cast("long") * _ORDEN_SPAN - F.col("orden")
+        first_key, last_key = "orden", f"CAST(id_fecha AS BIGINT) * {_ORDEN_SPAN} - orden"
     else:
-        first_key = last_key = F.col("id_fecha")
-    k_first = F.when(is_p, first_key)
-    k_last = F.when(is_p, last_key)
-    k_prior = F.when(other, last_key)
-    desemb = F.col("id_fecha_desembolso").cast("double")
-
-    fecha_min = F.min(F.when(is_p, desemb))
-    fecha_mean = F.avg(F.when(is_p, desemb))
+        first_key = last_key = "id_fecha"
+    k_first = f"CASE WHEN {is_p} THEN {first_key} END"
+    k_last = f"CASE WHEN {is_p} THEN {last_key} END"
+    k_prior = f"CASE WHEN {other} THEN {last_key} END"
+    desemb = f"CASE WHEN {is_p} THEN CAST(id_fecha_desembolso AS DOUBLE) END"
+    fecha_min, fecha_mean = f"min({desemb})", f"avg({desemb})"
     if strict_na:  # min()/mean() without na.rm: one NA in the loan gives NA
-        has_na = F.count(F.when(is_p & desemb.isNull(), 1)) > 0
-        fecha_min = F.when(has_na, F.lit(None)).otherwise(fecha_min)
-        fecha_mean = F.when(has_na, F.lit(None)).otherwise(fecha_mean)
+        has_na = f"count(CASE WHEN {is_p} AND id_fecha_desembolso IS NULL THEN 1 END) > 0"
+        fecha_min = f"CASE WHEN {has_na} THEN NULL ELSE {fecha_min} END"
+        fecha_mean = f"CASE WHEN {has_na} THEN NULL ELSE {fecha_mean} END"
 
     aggs = [
-        fecha_min.alias("Fecha_desembolso"),
-        fecha_mean.alias("Fecha_desembolso_media"),
-        F.min(F.when(is_p, F.col("id_fecha"))).alias("fecha_inicio_p70"),
-        F.max(F.when(is_p, F.col("id_fecha"))).alias("fecha_vigencia"),
-        F.count(F.when(is_p, 1)).alias("Duracion_p70"),
+        f"{fecha_min} AS Fecha_desembolso",
+        f"{fecha_mean} AS Fecha_desembolso_media",
+        f"min(CASE WHEN {is_p} THEN id_fecha END) AS fecha_inicio_p70",
+        f"max(CASE WHEN {is_p} THEN id_fecha END) AS fecha_vigencia",
+        f"count(CASE WHEN {is_p} THEN 1 END) AS Duracion_p70",
     ]
     if sequenced:
-        aggs.append(F.min(k_first).alias("Duracion_p10"))
-    aggs += [F.min_by(c, k_first).alias(f"{c}_inicial") for c in OBSERVED_COLUMNS]
-    aggs += [F.max_by(c, k_last).alias(f"{c}_actual") for c in OBSERVED_COLUMNS]
+        aggs.append(f"min({k_first}) AS Duracion_p10")
+    aggs += [f"min_by({c}, {k_first}) AS {c}_inicial" for c in OBSERVED_COLUMNS]
+    aggs += [f"max_by({c}, {k_last}) AS {c}_actual" for c in OBSERVED_COLUMNS]
     aggs += [
-        F.max_by(exposure(), k_prior).alias("capital_ant"),
-        F.max_by("saldo_capital", k_prior).alias("saldo_ant"),
-        F.count(F.when(other, 1)).alias("n_prior"),
+        f"max_by({exposure_sql()}, {k_prior}) AS capital_ant",
+        f"max_by(saldo_capital, {k_prior}) AS saldo_ant",
+        f"count(CASE WHEN {other} THEN 1 END) AS n_prior",
     ]
-    profile = ledger.groupBy("credito").agg(*aggs).filter(F.col("Duracion_p70") > 0)
+    profile = ledger.groupBy("credito").agg(*[F.expr(a) for a in aggs]).filter("Duracion_p70 > 0")
     if not sequenced:
         profile = profile.join(months_before_first(ledger, product), "credito", "left")
-    return (
-        profile
-        .withColumn("Saldo_exposicion_inicial", exposure("_inicial"))
-        .withColumn("Saldo_exposicion_actual", exposure("_actual"))
-    )
+    return profile.withColumns({
+        "Saldo_exposicion_inicial": exposure("_inicial"),
+        "Saldo_exposicion_actual": exposure("_actual"),
+    })
 
 
 SPAN_COLUMNS = ["credito", "Fecha_desembolso", "fecha_inicio_p70", "fecha_vigencia",
@@ -254,23 +250,20 @@ def adjusted_recovery_base(profile: DataFrame, exposure_baseline: str = "as_writ
     """
     if exposure_baseline not in ("as_written", "initial"):
         raise ValueError(f"exposure_baseline: {exposure_baseline!r}")
-    e0, e1 = F.col("Saldo_exposicion_inicial"), F.col("Saldo_exposicion_actual")
-    c0 = F.col("saldo_capital_inicial")
-    one_month = F.col("Duracion_p70") == 1
     # The prior balance is joined (before any mutate) only for zero-start loans:
     # the script's left join leaves NA for every other loan.
-    zero_start = e0 == 0
-    joined = (
-        profile.withColumn("_capital_ant", F.when(zero_start, F.col("capital_ant")))
-        .withColumn("_saldo_ant", F.when(zero_start, F.col("saldo_ant")))
-    )
-    else_exposure = e1 if exposure_baseline == "as_written" else e0
-    return recovery_base(
-        joined.withColumn("Saldo_exposicion_inicial",
-                          r_ifelse(r_eq(e0, 0) & one_month, F.col("_capital_ant"), else_exposure))
-        .withColumn("saldo_capital_inicial",
-                    r_ifelse(r_eq(c0, 0) & one_month, F.col("_saldo_ant"), c0))
-    )
+    joined = profile.withColumns({
+        "_capital_ant": F.expr("CASE WHEN Saldo_exposicion_inicial = 0 THEN capital_ant END"),
+        "_saldo_ant": F.expr("CASE WHEN Saldo_exposicion_inicial = 0 THEN saldo_ant END"),
+    })
+    else_exposure = "Saldo_exposicion_actual" if exposure_baseline == "as_written" else "Saldo_exposicion_inicial"
+    one_month = "Duracion_p70 = 1"
+    return recovery_base(joined.withColumns({   # both read the values before the update
+        "Saldo_exposicion_inicial": F.expr(ifelse_sql(
+            f"{eq_sql('Saldo_exposicion_inicial', 0)} AND {one_month}", "_capital_ant", else_exposure)),
+        "saldo_capital_inicial": F.expr(ifelse_sql(
+            f"{eq_sql('saldo_capital_inicial', 0)} AND {one_month}", "_saldo_ant", "saldo_capital_inicial")),
+    }))
 
 
 def last_two_non_product(ledger_seq: DataFrame, product: int = PRODUCT) -> DataFrame:
@@ -326,10 +319,9 @@ def adjusted_capital_v1(ledger: DataFrame, profile: DataFrame, tie_break: Sequen
     zero = base.filter(F.col("Saldo_capital_inicial") == 0)
     prior = last_two_non_product(with_sequence(ledger.join(zero.select("credito"), "credito", "left_semi"),
                                                tie_break))
-    s0 = F.col("Saldo_capital_inicial")
     return (
         base.join(prior, "credito", "left")
-        .withColumn("Saldo_capital_inicial",
-                    r_ifelse(r_eq(s0, 0) & (F.col("Duracion_p70") == 1), F.col("capital_ant"), s0))
+        .withColumn("Saldo_capital_inicial", F.expr(ifelse_sql(
+            f"{eq_sql('Saldo_capital_inicial', 0)} AND Duracion_p70 = 1", "capital_ant", "Saldo_capital_inicial")))
         .drop("capital_ant")
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanroll.functions.rnum import r_div, r_is_na, sum_na_rm
+from loanroll.functions.rnum import div_sql, is_na_sql, r_is_na, sum_na_rm
 from loanroll.operators.valuation import is_active
 
 DEFAULT_MIN_BALANCE = 0.0001
@@ -23,11 +23,11 @@ def active_loans(priced: DataFrame) -> DataFrame:
 
 def inactive_loans(priced: DataFrame) -> DataFrame:
     """Rows without payoff (no match, or a match whose payoff is NA)."""
-    return priced.filter(r_is_na(F.col("valor_pago_ttl_canc")))
+    return priced.filter(r_is_na("valor_pago_ttl_canc"))
 
 
 def _uplift(value: str) -> F.Column:
-    return r_div(F.col(value), F.col("Precio_de_compra")) - 1
+    return F.expr(f"{div_sql(value, 'Precio_de_compra')} - 1")
 
 
 def portfolio_summary(active: DataFrame, min_balance: float = DEFAULT_MIN_BALANCE,
@@ -46,15 +46,14 @@ def portfolio_summary(active: DataFrame, min_balance: float = DEFAULT_MIN_BALANC
     ]
     if with_capital:
         aggs.append(sum_na_rm("Precio_y_valoracion_capital").alias("Valoracion_capital"))
-    out = (
+    uplifts = {"p": _uplift("Valoracion"), "p_mod": _uplift("Valoracion_mod")}
+    if with_capital:
+        uplifts["p_cap"] = _uplift("Valoracion_capital")
+    return (
         active.filter(F.col("saldo_actual") > min_balance)
         .groupBy("tipo_producto").agg(*aggs)
-        .withColumn("p", _uplift("Valoracion"))
-        .withColumn("p_mod", _uplift("Valoracion_mod"))
+        .withColumns(uplifts)
     )
-    if with_capital:
-        out = out.withColumn("p_cap", _uplift("Valoracion_capital"))
-    return out
 
 
 def residual_loans(inactive: DataFrame, min_balance: float = DEFAULT_MIN_BALANCE) -> DataFrame:
@@ -79,7 +78,7 @@ def live_product_70(active: DataFrame, keep_all_priced: bool = True) -> DataFram
 
     ``keep_all_priced=False`` is the older report's column set.
     """
-    vg = r_div(F.col("Precio_y_valoracion_mod"), F.col("compra")) - 1
+    vg = f"({div_sql('Precio_y_valoracion_mod', 'compra')} - 1)"
     cols = ["credito", "saldo_a_capital", "compra"]
     if keep_all_priced:
         cols += ["Precio_y_valoracion", "Precio_y_valoracion_capital"]
@@ -87,7 +86,7 @@ def live_product_70(active: DataFrame, keep_all_priced: bool = True) -> DataFram
         active.filter(F.col("tipo_producto") == 70)
         .withColumnRenamed("saldo_actual", "saldo_a_capital")
         .withColumnRenamed("precio_compra", "compra")
-        .withColumn("valoracion_con_garantia", F.when(r_is_na(vg), F.lit(0.0)).otherwise(vg))
+        .withColumn("valoracion_con_garantia", F.expr(f"CASE WHEN {is_na_sql(vg)} THEN 0.0D ELSE {vg} END"))
         .select(*cols, "valoracion_con_garantia")
     )
 

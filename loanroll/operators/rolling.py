@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanroll.functions.rnum import r_div
+from loanroll.functions.rnum import div_sql
 from loanroll.operators.ledger import month_range, with_year_month
 
 # Days-past-due bucket labels, in order. ICV<n> holds up to n
@@ -29,9 +29,21 @@ BUCKETS = [
 SHARE_BUCKETS = BUCKETS[:13]  # the share table leaves out ICV360+ (D11)
 
 
-def dpd_bucket(days: Column) -> Column:
+def dpd_bucket_sql(days: str) -> str:
     """``case_when`` of the script. Fractional days between bands,
     negatives, NA and NaN fall in no bucket (null)."""
+    d = f"CAST(({days}) AS DOUBLE)"
+    arms = [f"WHEN isnan({d}) THEN CAST(NULL AS STRING)", f"WHEN {d} = 0 THEN 'ICV0'",
+            f"WHEN {d} BETWEEN 0 AND 30 THEN 'ICV30'"]
+    arms += [f"WHEN {d} BETWEEN {upper - 29} AND {upper} THEN 'ICV{upper}'" for upper in range(60, 361, 30)]
+    arms.append(f"WHEN {d} > 360 THEN 'ICV360+'")
+    return "(CASE " + " ".join(arms) + " END)"
+
+
+def dpd_bucket(days) -> Column:
+    """M18 as a Column; ``days`` is a SQL expression (e.g. a column name) or a Column."""
+    if isinstance(days, str):
+        return F.expr(dpd_bucket_sql(days))
     d = days.cast("double")
     expr = F.when(F.isnan(d), F.lit(None).cast("string")).when(d == 0, F.lit("ICV0"))
     expr = expr.when(d.between(0, 30), F.lit("ICV30"))
@@ -41,7 +53,7 @@ def dpd_bucket(days: Column) -> Column:
 
 
 def with_bucket(rows: DataFrame) -> DataFrame:
-    return with_year_month(rows).withColumn("icvs", dpd_bucket(F.col("numero_dias_mora")))
+    return with_year_month(rows).withColumn("icvs", dpd_bucket("numero_dias_mora"))
 
 
 def bucket_share_history(p70: DataFrame, include_over_360: bool = False,
@@ -53,21 +65,18 @@ def bucket_share_history(p70: DataFrame, include_over_360: bool = False,
     month total) NA, as ``sum()`` without ``na.rm`` does (D16).
     """
     rows = with_bucket(p70)
-    cap, icvs = F.col("saldo_capital"), F.col("icvs")
     shown = BUCKETS if include_over_360 else SHARE_BUCKETS
 
-    def strict_sum(cond: Column | None) -> Column:
-        x = cap if cond is None else F.when(cond, cap)
-        total = F.sum(x)
+    def strict_sum(cond: str) -> str:
+        total = f"sum(CASE WHEN {cond} THEN saldo_capital END)"
         if not strict_na:
             return total
-        sel = cap.isNull() if cond is None else (cond & cap.isNull())
-        return F.when(F.count(F.when(sel, 1)) > 0, F.lit(None)).otherwise(total)
+        return f"CASE WHEN count(CASE WHEN {cond} AND saldo_capital IS NULL THEN 1 END) > 0 THEN NULL ELSE {total} END"
 
-    aggs = [strict_sum(icvs == b).alias(f"_n_{b}") for b in shown]
-    aggs.append(strict_sum(None).alias("_total"))
+    aggs = [F.expr(f"{strict_sum(f'icvs = {chr(39)}{b}{chr(39)}')} AS _n{i}") for i, b in enumerate(shown)]
+    aggs.append(F.expr(f"{strict_sum('true')} AS _total"))
     g = rows.groupBy("anio", "mes").agg(*aggs)
-    return g.select("anio", "mes", *[r_div(F.col(f"_n_{b}"), F.col("_total")).alias(b) for b in shown])
+    return g.select("anio", "mes", *[F.expr(div_sql(f"_n{i}", "_total")).alias(b) for i, b in enumerate(shown)])
 
 
 def month_slice(p70: DataFrame, year: int, month: int) -> DataFrame:
@@ -80,10 +89,8 @@ def bucket_one_hot(p70: DataFrame, year: int, month: int) -> DataFrame:
     The ledger key ``(credito, id_fecha)`` makes this a projection.
     """
     rows = month_slice(p70, year, month)
-    return rows.select(
-        "credito",
-        *[F.when(F.col("icvs") == b, F.lit(1)).otherwise(F.lit(0)).alias(b) for b in BUCKETS],
-    )
+    return rows.selectExpr(
+        "credito", *[f"CASE WHEN icvs = '{b}' THEN 1 ELSE 0 END AS `{b}`" for b in BUCKETS])
 
 
 def common_loans(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
@@ -95,13 +102,7 @@ def common_loans(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> Da
     return c1.intersect(c0)
 
 
-def _bucket_index(col: Column) -> Column:
-    """1-based position of a bucket label (0 when null or unknown)."""
-    return F.array_position(F.array(*[F.lit(b) for b in BUCKETS]), col)
-
-
-def _bucket_label(idx: Column) -> Column:
-    return F.when(idx > 0, F.element_at(F.array(*[F.lit(b) for b in BUCKETS]), idx.cast("int")))
+_BUCKET_ARRAY_SQL = "array(" + ", ".join(f"'{b}'" for b in BUCKETS) + ")"
 
 
 def roll_pairs(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
@@ -113,15 +114,17 @@ def roll_pairs(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> Data
     """
     in0, in1 = month_range(*t0), month_range(*t1)
     rows = p70.filter(in0 | in1).select(
-        "credito", in1.alias("_t1"), _bucket_index(dpd_bucket(F.col("numero_dias_mora"))).alias("_b"))
+        "credito", in1.alias("_t1"),
+        F.expr(f"array_position({_BUCKET_ARRAY_SQL}, {dpd_bucket_sql('numero_dias_mora')})").alias("_b"))
     pairs = rows.groupBy("credito").agg(
-        F.max(F.when(~F.col("_t1"), F.lit(1))).alias("_in0"),
-        F.max(F.when(F.col("_t1"), F.lit(1))).alias("_in1"),
-        F.max(F.when(~F.col("_t1"), F.col("_b"))).alias("_b0"),
-        F.max(F.when(F.col("_t1"), F.col("_b"))).alias("_b1"),
+        F.expr("max(CASE WHEN NOT _t1 THEN 1 END) AS _in0"),
+        F.expr("max(CASE WHEN _t1 THEN 1 END) AS _in1"),
+        F.expr("max(CASE WHEN NOT _t1 THEN _b END) AS _b0"),
+        F.expr("max(CASE WHEN _t1 THEN _b END) AS _b1"),
     )
-    return pairs.filter(F.col("_in0").isNotNull() & F.col("_in1").isNotNull()).select(
-        "credito", _bucket_label(F.col("_b0")).alias("bucket_t0"), _bucket_label(F.col("_b1")).alias("bucket_t1"))
+    label = "CASE WHEN {0} > 0 THEN element_at(" + _BUCKET_ARRAY_SQL + ", CAST({0} AS INT)) END"
+    return pairs.filter("_in0 IS NOT NULL AND _in1 IS NOT NULL").selectExpr(
+        "credito", f"{label.format('_b0')} AS bucket_t0", f"{label.format('_b1')} AS bucket_t1")
 
 
 def roll_matrix_units(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
@@ -135,37 +138,28 @@ def roll_matrix_units(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int])
     """
     pairs = roll_pairs(p70, t0, t1).filter(F.col("bucket_t0").isNotNull() & F.col("bucket_t1").isNotNull())
     cells = pairs.groupBy("bucket_t0", "bucket_t1").agg(F.count(F.lit(1)).alias("n"))
-    cell_map = cells.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws("|", "bucket_t0", "bucket_t1"), F.col("n")))).alias("m"))
-    grid = F.array(*[
-        F.struct(F.lit(a).alias("bucket_from"),
-                 *[F.coalesce(F.try_element_at(F.col("m"), F.lit(f"{a}|{b}")), F.lit(0)).alias(b)
-                   for b in BUCKETS])
-        for a in BUCKETS
-    ])
+    cell_map = cells.agg(F.expr(
+        "map_from_entries(collect_list(struct(concat_ws('|', bucket_t0, bucket_t1), n))) AS m"))
+    grid = ", ".join(
+        "named_struct('bucket_from', '{a}', {cells})".format(a=a, cells=", ".join(
+            f"'{b}', coalesce(try_element_at(m, '{a}|{b}'), 0L)" for b in BUCKETS))
+        for a in BUCKETS)
     # One map row unfolded in bucket order: rows come out in grid order.
-    return cell_map.select(F.inline(grid))
+    return cell_map.selectExpr(f"inline(array({grid}))")
 
 
-def _row_total(df: DataFrame) -> Column:
-    total = F.col(f"`{BUCKETS[0]}`")
-    for b in BUCKETS[1:]:
-        total = total + F.col(f"`{b}`")
-    return total
+_ROW_TOTAL_SQL = " + ".join(f"`{b}`" for b in BUCKETS)
 
 
 def roll_matrix_share(units: DataFrame) -> DataFrame:
     """Row-normalised matrix; an empty row gives 0/0 = NaN."""
-    with_total = units.withColumn("_row_total", _row_total(units))
-    return with_total.select(
-        "bucket_from",
-        *[r_div(F.col(f"`{b}`"), F.col("_row_total")).alias(b) for b in BUCKETS],
-    )
+    return units.withColumn("_row_total", F.expr(_ROW_TOTAL_SQL)).selectExpr(
+        "bucket_from", *[f"{div_sql(f'`{b}`', '_row_total')} AS `{b}`" for b in BUCKETS])
 
 
 def roll_matrix_check(share: DataFrame) -> DataFrame:
     """Each row of shares sums to 1 (NaN for an empty row); all 14 columns."""
-    return share.select("bucket_from", _row_total(share).alias("row_sum"))
+    return share.selectExpr("bucket_from", f"{_ROW_TOTAL_SQL} AS row_sum")
 
 
 def collections_flag(p70: DataFrame, collections: DataFrame, code: int = 88) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanroll.functions.rnum import r_div, r_eq, r_gt, r_is_na, r_le
+from loanroll.functions.rnum import div_sql, eq_sql, gt_sql, is_na_sql, le_sql, sql
 
 # Text labels of the first restructuring mark.
 MARK_REFINANCING = "Refinanciacion"
@@ -87,38 +87,40 @@ def valuation_table(rates: DataFrame, ltv_snap: DataFrame, daily: DataFrame) ->
     )
 
 
-def price_factor_inverse(rate, ltv, months) -> Column:
+def price_factor_inverse_sql(rate: str, ltv: str, months: str) -> str:
     """``r>0 & LTV<=0.8 -> (1+r)(1+(1/LTV)(1/d))``; ``r=0 & LTV<=0.6 ->
     1+0.6/LTV``; else ``1+r``. Unknown conditions fall to the next arm."""
-    r, ltv, d = F.col(rate), F.col(ltv), F.col(months)
-    return (
-        F.when(r_gt(r, 0) & r_le(ltv, 0.8), (1 + r) * (1 + r_div(1.0, ltv) * r_div(1.0, d)))
-        .when(r_eq(r, 0) & r_le(ltv, 0.6), 1 + 0.6 * r_div(1.0, ltv))
-        .otherwise(1 + r)
-    )
+    r = sql(rate)
+    return (f"(CASE WHEN {gt_sql(rate, 0)} AND {le_sql(ltv, 0.8)} "
+            f"THEN (1 + {r}) * (1 + {div_sql(1.0, ltv)} * {div_sql(1.0, months)}) "
+            f"WHEN {eq_sql(rate, 0)} AND {le_sql(ltv, 0.6)} THEN 1 + 0.6D * {div_sql(1.0, ltv)} "
+            f"ELSE 1 + {r} END)")
 
 
-def price_factor_direct(rate, ltv, months) -> Column:
+def price_factor_direct_sql(rate: str, ltv: str, months: str) -> str:
     """M10c (older script): ``r>0 & LTV>1 -> (1+r)(1+LTV/d)``; ``r=0 & LTV>1 ->
     1+0.75 LTV``; else ``1+r``."""
-    r, ltv, d = F.col(rate), F.col(ltv), F.col(months)
-    return (
-        F.when(r_gt(r, 0) & r_gt(ltv, 1), (1 + r) * (1 + r_div(ltv, d)))
-        .when(r_eq(r, 0) & r_gt(ltv, 1), 1 + 0.75 * ltv)
-        .otherwise(1 + r)
-    )
+    r = sql(rate)
+    return (f"(CASE WHEN {gt_sql(rate, 0)} AND {gt_sql(ltv, 1)} THEN (1 + {r}) * (1 + {div_sql(ltv, months)}) "
+            f"WHEN {eq_sql(rate, 0)} AND {gt_sql(ltv, 1)} THEN 1 + 0.75D * {sql(ltv)} "
+            f"ELSE 1 + {r} END)")
+
+
+def price_factor_inverse(rate: str, ltv: str, months: str) -> Column:
+    return F.expr(price_factor_inverse_sql(rate, ltv, months))
+
+
+def price_factor_direct(rate: str, ltv: str, months: str) -> Column:
+    return F.expr(price_factor_direct_sql(rate, ltv, months))
 
 
 def with_price_factors(valuation: DataFrame, months: str = "Duracion_p70") -> DataFrame:
     """M10 on the combined, exposure and capital rates."""
-    return (
-        valuation
-        .withColumn("Valoracion_pd", price_factor_inverse("tasa_recuperacion_anual", "LTV", months))
-        .withColumn("Valoracion_pd_mod",
-                    price_factor_inverse("tasa_recuperacion_anual_exp", "LTV", months))
-        .withColumn("Valoracion_pd_cap",
-                    price_factor_inverse("tasa_recuperacion_anual_capital", "LTV", months))
-    )
+    return valuation.withColumns({
+        "Valoracion_pd": price_factor_inverse("tasa_recuperacion_anual", "LTV", months),
+        "Valoracion_pd_mod": price_factor_inverse("tasa_recuperacion_anual_exp", "LTV", months),
+        "Valoracion_pd_cap": price_factor_inverse("tasa_recuperacion_anual_capital", "LTV", months),
+    })
 
 
 def purchase_tape(raw_tape: DataFrame) -> DataFrame:
@@ -128,28 +130,30 @@ def purchase_tape(raw_tape: DataFrame) -> DataFrame:
 
 def priced_portfolio(tape: DataFrame, valued: DataFrame) -> DataFrame:
     """M11 (newest script): whole tape left-joined to the valuation, price x factor."""
-    price = F.col("precio_compra")
     return (
         tape.join(valued, "credito", "left")
         .withColumnRenamed("suma_importe_base", "saldo_actual")
-        .withColumn("Precio_y_valoracion", price * F.col("Valoracion_pd"))
-        .withColumn("Precio_y_valoracion_mod", price * F.col("Valoracion_pd_mod"))
-        .withColumn("Precio_y_valoracion_capital", price * F.col("Valoracion_pd_cap"))
+        .withColumns({
+            "Precio_y_valoracion": F.expr("precio_compra * Valoracion_pd"),
+            "Precio_y_valoracion_mod": F.expr("precio_compra * Valoracion_pd_mod"),
+            "Precio_y_valoracion_capital": F.expr("precio_compra * Valoracion_pd_cap"),
+        })
     )
 
 
 def priced_portfolio_v1(tape: DataFrame, extract: DataFrame, min_balance: float = 0.0001) -> DataFrame:
     """M11 (older report): balance filter first, then join to the hand-off extract."""
-    price = F.col("precio_compra")
     return (
         tape.filter(F.col("suma_importe_base") > min_balance)
         .join(extract, "credito", "left")
         .withColumnRenamed("suma_importe_base", "saldo_actual")
-        .withColumn("Precio_y_valoracion", price * F.col("Valoracion_pd"))
-        .withColumn("Precio_y_valoracion_mod", price * F.col("Valoracion_pd_mod"))
+        .withColumns({
+            "Precio_y_valoracion": F.expr("precio_compra * Valoracion_pd"),
+            "Precio_y_valoracion_mod": F.expr("precio_compra * Valoracion_pd_mod"),
+        })
     )
 
 
 def is_active() -> Column:
     """A loan is active when the daily payoff is known."""
-    return ~r_is_na(F.col("valor_pago_ttl_canc"))
+    return F.expr(f"NOT {is_na_sql('valor_pago_ttl_canc')}")

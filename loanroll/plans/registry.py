@@ -41,13 +41,13 @@ def present(df: DataFrame, as_double: list[str] = ()) -> DataFrame:
     ``as_double`` integer columns as doubles."""
     cols = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if f.name in as_double:
-            c = c.cast("double")
+            c = f"CAST({c} AS DOUBLE)"
         elif isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, ROUND_DIGITS)
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            c = f"round({c}, {ROUND_DIGITS})"
+        cols.append(f"{c} AS `{f.name}`")
+    return df.selectExpr(*cols)
 
 
 def _nv(spark: SparkSession, sf_dir: str, **params) -> ValuationReport:
