@@ -1,14 +1,16 @@
 """Monthly-ledger operators: sequence number, product slices, per-loan profile.
 
-Partitioning: everything per loan is keyed by ``credito``. The ledger is a
-monthly panel whose natural key is ``(credito, id_fecha)``, so a loan holds at
-most one row per month and the ``credito`` window of :func:`with_sequence` is
-bounded by the length of the history, not by the table size. All per-loan
-values (span, first/last observation, prior-product balance) come out of ONE
-``groupBy("credito")`` over the sequenced ledger: that aggregate reuses the
-window's hash partitioning, so the whole rate stage has a single exchange of
-the ledger, and every aggregate keeps fixed-width buffers (int/long ordering
-keys, no structs) so Spark plans a hash aggregate.
+Partitioning: everything per loan is keyed by ``credito``, and no operator
+sorts or groups a loan's raw rows in one task:
+
+* per-loan values (span, first/last observation, prior-product balance) come
+  out of ONE ``groupBy("credito")`` whose partial aggregates are combined
+  map-side; ordering keys are int/long month keys, so the buffers are
+  fixed-width and Spark plans a hash aggregate;
+* ``Duracion_p10`` and the sequence number work on the ``(credito, id_fecha)``
+  cell table (one row per loan and month), never on a window over raw rows.
+
+On the plain ledger the rate stage therefore shuffles only aggregates.
 """
 
 from __future__ import annotations

@@ -23,9 +23,7 @@ from loanroll.functions.calendar import (
     previous_month_end_col,
 )
 from loanroll.operators import ledger as L
-from loanroll.operators import portfolio as P
 from loanroll.operators import recovery as R
-from loanroll.operators import rolling as RM
 from loanroll.operators import valuation as V
 from loanroll.plans.presentation import OUTER_JOIN_INTS, ROUND_DIGITS
 from loanroll.plans.reports import ExtractReport, ReportParams, RollReport, ValuationReport
