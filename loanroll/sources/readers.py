@@ -120,15 +120,17 @@ def read_latest_csv2(spark: SparkSession, folder: str, prefix: str, schema: T.St
     return read_csv2(spark, newest_path(spark, folder, prefix), schema)
 
 
-def warehouse_sources(spark: SparkSession, paths: dict[str, str]):
+def warehouse_sources(spark: SparkSession, paths: dict[str, str], wide_ledger: bool = False):
     """S1-S6 from stored tables: ``paths`` maps each source name of
     :class:`loanroll.sources.fixtures.Sources` to a Parquet folder (the
-    purchase tape may be a ``.csv`` export instead)."""
+    purchase tape may be a ``.csv`` export instead). ``wide_ledger`` reads
+    the roll-rate report's wider ledger projection (S1b)."""
     from loanroll.sources import schemas
     from loanroll.sources.fixtures import Sources
 
     declared = {
-        "ledger_month": schemas.LEDGER_MONTH, "ledger_day": schemas.LEDGER_DAY, "ltv": schemas.LTV,
+        "ledger_month": schemas.LEDGER_MONTH_WIDE if wide_ledger else schemas.LEDGER_MONTH,
+        "ledger_day": schemas.LEDGER_DAY, "ltv": schemas.LTV,
         "restructuring_mark": schemas.RESTRUCTURING_MARK, "collections": schemas.COLLECTIONS,
         "purchase_tape_raw": schemas.PURCHASE_TAPE,
     }

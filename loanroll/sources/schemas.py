@@ -25,6 +25,16 @@ LEDGER_MONTH = _schema(
 
 LEDGER_COLUMNS = [f.name for f in LEDGER_MONTH.fields]
 
+# The roll-rate report's wider projection of the same ledger (debtor id
+# type, first invoice date, provision base, total debt). Read through
+# ``readers.read_parquet_table``; columns a stored table lacks come back null.
+LEDGER_MONTH_WIDE = T.StructType(LEDGER_MONTH.fields + [
+    T.StructField("tipo_id_deudor", _S, True),
+    T.StructField("id_fecha_primera_factura", _I, True),
+    T.StructField("base_de_provision", _D, True),
+    T.StructField("total_deuda", _D, True),
+])
+
 # Daily ledger (Fact_Cartera_Dia), the columns the reports touch.
 LEDGER_DAY = _schema(
     ("id_fecha", _I), ("credito", _L), ("tipo_producto", _I),

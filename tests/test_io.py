@@ -54,3 +54,22 @@ def test_write_bundle_uses_display_names(spark):
     assert back.columns == ["Credito", "Saldo a capital", "Compra"]
     counts = {r["hoja"]: r["filas"] for r in sinks.bundle_counts({"a": df, "b": df.limit(0)}).collect()}
     assert counts == {"a": 1, "b": 0}
+
+
+def test_warehouse_sources_from_stored_tables(spark):
+    from dataclasses import fields
+
+    from conftest import SF_SMALL
+    from loanroll.plans.reports import RollReport
+    from loanroll.sources.fixtures import Sources, staged_sources
+
+    staged = staged_sources(spark, SF_SMALL)
+    base = scratch_dir(spark, "t-warehouse")
+    paths = {}
+    for f in fields(Sources):
+        getattr(staged, f.name).write.parquet(f"{base}/{f.name}")
+        paths[f.name] = f"{base}/{f.name}"
+    src = readers.warehouse_sources(spark, paths, wide_ledger=True)
+    assert "total_deuda" in src.ledger_month.columns
+    assert src.ledger_month.filter("total_deuda IS NOT NULL").isEmpty()
+    assert RollReport(src).units.count() == 14
