@@ -235,12 +235,12 @@ def prior_product_balance(profile: DataFrame) -> DataFrame:
     )
 
 
-def zero_start_history(ledger: DataFrame, base: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
+def zero_start_history(ledger: DataFrame, product: int = PRODUCT, tie_break: Sequence[str] = ()) -> DataFrame:
     """Every ledger row (all products) of the zero-start loans (left semi
     join), numbered after the semi join: a loan's sequence depends only on
     its own rows, so only the selected loans are sequenced."""
-    rows = ledger.join(zero_start_loans(base).select("credito"), "credito", "left_semi")
-    return with_sequence(rows, tie_break)
+    zero = zero_start_set(ledger, exposure_sql(), product, tie_break)
+    return with_sequence(ledger.join(zero, "credito", "left_semi"), tie_break)
 
 
 def adjusted_recovery_base(profile: DataFrame, exposure_baseline: str = "as_written") -> DataFrame:
@@ -268,23 +268,48 @@ def adjusted_recovery_base(profile: DataFrame, exposure_baseline: str = "as_writ
     }))
 
 
-def last_two_non_product(ledger_seq: DataFrame, product: int = PRODUCT) -> DataFrame:
-    """W5 + M3b (older script): of the last two rows of each loan of
-    ``ledger_seq`` (pass the zero-start loans' sequenced rows), those not in
-    ``product``; 0, 1 or 2 rows per loan, so a later join fans out.
+def zero_start_set(ledger: DataFrame, value_sql: str, product: int = PRODUCT,
+                   tie_break: Sequence[str] = ()) -> DataFrame:
+    """Loans whose first ``product`` observation of ``value_sql`` is exactly 0
+    (P10 on exposure, or the older script's capital), as one aggregate with
+    partial aggregation, without building the whole profile."""
+    is_p = f"tipo_producto = {product}"
+    key = f"struct(id_fecha, {', '.join(tie_break)})" if tie_break else "id_fecha"
+    return (
+        ledger.groupBy("credito")
+        .agg(F.expr(f"min_by({value_sql}, CASE WHEN {is_p} THEN {key} END) AS _first"))
+        .filter("_first = 0").select("credito")
+    )
+
+
+def last_two_non_product(rows: DataFrame, product: int = PRODUCT, tie_break: Sequence[str] = ()) -> DataFrame:
+    """W5 + M3b (older script): of the last two rows of each loan in ``rows``
+    (pass the selected loans' rows, all products), those not in ``product``;
+    0, 1 or 2 rows per loan, so a later join fans out.
 
     "Last two" is ``slice((which.max(id_fecha) - 1):which.max(id_fecha))`` on
-    rows ordered by ``orden``: the position of the first row of the latest
-    month and the row before it. The position comes from an aggregate
-    (partial aggregation, skew-safe) and is joined back, instead of a
-    descending window over each loan's rows.
+    rows in ``(id_fecha, tie_break)`` order: the first row of the latest month
+    and the row before it. Positions come from the ``(credito, id_fecha)``
+    cell table (windows of one row per month); only the one or two cells
+    holding those positions are joined back and numbered inside the cell.
+    ``rows`` is read twice: cell counts and the rows themselves.
     """
-    last_key = F.col("id_fecha").cast("long") * _ORDEN_SPAN - F.col("orden")
-    pos = ledger_seq.groupBy("credito").agg(F.max_by("orden", last_key).alias("_last_pos"))
+    cell = ["credito", "id_fecha"]
+    loan = Window.partitionBy("credito")
+    earlier = loan.orderBy(F.col("id_fecha").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("_last_date", F.max("id_fecha").over(loan))
+    )
+    cells = cells.withColumn(
+        "_wm", F.max(F.expr("CASE WHEN id_fecha = _last_date THEN _offset + 1 END")).over(loan))
+    kept = cells.filter("_offset < _wm AND _offset + _n >= _wm - 1").select(*cell, "_offset", "_wm")
+    inside = Window.partitionBy(*cell).orderBy(F.col("id_fecha").asc(), *[F.col(c).asc() for c in tie_break])
     return (
-        ledger_seq.join(pos, "credito")
-        .filter((F.col("orden") >= F.col("_last_pos") - 1) & (F.col("orden") <= F.col("_last_pos")))
-        .filter(F.col("tipo_producto") != product)
+        rows.join(kept, cell)
+        .withColumn("_pos", F.col("_offset") + F.row_number().over(inside))
+        .filter(f"_pos >= _wm - 1 AND _pos <= _wm AND tipo_producto <> {product}")
         .select("credito", F.col("saldo_capital").alias("capital_ant"))
     )
 
@@ -311,16 +336,16 @@ def capital_base_v1(profile: DataFrame) -> DataFrame:
     )
 
 
-def adjusted_capital_v1(ledger: DataFrame, profile: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
+def adjusted_capital_v1(ledger: DataFrame, profile: DataFrame, tie_break: Sequence[str] = (),
+                        product: int = PRODUCT) -> DataFrame:
     """Zero-start one-month loans take the prior capital; else keep initial.
 
     The prior rows come from M3b and may be 0-2 per loan: the left join fans
     out exactly as the script's does.
     """
     base = capital_base_v1(profile)
-    zero = base.filter(F.col("Saldo_capital_inicial") == 0)
-    prior = last_two_non_product(with_sequence(ledger.join(zero.select("credito"), "credito", "left_semi"),
-                                               tie_break))
+    zero = zero_start_set(ledger, "saldo_capital", product, tie_break)
+    prior = last_two_non_product(ledger.join(zero, "credito", "left_semi"), product, tie_break)
     return (
         base.join(prior, "credito", "left")
         .withColumn("Saldo_capital_inicial", F.expr(ifelse_sql(

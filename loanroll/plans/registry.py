@@ -165,7 +165,7 @@ def zero_start_loans(spark, sf_dir):
 
 def zero_start_history(spark, sf_dir):
     r = _nv(spark, sf_dir)
-    return L.zero_start_history(r.ledger, r.base).select(*LEDGER_COLUMNS, "orden")
+    return L.zero_start_history(r.ledger).select(*LEDGER_COLUMNS, "orden")
 
 
 def prior_product_balance(spark, sf_dir):
@@ -174,9 +174,8 @@ def prior_product_balance(spark, sf_dir):
 
 def last_two_non70(spark, sf_dir):
     r = _ov(spark, sf_dir)
-    zero = r.capital_base.filter(F.col("Saldo_capital_inicial") == 0).select("credito")
-    rows = r.ledger.join(zero, "credito", "left_semi")
-    return L.last_two_non_product(L.with_sequence(rows))
+    zero = L.zero_start_set(r.ledger, "saldo_capital")
+    return L.last_two_non_product(r.ledger.join(zero, "credito", "left_semi"))
 
 
 def adjusted_recovery_base(spark, sf_dir):
