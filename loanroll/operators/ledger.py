@@ -282,23 +282,27 @@ def zero_start_set(ledger: DataFrame, value_sql: str, product: int = PRODUCT,
     )
 
 
-def last_two_non_product(rows: DataFrame, product: int = PRODUCT, tie_break: Sequence[str] = ()) -> DataFrame:
-    """W5 + M3b (older script): of the last two rows of each loan in ``rows``
-    (pass the selected loans' rows, all products), those not in ``product``;
-    0, 1 or 2 rows per loan, so a later join fans out.
+def last_two_non_product(rows: DataFrame, loans: DataFrame | None = None, product: int = PRODUCT,
+                         tie_break: Sequence[str] = ()) -> DataFrame:
+    """W5 + M3b (older script): of the last two rows of each loan of ``rows``
+    (restricted to ``loans`` when given), those not in ``product``; 0, 1 or 2
+    rows per loan, so a later join fans out.
 
     "Last two" is ``slice((which.max(id_fecha) - 1):which.max(id_fecha))`` on
     rows in ``(id_fecha, tie_break)`` order: the first row of the latest month
     and the row before it. Positions come from the ``(credito, id_fecha)``
     cell table (windows of one row per month); only the one or two cells
     holding those positions are joined back and numbered inside the cell.
-    ``rows`` is read twice: cell counts and the rows themselves.
+    ``rows`` is read twice: cell counts and the rows of the kept cells.
     """
     cell = ["credito", "id_fecha"]
     loan = Window.partitionBy("credito")
     earlier = loan.orderBy(F.col("id_fecha").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    if loans is not None:
+        counts = counts.join(loans.select("credito"), "credito", "left_semi")
     cells = (
-        rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+        counts
         .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .withColumn("_last_date", F.max("id_fecha").over(loan))
     )
@@ -345,7 +349,7 @@ def adjusted_capital_v1(ledger: DataFrame, profile: DataFrame, tie_break: Sequen
     """
     base = capital_base_v1(profile)
     zero = zero_start_set(ledger, "saldo_capital", product, tie_break)
-    prior = last_two_non_product(ledger.join(zero, "credito", "left_semi"), product, tie_break)
+    prior = last_two_non_product(ledger, zero, product, tie_break)
     return (
         base.join(prior, "credito", "left")
         .withColumn("Saldo_capital_inicial", F.expr(ifelse_sql(

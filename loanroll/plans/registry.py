@@ -175,7 +175,7 @@ def prior_product_balance(spark, sf_dir):
 def last_two_non70(spark, sf_dir):
     r = _ov(spark, sf_dir)
     zero = L.zero_start_set(r.ledger, "saldo_capital")
-    return L.last_two_non_product(r.ledger.join(zero, "credito", "left_semi"))
+    return L.last_two_non_product(r.ledger, zero)
 
 
 def adjusted_recovery_base(spark, sf_dir):
