@@ -38,7 +38,43 @@ PRODUCT = 70
 _ORDEN_SPAN = 1 << 31  # orden < 2^31, so id_fecha * 2^31 - orden orders (id_fecha, -orden)
 
 
-def with_sequence(ledger: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
+SALT_BUCKETS = 1024
+
+
+def _with_subcell(rows: DataFrame, tie_break: Sequence[str], salt_buckets: int) -> DataFrame:
+    """``_salt``: the sub-cell of a row inside its ``(credito, id_fecha)`` cell.
+
+    Without tie-break columns the order inside a cell is unspecified (as in
+    the reference), so rows are spread over ``salt_buckets`` sub-cells by a
+    hash of the whole row: deterministic across task retries, and a cell
+    with very many duplicates is numbered by many tasks. With tie-break
+    columns the order must follow them, so each cell is one sub-cell.
+    """
+    if tie_break or salt_buckets <= 1:
+        return rows.withColumn("_salt", F.lit(0))
+    cols = ", ".join(f"`{c}`" for c in rows.columns)
+    return rows.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({cols}), {salt_buckets}) AS INT)"))
+
+
+_SUB = ["credito", "id_fecha", "_salt"]
+
+
+def _subcell_offsets(keyed: DataFrame) -> DataFrame:
+    """Rows per sub-cell and rows before it in ``(id_fecha, _salt)`` order,
+    per loan. The windows hold one row per sub-cell, never raw rows."""
+    earlier = Window.partitionBy("credito").orderBy(F.col("id_fecha").asc(), F.col("_salt").asc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        keyed.groupBy(*_SUB).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    )
+
+
+def _inside(tie_break: Sequence[str]) -> Window:
+    return Window.partitionBy(*_SUB).orderBy(F.col("id_fecha").asc(), *[F.col(c).asc() for c in tie_break])
+
+
+def with_sequence(ledger: DataFrame, tie_break: Sequence[str] = (), salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """``orden`` = row number of the loan's months over ALL products.
 
     Must be computed before any product filter (``Duracion_p10`` counts the
@@ -48,23 +84,20 @@ def with_sequence(ledger: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame
     Skew-safe two-level numbering instead of one window over each loan's raw
     rows (a loan holding a third of the ledger would sort in one task):
 
-    1. rows per ``(credito, id_fecha)`` cell - an aggregate with map-side
-       partial aggregation;
-    2. rows before each cell - a running sum over that cell table, whose
-       windows hold one row per month of a loan, not one per ledger row;
+    1. rows per ``(credito, id_fecha)`` sub-cell - an aggregate with map-side
+       partial aggregation (see :func:`_with_subcell`);
+    2. rows before each sub-cell - a running sum over that table, whose
+       windows hold one row per month (and sub-cell) of a loan;
     3. the offset joined back (left join: no row is dropped) plus the row's
-       number inside its cell.
+       number inside its sub-cell.
     """
-    cell = ["credito", "id_fecha"]
-    counts = ledger.groupBy(*cell).agg(F.count(F.lit(1)).alias("_cell_rows"))
-    earlier = Window.partitionBy("credito").orderBy(F.col("id_fecha").asc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*cell, F.coalesce(F.sum("_cell_rows").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*cell).orderBy(F.col("id_fecha").asc(), *[F.col(c).asc() for c in tie_break])
+    keyed = _with_subcell(ledger, tie_break, salt_buckets)
+    offsets = _subcell_offsets(keyed).drop("_n")
     return (
-        ledger.join(offsets, cell, "left")
-        .withColumn("orden", (F.coalesce(F.col("_offset"), F.lit(0)) + F.row_number().over(inside)).cast("int"))
-        .drop("_offset")
+        keyed.join(offsets, _SUB, "left")
+        .withColumn("orden", (F.coalesce(F.col("_offset"), F.lit(0))
+                              + F.row_number().over(_inside(tie_break))).cast("int"))
+        .drop("_offset", "_salt")
     )
 
 
@@ -283,36 +316,30 @@ def zero_start_set(ledger: DataFrame, value_sql: str, product: int = PRODUCT,
 
 
 def last_two_non_product(rows: DataFrame, loans: DataFrame | None = None, product: int = PRODUCT,
-                         tie_break: Sequence[str] = ()) -> DataFrame:
+                         tie_break: Sequence[str] = (), salt_buckets: int = SALT_BUCKETS) -> DataFrame:
     """W5 + M3b (older script): of the last two rows of each loan of ``rows``
     (restricted to ``loans`` when given), those not in ``product``; 0, 1 or 2
     rows per loan, so a later join fans out.
 
     "Last two" is ``slice((which.max(id_fecha) - 1):which.max(id_fecha))`` on
     rows in ``(id_fecha, tie_break)`` order: the first row of the latest month
-    and the row before it. Positions come from the ``(credito, id_fecha)``
-    cell table (windows of one row per month); only the one or two cells
-    holding those positions are joined back and numbered inside the cell.
-    ``rows`` is read twice: cell counts and the rows of the kept cells.
+    and the row before it. Positions come from the sub-cell table of
+    :func:`with_sequence` (windows of one row per month and sub-cell); only
+    the one or two sub-cells holding those positions are joined back and
+    numbered inside. ``rows`` is read twice: counts and the kept rows.
     """
-    cell = ["credito", "id_fecha"]
-    loan = Window.partitionBy("credito")
-    earlier = loan.orderBy(F.col("id_fecha").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = _with_subcell(rows, tie_break, salt_buckets)
+    counts = _subcell_offsets(keyed)
     if loans is not None:
         counts = counts.join(loans.select("credito"), "credito", "left_semi")
-    cells = (
-        counts
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .withColumn("_last_date", F.max("id_fecha").over(loan))
-    )
+    loan = Window.partitionBy("credito")
+    cells = counts.withColumn("_last_date", F.max("id_fecha").over(loan))
     cells = cells.withColumn(
-        "_wm", F.max(F.expr("CASE WHEN id_fecha = _last_date THEN _offset + 1 END")).over(loan))
-    kept = cells.filter("_offset < _wm AND _offset + _n >= _wm - 1").select(*cell, "_offset", "_wm")
-    inside = Window.partitionBy(*cell).orderBy(F.col("id_fecha").asc(), *[F.col(c).asc() for c in tie_break])
+        "_wm", F.min(F.expr("CASE WHEN id_fecha = _last_date THEN _offset + 1 END")).over(loan))
+    kept = cells.filter("_offset < _wm AND _offset + _n >= _wm - 1").select(*_SUB, "_offset", "_wm")
     return (
-        rows.join(kept, cell)
-        .withColumn("_pos", F.col("_offset") + F.row_number().over(inside))
+        keyed.join(kept, _SUB)
+        .withColumn("_pos", F.col("_offset") + F.row_number().over(_inside(tie_break)))
         .filter(f"_pos >= _wm - 1 AND _pos <= _wm AND tipo_producto <> {product}")
         .select("credito", F.col("saldo_capital").alias("capital_ant"))
     )
