@@ -38,19 +38,23 @@ def daily_closing_snapshot(ledger_day: DataFrame, window_keys: Sequence[int],
 def first_restructuring_mark(marks: DataFrame, tie_break: Sequence[str] = ("id_marca",)) -> DataFrame:
     """First non-'S' mark of each loan, as a label.
 
-    ``ROW_NUMBER() ... = 1`` becomes ``min_by`` over a struct ordering key: an
-    aggregate with map-side partial aggregation, so a loan with very many
-    marks never lands whole in one task.
+    ``ROW_NUMBER() ... = 1`` becomes aggregates with map-side partial
+    aggregation, so a loan with very many marks never lands whole in one
+    task. With one tie-break column: the first mark of each (loan, day) by
+    that column, then the first day of each loan - two hash aggregates on
+    primitive keys. With several tie-break columns: one ``min_by`` over a
+    struct key (a sort aggregate).
     """
-    kept = marks.filter(F.col("marcacion") != "S")
-    order_key = F.struct(F.col("id_fecha"), *[F.col(c) for c in tie_break])
-    first = kept.filter(F.col("id_fecha").isNotNull()).groupBy("credito").agg(
-        F.min_by("marcacion", order_key).alias("marcacion"))
-    return first.select(
-        "credito",
-        F.when(F.col("marcacion") == "R", F.lit(MARK_REFINANCING))
-        .otherwise(F.lit(MARK_RESTRUCTURING)).alias("marc_desc"),
-    )
+    kept = marks.filter("marcacion <> 'S' AND id_fecha IS NOT NULL")
+    is_r = "CAST(marcacion = 'R' AS INT)"
+    if len(tie_break) == 1:
+        per_day = kept.groupBy("credito", "id_fecha").agg(F.expr(f"min_by({is_r}, {tie_break[0]}) AS _r"))
+        first = per_day.groupBy("credito").agg(F.expr("min_by(_r, id_fecha) AS _r"))
+    else:
+        key = f"struct(id_fecha{''.join(', ' + c for c in tie_break)})"
+        first = kept.groupBy("credito").agg(F.expr(f"min_by({is_r}, {key}) AS _r"))
+    return first.selectExpr(
+        "credito", f"CASE WHEN _r = 1 THEN '{MARK_REFINANCING}' ELSE '{MARK_RESTRUCTURING}' END AS marc_desc")
 
 
 def ltv_snapshot(ltv: DataFrame, marks: DataFrame, snapshot_key: int,

@@ -76,9 +76,11 @@ def test_month_filter_prunes_partitions(stored):
     assert "PartitionFilters: [isnotnull(id_fecha" in plan and "20001001" in plan
 
 
-def test_no_python_udf_in_any_query(spark):
+def test_no_python_udf_cartesian_or_sort_aggregate_in_any_query(spark):
     for name, fn in queries().items():
         if name in ("csv2_roundtrip", "latest_extract"):
             continue  # these write files when built
         plan = _plan(fn(spark, SF_SMALL))
         assert "PythonUDF" not in plan and "EvalPython" not in plan, name
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        assert "SortAggregate" not in plan, name
