@@ -27,6 +27,7 @@ BUCKETS = [
     "ICV210", "ICV240", "ICV270", "ICV300", "ICV330", "ICV360", "ICV360+",
 ]
 SHARE_BUCKETS = BUCKETS[:13]  # the share table leaves out ICV360+ (D11)
+_BUCKET_ARRAY_SQL = "array(" + ", ".join(f"'{b}'" for b in BUCKETS) + ")"
 
 
 def dpd_bucket_sql(days: str) -> str:
@@ -63,9 +64,15 @@ def bucket_share_history(p70: DataFrame, include_over_360: bool = False,
     The denominator is the month's whole capital (ICV360+ and unbucketed rows
     included). With ``strict_na`` one NA balance makes its bucket (and the
     month total) NA, as ``sum()`` without ``na.rm`` does (D16).
+
+    One hash aggregate keyed by the integer month ``id_fecha div 100`` with an
+    integer bucket code per row; the text ``anio``/``mes`` columns are cut
+    from the month after the aggregate.
     """
-    rows = with_bucket(p70)
     shown = BUCKETS if include_over_360 else SHARE_BUCKETS
+    rows = p70.selectExpr(
+        "id_fecha DIV 100 AS _ym", "saldo_capital",
+        f"array_position({_BUCKET_ARRAY_SQL}, {dpd_bucket_sql('numero_dias_mora')}) AS _b")
 
     def strict_sum(cond: str) -> str:
         total = f"sum(CASE WHEN {cond} THEN saldo_capital END)"
@@ -73,10 +80,12 @@ def bucket_share_history(p70: DataFrame, include_over_360: bool = False,
             return total
         return f"CASE WHEN count(CASE WHEN {cond} AND saldo_capital IS NULL THEN 1 END) > 0 THEN NULL ELSE {total} END"
 
-    aggs = [F.expr(f"{strict_sum(f'icvs = {chr(39)}{b}{chr(39)}')} AS _n{i}") for i, b in enumerate(shown)]
+    aggs = [F.expr(f"{strict_sum(f'_b = {i + 1}')} AS _n{i}") for i in range(len(shown))]
     aggs.append(F.expr(f"{strict_sum('true')} AS _total"))
-    g = rows.groupBy("anio", "mes").agg(*aggs)
-    return g.select("anio", "mes", *[F.expr(div_sql(f"_n{i}", "_total")).alias(b) for i, b in enumerate(shown)])
+    g = rows.groupBy("_ym").agg(*aggs)
+    return g.selectExpr(
+        "substring(CAST(_ym AS STRING), 1, 4) AS anio", "substring(CAST(_ym AS STRING), 5, 2) AS mes",
+        *[f"{div_sql(f'_n{i}', '_total')} AS `{b}`" for i, b in enumerate(shown)])
 
 
 def month_slice(p70: DataFrame, year: int, month: int) -> DataFrame:
@@ -102,9 +111,6 @@ def common_loans(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> Da
     return c1.intersect(c0)
 
 
-_BUCKET_ARRAY_SQL = "array(" + ", ".join(f"'{b}'" for b in BUCKETS) + ")"
-
-
 def roll_pairs(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
     """Each loan present in both months with its bucket at t0 and t1.
 
