@@ -35,7 +35,8 @@ def daily_closing_snapshot(ledger_day: DataFrame, window_keys: Sequence[int],
     ).select("saldo_capital", "tipo_producto", "credito", "valor_pago_ttl_canc")
 
 
-def first_restructuring_mark(marks: DataFrame, tie_break: Sequence[str] = ("id_marca",)) -> DataFrame:
+def first_restructuring_mark(marks: DataFrame, tie_break: Sequence[str] = ("id_marca",),
+                             case_insensitive: bool = False) -> DataFrame:
     """First non-'S' mark of each loan, as a label.
 
     ``ROW_NUMBER() ... = 1`` becomes aggregates with map-side partial
@@ -43,10 +44,13 @@ def first_restructuring_mark(marks: DataFrame, tie_break: Sequence[str] = ("id_m
     task. With one tie-break column: the first mark of each (loan, day) by
     that column, then the first day of each loan - two hash aggregates on
     primitive keys. With several tie-break columns: one ``min_by`` over a
-    struct key (a sort aggregate).
+    struct key (a sort aggregate). ``case_insensitive`` compares the mark
+    codes as a case-insensitive collation would (the warehouse's collation is
+    not known; binary is the default).
     """
-    kept = marks.filter("marcacion <> 'S' AND id_fecha IS NOT NULL")
-    is_r = "CAST(marcacion = 'R' AS INT)"
+    code = "upper(marcacion)" if case_insensitive else "marcacion"
+    kept = marks.filter(f"{code} <> 'S' AND id_fecha IS NOT NULL")
+    is_r = f"CAST({code} = 'R' AS INT)"
     if len(tie_break) == 1:
         per_day = kept.groupBy("credito", "id_fecha").agg(F.expr(f"min_by({is_r}, {tie_break[0]}) AS _r"))
         first = per_day.groupBy("credito").agg(F.expr("min_by(_r, id_fecha) AS _r"))

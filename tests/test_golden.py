@@ -163,3 +163,12 @@ def test_null_payoff_and_no_rate_are_inactive(spark):
     assert set(inactive) == {1, 2}
     assert inactive[2]["tipo_producto"] is None
     assert P.active_loans(priced).count() == 0
+
+
+def test_first_mark_collation_option(spark):
+    marks = spark.createDataFrame([(1, 20200101, "s", 1), (1, 20200102, "r", 2), (2, 20200101, "R", 3)],
+                                  "credito long, id_fecha int, marcacion string, id_marca long")
+    binary = {r["credito"]: r["marc_desc"] for r in V.first_restructuring_mark(marks).collect()}
+    lcase = {r["credito"]: r["marc_desc"] for r in V.first_restructuring_mark(marks, case_insensitive=True).collect()}
+    assert binary == {1: "Reestructuracion", 2: "Refinanciacion"}   # 's' is not 'S', 's' kept first
+    assert lcase == {1: "Refinanciacion", 2: "Refinanciacion"}
