@@ -46,14 +46,29 @@ def _with_subcell(rows: DataFrame, tie_break: Sequence[str], salt_buckets: int)
 
     Without tie-break columns the order inside a cell is unspecified (as in
     the reference), so rows are spread over ``salt_buckets`` sub-cells by a
-    hash of the whole row: deterministic across task retries, and a cell
-    with very many duplicates is numbered by many tasks. With tie-break
+    hash of the row's identity: deterministic across task retries, and a
+    cell with very many duplicates is numbered by many tasks. On a direct
+    file scan the identity is the file's row position (``_metadata``, no data
+    column read); otherwise the hash covers the row's columns. With tie-break
     columns the order must follow them, so each cell is one sub-cell.
     """
     if tie_break or salt_buckets <= 1:
         return rows.withColumn("_salt", F.lit(0))
-    cols = ", ".join(f"`{c}`" for c in rows.columns)
-    return rows.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({cols}), {salt_buckets}) AS INT)"))
+    if _has_file_metadata(rows):
+        identity = "_metadata.file_path, _metadata.row_index"
+    else:
+        identity = ", ".join(f"`{c}`" for c in rows.columns)
+    return rows.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({identity}), {salt_buckets}) AS INT)"))
+
+
+def _has_file_metadata(df: DataFrame) -> bool:
+    """True when the plan still exposes the file source's ``_metadata`` column
+    (a scan with projections/filters on top, no join or aggregate)."""
+    try:
+        attrs = df._jdf.queryExecution().analyzed().metadataOutput()
+        return any(attrs.apply(i).name() == "_metadata" for i in range(attrs.size()))
+    except Exception:  # noqa: BLE001 - plan introspection unavailable: hash the columns
+        return False
 
 
 _SUB = ["credito", "id_fecha", "_salt"]
