@@ -40,6 +40,11 @@ class ReportParams:
     live_71_source: str = "active"             # D7: or "inactive"
     assert_unique: bool = False                # D4: fail instead of fanning out
 
+    @classmethod
+    def today(cls, **overrides) -> "ReportParams":
+        """a run for the current date (the scripts read ``Sys.Date()``)."""
+        return cls(as_of=dt.date.today(), **overrides)
+
     @property
     def report_key(self) -> int:
         return report_month_key(self.as_of)

@@ -100,10 +100,16 @@ def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     ap.add_argument("--sf-dir", required=True, help="folder of the driver's parquet tables")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
-    ap.add_argument("--as-of", default=None, help="report run date, YYYY-MM-DD")
+    ap.add_argument("--as-of", default=None,
+                    help="report run date, YYYY-MM-DD, or 'today' (default: the fixture date)")
     args = ap.parse_args(argv)
     spark = get_session()
-    params = ReportParams(as_of=dt.date.fromisoformat(args.as_of)) if args.as_of else ReportParams()
+    if args.as_of == "today":
+        params = ReportParams.today()
+    elif args.as_of:
+        params = ReportParams(as_of=dt.date.fromisoformat(args.as_of))
+    else:
+        params = ReportParams()
     for name, path in run_all(spark, staged_sources(spark, args.sf_dir), params, args.out).items():
         print(f"{name}\t{path}")
 
