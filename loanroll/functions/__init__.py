@@ -1,6 +1,19 @@
-"""Column helpers: R NA/NaN rules (``rnum``) and report calendar (``calendar``)."""
+"""Column helpers: R NA/NaN rules (``rnum``) and report calendar (``calendar``).
+
+``r_*`` return Columns; ``*_sql`` return Spark SQL text for composing larger
+expressions that are parsed once with ``F.expr``.
+"""
 
 from loanroll.functions.rnum import (
+    div_sql,
+    eq_sql,
+    ge_sql,
+    gt_sql,
+    ifelse_sql,
+    is_na_sql,
+    is_nan_sql,
+    le_sql,
+    lt_sql,
     nan_to_null,
     r_div,
     r_eq,
@@ -13,9 +26,11 @@ from loanroll.functions.rnum import (
     r_lt,
     strict_na,
     sum_na_rm,
+    sum_na_rm_sql,
 )
 
 __all__ = [
-    "nan_to_null", "r_div", "r_eq", "r_ge", "r_gt", "r_ifelse", "r_is_na",
-    "r_is_nan", "r_le", "r_lt", "strict_na", "sum_na_rm",
+    "div_sql", "eq_sql", "ge_sql", "gt_sql", "ifelse_sql", "is_na_sql", "is_nan_sql", "le_sql",
+    "lt_sql", "nan_to_null", "r_div", "r_eq", "r_ge", "r_gt", "r_ifelse", "r_is_na", "r_is_nan",
+    "r_le", "r_lt", "strict_na", "sum_na_rm", "sum_na_rm_sql",
 ]
