@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +66,9 @@ def _has_file_metadata(df: DataFrame) -> bool:
     """True when the plan still exposes the file source's ``_metadata`` column
     (a scan with projections/filters on top, no join or aggregate)."""
     try:
-        attrs = df._jdf.queryExecution().analyzed().metadataOutput()
-        return any(attrs.apply(i).name() == "_metadata" for i in range(attrs.size()))
-    except Exception:  # noqa: BLE001 - plan introspection unavailable: hash the columns
+        df.metadataColumn("_metadata")
+        return True
+    except AnalysisException:
         return False
 
 

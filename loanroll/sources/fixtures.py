@@ -20,6 +20,7 @@ import os
 import threading
 from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -187,9 +188,12 @@ _STAGE_LOCK = threading.Lock()
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether the staging marker table is still there (e.g. not cleaned up)."""
+    try:
+        spark.read.schema("ok int").parquet(path)
+        return True
+    except AnalysisException:
+        return False
 
 
 def staged_sources(spark: SparkSession, sf_dir: str) -> Sources:

@@ -11,6 +11,8 @@ No reader infers a schema.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,27 +94,26 @@ def read_csv2(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def newest_path(spark: SparkSession, folder: str, prefix: str) -> str:
-    """The entry of ``folder`` starting with ``prefix`` whose files are newest.
+    """The dataset of ``folder`` named ``prefix*`` whose files are newest.
 
-    Listing is file-system metadata on the driver (as Spark's own file index
-    does); no data passes through the driver.
+    Files are listed by the ``binaryFile`` source with only ``path`` and
+    ``modificationTime`` selected (no file content is read); the newest
+    dataset is one aggregate row brought to the driver.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = base.getFileSystem(conf)
-    best, best_time = None, -1
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{prefix}*")) or []:
-        p = status.getPath()
-        mtime = status.getModificationTime()
-        if status.isDirectory():
-            for child in fs.listStatus(p):
-                mtime = max(mtime, child.getModificationTime())
-        if mtime > best_time or (mtime == best_time and best is not None and p.toString() > best):
-            best, best_time = p.toString(), mtime
-    if best is None:
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        .select("path", "modificationTime")
+        .withColumn("dataset", F.regexp_extract("path", rf"^(.*/{re.escape(prefix)}[^/]*)(/[^/]*)?$", 1))
+        .filter(F.col("dataset") != "")
+    )
+    row = (
+        files.groupBy("dataset").agg(F.max("modificationTime").alias("mtime"))
+        .agg(F.max_by("dataset", F.struct("mtime", "dataset")).alias("newest"))
+        .first()
+    )
+    if row is None or row["newest"] is None:
         raise FileNotFoundError(f"no {prefix}* under {folder}")
-    return best
+    return row["newest"]
 
 
 def read_latest_csv2(spark: SparkSession, folder: str, prefix: str, schema: T.StructType) -> DataFrame:
