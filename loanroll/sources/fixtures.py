@@ -209,7 +209,7 @@ def staged_sources(spark: SparkSession, sf_dir: str) -> Sources:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     with _STAGE_LOCK:
         hit = _STAGED.get(key)
-        if hit and _path_exists(spark, f"{hit[0]}/_STAGED"):
+        if hit and _path_exists(spark, f"{hit[0]}/staged_ok"):
             return hit[1]
         derived = fixture_sources(spark, sf_dir)
         base = scratch_dir(spark, "staged")
@@ -218,7 +218,7 @@ def staged_sources(spark: SparkSession, sf_dir: str) -> Sources:
             df = getattr(derived, f.name)
             df.write.mode("overwrite").parquet(f"{base}/{f.name}")
             tables[f.name] = spark.read.schema(df.schema).parquet(f"{base}/{f.name}")
-        spark.createDataFrame([(1,)], "ok int").write.mode("overwrite").parquet(f"{base}/_STAGED")
+        spark.createDataFrame([(1,)], "ok int").write.mode("overwrite").parquet(f"{base}/staged_ok")
         staged = Sources(**tables)
         _STAGED[key] = (base, staged)
         return staged
