@@ -84,3 +84,10 @@ def list_slices(column: pa.ListArray) -> Iterator[np.ndarray]:
     offsets = column.offsets.to_numpy()
     for i in range(len(column)):
         yield values[offsets[i]:offsets[i + 1]]
+
+
+def ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... (sizes[0] numbers), then those of begins[1], and so on."""
+    sizes = sizes.astype(np.int64)
+    total = int(sizes.sum())
+    return np.arange(total) + np.repeat(begins.astype(np.int64) - (np.cumsum(sizes) - sizes), sizes)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, list_column, list_slices, load_tokenizer, tokenizer_source
+from .common import bounded_batches, list_column, list_slices, load_tokenizer, ranges, tokenizer_source
 
 FILE_SCHEMA = "doc_id bigint, row bigint, ids array<int>"
 
@@ -33,12 +33,22 @@ FILE_SCHEMA = "doc_id bigint, row bigint, ids array<int>"
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pre-tokenizer's pattern never joins characters across these pieces, so their ids can be joined.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Pieces that a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+#: Pieces after which a worker begins a new generation; it remembers two.
+REMEMBERED = 300_000
+#: Characters whose distinct pieces are looked up together.
+GATHERED = 8 << 20
+
+
+class _Numbered(dict):
+    """Numbers pieces in the order in which they are first seen."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
 
 
 class PieceIds:
-    """Ids of whole texts: each piece between white space is encoded once while it is remembered."""
+    """Ids of whole texts: each distinct piece between white space is encoded once while it is remembered."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
@@ -47,48 +57,46 @@ class PieceIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces not seen before. Pieces without a line end are encoded together, one per line."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        encode = lambda xs: [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
+        """Encode pieces not seen before: those without a line end together, one per line, the others alone."""
         one = len(self.newline) == 1
-        lines = [p for p in pieces if one and p[-1] not in "\n" and "\n" not in p and not p.isspace()]
-        blocks = [lines[i:i + 1000] for i in range(0, len(lines), 1000)]
+        lines = [p for p in pieces if one and "\n" not in p and not p.isspace()]
         alone = [p for p in pieces if not one or "\n" in p or p.isspace()]
-        for block, ids in zip(blocks, encode(["\n".join(b) for b in blocks]), strict=True):
-            parts = np.split(ids, np.flatnonzero(ids == self.newline[0]))
-            if len(parts) == len(block):
-                self.young[block[0]] = parts[0].tobytes()
-                self.young.update((p, x[1:].tobytes()) for p, x in zip(block[1:], parts[1:], strict=True))
-            else:
-                alone += block
-        self.young.update((p, x.tobytes()) for p, x in zip(alone, encode(alone), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        plain = [not any(s in t for s in self.special) for t in texts]
-        split = [PIECES.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        out = []
-        for t, p, pieces in zip(texts, plain, split, strict=True):
-            if not p:  # special strings cut the text first: the library encodes it whole
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            young, old, new = self.young, self.old, []
-            for x in set(pieces):
-                if x not in young:
-                    if x in old:
-                        young[x] = old[x]
-                    else:
-                        new.append(x)
-            if new:
-                self._learn(new)
-                young = self.young
-                for x in set(pieces):
-                    if x not in young:
-                        young[x] = self.old[x]
-            out.append(b"".join(map(young.__getitem__, pieces)))
-        return out
+        for i in range(0, len(lines), 50_000):
+            blocks = [lines[j:j + 1000] for j in range(i, min(i + 50_000, len(lines)), 1000)]
+            for block, ids in zip(blocks, self._ids(["\n".join(b) for b in blocks]), strict=True):
+                cuts = np.flatnonzero(ids == self.newline[0]).tolist()
+                if len(cuts) == len(block) - 1:
+                    raw, edges = ids.tobytes(), [-1, *cuts, len(ids)]
+                    self.young.update((p, raw[4 * a + 4:4 * b]) for p, a, b in zip(block, edges, edges[1:], strict=False))
+                else:
+                    alone += block
+        self.young.update((p, x.tobytes()) for p, x in zip(alone, self._ids(alone), strict=True))
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces. What the last two generations did not hold is forgotten."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        young.update((p, old[p]) for p in pieces if p not in young and p in old)
+        self._learn([p for p in pieces if p not in young])
+        return [young[p] for p in pieces]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """32-bit ids of each text."""
+        numbers, places, whole = _Numbered(), [], {}
+        for i, t in enumerate(texts):
+            if any(s in t for s in self.special):  # special strings cut a text first: the library encodes it whole
+                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            pieces = [] if i in whole else PIECES.findall(t)
+            places.append(np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces)))
+        known = self._known(list(numbers))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begins, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), np.uint32)
+        return [whole[i] if i in whole else flat[ranges(begins[p], sizes[p])] for i, p in enumerate(places)]
 
 
 _WORKER: dict[int, PieceIds] = {}
@@ -100,16 +108,30 @@ def _encoder(source: Broadcast, end_id: int) -> Callable[[Iterator[pa.RecordBatc
         if id(tokenizer) not in _WORKER:
             _WORKER.clear()
             _WORKER[id(tokenizer)] = PieceIds(tokenizer)
-        pieces, row, end = _WORKER[id(tokenizer)], 0, np.array([end_id], np.uint32).tobytes()
-        for b in batches:
-            ids = [np.frombuffer(x + end, np.int32) for x in pieces.encode([t or "" for t in b.column("text").to_pylist()])]
+        pieces, row, end = _WORKER[id(tokenizer)], 0, np.array([end_id], np.uint32)
+        for doc_ids, texts in _gathered(batches):
+            ids = [np.concatenate([x, end]).astype(np.int32) for x in pieces.encode(texts)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.arange(row, row + len(ids)), pa.int64()), list_column(ids, pa.int32())],
+                [pa.array(doc_ids, pa.int64()), pa.array(np.arange(row, row + len(ids)), pa.int64()), list_column(ids, pa.int32())],
                 ["doc_id", "row", "ids"])
             row += len(ids)
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Neighbouring batches together, up to GATHERED characters and the batch that passes them."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        ids += b.column("doc_id").to_pylist()
+        texts += [t or "" for t in b.column("text").to_pylist()]
+        size += sum(map(len, texts[len(texts) - b.num_rows:]))
+        if size >= GATHERED:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                       end_id: int = 0, row_index_stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
     """Encode whole texts and write them as ORC files in ascending id order (one range of ids per file).
