@@ -102,22 +102,17 @@ def _word_counts(words: Column) -> Column:
     return _let(common, counted)
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
-             window: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document the base measures, ``chars`` (class counts) and ``common`` (word counts)."""
-    lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       *keep)
-    rows = rows.withColumn("words", _words(F.col("text")))
-    text, words = F.col("text"), F.col("words")
+def measures(text: Column, window: int = 8) -> Column:
+    """A text's base measures with ``chars`` (class counts) and ``common`` (word counts), as one struct."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    return rows.select(
-        "doc_id", "lang", *keep, F.size(words).cast("bigint").alias("n_words"),
+    return _let(_words(text), lambda words: F.struct(
+        F.size(words).cast("bigint").alias("n_words"),
         F.length(F.regexp_replace(text, WORD_BREAKS, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         _repeated_words(words, window).alias("n_repeat_words"),
-        F.array(*_class_counts(text)).alias("chars"), _word_counts(words).alias("common"))
+        F.array(*_class_counts(text)).alias("chars"), _word_counts(words).alias("common")))
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], dict[str, float]]]:
@@ -126,7 +121,8 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     The aggregate has at most one row per language and entry, whatever the table.
     """
     rows = docs.where(F.col(lang_col).isin(*COMMON_WORDS)).select(F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.select("lang", F.array(*_class_counts(F.col("text"))).alias("chars"), _word_counts(_words(F.col("text"))).alias("common"))
+    rows = rows.select("lang", F.array(*_class_counts(F.col("text"))).alias("chars"),
+                       _let(_words(F.col("text")), _word_counts).alias("common"))
     k = len(CHARACTER_CLASSES) + 1
     chars = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.concat(F.lit("\x00"), i.cast("string")).alias("w"), F.get("chars", i).alias("n")))
     pooled = (rows.select("lang", F.explode(F.concat(chars, "common")).alias("e"))
@@ -169,35 +165,34 @@ def _word_divergence(common: Column, n_words: Column, reference: dict[str, float
     return F.aggregate(common, F.lit(1.0), add) / 2
 
 
-def judged(rows: DataFrame, refs: dict[str, tuple[list[float], dict[str, float]]], min_words: int = MIN_WORDS,
-           character_limit: float = CHARACTER_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """Measured rows with base_failed, the least divergences over the languages, and kept."""
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", base)
-    enough = F.col("n_words") >= min_words
-    pairs = [F.struct(_character_divergence(F.col("chars"), c).alias("c"), _word_divergence(F.col("common"), F.col("n_words"), w).alias("w"))
+def verdict(m: Column, refs: dict[str, tuple[list[float], dict[str, float]]], min_words: int = MIN_WORDS,
+            character_limit: float = CHARACTER_LIMIT, word_limit: float = WORD_LIMIT) -> Column:
+    """Measures (a struct) with base_failed, the least divergences over the languages, and kept."""
+    base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+    pairs = [F.struct(_character_divergence(m["chars"], c).alias("c"), _word_divergence(m["common"], m["n_words"], w).alias("w"))
              for c, w in refs.values()]
-    against = F.when(enough, F.array(*pairs)) if pairs else F.lit(None).cast("array<struct<c:double,w:double>>")
-    rows = rows.withColumn("against", against)
-    near = F.exists("against", lambda x: (x["c"] <= character_limit) & (x["w"] <= word_limit))
-    return rows.select(
-        *(c for c in rows.columns if c not in ("chars", "common", "against", "lang")),
-        F.array_min(F.transform("against", lambda x: x["c"])).alias("char_divergence"),
-        F.array_min(F.transform("against", lambda x: x["w"])).alias("word_divergence"),
-        (~F.col("base_failed") & F.coalesce(near, F.lit(True))).alias("kept"))
+    kind = "array<struct<c:double,w:double>>"
+    against = F.when(m["n_words"] >= min_words, F.array(*pairs)).otherwise(F.lit(None).cast(kind)) if pairs else F.lit(None).cast(kind)
 
+    def judged(pairs: Column) -> Column:
+        near = F.exists(pairs, lambda x: (x["c"] <= character_limit) & (x["w"] <= word_limit))
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        return F.struct(*(m[n].alias(n) for n in names), base.alias("base_failed"),
+                        F.array_min(F.transform(pairs, lambda x: x["c"])).alias("char_divergence"),
+                        F.array_min(F.transform(pairs, lambda x: x["w"])).alias("word_divergence"),
+                        (~base & F.coalesce(near, F.lit(True))).alias("kept"))
 
-def quality_rules(docs: DataFrame, **options) -> DataFrame:
-    """Measures and verdicts of every document, with references from the same table."""
-    return judged(measured(docs), references(docs), **options)
+    return _let(against, judged)
 
 
-def keep_well_formed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    doc, text, lang = (f"c{names.index(c)}" for c in ("doc_id", "text", "lang"))
-    rows = judged(measured(plain, doc, text, lang, keep=tuple(plain.columns)), references(docs), **options)
-    return rows.where("kept").select(*plain.columns).toDF(*names)
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """Measures and verdicts of every document, with references from the same table."""
+    refs = references(docs, text_col, lang_col)
+    judged = _let(measures(F.col(text_col)), lambda m: verdict(m, refs, **options))
+    return docs.select(F.col(id_col).alias("doc_id"), judged.alias("judged")).select("doc_id", "judged.*")
 
 
+def keep_well_formed(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The documents that pass, with all their columns."""
+    refs = references(docs, text_col, lang_col)
+    return docs.where(_let(measures(F.col(text_col)), lambda m: verdict(m, refs, **options)["kept"]))
