@@ -113,7 +113,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["label", "entry", "value"])
 
 
-def fit(labelled: DataFrame, to_pooled: float = 0.3, to_diagonal: float = 0.1, floor: float = 1e-4) -> Model:
+def fit(labelled: DataFrame, to_pooled: float = 0.8, to_diagonal: float = 0.3, floor: float = 1e-3) -> Model:
     """The model from rows (x, label 0 or 1); other labels are ignored."""
     p = len(STATISTICS)
     rows = labelled.where(F.col("label").isin(0, 1)).select("x", F.col("label").cast("int").alias("label"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loanroll.session import scratch_dir
 
-from . import bpe, chat, classifier, decontaminate, quality_rules, sharding, simhash, suffix_tree, token_files, wrapper
+from . import bpe, chat, classifier, decontaminate, oracle, quality_rules, sharding, simhash, suffix_tree, token_files, wrapper
 from .common import table
 
 #: Production parameters.
@@ -22,7 +22,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
     segments = chat.format_conversations(turns.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json"))
-    return chat.conversation_digests(segments)
+    return chat.conversation_digests(segments).drop("n_tokens", "loss_tokens")
 
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {sharding.TABLE_SIZE} AS slot
             FROM documents)
         SELECT doc_id, slot::INTEGER AS slot, [{slots}][slot + 1] AS shard FROM placed"""
-    return {"op5_shard_table": shard_table}
+    return {"op1_chat_format": oracle.CHAT, "op3_quality_rules": oracle.QUALITY_RULES, "op5_shard_table": shard_table,
+            "op7_fm_index": oracle.FM_INDEX}

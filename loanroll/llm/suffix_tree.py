@@ -193,7 +193,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     mass = n_all + SMOOTHING * (vocabulary + 1)
     own = np.array(counts, float) + SMOOTHING
     own[END] = n_ends + SMOOTHING
-    rest = mass - own[1:].sum()
+    rest = max(mass - own[1:].sum(), SMOOTHING)  # an unseen word keeps its share without training texts, too
     own[OTHER] = rest
     tree = Tree(symbols, np.log10(own / mass))
     numbered = answers.where("chunk >= 0").select("chunk", "bucket", "places", "sizes", "values")
