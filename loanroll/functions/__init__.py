@@ -1,8 +1,4 @@
-"""Column helpers: R NA/NaN rules (``rnum``) and report calendar (``calendar``).
-
-``r_*`` return Columns; ``*_sql`` return Spark SQL text for composing larger
-expressions that are parsed once with ``F.expr``.
-"""
+"""R NA/NaN rules as Spark SQL text (``rnum``) and the report calendar (``calendar``)."""
 
 from loanroll.functions.rnum import (
     div_sql,
@@ -14,23 +10,9 @@ from loanroll.functions.rnum import (
     is_nan_sql,
     le_sql,
     lt_sql,
-    nan_to_null,
-    r_div,
-    r_eq,
-    r_ge,
-    r_gt,
-    r_ifelse,
-    r_is_na,
-    r_is_nan,
-    r_le,
-    r_lt,
-    strict_na,
-    sum_na_rm,
     sum_na_rm_sql,
 )
 
 __all__ = [
-    "div_sql", "eq_sql", "ge_sql", "gt_sql", "ifelse_sql", "is_na_sql", "is_nan_sql", "le_sql",
-    "lt_sql", "nan_to_null", "r_div", "r_eq", "r_ge", "r_gt", "r_ifelse", "r_is_na", "r_is_nan",
-    "r_le", "r_lt", "strict_na", "sum_na_rm", "sum_na_rm_sql",
+    "div_sql", "eq_sql", "ge_sql", "gt_sql", "ifelse_sql", "is_na_sql", "is_nan_sql", "le_sql", "lt_sql", "sum_na_rm_sql",
 ]

@@ -10,19 +10,14 @@ R keeps two missing markers in a double column: ``NA`` (Spark null) and
 * ``sum`` is poisoned by ``NaN``; R's ``sum(na.rm = TRUE)`` drops it, and an
   empty sum is 0 rather than null.
 
-Each rule exists twice: ``*_sql`` builders return Spark SQL text (arguments
-are SQL expressions: column names or snippets, numbers become double
-literals), and the ``r_*`` functions return Columns. With text or number
-arguments a Column is one parsed expression (``F.expr``), which is far
-cheaper to build than a tree of Python Column calls; with Column arguments
-the Column API is used. Both stay built-in expressions, code-generated.
+The ``*_sql`` builders return Spark SQL text (arguments are SQL expressions:
+column names or snippets; numbers become double literals), which a query
+parses once: far cheaper to build than a tree of Python Column calls, and the
+same code-generated expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 NULL_DOUBLE_SQL = "CAST(NULL AS DOUBLE)"
 NAN_SQL = "CAST('NaN' AS DOUBLE)"
 
@@ -73,93 +68,3 @@ def is_nan_sql(x) -> str:
 def sum_na_rm_sql(x) -> str:
     x = sql(x)
     return f"coalesce(sum(CASE WHEN NOT isnan({x}) THEN {x} END), 0.0D)"
-
-
-# --- Column API -------------------------------------------------------------------
-
-def _textual(*xs) -> bool:
-    return all(isinstance(x, (str, int, float)) for x in xs)
-
-
-def _col(x) -> Column:
-    if isinstance(x, Column):
-        return x
-    if isinstance(x, str):
-        return F.expr(x)
-    return F.lit(x)
-
-
-def r_div(a, b) -> Column:
-    """``a / b`` with R's rules: x/0 is +-Inf, 0/0 and NaN/0 are NaN, NA stays NA."""
-    if _textual(a, b):
-        return F.expr(div_sql(a, b))
-    a, b = _col(a), _col(b)
-    by_zero = (
-        F.when(F.isnan(a) | (a == 0), F.lit(float("nan")))
-        .when(a > 0, F.lit(float("inf")))
-        .otherwise(F.lit(float("-inf")))
-    )
-    return (
-        F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
-        .when(b == 0, by_zero)
-        .otherwise(a.cast("double") / b)
-    )
-
-
-def r_ifelse(cond, yes, no) -> Column:
-    """R ``ifelse``: an unknown condition gives NA instead of the ``no`` arm."""
-    if _textual(cond, yes, no):
-        return F.expr(ifelse_sql(cond, yes, no))
-    cond = _col(cond)
-    return F.when(cond.isNull(), F.lit(None)).when(cond, _col(yes)).otherwise(_col(no))
-
-
-def r_is_na(x) -> Column:
-    """R ``is.na``: true for NA and for NaN."""
-    if _textual(x):
-        return F.expr(is_na_sql(x))
-    x = _col(x)
-    return x.isNull() | F.isnan(x)
-
-
-def r_is_nan(x) -> Column:
-    """R ``is.nan``: true only for NaN; NA gives false."""
-    if _textual(x):
-        return F.expr(is_nan_sql(x))
-    return F.coalesce(F.isnan(_col(x)), F.lit(False))
-
-
-def _cmp(op: str, build):
-    def compare(a, b) -> Column:
-        if _textual(a, b):
-            return F.expr(build(a, b))
-        a, b = _col(a), _col(b)
-        return F.when(F.isnan(a) | F.isnan(b), F.lit(None).cast("boolean")).otherwise(op(a, b))
-    return compare
-
-
-# Comparisons that give NA (null) when either side is NaN, as in R.
-r_gt = _cmp(lambda a, b: a > b, gt_sql)
-r_ge = _cmp(lambda a, b: a >= b, ge_sql)
-r_lt = _cmp(lambda a, b: a < b, lt_sql)
-r_le = _cmp(lambda a, b: a <= b, le_sql)
-r_eq = _cmp(lambda a, b: a == b, eq_sql)
-
-
-def sum_na_rm(x) -> Column:
-    """R ``sum(x, na.rm = TRUE)``: skip NA and NaN, an empty sum is 0."""
-    if _textual(x):
-        return F.expr(sum_na_rm_sql(x))
-    x = _col(x)
-    return F.coalesce(F.sum(F.when(~F.isnan(x), x)), F.lit(0.0))
-
-
-def strict_na(agg: Column, x) -> Column:
-    """R aggregate without ``na.rm``: one NA in the group makes the result NA."""
-    x = _col(x)
-    return F.when(F.count(F.when(x.isNull(), 1)) > 0, F.lit(None)).otherwise(agg)
-
-
-def nan_to_null(x) -> Column:
-    x = _col(x)
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)

@@ -1,27 +1,27 @@
 """Monthly-ledger operators: sequence number, product slices, per-loan profile.
 
-Partitioning: everything per loan is keyed by ``credito``, and no operator
-sorts or groups a loan's raw rows in one task:
-
-* per-loan values (span, first/last observation, prior-product balance) come
-  out of ONE ``groupBy("credito")`` whose partial aggregates are combined
-  map-side; ordering keys are int/long month keys, so the buffers are
-  fixed-width and Spark plans a hash aggregate;
-* ``Duracion_p10`` and the sequence number work on the ``(credito, id_fecha)``
-  cell table (one row per loan and month), never on a window over raw rows.
-
-On the plain ledger the rate stage therefore shuffles only aggregates.
+Partitioning: everything per loan is keyed by ``credito``. The ledger is
+exchanged by loan once, in the columns a stage needs; the sequence number is a
+window on that exchange, and all per-loan values (span, first and last
+observation, prior-product balance, duration, the last two rows) come out of
+one aggregate over the numbered rows, in the same partitioning: no second
+exchange and no join.
+
+Loans with more than ``HOT_ROWS`` rows are the exception. One narrow aggregate
+finds them (or the caller knows the largest loan's rows); they are numbered by
+range partitions, so that no task holds such a loan, and reach the aggregate
+as partial results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanroll.functions.rnum import eq_sql, ifelse_sql
+from loanroll.session import write_and_read
 
 # Columns whose first and last product-70 values the reports keep.
 OBSERVED_COLUMNS = [
@@ -38,83 +38,94 @@ EXPOSURE_PARTS = [
 PRODUCT = 70
 _ORDEN_SPAN = 1 << 31  # orden < 2^31, so id_fecha * 2^31 - orden orders (id_fecha, -orden)
 
+# Order of the rows that share (credito, id_fecha), ascending, nulls first. Rows equal in
+# all these columns are interchangeable.
+TIE_BREAK = [
+    "tipo_producto", "id_fecha_desembolso", *OBSERVED_COLUMNS[1:],
+    "valor_desembolso", "valor_canc_capital_intereses_seguros", "valor_garantia",
+]
+# What the per-loan profile reads; a prefix of the declared order, so a narrow ledger is
+# numbered like the whole one wherever the profile can tell rows apart.
+PROFILE_COLUMNS = ["credito", "id_fecha", "tipo_producto", "id_fecha_desembolso", *OBSERVED_COLUMNS[1:]]
 
-SALT_BUCKETS = 1024
-
-
-def _with_subcell(rows: DataFrame, tie_break: Sequence[str], salt_buckets: int) -> DataFrame:
-    """``_salt``: the sub-cell of a row inside its ``(credito, id_fecha)`` cell.
-
-    Without tie-break columns the order inside a cell is unspecified (as in
-    the reference), so rows are spread over ``salt_buckets`` sub-cells by a
-    hash of the row's identity: deterministic across task retries, and a
-    cell with very many duplicates is numbered by many tasks. On a direct
-    file scan the identity is the file's row position (``_metadata``, no data
-    column read); otherwise the hash covers the row's columns. With tie-break
-    columns the order must follow them, so each cell is one sub-cell.
-    """
-    if tie_break or salt_buckets <= 1:
-        return rows.withColumn("_salt", F.lit(0))
-    if _has_file_metadata(rows):
-        identity = "_metadata.file_path, _metadata.row_index"
-    else:
-        identity = ", ".join(f"`{c}`" for c in rows.columns)
-    return rows.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64({identity}), {salt_buckets}) AS INT)"))
+HOT_ROWS = 1_000_000
 
 
-def _has_file_metadata(df: DataFrame) -> bool:
-    """True when the plan still exposes the file source's ``_metadata`` column
-    (a scan with projections/filters on top, no join or aggregate)."""
-    try:
-        df.metadataColumn("_metadata")
-        return True
-    except AnalysisException:
-        return False
+def same_loan(left: DataFrame, right: DataFrame) -> Column:
+    """Null-safe equality of the loan ids (the scripts' joins match NA with NA)."""
+    return left["credito"].eqNullSafe(right["credito"])
 
 
-_SUB = ["credito", "id_fecha", "_salt"]
+def left_by_loan(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join on the loan id, NA matching NA."""
+    key = right.withColumnRenamed("credito", "_credito")
+    return left.join(key, left["credito"].eqNullSafe(key["_credito"]), "left").drop("_credito")
 
 
-def _subcell_offsets(keyed: DataFrame) -> DataFrame:
-    """Rows per sub-cell and rows before it in ``(id_fecha, _salt)`` order,
-    per loan. The windows hold one row per sub-cell, never raw rows."""
-    earlier = Window.partitionBy("credito").orderBy(F.col("id_fecha").asc(), F.col("_salt").asc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        keyed.groupBy(*_SUB).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    )
+def sequence_order(ledger: DataFrame, tie_break: Sequence[str] = ()) -> list[Column]:
+    """``id_fecha``, then ``tie_break``, then the declared columns, each ascending with nulls first."""
+    names = ["id_fecha", *dict.fromkeys([*tie_break, *(c for c in TIE_BREAK if c in ledger.columns)])]
+    return [F.col(c).asc_nulls_first() for c in names]
 
 
-def _inside(tie_break: Sequence[str]) -> Window:
-    return Window.partitionBy(*_SUB).orderBy(F.col("id_fecha").asc(), *[F.col(c).asc() for c in tie_break])
+def hot_loans(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Loans with more than ``hot_rows`` rows: an aggregate over one column, at most 1 / hot_rows of the ledger's rows."""
+    return ledger.groupBy("credito").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select("credito")
 
 
-def with_sequence(ledger: DataFrame, tie_break: Sequence[str] = (), salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+def with_sequence(ledger: DataFrame, tie_break: Sequence[str] = (), hot_rows: int = HOT_ROWS,
+                  max_loan_rows: int | None = None, last_date: bool = False) -> DataFrame:
     """``orden`` = row number of the loan's months over ALL products.
 
     Must be computed before any product filter (``Duracion_p10`` counts the
-    months spent in other products). Ties on ``(credito, id_fecha)`` are broken
-    by ``tie_break`` columns.
-
-    Skew-safe two-level numbering instead of one window over each loan's raw
-    rows (a loan holding a third of the ledger would sort in one task):
-
-    1. rows per ``(credito, id_fecha)`` sub-cell - an aggregate with map-side
-       partial aggregation (see :func:`_with_subcell`);
-    2. rows before each sub-cell - a running sum over that table, whose
-       windows hold one row per month (and sub-cell) of a loan;
-    3. the offset joined back (left join: no row is dropped) plus the row's
-       number inside its sub-cell.
+    months spent in other products). Rows without a date come first, as in
+    ``ROW_NUMBER()``; rows without a loan id are one loan. ``last_date`` adds
+    the loan's latest date as ``_ultima``.
+
+    One exchange of the ledger and one sort, unless a loan has more than
+    ``hot_rows`` rows (``max_loan_rows``, where known, spares the search).
     """
-    keyed = _with_subcell(ledger, tie_break, salt_buckets)
-    offsets = _subcell_offsets(keyed).drop("_n")
-    return (
-        keyed.join(offsets, _SUB, "left")
-        .withColumn("orden", (F.coalesce(F.col("_offset"), F.lit(0))
-                              + F.row_number().over(_inside(tie_break))).cast("int"))
-        .drop("_offset", "_salt")
-    )
+    order = sequence_order(ledger, tie_break)
+    loan = Window.partitionBy("credito")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        out = rows.withColumn("orden", F.row_number().over(loan.orderBy(*order)).cast("int"))
+        return out.withColumn("_ultima", F.max("id_fecha").over(loan)) if last_date else out
+
+    if max_loan_rows is not None and max_loan_rows <= hot_rows:
+        return plain(ledger)
+    hot = hot_loans(ledger, hot_rows)
+    if hot.isEmpty():
+        return plain(ledger)
+    hot = write_and_read(hot, "hot-loans")
+    cold = ledger.join(hot, same_loan(ledger, hot), "left_anti")
+    many = _number_by_ranges(ledger.join(hot, same_loan(ledger, hot), "left_semi"), order)
+    if last_date:
+        latest = many.groupBy("credito").agg(F.max("id_fecha").alias("_ultima"))
+        many = left_by_loan(many, latest)
+    return plain(cold).unionByName(many)
+
+
+def _number_by_ranges(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Number loans that are too large for one task.
+
+    The rows are written sorted by (loan, order) in range partitions, with the
+    partition's number; a loan's rows before a partition are the sum of its
+    counts in the partitions before it. Equal rows are told apart by a row id,
+    so that even a cell of equal rows spreads over partitions.
+    """
+    key = [F.col("credito").asc_nulls_first(), *order, F.col("_fila").asc()]
+    ranged = rows.withColumn("_fila", F.monotonically_increasing_id()).repartitionByRange(*key).sortWithinPartitions(*key)
+    ranged = write_and_read(ranged.withColumn("_tramo", F.spark_partition_id()), "hot-rows")
+    counts = ranged.groupBy("credito", "_tramo").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("credito").orderBy("_tramo").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("credito").alias("_credito"), F.col("_tramo").alias("_t"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_antes"))
+    inside = Window.partitionBy("credito", "_tramo").orderBy(*order, "_fila")
+    numbered = ranged.withColumn("_en", F.row_number().over(inside))
+    joined = numbered.join(counts, numbered["credito"].eqNullSafe(F.col("_credito")) & (F.col("_tramo") == F.col("_t")))
+    return joined.withColumn("orden", (F.col("_antes") + F.col("_en")).cast("int")).drop(
+        "_fila", "_tramo", "_credito", "_t", "_antes", "_en")
 
 
 def assert_unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -159,78 +170,67 @@ def month_range(year: int, month: int) -> Column:
     return F.col("id_fecha").between(lo + 1, lo + 31)
 
 
-def months_before_first(ledger: DataFrame, product: int = PRODUCT) -> DataFrame:
-    """``Duracion_p10`` without numbering rows: per loan, the rows dated before
-    its first ``product`` month, plus one.
-
-    Works on the ``(credito, id_fecha)`` cell table (an aggregate with partial
-    aggregation); its window per loan holds one row per month, never the
-    loan's raw rows. Rows with no date sort first, as in SQL Server.
-    """
-    cells = ledger.groupBy("credito", "id_fecha").agg(
-        F.expr("count(1) AS _n"), F.expr(f"max(CAST(tipo_producto = {product} AS INT)) AS _has_p"))
-    loan = Window.partitionBy("credito")
-    first_p = F.min(F.expr("CASE WHEN _has_p = 1 THEN id_fecha END")).over(loan)
-    return (
-        cells.withColumn("_first_p", first_p)
-        .filter("_first_p IS NOT NULL")
-        .groupBy("credito")
-        .agg(F.expr("CAST(coalesce(sum(CASE WHEN id_fecha IS NULL OR id_fecha < _first_p THEN _n END), 0) + 1 "
-                    "AS INT) AS Duracion_p10"))
-    )
-
-
-def loan_profile(ledger: DataFrame, product: int = PRODUCT, strict_na: bool = True) -> DataFrame:
+def loan_profile(ledger: DataFrame, product: int = PRODUCT, strict_na: bool = True,
+                 tie_break: Sequence[str] = (), max_loan_rows: int | None = None) -> DataFrame:
     """One row per loan with at least one ``product`` month.
 
     Columns: the span (A1/A1b), first and last product observation with
-    ``_inicial``/``_actual`` suffixes (A2, P5), exposures (M1, M2), and the
-    last observation under any other product (M3: ``capital_ant``,
-    ``saldo_ant``, ``n_prior``).
-
-    With a sequenced ledger (``orden`` present, e.g. from tie-break columns)
-    first = lowest ``orden`` and last = highest ``id_fecha`` then lowest
-    ``orden`` (``which.max`` keeps the first tie), and ``Duracion_p10`` is
-    the lowest product ``orden``. On a plain ledger, whose
-    ``(credito, id_fecha)`` cells are unique, the month key orders the rows
-    and ``Duracion_p10`` comes from :func:`months_before_first`: the raw
-    ledger is then never shuffled, only partial aggregates are.
+    ``_inicial``/``_actual`` suffixes (A2, P5), exposures (M1, M2), the last
+    observation under any other product (M3: ``capital_ant``, ``saldo_ant``,
+    ``n_prior``) and the loan's last two rows over all products (W5:
+    ``_ultimo_*`` the first row of the latest month, ``_previo_*`` the row
+    before it).
+
+    First = earliest date, then lowest ``orden``; last = latest date, then
+    lowest ``orden`` (``which.min``/``which.max`` skip NA dates and keep the
+    first tie); ``Duracion_p10`` is the lowest product ``orden``. With
+    ``strict_na`` a missing date or disbursement date of a product row makes
+    the span's ``min``/``max``/``mean`` missing, as without ``na.rm``.
+
+    A ledger without ``orden`` is numbered here, in the columns the profile
+    reads: one scan and one exchange for the whole profile.
     """
+    if "orden" not in ledger.columns or "_ultima" not in ledger.columns:
+        columns = [c for c in dict.fromkeys([*PROFILE_COLUMNS, *tie_break])]
+        ledger = with_sequence(ledger.select(*columns), tie_break, max_loan_rows=max_loan_rows, last_date=True)
     is_p, other = f"tipo_producto = {product}", f"tipo_producto <> {product}"
-    sequenced = "orden" in ledger.columns
-    if sequenced:
-        first_key, last_key = "orden", f"CAST(id_fecha AS BIGINT) * {_ORDEN_SPAN} - orden"
-    else:
-        first_key = last_key = "id_fecha"
+    first_key = f"CAST(id_fecha AS BIGINT) * {_ORDEN_SPAN} + orden"
+    last_key = f"CAST(id_fecha AS BIGINT) * {_ORDEN_SPAN} - orden"
     k_first = f"CASE WHEN {is_p} THEN {first_key} END"
     k_last = f"CASE WHEN {is_p} THEN {last_key} END"
     k_prior = f"CASE WHEN {other} THEN {last_key} END"
+    k_before = "CASE WHEN _ultima IS NOT NULL AND (id_fecha IS NULL OR id_fecha < _ultima) THEN orden END"
     desemb = f"CASE WHEN {is_p} THEN CAST(id_fecha_desembolso AS DOUBLE) END"
     fecha_min, fecha_mean = f"min({desemb})", f"avg({desemb})"
-    if strict_na:  # min()/mean() without na.rm: one NA in the loan gives NA
-        has_na = f"count(CASE WHEN {is_p} AND id_fecha_desembolso IS NULL THEN 1 END) > 0"
-        fecha_min = f"CASE WHEN {has_na} THEN NULL ELSE {fecha_min} END"
-        fecha_mean = f"CASE WHEN {has_na} THEN NULL ELSE {fecha_mean} END"
+    inicio, vigencia = (f"{f}(CASE WHEN {is_p} THEN id_fecha END)" for f in ("min", "max"))
+    if strict_na:
+        def strict(value: str, column: str) -> str:
+            missing = f"count(CASE WHEN {is_p} AND {column} IS NULL THEN 1 END) > 0"
+            return f"CASE WHEN {missing} THEN NULL ELSE {value} END"
+
+        fecha_min, fecha_mean = (strict(v, "id_fecha_desembolso") for v in (fecha_min, fecha_mean))
+        inicio, vigencia = (strict(v, "id_fecha") for v in (inicio, vigencia))
 
     aggs = [
         f"{fecha_min} AS Fecha_desembolso",
         f"{fecha_mean} AS Fecha_desembolso_media",
-        f"min(CASE WHEN {is_p} THEN id_fecha END) AS fecha_inicio_p70",
-        f"max(CASE WHEN {is_p} THEN id_fecha END) AS fecha_vigencia",
+        f"{inicio} AS fecha_inicio_p70",
+        f"{vigencia} AS fecha_vigencia",
         f"count(CASE WHEN {is_p} THEN 1 END) AS Duracion_p70",
+        f"min(CASE WHEN {is_p} THEN orden END) AS Duracion_p10",
     ]
-    if sequenced:
-        aggs.append(f"min({k_first}) AS Duracion_p10")
     aggs += [f"min_by({c}, {k_first}) AS {c}_inicial" for c in OBSERVED_COLUMNS]
     aggs += [f"max_by({c}, {k_last}) AS {c}_actual" for c in OBSERVED_COLUMNS]
     aggs += [
         f"max_by({exposure_sql()}, {k_prior}) AS capital_ant",
         f"max_by(saldo_capital, {k_prior}) AS saldo_ant",
-        f"count(CASE WHEN {other} THEN 1 END) AS n_prior",
+        f"count({k_prior}) AS n_prior",
+        f"max_by(saldo_capital, {last_key}) AS _ultimo_capital",
+        f"max_by(tipo_producto, {last_key}) AS _ultimo_tipo",
+        f"max_by(saldo_capital, {k_before}) AS _previo_capital",
+        f"max_by(tipo_producto, {k_before}) AS _previo_tipo",
     ]
     profile = ledger.groupBy("credito").agg(*[F.expr(a) for a in aggs]).filter("Duracion_p70 > 0")
-    if not sequenced:
-        profile = profile.join(months_before_first(ledger, product), "credito", "left")
     return profile.withColumns({
         "Saldo_exposicion_inicial": exposure("_inicial"),
         "Saldo_exposicion_actual": exposure("_actual"),
@@ -284,12 +284,10 @@ def prior_product_balance(profile: DataFrame) -> DataFrame:
     )
 
 
-def zero_start_history(ledger: DataFrame, product: int = PRODUCT, tie_break: Sequence[str] = ()) -> DataFrame:
-    """Every ledger row (all products) of the zero-start loans (left semi
-    join), numbered after the semi join: a loan's sequence depends only on
-    its own rows, so only the selected loans are sequenced."""
-    zero = zero_start_set(ledger, exposure_sql(), product, tie_break)
-    return with_sequence(ledger.join(zero, "credito", "left_semi"), tie_break)
+def zero_start_history(ledger_seq: DataFrame, profile: DataFrame) -> DataFrame:
+    """Every numbered ledger row (all products) of the zero-start loans (left semi join, NA matching NA)."""
+    zero = zero_start_loans(profile).select("credito")
+    return ledger_seq.join(zero, same_loan(ledger_seq, zero), "left_semi")
 
 
 def adjusted_recovery_base(profile: DataFrame, exposure_baseline: str = "as_written") -> DataFrame:
@@ -317,48 +315,18 @@ def adjusted_recovery_base(profile: DataFrame, exposure_baseline: str = "as_writ
     }))
 
 
-def zero_start_set(ledger: DataFrame, value_sql: str, product: int = PRODUCT,
-                   tie_break: Sequence[str] = ()) -> DataFrame:
-    """Loans whose first ``product`` observation of ``value_sql`` is exactly 0
-    (P10 on exposure, or the older script's capital), as one aggregate with
-    partial aggregation, without building the whole profile."""
-    is_p = f"tipo_producto = {product}"
-    key = f"struct(id_fecha, {', '.join(tie_break)})" if tie_break else "id_fecha"
-    return (
-        ledger.groupBy("credito")
-        .agg(F.expr(f"min_by({value_sql}, CASE WHEN {is_p} THEN {key} END) AS _first"))
-        .filter("_first = 0").select("credito")
-    )
-
+def last_two_non_product(profile: DataFrame, product: int = PRODUCT) -> DataFrame:
+    """W5 + M3b (older script): of the last two rows of each loan whose first capital is zero, those not in ``product``.
 
-def last_two_non_product(rows: DataFrame, loans: DataFrame | None = None, product: int = PRODUCT,
-                         tie_break: Sequence[str] = (), salt_buckets: int = SALT_BUCKETS) -> DataFrame:
-    """W5 + M3b (older script): of the last two rows of each loan of ``rows``
-    (restricted to ``loans`` when given), those not in ``product``; 0, 1 or 2
-    rows per loan, so a later join fans out.
-
-    "Last two" is ``slice((which.max(id_fecha) - 1):which.max(id_fecha))`` on
-    rows in ``(id_fecha, tie_break)`` order: the first row of the latest month
-    and the row before it. Positions come from the sub-cell table of
-    :func:`with_sequence` (windows of one row per month and sub-cell); only
-    the one or two sub-cells holding those positions are joined back and
-    numbered inside. ``rows`` is read twice: counts and the kept rows.
+    0, 1 or 2 rows per loan, so a later join fans out. "Last two" is
+    ``slice((which.max(id_fecha) - 1):which.max(id_fecha))`` on the numbered
+    rows: the first row of the latest month and the row before it, both kept
+    by :func:`loan_profile`.
     """
-    keyed = _with_subcell(rows, tie_break, salt_buckets)
-    counts = _subcell_offsets(keyed)
-    if loans is not None:
-        counts = counts.join(loans.select("credito"), "credito", "left_semi")
-    loan = Window.partitionBy("credito")
-    cells = counts.withColumn("_last_date", F.max("id_fecha").over(loan))
-    cells = cells.withColumn(
-        "_wm", F.min(F.expr("CASE WHEN id_fecha = _last_date THEN _offset + 1 END")).over(loan))
-    kept = cells.filter("_offset < _wm AND _offset + _n >= _wm - 1").select(*_SUB, "_offset", "_wm")
-    return (
-        keyed.join(kept, _SUB)
-        .withColumn("_pos", F.col("_offset") + F.row_number().over(_inside(tie_break)))
-        .filter(f"_pos >= _wm - 1 AND _pos <= _wm AND tipo_producto <> {product}")
-        .select("credito", F.col("saldo_capital").alias("capital_ant"))
-    )
+    rows = profile.filter("saldo_capital_inicial = 0").selectExpr(
+        "credito", "inline(array(struct(_ultimo_capital AS capital_ant, _ultimo_tipo AS _tipo), "
+        "struct(_previo_capital AS capital_ant, _previo_tipo AS _tipo)))")
+    return rows.filter(f"_tipo <> {product}").select("credito", "capital_ant")
 
 
 def first_last_capital(profile: DataFrame) -> DataFrame:
@@ -371,10 +339,10 @@ def first_last_capital(profile: DataFrame) -> DataFrame:
     )
 
 
-def capital_base_v1(profile: DataFrame) -> DataFrame:
+def capital_base_v1(profile: DataFrame, *further: str) -> DataFrame:
     """Older script's per-loan table: A1b span + A2b values (one projection)."""
     return profile.select(
-        "credito",
+        "credito", *further,
         F.col("Fecha_desembolso_media").alias("Fecha_desembolso"),
         *SPAN_COLUMNS[2:],
         F.col("saldo_capital_inicial").alias("Saldo_capital_inicial"),
@@ -383,19 +351,21 @@ def capital_base_v1(profile: DataFrame) -> DataFrame:
     )
 
 
-def adjusted_capital_v1(ledger: DataFrame, profile: DataFrame, tie_break: Sequence[str] = (),
-                        product: int = PRODUCT) -> DataFrame:
+def adjusted_capital_v1(profile: DataFrame, product: int = PRODUCT) -> DataFrame:
     """Zero-start one-month loans take the prior capital; else keep initial.
 
-    The prior rows come from M3b and may be 0-2 per loan: the left join fans
-    out exactly as the script's does.
+    The prior rows are those of :func:`last_two_non_product`; a loan with two
+    of them becomes two rows and one without any keeps its row, as in the
+    script's left join. They come from the loan's own profile row, so nothing
+    is joined.
     """
-    base = capital_base_v1(profile)
-    zero = zero_start_set(ledger, "saldo_capital", product, tie_break)
-    prior = last_two_non_product(ledger, zero, product, tie_break)
+    prior = f"""filter(array(struct(_ultimo_capital AS capital, _ultimo_tipo AS tipo),
+        struct(_previo_capital AS capital, _previo_tipo AS tipo)),
+        x -> saldo_capital_inicial = 0 AND x.tipo <> {product})"""
+    rows = profile.withColumn("_prior", F.expr(f"explode_outer(transform({prior}, x -> struct(x.capital AS capital)))"))
+    base = capital_base_v1(rows, "_prior")
     return (
-        base.join(prior, "credito", "left")
-        .withColumn("Saldo_capital_inicial", F.expr(ifelse_sql(
-            f"{eq_sql('Saldo_capital_inicial', 0)} AND Duracion_p70 = 1", "capital_ant", "Saldo_capital_inicial")))
-        .drop("capital_ant")
+        base.withColumn("Saldo_capital_inicial", F.expr(ifelse_sql(
+            f"{eq_sql('Saldo_capital_inicial', 0)} AND Duracion_p70 = 1", "_prior.capital", "Saldo_capital_inicial")))
+        .drop("_prior")
     )

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanroll.functions.rnum import div_sql, is_na_sql, r_is_na, sum_na_rm
+from loanroll.functions.rnum import div_sql, is_na_sql, sum_na_rm_sql
+from loanroll.operators.ledger import left_by_loan
 from loanroll.operators.valuation import is_active
 
 DEFAULT_MIN_BALANCE = 0.0001
@@ -23,7 +24,11 @@ def active_loans(priced: DataFrame) -> DataFrame:
 
 def inactive_loans(priced: DataFrame) -> DataFrame:
     """Rows without payoff (no match, or a match whose payoff is NA)."""
-    return priced.filter(r_is_na("valor_pago_ttl_canc"))
+    return priced.filter(is_na_sql("valor_pago_ttl_canc"))
+
+
+def _sum(column: str) -> F.Column:
+    return F.expr(sum_na_rm_sql(column))
 
 
 def _uplift(value: str) -> F.Column:
@@ -38,14 +43,14 @@ def portfolio_summary(active: DataFrame, min_balance: float = DEFAULT_MIN_BALANC
     """
     aggs = [
         F.count(F.lit(1)).alias("Creditos"),
-        sum_na_rm("valor_pago_ttl_canc").alias("Deuda_total"),
-        sum_na_rm("saldo_actual").alias("Saldo_a_capital"),
-        sum_na_rm("precio_compra").alias("Precio_de_compra"),
-        sum_na_rm("Precio_y_valoracion").alias("Valoracion"),
-        sum_na_rm("Precio_y_valoracion_mod").alias("Valoracion_mod"),
+        _sum("valor_pago_ttl_canc").alias("Deuda_total"),
+        _sum("saldo_actual").alias("Saldo_a_capital"),
+        _sum("precio_compra").alias("Precio_de_compra"),
+        _sum("Precio_y_valoracion").alias("Valoracion"),
+        _sum("Precio_y_valoracion_mod").alias("Valoracion_mod"),
     ]
     if with_capital:
-        aggs.append(sum_na_rm("Precio_y_valoracion_capital").alias("Valoracion_capital"))
+        aggs.append(_sum("Precio_y_valoracion_capital").alias("Valoracion_capital"))
     uplifts = {"p": _uplift("Valoracion"), "p_mod": _uplift("Valoracion_mod")}
     if with_capital:
         uplifts["p_cap"] = _uplift("Valoracion_capital")
@@ -66,14 +71,14 @@ def residual_summary(residual: DataFrame) -> DataFrame:
     """One row always (an empty residual gives 0s and ``p = NaN``)."""
     return residual.agg(
         F.count(F.lit(1)).alias("Creditos"),
-        sum_na_rm("valor_pago_ttl_canc").alias("Deuda_total"),
-        sum_na_rm("saldo_actual").alias("Saldo_a_capital"),
-        sum_na_rm("precio_compra").alias("Precio_de_compra"),
-        sum_na_rm("Precio_y_valoracion").alias("Valoracion"),
+        _sum("valor_pago_ttl_canc").alias("Deuda_total"),
+        _sum("saldo_actual").alias("Saldo_a_capital"),
+        _sum("precio_compra").alias("Precio_de_compra"),
+        _sum("Precio_y_valoracion").alias("Valoracion"),
     ).withColumn("p", _uplift("Valoracion"))
 
 
-def live_product_70(active: DataFrame, keep_all_priced: bool = True) -> DataFrame:
+def live_product_70(active: DataFrame, keep_all_priced: bool = True, product: int = 70) -> DataFrame:
     """Product-70 list; uplift on the exposure factor, NA/NaN -> 0.
 
     ``keep_all_priced=False`` is the older report's column set.
@@ -83,7 +88,7 @@ def live_product_70(active: DataFrame, keep_all_priced: bool = True) -> DataFram
     if keep_all_priced:
         cols += ["Precio_y_valoracion", "Precio_y_valoracion_capital"]
     return (
-        active.filter(F.col("tipo_producto") == 70)
+        active.filter(F.col("tipo_producto") == product)
         .withColumnRenamed("saldo_actual", "saldo_a_capital")
         .withColumnRenamed("precio_compra", "compra")
         .withColumn("valoracion_con_garantia", F.expr(f"CASE WHEN {is_na_sql(vg)} THEN 0.0D ELSE {vg} END"))
@@ -91,12 +96,12 @@ def live_product_70(active: DataFrame, keep_all_priced: bool = True) -> DataFram
     )
 
 
-def live_product_71(rows: DataFrame) -> DataFrame:
+def live_product_71(rows: DataFrame, product: int = 71) -> DataFrame:
     """Product-71 list with a constant uplift of 0.
 
     Pass active rows (newest script) or inactive rows (older report, D7).
     """
-    return rows.filter(F.col("tipo_producto") == 71).select(
+    return rows.filter(F.col("tipo_producto") == product).select(
         "credito",
         F.col("saldo_actual").alias("saldo_a_capital"),
         F.col("precio_compra").alias("compra"),
@@ -111,4 +116,4 @@ def ltv_change(extract: DataFrame, ltv: DataFrame, prior_key: int) -> DataFrame:
         F.col("valor_garantia_final").alias("garantia_anterior"),
         F.col("LTV").alias("LTV_ant"),
     )
-    return extract.join(prior, "credito", "left")
+    return left_by_loan(extract, prior)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanroll.functions.rnum import div_sql
-from loanroll.operators.ledger import month_range, with_year_month
+from loanroll.operators.ledger import left_by_loan, month_range, with_year_month
 
 # Days-past-due bucket labels, in order. ICV<n> holds up to n
 # days (30-day bands up to 360), ICV0 exactly 0 days, ICV360+ beyond 360.
@@ -41,16 +41,9 @@ def dpd_bucket_sql(days: str) -> str:
     return "(CASE " + " ".join(arms) + " END)"
 
 
-def dpd_bucket(days) -> Column:
-    """M18 as a Column; ``days`` is a SQL expression (e.g. a column name) or a Column."""
-    if isinstance(days, str):
-        return F.expr(dpd_bucket_sql(days))
-    d = days.cast("double")
-    expr = F.when(F.isnan(d), F.lit(None).cast("string")).when(d == 0, F.lit("ICV0"))
-    expr = expr.when(d.between(0, 30), F.lit("ICV30"))
-    for upper in range(60, 361, 30):
-        expr = expr.when(d.between(upper - 29, upper), F.lit(f"ICV{upper}"))
-    return expr.when(d > 360, F.lit("ICV360+"))
+def dpd_bucket(days: str) -> Column:
+    """M18 as a Column of a SQL expression (e.g. a column name)."""
+    return F.expr(dpd_bucket_sql(days))
 
 
 def with_bucket(rows: DataFrame) -> DataFrame:
@@ -175,4 +168,4 @@ def collections_flag(p70: DataFrame, collections: DataFrame, code: int = 88) ->
     filter it is unique per loan, so the left join never fans out.
     """
     coded = collections.filter(F.col("cod_trans") == code).select("credito", "cod_trans").distinct()
-    return with_year_month(p70.join(coded, "credito", "left"))
+    return with_year_month(left_by_loan(p70, coded))

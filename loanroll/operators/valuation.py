@@ -1,9 +1,9 @@
 """Snapshots (S2-S4), valuation table (M9), price factors (M10) and pricing.
 
-Joins are equi-joins on ``credito``; the join algorithm is left to
-Catalyst/AQE (the snapshots are per-loan tables that grow with the book, so
-nothing is broadcast by hint: AQE converts a join to broadcast only after
-measuring the built side against ``spark.sql.adaptive.autoBroadcastJoinThreshold``).
+Joins are equi-joins on ``credito``. No join has a broadcast hint, as the
+snapshots grow with the book; Spark picks a broadcast where its estimate (or
+AQE's measured size) of a side is below ``spark.sql.autoBroadcastJoinThreshold``,
+and a sort-merge join else.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanroll.functions.rnum import div_sql, eq_sql, gt_sql, is_na_sql, le_sql, sql
+from loanroll.operators.ledger import left_by_loan
 
 # Text labels of the first restructuring mark.
 MARK_REFINANCING = "Refinanciacion"
@@ -35,30 +36,27 @@ def daily_closing_snapshot(ledger_day: DataFrame, window_keys: Sequence[int],
     ).select("saldo_capital", "tipo_producto", "credito", "valor_pago_ttl_canc")
 
 
-def first_restructuring_mark(marks: DataFrame, tie_break: Sequence[str] = ("id_marca",),
-                             case_insensitive: bool = False) -> DataFrame:
+def first_restructuring_mark(marks: DataFrame, case_insensitive: bool = False) -> DataFrame:
     """First non-'S' mark of each loan, as a label.
 
-    ``ROW_NUMBER() ... = 1`` becomes aggregates with map-side partial
-    aggregation, so a loan with very many marks never lands whole in one
-    task. With one tie-break column: the first mark of each (loan, day) by
-    that column, then the first day of each loan - two hash aggregates on
-    primitive keys. With several tie-break columns: one ``min_by`` over a
-    struct key (a sort aggregate). ``case_insensitive`` compares the mark
-    codes as a case-insensitive collation would (the warehouse's collation is
-    not known; binary is the default).
+    The order is that of ``ROW_NUMBER() OVER (PARTITION BY credito ORDER BY
+    id_fecha)``: a mark without a date comes first. Marks of one day are
+    ordered by ``id_marca`` (none first), equal ones by code ('R' first).
+
+    Two hash aggregates with map-side partial aggregation, so a loan with very
+    many marks never lands whole in one task: the first mark of each
+    (loan, day), as a number that orders by ``id_marca`` and then by code, and
+    the first day of each loan. Ids must be below 2^62 (else an overflow error).
+    ``case_insensitive`` compares the codes as a case-insensitive collation
+    would (binary is the default).
     """
     code = "upper(marcacion)" if case_insensitive else "marcacion"
-    kept = marks.filter(f"{code} <> 'S' AND id_fecha IS NOT NULL")
-    is_r = f"CAST({code} = 'R' AS INT)"
-    if len(tie_break) == 1:
-        per_day = kept.groupBy("credito", "id_fecha").agg(F.expr(f"min_by({is_r}, {tie_break[0]}) AS _r"))
-        first = per_day.groupBy("credito").agg(F.expr("min_by(_r, id_fecha) AS _r"))
-    else:
-        key = f"struct(id_fecha{''.join(', ' + c for c in tie_break)})"
-        first = kept.groupBy("credito").agg(F.expr(f"min_by({is_r}, {key}) AS _r"))
+    kept = marks.filter(f"{code} <> 'S'")
+    key = f"coalesce(id_marca * 2L, -9223372036854775806L) + CASE WHEN {code} = 'R' THEN 0L ELSE 1L END"
+    per_day = kept.groupBy("credito", "id_fecha").agg(F.expr(f"min({key}) AS _k"))
+    first = per_day.groupBy("credito").agg(F.expr("min_by(_k, coalesce(id_fecha, -2147483647)) AS _k"))
     return first.selectExpr(
-        "credito", f"CASE WHEN _r = 1 THEN '{MARK_REFINANCING}' ELSE '{MARK_RESTRUCTURING}' END AS marc_desc")
+        "credito", f"CASE WHEN pmod(_k, 2) = 0 THEN '{MARK_REFINANCING}' ELSE '{MARK_RESTRUCTURING}' END AS marc_desc")
 
 
 def ltv_snapshot(ltv: DataFrame, marks: DataFrame, snapshot_key: int,
@@ -89,10 +87,7 @@ def valuation_table(rates: DataFrame, ltv_snap: DataFrame, daily: DataFrame) ->
         "credito", "id_fecha_inicial", "id_fecha_actual", "Duracion_p10", "Duracion_p70",
         "tasa_recuperacion_anual_exp", "tasa_recuperacion_anual", "tasa_recuperacion_anual_capital",
     )
-    return (
-        t.join(ltv_snap.select(*LTV_COLUMNS), "credito", "left")
-        .join(daily, "credito", "left")
-    )
+    return left_by_loan(left_by_loan(t, ltv_snap.select(*LTV_COLUMNS)), daily)
 
 
 def price_factor_inverse_sql(rate: str, ltv: str, months: str) -> str:

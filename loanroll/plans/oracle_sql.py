@@ -2,7 +2,8 @@
 
 Each string runs on the driver's raw views (``lineitem``, ``part``,
 ``orders``, ...). The report sources are rebuilt here as CTEs from the same
-FIXTURES.md definitions, written independently of the Spark code: first/last
+FIXTURES.md definitions without importing anything of the Spark code; the
+formulas are the same rules, so an arm misread twice would pass. First/last
 rows by ``ROW_NUMBER`` instead of ``min_by``/``max_by``, share history by
 group + window + filtered pivot, roll matrix by join. R's NA/NaN rules are
 spelled out as ``CASE`` (DuckDB, like Spark, ranks NaN above all numbers).
@@ -11,9 +12,11 @@ Doubles are rounded to 6 decimals as in ``registry.present``.
 
 from __future__ import annotations
 
-from loanroll.operators.rolling import BUCKETS, SHARE_BUCKETS
-from loanroll.plans.presentation import OUTER_JOIN_INTS
-
+# Fixed values, stated here anew: bucket labels in order, and the integer columns that are shown as doubles.
+BUCKETS = ["ICV0", "ICV30", "ICV60", "ICV90", "ICV120", "ICV150", "ICV180", "ICV210", "ICV240", "ICV270", "ICV300", "ICV330",
+           "ICV360", "ICV360+"]
+SHARE_BUCKETS = ["ICV0", "ICV30", "ICV60", "ICV90", "ICV120", "ICV150", "ICV180", "ICV210", "ICV240", "ICV270", "ICV300",
+                 "ICV330", "ICV360"]
 AS_OF_KEY = 20010630                  # fecha_actual of the fixture as_of 2001-07-15
 PRIOR_KEY = 20010531
 WINDOW_KEYS = "20010701, 20010702, 20010703, 20010704, 20010705"
@@ -114,53 +117,64 @@ def cte(name: str, deps: list[str], sql: str) -> None:
 
 
 cte("ledger_month", [], f"""
-SELECT id_fecha, credito,
-       CAST(min(first_ship_key) OVER (PARTITION BY credito) AS INTEGER) AS id_fecha_desembolso,
+SELECT CAST(CASE WHEN k % 41 = 0 AND q % 6 = 0 THEN NULL ELSE month END AS INTEGER) AS id_fecha,
+       CASE WHEN k % 97 = 0 THEN NULL ELSE k END AS credito,
+       CAST(CASE WHEN k % 17 = 0 AND q % 4 = 0 THEN NULL
+                 WHEN k % 3 = 0 THEN first_ship_key ELSE loan_first END AS INTEGER) AS id_fecha_desembolso,
        valor_desembolso,
-       CAST(CASE WHEN q % 9 = 0 THEN 0 ELSE (q * 7) % 391 END AS INTEGER) AS numero_dias_mora,
-       saldo_capital, saldo_interes, saldo_seguros,
-       0.0::DOUBLE AS saldo_cargo_1, 0.0::DOUBLE AS saldo_cargo_2, 0.0::DOUBLE AS saldo_cargo_3,
+       CAST(CASE WHEN q % 31 = 0 THEN NULL WHEN q % 9 = 0 THEN 0 ELSE (q * 7 + c) % 391 END AS INTEGER) AS numero_dias_mora,
+       CASE WHEN q % 29 = 0 THEN NULL ELSE capital / (1 + c) END AS saldo_capital,
+       CASE WHEN q % 23 = 0 THEN NULL WHEN k % 37 = 0 AND q % 2 = 0 THEN -interes ELSE interes END AS saldo_interes,
+       seguros AS saldo_seguros,
+       CASE WHEN q % 5 = 0 THEN q * 1.5::DOUBLE ELSE 0 END AS saldo_cargo_1,
+       CASE WHEN q % 7 = 0 THEN q * 0.25::DOUBLE ELSE 0 END AS saldo_cargo_2,
+       CASE WHEN q % 11 = 0 THEN q * 2.0::DOUBLE ELSE 0 END AS saldo_cargo_3,
        saldo_mora,
-       saldo_capital + saldo_interes + saldo_seguros AS valor_canc_capital_intereses_seguros,
-       CAST(CASE WHEN id_fecha < (CASE WHEN credito % 4 = 3 THEN 20010531
-                                       ELSE 19970131 + 10000 * (credito % 4) END) THEN 10
-                 WHEN credito % 5 = 0 THEN 71 ELSE 70 END AS INTEGER) AS tipo_producto,
+       capital / (1 + c) + interes + seguros AS valor_canc_capital_intereses_seguros,
+       CAST(CASE WHEN c = 1 AND q % 2 = 1 THEN CASE WHEN product = 10 THEN 70 ELSE 10 END ELSE product END AS INTEGER) AS tipo_producto,
        CAST(q AS DOUBLE) * 100.0 AS valor_garantia
 FROM (
-  SELECT l_partkey AS credito,
-         {KEY('last_day(CAST(l_shipdate AS DATE))')} AS id_fecha,
-         CAST(sum(l_quantity) AS INTEGER) AS q,
-         sum(l_extendedprice) AS valor_desembolso,
-         sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice ELSE 0.0 END) AS saldo_capital,
-         sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * l_tax ELSE 0.0 END) AS saldo_interes,
-         sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * l_discount ELSE 0.0 END) AS saldo_seguros,
-         sum(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN l_extendedprice * l_discount
-                  ELSE 0.0 END) AS saldo_mora,
-         min({KEY('l_shipdate')}) AS first_ship_key
-  FROM lineitem GROUP BY 1, 2
-) g""")
+  SELECT *, unnest(CASE WHEN k % 13 = 0 THEN [0, 1] ELSE [0] END) AS c,
+         min(first_ship_key) OVER (PARTITION BY k) AS loan_first,
+         CASE WHEN month < (CASE WHEN k % 4 = 3 THEN 20010531 ELSE 19970131 + 10000 * (k % 4) END)
+                   OR (k % 19 = 0 AND month > 20000630) THEN 10
+              WHEN k % 5 = 0 THEN 71 ELSE 70 END AS product
+  FROM (
+    SELECT l_partkey AS k,
+           {KEY('last_day(CAST(l_shipdate AS DATE))')} AS month,
+           CAST(sum(l_quantity) AS INTEGER) AS q,
+           sum(l_extendedprice) AS valor_desembolso,
+           sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice ELSE 0.0 END) AS capital,
+           sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * l_tax ELSE 0.0 END) AS interes,
+           sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice * l_discount ELSE 0.0 END) AS seguros,
+           sum(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN l_extendedprice * l_discount
+                    ELSE 0.0 END) AS saldo_mora,
+           min({KEY('l_shipdate')}) AS first_ship_key
+    FROM lineitem GROUP BY 1, 2) g
+) m""")
 
 cte("ledger_day", [], """
 SELECT CAST(20010701 + p_partkey % 7 AS INTEGER) AS id_fecha, p_partkey AS credito,
-       CAST(CASE WHEN p_partkey % 5 = 0 THEN 71 ELSE 70 END AS INTEGER) AS tipo_producto,
+       CAST(CASE WHEN p_partkey % 15 = 2 OR p_partkey % 5 = 0 THEN 71 ELSE 70 END AS INTEGER) AS tipo_producto,
        CASE WHEN p_size <= 3 THEN 0.0::DOUBLE ELSE p_retailprice END AS saldo_capital,
-       CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_retailprice * 1.1 END AS valor_pago_ttl_canc,
+       CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_retailprice * 1.1 + c END AS valor_pago_ttl_canc,
        CAST(CASE WHEN p_size % 10 = 0 THEN 0 ELSE 1 END AS INTEGER) AS ind_cierre
-FROM part""")
+FROM (SELECT *, unnest(CASE WHEN p_partkey % 59 = 0 THEN [0, 1] ELSE [0] END) AS c FROM part) p""")
 
 cte("ltv", [], """
 SELECT p_partkey AS credito, s.id_fecha,
        CAST(CASE WHEN p_partkey % 5 = 0 THEN 71 ELSE 70 END AS INTEGER) AS tipo_producto,
-       1 AS conteo_garantias,
+       CAST(c AS INTEGER) AS conteo_garantias,
        CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_size / s.dv END AS "LTV",
        p_retailprice AS valor_garantia_final,
        CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_type END AS libre_inversion_o_vehicular
-FROM part, (VALUES (20010630, 25.0::DOUBLE), (20010531, 30.0::DOUBLE)) s(id_fecha, dv)""")
+FROM (SELECT *, unnest(CASE WHEN p_partkey % 53 = 0 THEN [1, 2] ELSE [1] END) AS c FROM part) p,
+     (VALUES (20010630, 25.0::DOUBLE), (20010531, 30.0::DOUBLE)) s(id_fecha, dv)""")
 
 cte("restructuring_mark", [], f"""
-SELECT o_custkey AS credito, {KEY('o_orderdate')} AS id_fecha,
+SELECT o_custkey AS credito, CASE WHEN o_orderkey % 43 = 0 THEN NULL ELSE {KEY('o_orderdate')} END AS id_fecha,
        CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'S' WHEN 'P' THEN 'T' END AS marcacion,
-       o_orderkey AS id_marca
+       CASE WHEN o_orderkey % 47 = 0 THEN NULL ELSE o_orderkey END AS id_marca
 FROM orders""")
 
 cte("collections", [], f"""
@@ -177,8 +191,13 @@ SELECT credito, suma_importe_base, precio_compra FROM (
   FROM part) t
 WHERE credito IS NOT NULL""")
 
-cte("ledger_seq", ["ledger_month"], """
-SELECT *, CAST(row_number() OVER (PARTITION BY credito ORDER BY id_fecha) AS INTEGER) AS orden
+# rows of one loan and date: ascending, missing values first, in this order of columns
+_TIES = ", ".join(f"{c} ASC NULLS FIRST" for c in [
+    "id_fecha", "tipo_producto", "id_fecha_desembolso", "numero_dias_mora", "saldo_capital", "saldo_interes", "saldo_seguros",
+    "saldo_cargo_1", "saldo_cargo_2", "saldo_cargo_3", "saldo_mora", "valor_desembolso", "valor_canc_capital_intereses_seguros",
+    "valor_garantia"])
+cte("ledger_seq", ["ledger_month"], f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY credito ORDER BY {_TIES}) AS INTEGER) AS orden
 FROM ledger_month""")
 
 cte("p70", ["ledger_seq"], "SELECT * FROM ledger_seq WHERE tipo_producto = 70")
@@ -194,7 +213,7 @@ WHERE tipo_producto IN (70, 71) AND saldo_capital > 0 AND id_fecha IN ({WINDOW_K
 
 cte("first_mark", ["restructuring_mark"], """
 SELECT credito, CASE WHEN marcacion = 'R' THEN 'Refinanciacion' ELSE 'Reestructuracion' END AS marc_desc
-FROM (SELECT *, row_number() OVER (PARTITION BY credito ORDER BY id_fecha, id_marca) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY credito ORDER BY id_fecha NULLS FIRST, id_marca NULLS FIRST, marcacion) AS n
       FROM restructuring_mark WHERE marcacion <> 'S') t
 WHERE n = 1""")
 
@@ -217,16 +236,17 @@ SELECT credito,
             ELSE CAST(min(id_fecha_desembolso) AS DOUBLE) END AS Fecha_desembolso,
        CASE WHEN count(*) > count(id_fecha_desembolso) THEN NULL
             ELSE avg(CAST(id_fecha_desembolso AS DOUBLE)) END AS Fecha_desembolso_media,
-       min(id_fecha) AS fecha_inicio_p70, max(id_fecha) AS fecha_vigencia,
+       CASE WHEN count(*) > count(id_fecha) THEN NULL ELSE min(id_fecha) END AS fecha_inicio_p70,
+       CASE WHEN count(*) > count(id_fecha) THEN NULL ELSE max(id_fecha) END AS fecha_vigencia,
        count(*) AS Duracion_p70, min(orden) AS Duracion_p10
 FROM p70 GROUP BY credito""")
 
 cte("firsts", ["p70"], """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY credito ORDER BY id_fecha, orden) AS rn FROM p70) t
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY credito ORDER BY id_fecha, orden) AS rn FROM p70 WHERE id_fecha IS NOT NULL) t
 WHERE rn = 1""")
 
 cte("lasts", ["p70"], """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY credito ORDER BY id_fecha DESC, orden) AS rn FROM p70) t
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY credito ORDER BY id_fecha DESC, orden) AS rn FROM p70 WHERE id_fecha IS NOT NULL) t
 WHERE rn = 1""")
 
 _first_cols = ", ".join(f"f.{c} AS {c}_inicial" for c in OBS)
@@ -235,7 +255,7 @@ cte("bbb", ["span", "firsts", "lasts"], f"""
 SELECT s.credito, s.Fecha_desembolso, s.fecha_inicio_p70, s.fecha_vigencia, s.Duracion_p70, s.Duracion_p10,
        {_first_cols}, {_last_cols},
        {EXPOSURE('f.')} AS Saldo_exposicion_inicial, {EXPOSURE('a.')} AS Saldo_exposicion_actual
-FROM span s LEFT JOIN firsts f ON s.credito = f.credito LEFT JOIN lasts a ON s.credito = a.credito""")
+FROM span s LEFT JOIN firsts f ON s.credito IS NOT DISTINCT FROM f.credito LEFT JOIN lasts a ON s.credito IS NOT DISTINCT FROM a.credito""")
 
 cte("zero", ["bbb"], "SELECT credito FROM bbb WHERE Saldo_exposicion_inicial = 0")
 
@@ -243,7 +263,8 @@ cte("panterior", ["ledger_seq", "zero"], f"""
 SELECT credito, capital_ant, saldo_ant FROM (
   SELECT credito, {EXPOSURE()} AS capital_ant, saldo_capital AS saldo_ant,
          row_number() OVER (PARTITION BY credito ORDER BY id_fecha DESC, orden) AS rn
-  FROM ledger_seq WHERE tipo_producto <> 70 AND credito IN (SELECT credito FROM zero)) t
+  FROM ledger_seq l WHERE tipo_producto <> 70 AND id_fecha IS NOT NULL
+    AND EXISTS (SELECT 1 FROM zero z WHERE z.credito IS NOT DISTINCT FROM l.credito)) t
 WHERE rn = 1""")
 
 _BBB_COLS = (["credito", "Fecha_desembolso", "fecha_inicio_p70", "fecha_vigencia", "Duracion_p70",
@@ -262,7 +283,7 @@ def _adjusted(else_exposure: str) -> str:
                                "p.saldo_ant", "b.saldo_capital_inicial") + f" AS {c}")
         else:
             cols.append(f"b.{c}")
-    return f"SELECT {', '.join(cols)} FROM bbb b LEFT JOIN panterior p ON b.credito = p.credito"
+    return f"SELECT {', '.join(cols)} FROM bbb b LEFT JOIN panterior p ON b.credito IS NOT DISTINCT FROM p.credito"
 
 
 cte("adj", ["bbb", "panterior"], _adjusted("Saldo_exposicion_actual"))
@@ -312,9 +333,9 @@ SELECT s.credito, s.id_fecha_inicial, s.id_fecha_actual, s.Duracion_p10, s.Durac
        l."LTV", l.valor_garantia_final, l.libre_inversion_o_vehicular, l.marca_refi_restru,
        d.saldo_capital, d.tipo_producto, d.valor_pago_ttl_canc
 FROM df_saldos s
-LEFT JOIN df_saldos2 s2 ON s.credito = s2.credito
-LEFT JOIN ltv_snap l ON s.credito = l.credito
-LEFT JOIN daily d ON s.credito = d.credito""")
+LEFT JOIN df_saldos2 s2 ON s.credito IS NOT DISTINCT FROM s2.credito
+LEFT JOIN ltv_snap l ON s.credito IS NOT DISTINCT FROM l.credito
+LEFT JOIN daily d ON s.credito IS NOT DISTINCT FROM d.credito""")
 
 cte("valued", ["valuation"], f"""
 SELECT *,
@@ -390,15 +411,16 @@ cte("cap_v1", ["span", "firsts", "lasts"], """
 SELECT s.credito, s.Fecha_desembolso_media AS Fecha_desembolso, s.fecha_inicio_p70, s.fecha_vigencia,
        s.Duracion_p70, s.Duracion_p10, f.saldo_capital AS Saldo_capital_inicial,
        a.saldo_capital AS Saldo_capital_final, a.numero_dias_mora AS dias_mora_actual
-FROM span s LEFT JOIN firsts f ON s.credito = f.credito LEFT JOIN lasts a ON s.credito = a.credito""")
+FROM span s LEFT JOIN firsts f ON s.credito IS NOT DISTINCT FROM f.credito LEFT JOIN lasts a ON s.credito IS NOT DISTINCT FROM a.credito""")
 
 cte("last_two", ["ledger_seq", "cap_v1"], """
 SELECT l.credito, l.saldo_capital AS capital_ant
 FROM ledger_seq l JOIN (
   SELECT credito, min(orden) FILTER (WHERE id_fecha = max_fecha) AS wm
   FROM (SELECT credito, id_fecha, orden, max(id_fecha) OVER (PARTITION BY credito) AS max_fecha
-        FROM ledger_seq WHERE credito IN (SELECT credito FROM cap_v1 WHERE Saldo_capital_inicial = 0)) t
-  GROUP BY credito) w ON l.credito = w.credito
+        FROM ledger_seq q
+        WHERE EXISTS (SELECT 1 FROM cap_v1 z WHERE z.Saldo_capital_inicial = 0 AND z.credito IS NOT DISTINCT FROM q.credito)) t
+  GROUP BY credito) w ON l.credito IS NOT DISTINCT FROM w.credito
 WHERE l.orden BETWEEN w.wm - 1 AND w.wm AND l.tipo_producto <> 70""")
 
 cte("adj_v1", ["cap_v1", "last_two"], f"""
@@ -406,7 +428,7 @@ SELECT c.credito, c.Fecha_desembolso, c.fecha_inicio_p70, c.fecha_vigencia, c.Du
        {IFELSE(EQ('c.Saldo_capital_inicial', '0') + ' AND c.Duracion_p70 = 1', 'p.capital_ant',
                'c.Saldo_capital_inicial')} AS Saldo_capital_inicial,
        c.Saldo_capital_final, c.dias_mora_actual
-FROM cap_v1 c LEFT JOIN last_two p ON c.credito = p.credito""")
+FROM cap_v1 c LEFT JOIN last_two p ON c.credito IS NOT DISTINCT FROM p.credito""")
 
 _PV1 = IFELSE(LT("Saldo_capital_inicial - Saldo_capital_final", "0"), "0.0",
               DIV("Saldo_capital_inicial - Saldo_capital_final", "Saldo_capital_inicial"))
@@ -418,7 +440,7 @@ cte("extract_v1", ["valoracion_v1", "daily", "ltv_snap_v1"], f"""
 SELECT v.*, d.saldo_capital, d.tipo_producto, d.valor_pago_ttl_canc,
        l."LTV", l.valor_garantia_final, l.libre_inversion_o_vehicular, l.marca_refi_restru,
        {FACTOR_DIRECT('v.tasa_recuperacion_anual', 'l."LTV"', 'v.Duracion_p70')} AS Valoracion_pd
-FROM valoracion_v1 v LEFT JOIN daily d ON v.credito = d.credito LEFT JOIN ltv_snap_v1 l ON v.credito = l.credito""")
+FROM valoracion_v1 v LEFT JOIN daily d ON v.credito IS NOT DISTINCT FROM d.credito LEFT JOIN ltv_snap_v1 l ON v.credito IS NOT DISTINCT FROM l.credito""")
 
 cte("extract_mod", ["extract_v1"], f"""
 SELECT *, {FACTOR_INV('tasa_recuperacion_anual', '"LTV"', 'Duracion_p10')} AS Valoracion_pd_mod
@@ -444,11 +466,15 @@ cte("residual_v1", ["inactive_v1"], _residual("inactive_v1"))
 # --- roll rates ---
 cte("t0", ["p70b"], f"SELECT credito, icvs FROM p70b WHERE id_fecha BETWEEN {T0[0]} AND {T0[1]}")
 cte("t1", ["p70b"], f"SELECT credito, icvs FROM p70b WHERE id_fecha BETWEEN {T1[0]} AND {T1[1]}")
-cte("pairs", ["t0", "t1"], """
-SELECT t0.credito, t0.icvs AS b0, t1.icvs AS b1 FROM t0 JOIN t1 ON t0.credito = t1.credito
-WHERE t0.icvs IS NOT NULL AND t1.icvs IS NOT NULL""")
+# a loan with several rows in a month counts once, in its highest bucket
+_ORDER = "[" + ", ".join(f"'{b}'" for b in BUCKETS) + "]"
+for _t in ("t0", "t1"):
+    cte(f"{_t}b", [_t], f"SELECT credito, max(list_position({_ORDER}, icvs)) AS b FROM {_t} GROUP BY credito")
+cte("pairs", ["t0b", "t1b"], f"""
+SELECT t0b.credito, {_ORDER}[t0b.b] AS b0, {_ORDER}[t1b.b] AS b1 FROM t0b JOIN t1b ON t0b.credito IS NOT DISTINCT FROM t1b.credito
+WHERE t0b.b > 0 AND t1b.b > 0""")
 _BUCKET_VALUES = ", ".join(f"({i}, '{b}')" for i, b in enumerate(BUCKETS, 1))
-_UNIT_COLS = ", ".join(f"count(p.credito) FILTER (WHERE p.b1 = '{b}') AS \"{b}\"" for b in BUCKETS)
+_UNIT_COLS = ", ".join(f"count(p.b1) FILTER (WHERE p.b1 = '{b}') AS \"{b}\"" for b in BUCKETS)
 cte("units", ["pairs"], f"""
 SELECT g.bucket AS bucket_from, {_UNIT_COLS}
 FROM (VALUES {_BUCKET_VALUES}) g(ord, bucket) LEFT JOIN pairs p ON p.b0 = g.bucket
@@ -521,7 +547,7 @@ def _ledger_query(src_cte: str, src: str, where: str = "") -> str:
 
 
 def _calendar_dates() -> str:
-    return "(SELECT DISTINCT id_fecha, strptime(CAST(id_fecha AS VARCHAR), '%Y%m%d')::DATE AS d FROM ledger_month) r"
+    return "(SELECT DISTINCT id_fecha, strptime(CAST(id_fecha AS VARCHAR), '%Y%m%d')::DATE AS d FROM ledger_month WHERE id_fecha IS NOT NULL) r"
 
 
 ORACLE: dict[str, str] = {}
@@ -548,8 +574,8 @@ ORACLE["product_slice"] = with_ctes(["p70b"], f"SELECT {_ledger_select()}, orden
 ORACLE["year_month_parts"] = with_ctes(["p70b"], "SELECT credito, id_fecha, anio, mes FROM p70b")
 ORACLE["exposure"] = with_ctes(["ledger_seq"], f"""
 SELECT credito, id_fecha, tipo_producto, round({EXPOSURE()}, 6) AS saldo_exposicion FROM ledger_seq""")
-ORACLE["exclude_loans"] = _ledger_query("ledger_seq", "ledger_seq", """credito NOT IN (
-  SELECT credito FROM ledger_seq WHERE saldo_capital IS NULL OR saldo_interes < 0)""")
+ORACLE["exclude_loans"] = _ledger_query("ledger_seq", "ledger_seq", """NOT EXISTS (
+  SELECT 1 FROM ledger_seq x WHERE (x.saldo_capital IS NULL OR x.saldo_interes < 0) AND x.credito IS NOT DISTINCT FROM ledger_seq.credito)""")
 
 ORACLE["loan_span"] = _q(["span"], ["credito", "Fecha_desembolso", "fecha_inicio_p70", "fecha_vigencia",
                                     "Duracion_p70", "Duracion_p10"], {"Fecha_desembolso"}, "span")
@@ -564,7 +590,7 @@ SELECT credito, round(saldo_capital_inicial, 6) AS Saldo_capital_inicial,
 FROM bbb""")
 ORACLE["recovery_base"] = _q(["bbb"], _BBB_COLS, _D_BBB, "bbb")
 ORACLE["zero_start_loans"] = _q(["bbb"], _BBB_COLS, _D_BBB, "bbb", "Saldo_exposicion_inicial = 0")
-ORACLE["zero_start_history"] = _ledger_query("zero", "ledger_seq", "credito IN (SELECT credito FROM zero)")
+ORACLE["zero_start_history"] = _ledger_query("zero", "ledger_seq", "EXISTS (SELECT 1 FROM zero z WHERE z.credito IS NOT DISTINCT FROM ledger_seq.credito)")
 ORACLE["prior_product_balance"] = _q(["panterior"], ["credito", "capital_ant", "saldo_ant"],
                                      {"capital_ant", "saldo_ant"}, "panterior")
 ORACLE["last_two_non70"] = _q(["last_two"], ["credito", "capital_ant"], {"capital_ant"}, "last_two")
@@ -603,7 +629,7 @@ SELECT e.credito, round(e.Saldo_capital_inicial, 6) AS Saldo_capital_inicial,
        round(e.tasa_recuperacion_anual, 6) AS tasa_recuperacion_anual, round(e."LTV", 6) AS "LTV",
        round(p."LTV", 6) AS "LTV_ant", round(e.valor_garantia_final, 6) AS valor_garantia_final,
        round(p.valor_garantia_final, 6) AS garantia_anterior
-FROM extract_v1 e LEFT JOIN (SELECT * FROM ltv WHERE id_fecha = {PRIOR_KEY}) p ON e.credito = p.credito""")
+FROM extract_v1 e LEFT JOIN (SELECT * FROM ltv WHERE id_fecha = {PRIOR_KEY}) p ON e.credito IS NOT DISTINCT FROM p.credito""")
 
 ORACLE["priced_portfolio"] = _q(["priced"], _PRICED_COLS, _D_PRICED, "priced")
 ORACLE["priced_portfolio_v1"] = _q(["priced_v1"], _PRICED_V1_COLS, _D_PRICED_V1, "priced_v1")
@@ -684,13 +710,33 @@ ORACLE["collections_flag"] = with_ctes(["p70", "collections"], f"""
 , cod88 AS (SELECT DISTINCT credito, cod_trans FROM collections WHERE cod_trans = 88)
 SELECT {_ledger_select('p')}, p.orden, c.cod_trans,
        substr(CAST(p.id_fecha AS VARCHAR), 5, 2) AS mes, substr(CAST(p.id_fecha AS VARCHAR), 1, 4) AS anio
-FROM p70 p LEFT JOIN cod88 c ON p.credito = c.credito""")
+FROM p70 p LEFT JOIN cod88 c ON p.credito IS NOT DISTINCT FROM c.credito""")
+
+
+ORACLE["report_bundle_written"] = ORACLE["report_bundle_counts"]
+ORACLE["bucket_share_written"] = ORACLE["bucket_share_history"]
+ORACLE["roll_matrices_written"] = with_ctes(["share"], "SELECT u.bucket_from, " + ", ".join(
+    f'u."{b}" AS "n_{b}", round(s."{b}", 6) AS "{b}"' for b in BUCKETS) + " FROM units u JOIN share s ON u.bucket_from = s.bucket_from")
+ORACLE["purchase_tape_csv"] = ORACLE["purchase_tape"]
+ORACLE["ledger_wide"] = with_ctes(["ledger_month"], f"""
+SELECT {_ledger_select()}, CASE WHEN credito % 3 = 0 THEN 'NIT' ELSE 'CC' END AS tipo_id_deudor,
+       id_fecha_desembolso + 1 AS id_fecha_primera_factura, round(saldo_capital * 0.5, 6) AS base_de_provision,
+       round(saldo_capital + saldo_mora, 6) AS total_deuda FROM ledger_month""")
+
+
+# Integer columns that can hold gaps, shown as doubles in every query (as in the registry's presentation).
+KEYS_AS_DOUBLES = ("credito", "id_fecha", "id_fecha_desembolso", "id_fecha_primera_factura", "id_fecha_inicial", "id_fecha_actual",
+                   "fecha_inicio_p70", "fecha_vigencia", "Duracion_p70", "Duracion_p10", "numero_dias_mora",
+                   "numero_dias_mora_inicial", "numero_dias_mora_actual", "dias_mora_actual", "tipo_producto", "cod_trans")
+WITHOUT_KEYS = ("residual_summary", "residual_summary_v1", "report_bundle_counts", "report_bundle_written", "bucket_share_history",
+                "bucket_share_written", "roll_matrix_units", "roll_matrix_share", "roll_matrix_check", "roll_matrices_written")
 
 
-def _as_double(sql: str, cols: list[str]) -> str:
-    repl = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in cols)
-    return f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) q"
+def _as_double(sql: str) -> str:
+    keys, names = "|".join(KEYS_AS_DOUBLES), ", ".join(f"'{c}'" for c in KEYS_AS_DOUBLES)
+    rest = "" if sql is ORACLE["common_loans"] else f", COLUMNS([c FOR c IN * IF c NOT IN ({names})])"
+    return f"""SELECT COLUMNS('^({keys})$')::DOUBLE AS "\\0"{rest} FROM (\n{sql}\n) q"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: _as_double(v, OUTER_JOIN_INTS[k]) if k in OUTER_JOIN_INTS else v for k, v in ORACLE.items()}
+    return {k: v if k in WITHOUT_KEYS else _as_double(v) for k, v in ORACLE.items()}

@@ -1,24 +1,15 @@
-"""Presentation rules shared by the registered queries and their SQL oracle.
+"""Presentation rules of the registered queries.
 
 * Doubles are rounded to ``ROUND_DIGITS`` decimals.
-* Integer columns that a left join can leave empty are shown as doubles, so
-  an empty cell is the same missing float in every client (pandas turns a
-  Spark int column with nulls into float64, DuckDB into nullable Int32).
+* Integer columns that can hold gaps are shown as doubles, in every query
+  alike, so that a gap is the same missing float in every client (pandas turns
+  a Spark int column with nulls into float64, DuckDB into nullable Int32).
 """
 
 ROUND_DIGITS = 6
 
-_PRICED = ["id_fecha_inicial", "id_fecha_actual", "Duracion_p10", "Duracion_p70", "tipo_producto"]
-_PRICED_V1 = ["fecha_inicio_p70", "fecha_vigencia", "Duracion_p70", "Duracion_p10", "dias_mora_actual",
-              "tipo_producto"]
-
-OUTER_JOIN_INTS: dict[str, list[str]] = {
-    "valuation_table": ["tipo_producto"],
-    "price_factor_direct": ["tipo_producto"],
-    "csv2_roundtrip": ["tipo_producto"],
-    "latest_extract": ["tipo_producto"],
-    "priced_portfolio": _PRICED,
-    "inactive_loans": _PRICED,
-    "priced_portfolio_v1": _PRICED_V1,
-    "collections_flag": ["cod_trans"],
-}
+KEYS_AS_DOUBLES = frozenset([
+    "credito", "id_fecha", "id_fecha_desembolso", "id_fecha_primera_factura", "id_fecha_inicial", "id_fecha_actual",
+    "fecha_inicio_p70", "fecha_vigencia", "Duracion_p70", "Duracion_p10", "numero_dias_mora",
+    "numero_dias_mora_inicial", "numero_dias_mora_actual", "dias_mora_actual", "tipo_producto", "cod_trans",
+])

@@ -25,22 +25,24 @@ from loanroll.functions.calendar import (
 from loanroll.operators import ledger as L
 from loanroll.operators import recovery as R
 from loanroll.operators import valuation as V
-from loanroll.plans.presentation import OUTER_JOIN_INTS, ROUND_DIGITS
+from loanroll.plans import run
+from loanroll.plans.presentation import KEYS_AS_DOUBLES, ROUND_DIGITS
 from loanroll.plans.reports import ExtractReport, ReportParams, RollReport, ValuationReport
 from loanroll.sources import readers, sinks
+from loanroll.sources.fixtures import FIXTURE_AS_OF, ROLL_MONTHS, ledger_month_wide, write_tape_csv
 from loanroll.sources.fixtures import staged_sources as fixture_sources
-from loanroll.sources.schemas import LEDGER_COLUMNS
+from loanroll.sources.schemas import LEDGER_COLUMNS, LEDGER_MONTH_WIDE
 from loanroll.session import scratch_dir
 
 
 
-def present(df: DataFrame, as_double: list[str] = ()) -> DataFrame:
+def present(df: DataFrame) -> DataFrame:
     """Round double columns (NaN and +-Inf pass through unchanged); show the
-    ``as_double`` integer columns as doubles."""
+    integer columns that can hold gaps as doubles."""
     cols = []
     for f in df.schema.fields:
         c = f"`{f.name}`"
-        if f.name in as_double:
+        if f.name in KEYS_AS_DOUBLES:
             c = f"CAST({c} AS DOUBLE)"
         elif isinstance(f.dataType, T.DoubleType):
             c = f"round({c}, {ROUND_DIGITS})"
@@ -48,16 +50,21 @@ def present(df: DataFrame, as_double: list[str] = ()) -> DataFrame:
     return df.selectExpr(*cols)
 
 
+def fixture_params(**params) -> ReportParams:
+    """The fixture's report date and month pair."""
+    return ReportParams(**({"as_of": FIXTURE_AS_OF, "roll_months": ROLL_MONTHS} | params))
+
+
 def _nv(spark: SparkSession, sf_dir: str, **params) -> ValuationReport:
-    return ValuationReport(fixture_sources(spark, sf_dir), ReportParams(**params))
+    return ValuationReport(fixture_sources(spark, sf_dir), fixture_params(**params))
 
 
 def _ov(spark: SparkSession, sf_dir: str, **params) -> ExtractReport:
-    return ExtractReport(fixture_sources(spark, sf_dir), ReportParams(**params))
+    return ExtractReport(fixture_sources(spark, sf_dir), fixture_params(**params))
 
 
 def _rm(spark: SparkSession, sf_dir: str, **params) -> RollReport:
-    return RollReport(fixture_sources(spark, sf_dir), ReportParams(**params))
+    return RollReport(fixture_sources(spark, sf_dir), fixture_params(**params))
 
 
 # --- scans / sources ---------------------------------------------------------
@@ -90,15 +97,15 @@ def purchase_tape(spark, sf_dir):
 def csv2_roundtrip(spark, sf_dir):
     """K2 then S8: write the hand-off extract as a ';' / decimal-comma CSV, read it back."""
     extract = _ov(spark, sf_dir).extract
-    path = sinks.write_csv2(extract, scratch_dir(spark, "csv2"), key=ReportParams().report_key)
+    path = sinks.write_csv2(extract, scratch_dir(spark, "csv2"), key=fixture_params().report_key)
     return readers.read_csv2(spark, path, extract.schema)
 
 
 def latest_extract(spark, sf_dir):
     """Extracts for two report months land in one folder; read the newest file."""
     folder = scratch_dir(spark, "extracts")
-    current = ReportParams()
-    earlier = ReportParams(as_of=dt.date(current.as_of.year, current.as_of.month, 1) - dt.timedelta(days=1))
+    current = fixture_params()
+    earlier = fixture_params(as_of=dt.date(current.as_of.year, current.as_of.month, 1) - dt.timedelta(days=1))
     schema = None
     for params in (earlier, current):
         extract = ExtractReport(fixture_sources(spark, sf_dir), params).extract
@@ -133,7 +140,7 @@ def exclude_loans(spark, sf_dir):
     src = fixture_sources(spark, sf_dir)
     ledger = src.ledger_month
     excluded = ledger.filter(F.col("saldo_capital").isNull() | (F.col("saldo_interes") < 0)).select("credito")
-    report = ValuationReport(src, ReportParams(), exclusions=excluded)
+    report = ValuationReport(src, fixture_params(), exclusions=excluded)
     return report.ledger_seq.select(*LEDGER_COLUMNS, "orden")
 
 
@@ -165,7 +172,7 @@ def zero_start_loans(spark, sf_dir):
 
 def zero_start_history(spark, sf_dir):
     r = _nv(spark, sf_dir)
-    return L.zero_start_history(r.ledger).select(*LEDGER_COLUMNS, "orden")
+    return L.zero_start_history(r.ledger_seq, r.profile).select(*LEDGER_COLUMNS, "orden")
 
 
 def prior_product_balance(spark, sf_dir):
@@ -173,9 +180,7 @@ def prior_product_balance(spark, sf_dir):
 
 
 def last_two_non70(spark, sf_dir):
-    r = _ov(spark, sf_dir)
-    zero = L.zero_start_set(r.ledger, "saldo_capital")
-    return L.last_two_non_product(r.ledger, zero)
+    return L.last_two_non_product(_ov(spark, sf_dir).profile)
 
 
 def adjusted_recovery_base(spark, sf_dir):
@@ -307,11 +312,50 @@ def report_bundle_counts(spark, sf_dir):
     return sinks.bundle_counts(_nv(spark, sf_dir).bundle())
 
 
+def report_bundle_written(spark, sf_dir):
+    """K1: the newest report's sheets written as the job writes them, then counted from the files."""
+    report = _nv(spark, sf_dir)
+    paths = run.write_valuation_report(spark, report, scratch_dir(spark, "bundle"))
+    return sinks.bundle_counts({name: spark.read.parquet(path) for name, path in paths.items()})
+
+
+def _roll_written(spark, sf_dir, name: str) -> DataFrame:
+    paths = run.write_roll_report(spark, _rm(spark, sf_dir), scratch_dir(spark, "roll"))
+    return spark.read.parquet(paths[name])
+
+
+def bucket_share_written(spark, sf_dir):
+    """K3: the share history written and read back (display names undone)."""
+    back = {v: k for k, v in sinks.DISPLAY_NAMES.items()}
+    df = _roll_written(spark, sf_dir, run.SHARE_HISTORY_NAME)
+    return df.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in df.columns])
+
+
+def roll_matrices_written(spark, sf_dir):
+    """K4: both matrices written and read back, units and shares side by side in long form by row."""
+    units, share = (_roll_written(spark, sf_dir, n) for n in (run.UNITS_MATRIX_NAME, run.SHARE_MATRIX_NAME))
+    return units.select("bucket_from", *[F.col(f"`{b}`").alias(f"n_{b}") for b in units.columns[1:]]).join(share, "bucket_from")
+
+
+def purchase_tape_csv(spark, sf_dir):
+    """The tape from exported files with a preamble, cut by position."""
+    path = scratch_dir(spark, "tape") + ".csv"
+    write_tape_csv(fixture_sources(spark, sf_dir).purchase_tape_raw, path)
+    return V.purchase_tape(readers.read_purchase_tape_csv(spark, path))
+
+
+def ledger_wide(spark, sf_dir):
+    """The wider ledger, written and read with its declared schema."""
+    path = scratch_dir(spark, "ledger-wide")
+    ledger_month_wide(spark, sf_dir).write.parquet(path)
+    return readers.read_parquet_table(spark, path, LEDGER_MONTH_WIDE)
+
+
 # --- calendar --------------------------------------------------------------------------
 
 def _report_dates(spark, sf_dir) -> DataFrame:
     """Every month end of the ledger taken as a report run date."""
-    return fixture_sources(spark, sf_dir).ledger_month.select("id_fecha").distinct()
+    return fixture_sources(spark, sf_dir).ledger_month.select("id_fecha").filter("id_fecha IS NOT NULL").distinct()
 
 
 def calendar_keys(spark, sf_dir):
@@ -382,6 +426,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         portfolio_summary, portfolio_summary_v1, residual_loans, residual_summary,
         residual_summary_v1, live_product_70, live_product_70_v1, live_product_71,
         live_product_71_v1, report_bundle_counts,
+        report_bundle_written, bucket_share_written, roll_matrices_written, purchase_tape_csv, ledger_wide,
         calendar_keys, previous_month_name,
         dpd_bucket, bucket_share_history, bucket_one_hot, common_loans,
         roll_matrix_units, roll_matrix_share, roll_matrix_check, collections_flag,
@@ -391,7 +436,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _presented(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(fn(spark, sf_dir), OUTER_JOIN_INTS.get(fn.__name__, ()))
+        return present(fn(spark, sf_dir))
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run

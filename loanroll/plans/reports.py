@@ -25,25 +25,34 @@ from loanroll.operators import portfolio as P
 from loanroll.operators import recovery as R
 from loanroll.operators import rolling as RM
 from loanroll.operators import valuation as V
-from loanroll.sources.fixtures import FIXTURE_AS_OF, ROLL_MONTHS, Sources
+from loanroll.sources.model import Sources
+
+
+def last_two_months(as_of: dt.date) -> tuple[tuple[int, int], tuple[int, int]]:
+    """The report month and the month before it, as (year, month), older first."""
+    end = previous_month_end(as_of)
+    before = previous_month_end(end)
+    return (before.year, before.month), (end.year, end.month)
 
 
 @dataclass(frozen=True)
 class ReportParams:
-    as_of: dt.date = FIXTURE_AS_OF
+    """A run's parameters; the date defaults to today (F14), the roll matrix to the last two closed months."""
+
+    as_of: dt.date = field(default_factory=dt.date.today)
     product: int = 70
+    second_product: int = 71                   # the other product of the daily table and the live lists
     min_balance: float = 0.0001
     exposure_baseline: str = "as_written"     # D1: or "initial"
-    tie_break: tuple[str, ...] = ()            # 1.5: ledger tie-break columns
-    roll_months: tuple[tuple[int, int], tuple[int, int]] = ROLL_MONTHS
+    tie_break: tuple[str, ...] = ()            # 1.5: ledger columns before the declared tie-break
+    roll_months: tuple[tuple[int, int], tuple[int, int]] | None = None
     include_over_360: bool = False             # D11
     live_71_source: str = "active"             # D7: or "inactive"
     assert_unique: bool = False                # D4: fail instead of fanning out
 
-    @classmethod
-    def today(cls, **overrides) -> "ReportParams":
-        """a run for the current date (the scripts read ``Sys.Date()``)."""
-        return cls(as_of=dt.date.today(), **overrides)
+    @property
+    def months(self) -> tuple[tuple[int, int], tuple[int, int]]:
+        return self.roll_months or last_two_months(self.as_of)
 
     @property
     def report_key(self) -> int:
@@ -69,11 +78,12 @@ class _Base:
         """The monthly ledger, without excluded loans (left anti join) if given."""
         if self.exclusions is None:
             return self.src.ledger_month
-        return self.src.ledger_month.join(self.exclusions.select("credito").distinct(), "credito", "left_anti")
+        excluded = self.exclusions.select("credito").distinct()
+        return self.src.ledger_month.join(excluded, L.same_loan(self.src.ledger_month, excluded), "left_anti")
 
     @cached_property
     def ledger_seq(self) -> DataFrame:
-        return L.with_sequence(self.ledger, self.params.tie_break)
+        return L.with_sequence(self.ledger, self.params.tie_break, max_loan_rows=self.src.max_loan_rows)
 
     @cached_property
     def product_rows(self) -> DataFrame:
@@ -82,14 +92,13 @@ class _Base:
 
     @cached_property
     def profile(self) -> DataFrame:
-        # Tie-break columns need the numbered ledger; otherwise the month key
-        # orders each loan and no raw ledger row is shuffled.
-        ledger = self.ledger_seq if self.params.tie_break else self.ledger
-        return L.loan_profile(ledger, self.params.product)
+        return L.loan_profile(self.ledger, self.params.product, tie_break=self.params.tie_break,
+                              max_loan_rows=self.src.max_loan_rows)
 
     @cached_property
     def daily(self) -> DataFrame:
-        return V.daily_closing_snapshot(self.src.ledger_day, self.params.window_keys)
+        return V.daily_closing_snapshot(self.src.ledger_day, self.params.window_keys,
+                                        (self.params.product, self.params.second_product))
 
     @cached_property
     def tape(self) -> DataFrame:
@@ -158,12 +167,12 @@ class ValuationReport(_Base):
 
     @cached_property
     def live_70(self) -> DataFrame:
-        return P.live_product_70(self.active)
+        return P.live_product_70(self.active, product=self.params.product)
 
     @cached_property
     def live_71(self) -> DataFrame:
         rows = self.active if self.params.live_71_source == "active" else self.inactive
-        return P.live_product_71(rows)
+        return P.live_product_71(rows, self.params.second_product)
 
     def bundle(self) -> dict[str, DataFrame]:
         """K1: the report's named tables (sheet name -> DataFrame)."""
@@ -185,7 +194,7 @@ class ExtractReport(_Base):
 
     @cached_property
     def adjusted(self) -> DataFrame:
-        return L.adjusted_capital_v1(self.ledger, self.profile, self.params.tie_break)
+        return L.adjusted_capital_v1(self.profile, self.params.product)
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -200,10 +209,7 @@ class ExtractReport(_Base):
     @cached_property
     def extract(self) -> DataFrame:
         """``VALORACION_FINAl``: the 19-column hand-off extract."""
-        t = (
-            self.rates.join(self.daily, "credito", "left")
-            .join(self.ltv_snapshot.select(*V.LTV_COLUMNS), "credito", "left")
-        )
+        t = L.left_by_loan(L.left_by_loan(self.rates, self.daily), self.ltv_snapshot.select(*V.LTV_COLUMNS))
         return t.withColumn("Valoracion_pd",
                             V.price_factor_direct("tasa_recuperacion_anual", "LTV", "Duracion_p70"))
 
@@ -245,11 +251,11 @@ class ExtractReport(_Base):
 
     @cached_property
     def live_70(self) -> DataFrame:
-        return P.live_product_70(self.active, keep_all_priced=False)
+        return P.live_product_70(self.active, keep_all_priced=False, product=self.params.product)
 
     @cached_property
     def live_71(self) -> DataFrame:
-        return P.live_product_71(self.inactive)  # as written in the older report (D7)
+        return P.live_product_71(self.inactive, self.params.second_product)  # as written in the older report (D7)
 
 
 class RollReport(_Base):
@@ -269,15 +275,15 @@ class RollReport(_Base):
 
     @cached_property
     def one_hot(self) -> DataFrame:
-        return RM.bucket_one_hot(self.product_rows, *self.params.roll_months[0])
+        return RM.bucket_one_hot(self.product_rows, *self.params.months[0])
 
     @cached_property
     def common(self) -> DataFrame:
-        return RM.common_loans(self.product_rows, *self.params.roll_months)
+        return RM.common_loans(self.product_rows, *self.params.months)
 
     @cached_property
     def units(self) -> DataFrame:
-        return RM.roll_matrix_units(self.product_rows, *self.params.roll_months)
+        return RM.roll_matrix_units(self.product_rows, *self.params.months)
 
     @cached_property
     def share(self) -> DataFrame:

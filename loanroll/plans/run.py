@@ -6,23 +6,27 @@ a Parquet table in the shared checkpoint folder (``spark.checkpoint.dir``):
 each sheet then reads it instead of recomputing the rate stage, and a lost
 executor costs a re-read, not a recomputation from the ledger.
 
-Command line (fixture sources derived from the driver's tables)::
+Command line, on stored tables (a JSON file maps each source table to a
+Parquet folder, a ``.csv`` tape, or the JDBC reader's options), or on the test
+fixture derived from the driver's tables::
 
-    python -m loanroll.plans.run --sf-dir /root/testdata/sf0.01 --out /path/to/out
+    python -m loanroll.plans.run --tables tables.json --out /shared/out
+    python -m loanroll.plans.run --sf-dir /root/testdata/sf0.01 --as-of 2001-07-15 --out /shared/out
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
+import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from loanroll.functions.calendar import previous_month_name
 from loanroll.plans.reports import ExtractReport, ReportParams, RollReport, ValuationReport
-from loanroll.session import scratch_dir
-from loanroll.sources import sinks
-from loanroll.sources.fixtures import Sources, staged_sources
+from loanroll.session import write_and_read
+from loanroll.sources import readers, sinks
+from loanroll.sources.model import Sources
 
 
 # Report folder and dataset names (the scripts' file names, without
@@ -33,34 +37,28 @@ UNITS_MATRIX_NAME = "MATRIZ RODAMIENTOS UNIDADES"
 SHARE_MATRIX_NAME = "MATRIZ RODAMIENTOS PROPORCIONES"
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back (cuts lineage)."""
-    path = scratch_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _share(spark: SparkSession, report, attr: str) -> None:
+def _share(report, attr: str) -> None:
     """Replace a cached report stage by its materialized table."""
-    report.__dict__[attr] = materialize(spark, getattr(report, attr), attr)
+    report.__dict__[attr] = write_and_read(getattr(report, attr), attr)
 
 
 def write_valuation_report(spark: SparkSession, report: ValuationReport, out_dir: str) -> dict[str, str]:
     """K1 + K5: the five sheets of the newest script, one dataset each, under a
     folder named after the previous month (``Resumen y créditos vigentes <Mes>``)."""
-    _share(spark, report, "priced")
+    _share(report, "priced")
     folder = f"{out_dir.rstrip('/')}/{VALUATION_FOLDER} {previous_month_name(report.params.as_of)}"
     return sinks.write_bundle(report.bundle(), folder)
 
 
 def write_extract(report: ExtractReport, out_dir: str) -> str:
-    """K2: the older script's hand-off extract (';' CSV, decimal comma)."""
+    """K2: the older script's hand-off extract (';' CSV, decimal comma), built once for the older report too."""
+    _share(report, "extract")
     return sinks.write_csv2(report.extract, out_dir, key=report.params.report_key)
 
 
 def write_extract_report(spark: SparkSession, report: ExtractReport, out_dir: str) -> dict[str, str]:
     """K1 for the older report: tape, summary, residual, live 70/71 lists."""
-    _share(spark, report, "priced")
+    _share(report, "priced")
     bundle = {
         "Cartera": report.tape,
         "Resumen": report.summary,
@@ -73,7 +71,7 @@ def write_extract_report(spark: SparkSession, report: ExtractReport, out_dir: st
 
 def write_roll_report(spark: SparkSession, report: RollReport, out_dir: str) -> dict[str, str]:
     """K3 (share history) + K4 (unit and share matrices, ``bucket_from`` first)."""
-    _share(spark, report, "units")
+    _share(report, "units")
     base = out_dir.rstrip("/")
     return sinks.write_bundle({
         SHARE_HISTORY_NAME: report.share_history,
@@ -98,19 +96,23 @@ def main(argv: list[str] | None = None) -> None:
     from loanroll.session import get_session
 
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    ap.add_argument("--sf-dir", required=True, help="folder of the driver's parquet tables")
+    source = ap.add_mutually_exclusive_group(required=True)
+    source.add_argument("--tables", help="JSON file: source table -> Parquet folder, .csv tape or JDBC options")
+    source.add_argument("--sf-dir", help="folder of the driver's parquet tables (the test fixture)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--as-of", default=None,
-                    help="report run date, YYYY-MM-DD, or 'today' (default: the fixture date)")
+                    help="report run date, YYYY-MM-DD (default: today)")
     args = ap.parse_args(argv)
     spark = get_session()
-    if args.as_of == "today":
-        params = ReportParams.today()
-    elif args.as_of:
-        params = ReportParams(as_of=dt.date.fromisoformat(args.as_of))
+    params = ReportParams(as_of=dt.date.fromisoformat(args.as_of)) if args.as_of else ReportParams()
+    if args.tables:
+        with open(args.tables, encoding="utf-8") as f:
+            sources = readers.warehouse_sources(spark, json.load(f))
     else:
-        params = ReportParams()
-    for name, path in run_all(spark, staged_sources(spark, args.sf_dir), params, args.out).items():
+        from loanroll.sources.fixtures import staged_sources
+
+        sources = staged_sources(spark, args.sf_dir)
+    for name, path in run_all(spark, sources, params, args.out).items():
         print(f"{name}\t{path}")
 
 

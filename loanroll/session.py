@@ -8,10 +8,11 @@ the environment and ``spark.checkpoint.dir`` names the shared folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -43,12 +44,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return ``spark.checkpoint.dir``; set a private one only when it is unset.
 
-    A cluster names a shared folder there. Only a local/test session falls
-    back to a fresh folder of its own.
+    A cluster names a shared folder there. Only a local session falls back to
+    a fresh folder of its own: on several nodes each would write its own disk.
     """
     current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="loanroll-ckpt-")
     spark.conf.set(_CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
@@ -61,6 +64,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/loanroll/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back: a lineage cut that survives lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cluster_conf(shuffle_bytes: float, cores: int, target_partition_bytes: float = 256 * 1024 ** 2) -> dict[str, str]:
     """Sizing for a cluster run (apply at session build or with ``spark.conf.set``).
 

@@ -7,6 +7,11 @@ read them through :func:`staged_sources`: derived once per session and written
 as Parquet tables to the shared checkpoint folder, like the warehouse tables the
 reference reads.
 
+The fixture holds what can tell a right result from a wrong one: missing
+dates, ids and balances, repeated (loan, month) cells, charges, disbursement
+dates that vary within a loan, repeated snapshot rows, loans that leave the
+product again, and a non-empty exclusion list.
+
 Scale notes: the ledger is one aggregation of ``lineitem`` by
 ``(l_partkey, month)`` with map-side partial aggregation, so a hot part key
 costs one row per month after the shuffle; the per-loan disbursement date is
@@ -16,21 +21,20 @@ a window over those aggregated rows (bounded by the number of months).
 from __future__ import annotations
 
 import datetime as dt
-import os
 import threading
-from dataclasses import dataclass, fields
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanroll.functions.calendar import key_of, month_end_key
 from loanroll.session import scratch_dir
+from loanroll.sources.model import PARTITIONED, TABLES, Sources
 
 # Fixed values of the fixture derivation (FIXTURES.md section 2).
 FIXTURE_AS_OF = dt.date(2001, 7, 15)          # report month 2001-06, window 20010701..05
 DAILY_FIRST_KEY = 20010701
 LTV_SNAPSHOTS = ((20010630, 25.0), (20010531, 30.0))  # (id_fecha, p_size divisor)
+LEAVE_KEY = 20000630                          # from here on, loans with l_partkey % 19 = 0 are product 10 again
 LATE_CUTOFF_KEY = 20010531                    # cutoff when l_partkey % 4 = 3
 EARLY_CUTOFF_BASE = 19970131                  # else 19970131 + 10000 * (l_partkey % 4)
 ROLL_MONTHS = ((2000, 10), (2000, 11))        # month pair of the roll-rate matrix
@@ -44,61 +48,86 @@ def _product_of(key: F.Column) -> F.Column:
     return F.when(key % 5 == 0, F.lit(71)).otherwise(F.lit(70))
 
 
+def _daily_product(key: F.Column) -> F.Column:
+    """As the ledger, but some product-70 loans are seen under 71 in the daily table."""
+    return F.when(key % 15 == 2, F.lit(71)).otherwise(_product_of(key))
+
+
+def _missing(condition: F.Column, value: F.Column) -> F.Column:
+    return F.when(~condition, value)
+
+
 def ledger_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``Fact_Cartera_Mes`` <- lineitem grouped by (l_partkey, month end of ship date)."""
+    """Monthly ledger <- lineitem grouped by (l_partkey, month end of ship date), with gaps and repeated cells."""
     li = _read(spark, sf_dir, "lineitem")
     ship = F.to_date("l_shipdate")
     price = F.col("l_extendedprice")
     kept = F.col("l_returnflag") != "R"
     arrears = (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O")
     monthly = li.groupBy(
-        F.col("l_partkey").alias("credito"),
-        month_end_key(ship).alias("id_fecha"),
+        F.col("l_partkey").alias("k"),
+        month_end_key(ship).alias("month"),
     ).agg(
         F.sum("l_quantity").cast("int").alias("q"),
         F.sum(price).alias("valor_desembolso"),
-        F.sum(F.when(kept, price).otherwise(0.0)).alias("saldo_capital"),
-        F.sum(F.when(kept, price * F.col("l_tax")).otherwise(0.0)).alias("saldo_interes"),
-        F.sum(F.when(kept, price * F.col("l_discount")).otherwise(0.0)).alias("saldo_seguros"),
+        F.sum(F.when(kept, price).otherwise(0.0)).alias("capital"),
+        F.sum(F.when(kept, price * F.col("l_tax")).otherwise(0.0)).alias("interes"),
+        F.sum(F.when(kept, price * F.col("l_discount")).otherwise(0.0)).alias("seguros"),
         F.sum(F.when(arrears, price * F.col("l_discount")).otherwise(0.0)).alias("saldo_mora"),
         F.min(key_of(ship)).alias("first_ship_key"),
     )
-    q = F.col("q")
-    key = F.col("credito")
-    cutoff = F.when(key % 4 == 3, F.lit(LATE_CUTOFF_KEY)).otherwise(
-        F.lit(EARLY_CUTOFF_BASE) + (key % 4).cast("int") * 10000)
-    loan = Window.partitionBy("credito")
-    return monthly.select(
-        F.col("id_fecha"),
-        F.col("credito"),
-        F.min("first_ship_key").over(loan).alias("id_fecha_desembolso"),
+    q, k, month = F.col("q"), F.col("k"), F.col("month")
+    cutoff = F.when(k % 4 == 3, F.lit(LATE_CUTOFF_KEY)).otherwise(
+        F.lit(EARLY_CUTOFF_BASE) + (k % 4).cast("int") * 10000)
+    product = F.when((month < cutoff) | ((k % 19 == 0) & (month > LEAVE_KEY)), F.lit(10)).otherwise(_product_of(k))
+    loan_first = F.min("first_ship_key").over(Window.partitionBy("k"))
+    # some cells hold a second row: half the capital, another product in odd cells
+    copies = F.when(k % 13 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = monthly.withColumns({"loan_first": loan_first, "product": product}).withColumn("c", F.explode(copies))
+    c = F.col("c")
+    capital = F.when(c == 1, F.col("capital") / 2).otherwise(F.col("capital"))
+    return rows.select(
+        _missing((k % 41 == 0) & (q % 6 == 0), month).cast("int").alias("id_fecha"),
+        _missing(k % 97 == 0, k).alias("credito"),
+        _missing((k % 17 == 0) & (q % 4 == 0), F.when(k % 3 == 0, F.col("first_ship_key")).otherwise(F.col("loan_first")))
+        .alias("id_fecha_desembolso"),
         F.col("valor_desembolso"),
-        F.when(q % 9 == 0, F.lit(0)).otherwise((q * 7) % 391).cast("int").alias("numero_dias_mora"),
-        F.col("saldo_capital"),
-        F.col("saldo_interes"),
-        F.col("saldo_seguros"),
-        F.lit(0.0).alias("saldo_cargo_1"),
-        F.lit(0.0).alias("saldo_cargo_2"),
-        F.lit(0.0).alias("saldo_cargo_3"),
+        _missing(q % 31 == 0, F.when(q % 9 == 0, F.lit(0)).otherwise((q * 7 + c) % 391)).cast("int").alias("numero_dias_mora"),
+        _missing(q % 29 == 0, capital).alias("saldo_capital"),
+        _missing(q % 23 == 0, F.when((k % 37 == 0) & (q % 2 == 0), -F.col("interes")).otherwise(F.col("interes"))).alias("saldo_interes"),
+        F.col("seguros").alias("saldo_seguros"),
+        F.when(q % 5 == 0, q * 1.5).otherwise(0.0).alias("saldo_cargo_1"),
+        F.when(q % 7 == 0, q * 0.25).otherwise(0.0).alias("saldo_cargo_2"),
+        F.when(q % 11 == 0, q * 2.0).otherwise(0.0).alias("saldo_cargo_3"),
         F.col("saldo_mora"),
-        (F.col("saldo_capital") + F.col("saldo_interes") + F.col("saldo_seguros"))
-        .alias("valor_canc_capital_intereses_seguros"),
-        F.when(F.col("id_fecha") < cutoff, F.lit(10)).otherwise(_product_of(key))
-        .cast("int").alias("tipo_producto"),
+        (capital + F.col("interes") + F.col("seguros")).alias("valor_canc_capital_intereses_seguros"),
+        F.when((c == 1) & (q % 2 == 1), F.when(F.col("product") == 10, F.lit(70)).otherwise(F.lit(10)))
+        .otherwise(F.col("product")).cast("int").alias("tipo_producto"),
         (q * 100.0).alias("valor_garantia"),
     )
 
 
+def ledger_month_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly ledger with the roll-rate report's further columns."""
+    rows = ledger_month(spark, sf_dir)
+    return rows.select(
+        "*", F.when(F.col("credito") % 3 == 0, "NIT").otherwise("CC").alias("tipo_id_deudor"),
+        (F.col("id_fecha_desembolso") + 1).cast("int").alias("id_fecha_primera_factura"),
+        (F.col("saldo_capital") * 0.5).alias("base_de_provision"),
+        (F.col("saldo_capital") + F.col("saldo_mora")).alias("total_deuda"))
+
+
 def ledger_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``Fact_Cartera_Dia`` <- part: one row per part on one of seven days."""
+    """Daily ledger <- part: one row per part on one of seven days, two for some."""
     p = _read(spark, sf_dir, "part")
     k, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
-    return p.select(
+    again = F.explode(F.when(k % 59 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("c")
+    return p.select("*", again).select(
         (F.lit(DAILY_FIRST_KEY) + k % 7).cast("int").alias("id_fecha"),
         k.alias("credito"),
-        _product_of(k).cast("int").alias("tipo_producto"),
+        _daily_product(k).cast("int").alias("tipo_producto"),
         F.when(size <= 3, F.lit(0.0)).otherwise(price).alias("saldo_capital"),
-        F.when(size % 11 == 0, F.lit(None).cast("double")).otherwise(price * 1.1)
+        F.when(size % 11 == 0, F.lit(None).cast("double")).otherwise(price * 1.1 + F.col("c"))
         .alias("valor_pago_ttl_canc"),
         F.when(size % 10 == 0, F.lit(0)).otherwise(F.lit(1)).cast("int").alias("ind_cierre"),
     )
@@ -112,11 +141,12 @@ def ltv(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(key).alias("id_fecha"), F.lit(div).alias("div"))
         for key, div in LTV_SNAPSHOTS
     ])).alias("s")
-    return p.select("*", snaps).select(
+    again = F.explode(F.when(k % 53 == 0, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("c")
+    return p.select("*", snaps).select("*", again).select(
         k.alias("credito"),
         F.col("s.id_fecha").cast("int").alias("id_fecha"),
         _product_of(k).cast("int").alias("tipo_producto"),
-        F.lit(1).alias("conteo_garantias"),
+        F.col("c").alias("conteo_garantias"),
         F.when(k % 13 == 0, F.lit(None).cast("double")).otherwise(size / F.col("s.div")).alias("LTV"),
         F.col("p_retailprice").alias("valor_garantia_final"),
         F.when(size % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("p_type"))
@@ -125,20 +155,20 @@ def ltv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restructuring_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Restructuring marks <- orders (status F/O/P -> R/S/T)."""
+    """Restructuring marks <- orders (status F/O/P -> R/S/T), some without a date or an id."""
     o = _read(spark, sf_dir, "orders")
-    status = F.col("o_orderstatus")
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
     return o.select(
         F.col("o_custkey").alias("credito"),
-        key_of(F.to_date("o_orderdate")).alias("id_fecha"),
+        _missing(key % 43 == 0, key_of(F.to_date("o_orderdate"))).alias("id_fecha"),
         F.when(status == "F", "R").when(status == "O", "S").when(status == "P", "T")
         .alias("marcacion"),
-        F.col("o_orderkey").alias("id_marca"),
+        _missing(key % 47 == 0, key).alias("id_marca"),
     )
 
 
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collections (Fact_Recaudo) <- orders; urgent orders carry code 88."""
+    """Collections <- orders; urgent orders carry code 88."""
     o = _read(spark, sf_dir, "orders")
     return o.select(
         F.col("o_custkey").alias("credito"),
@@ -160,16 +190,20 @@ def purchase_tape_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Sources:
-    """The report inputs as lazy DataFrames."""
+def write_tape_csv(tape: DataFrame, path: str) -> None:
+    """The tape as exported files: three preamble lines (one begins with a number), a header line, amounts with decimal comma."""
+    import pyarrow as pa
+
+    preamble = pa.RecordBatch.from_pydict({"value": ["20010630,Cartera,", "Corte,,", "", "Credito,Suma de Importe base,Precio de compra"]})
 
-    ledger_month: DataFrame
-    ledger_day: DataFrame
-    ltv: DataFrame
-    restructuring_mark: DataFrame
-    collections: DataFrame
-    purchase_tape_raw: DataFrame
+    def with_preamble(batches):
+        yield preamble
+        yield from (pa.RecordBatch.from_arrays([b.column(0)], ["value"]) for b in batches)
+
+    amounts = [F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")), F.lit('"'))
+               for c in ("suma_importe_base", "precio_compra")]
+    lines = tape.select(F.concat_ws(",", F.coalesce(F.col("credito").cast("string"), F.lit("")), *amounts).alias("value"))
+    lines.mapInArrow(with_preamble, "value string").write.text(path)
 
 
 def fixture_sources(spark: SparkSession, sf_dir: str) -> Sources:
@@ -183,42 +217,49 @@ def fixture_sources(spark: SparkSession, sf_dir: str) -> Sources:
     )
 
 
-_STAGED: dict[tuple[str, str], tuple[str, Sources]] = {}
+_STAGED: dict[tuple, Sources] = {}
 _STAGE_LOCK = threading.Lock()
-
-
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether the staging marker table is still there (e.g. not cleaned up)."""
-    try:
-        spark.read.schema("ok int").parquet(path)
-        return True
-    except AnalysisException:
-        return False
+_INPUTS = ("lineitem", "part", "orders")
+
+
+def _content_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the inputs are: files with their sizes and times (listed, not read)."""
+    key = []
+    for name in _INPUTS:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir.rstrip('/')}/{name}.parquet")
+                 .select("path", "modificationTime", "length"))
+        mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+        key.append(tuple(mark))
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), *key)
+
+
+def stage(derived: Sources, base: str) -> Sources:
+    """Write the tables under ``base`` and read them back; dated tables in one folder per date, of evenly sized files."""
+    spark, tables = derived.ledger_month.sparkSession, {}
+    for name in TABLES:
+        df = getattr(derived, name)
+        path = f"{base}/{name}"
+        if name in PARTITIONED:
+            df.hint("rebalance", "id_fecha").write.mode("overwrite").partitionBy("id_fecha").parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(path)
+        tables[name] = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    largest = tables["ledger_month"].groupBy("credito").count().agg(F.max("count")).first()[0]
+    return Sources(**tables, max_loan_rows=largest or 0)
 
 
 def staged_sources(spark: SparkSession, sf_dir: str) -> Sources:
-    """The derived source tables written once per session as Parquet tables in
+    """The derived source tables written once per session and content as Parquet tables in
     the shared checkpoint folder, then read back like warehouse tables.
 
     The reference reads stored warehouse tables; staging gives the reports the
-    same shape (scans with pushdown and pruning, no lineage back to
+    same shape (scans with pushdown and partition pruning, no lineage back to
     ``lineitem``), computes each derivation once for all queries of a run,
     and leaves the reports restartable from shared storage if executors are
-    lost.
+    lost. Inputs that were rewritten are staged anew.
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = _content_key(spark, sf_dir)
     with _STAGE_LOCK:
-        hit = _STAGED.get(key)
-        if hit and _path_exists(spark, f"{hit[0]}/staged_ok"):
-            return hit[1]
-        derived = fixture_sources(spark, sf_dir)
-        base = scratch_dir(spark, "staged")
-        tables = {}
-        for f in fields(Sources):
-            df = getattr(derived, f.name)
-            df.write.mode("overwrite").parquet(f"{base}/{f.name}")
-            tables[f.name] = spark.read.schema(df.schema).parquet(f"{base}/{f.name}")
-        spark.createDataFrame([(1,)], "ok int").write.mode("overwrite").parquet(f"{base}/staged_ok")
-        staged = Sources(**tables)
-        _STAGED[key] = (base, staged)
-        return staged
+        if key not in _STAGED:
+            _STAGED[key] = stage(fixture_sources(spark, sf_dir), scratch_dir(spark, "staged"))
+        return _STAGED[key]

@@ -3,7 +3,7 @@
 * Warehouse tables: Parquet (partitioned by ``id_fecha`` on disk, so date
   predicates prune partitions) or JDBC with a partition column, never a
   single-connection pull.
-* Purchase tape: a CSV export of the accounting spreadsheet.
+* Purchase tape: a CSV export of the accounting spreadsheet, cut by position.
 * Hand-off extract: ``;``-separated, decimal comma, ``NA`` for missing.
 
 No reader infers a schema.
@@ -13,63 +13,68 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanroll.sources import schemas
+from loanroll.sources.model import Sources
 from loanroll.sources.schemas import PURCHASE_TAPE
 
 
 def read_parquet_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A warehouse table exported to Parquet, read with its declared schema."""
-    return spark.read.schema(schema).parquet(path)
+    """A warehouse table exported to Parquet, read with its declared schema (and column order)."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def read_jdbc_table(spark: SparkSession, table: str, url: str, schema: T.StructType,
-                    partition_column: str | None = None, bounds: tuple[int, int] | None = None,
-                    num_partitions: int = 64, query_timeout: int = 1000,
-                    properties: dict[str, str] | None = None) -> DataFrame:
+                    partition_column: str, bounds: tuple[int, int], num_partitions: int = 64,
+                    query_timeout: int = 1000, properties: dict[str, str] | None = None) -> DataFrame:
     """A warehouse table over JDBC; connection details come from configuration.
 
-    With ``partition_column`` and ``bounds`` the read is split into
-    ``num_partitions`` range queries instead of one connection.
+    The read is always split into ``num_partitions`` range queries on
+    ``partition_column``: one connection would be one task.
     """
     reader = (
         spark.read.format("jdbc").option("url", url).option("dbtable", table)
         .option("queryTimeout", str(query_timeout))
+        .option("partitionColumn", partition_column)
+        .option("lowerBound", str(bounds[0])).option("upperBound", str(bounds[1]))
+        .option("numPartitions", str(num_partitions))
     )
     for k, v in (properties or {}).items():
         reader = reader.option(k, v)
-    if partition_column and bounds:
-        reader = (
-            reader.option("partitionColumn", partition_column)
-            .option("lowerBound", str(bounds[0])).option("upperBound", str(bounds[1]))
-            .option("numPartitions", str(num_partitions))
-        )
     df = reader.load()
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_purchase_tape_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV export of the tape (preamble rows, then a header row, then data).
+def read_purchase_tape_csv(spark: SparkSession, path: str, skip: int = 3) -> DataFrame:
+    """CSV export of the tape: ``skip`` preamble lines and a header line, then data, one row per line.
 
-    Everything is read as text by position; the preamble and header rows
-    carry no numeric loan id, so the script's ``filter(!is.na(Credito))``
-    drops them together with data rows that lack an id.
+    The preamble is cut by position, as the scripts' ``skip`` does: the first
+    lines of each file, which are the first lines of the task that reads the
+    file's first block. Columns are taken by position. Rows without an id stay
+    (the operators drop them); ids may be written as ``10`` or ``10.0``.
     """
     names = [f.name for f in PURCHASE_TAPE.fields]
-    raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])) \
-        .option("header", "false").option("mode", "PERMISSIVE").csv(path)
-    typed = raw.select(
-        F.trim(F.col("credito")).try_cast("bigint").alias("credito"),
-        *[_parse_number(F.col(n)).alias(n) for n in names[1:]],
-    )
-    return typed.filter(F.col("credito").isNotNull())
-
-
-def _parse_number(c: F.Column) -> F.Column:
-    """Text number with decimal comma or point -> double (null when not a number)."""
-    return F.regexp_replace(F.trim(c), ",", ".").try_cast("double")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("start = 0").groupBy("file").agg(F.min("at").alias("first"))  # one row per file
+    numbered = lines.join(first, "file", "left")
+    data = numbered.filter(F.expr(f"start > 0 OR at - first > {skip}")).filter(F.trim("value") != "")
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    row = F.from_csv("value", text.simpleString()[len("struct<"):-1].replace(":", " "))
+    return data.select(row.alias("r")).select(
+        parse_number(F.col("r.credito")).cast("bigint").alias("credito"),
+        *[parse_number(F.col(f"r.{n}")).alias(n) for n in names[1:]])
+
+
+def parse_number(c: Column) -> Column:
+    """Number text -> double: with a decimal comma ``.`` groups digits, else ``.`` is the decimal point; null when not a number."""
+    text = F.trim(c)
+    comma = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return F.when(text.contains(","), comma).otherwise(text).try_cast("double")
 
 
 def read_csv2(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -84,11 +89,12 @@ def read_csv2(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     for f in schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.regexp_replace(c, ",", ".").cast("double")
+            # '.' groups digits; what is no number is missing
+            c = F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
         elif isinstance(f.dataType, T.StringType):
             c = F.when(c == "", F.lit(None)).otherwise(c)
         else:
-            c = c.cast(f.dataType)
+            c = F.replace(c, F.lit("."), F.lit("")).try_cast(f.dataType)
         cols.append(c.alias(f.name))
     return raw.select(*cols)
 
@@ -121,25 +127,24 @@ def read_latest_csv2(spark: SparkSession, folder: str, prefix: str, schema: T.St
     return read_csv2(spark, newest_path(spark, folder, prefix), schema)
 
 
-def warehouse_sources(spark: SparkSession, paths: dict[str, str], wide_ledger: bool = False):
-    """S1-S6 from stored tables: ``paths`` maps each source name of
-    :class:`loanroll.sources.fixtures.Sources` to a Parquet folder (the
-    purchase tape may be a ``.csv`` export instead). ``wide_ledger`` reads
-    the roll-rate report's wider ledger projection (S1b)."""
-    from loanroll.sources import schemas
-    from loanroll.sources.fixtures import Sources
-
+def warehouse_sources(spark: SparkSession, tables: dict[str, str | dict], wide_ledger: bool = False) -> Sources:
+    """S1-S6 from stored tables: ``tables`` maps each of ``model.TABLES`` to a
+    Parquet folder, or to the keyword arguments of :func:`read_jdbc_table`
+    (the purchase tape may be a ``.csv`` export instead). ``wide_ledger``
+    reads the roll-rate report's wider ledger projection (S1b)."""
     declared = {
         "ledger_month": schemas.LEDGER_MONTH_WIDE if wide_ledger else schemas.LEDGER_MONTH,
         "ledger_day": schemas.LEDGER_DAY, "ltv": schemas.LTV,
         "restructuring_mark": schemas.RESTRUCTURING_MARK, "collections": schemas.COLLECTIONS,
         "purchase_tape_raw": schemas.PURCHASE_TAPE,
     }
-    tables = {}
+    read = {}
     for name, schema in declared.items():
-        path = paths[name]
-        if name == "purchase_tape_raw" and path.endswith(".csv"):
-            tables[name] = read_purchase_tape_csv(spark, path)
+        where = tables[name]
+        if isinstance(where, dict):
+            read[name] = read_jdbc_table(spark, schema=schema, **where)
+        elif name == "purchase_tape_raw" and where.endswith(".csv"):
+            read[name] = read_purchase_tape_csv(spark, where)
         else:
-            tables[name] = read_parquet_table(spark, path, schema)
-    return Sources(**tables)
+            read[name] = read_parquet_table(spark, where, schema)
+    return Sources(**read)

@@ -13,7 +13,7 @@ def _schema(*fields) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
-# Monthly ledger: one row per loan and month end (Fact_Cartera_Mes).
+# Monthly ledger: one row per loan and month end.
 LEDGER_MONTH = _schema(
     ("id_fecha", _I), ("credito", _L), ("id_fecha_desembolso", _I),
     ("valor_desembolso", _D), ("numero_dias_mora", _I),
@@ -35,7 +35,7 @@ LEDGER_MONTH_WIDE = T.StructType(LEDGER_MONTH.fields + [
     T.StructField("total_deuda", _D, True),
 ])
 
-# Daily ledger (Fact_Cartera_Dia), the columns the reports touch.
+# Daily ledger, the columns the reports touch.
 LEDGER_DAY = _schema(
     ("id_fecha", _I), ("credito", _L), ("tipo_producto", _I),
     ("saldo_capital", _D), ("valor_pago_ttl_canc", _D), ("ind_cierre", _I),
@@ -52,7 +52,7 @@ RESTRUCTURING_MARK = _schema(
     ("credito", _L), ("id_fecha", _I), ("marcacion", _S), ("id_marca", _L),
 )
 
-# Collections (Fact_Recaudo).
+# Collections.
 COLLECTIONS = _schema(
     ("credito", _L), ("id_fecha_efe_mov", _I), ("cod_trans", _I), ("valor_pago_capital", _D),
 )
@@ -61,10 +61,3 @@ COLLECTIONS = _schema(
 PURCHASE_TAPE = _schema(
     ("credito", _L), ("suma_importe_base", _D), ("precio_compra", _D),
 )
-
-# Display names of the tape columns in the accounting spreadsheet.
-TAPE_DISPLAY_NAMES = {
-    "credito": "Credito",
-    "suma_importe_base": "Suma de Importe base",
-    "precio_compra": "Precio de compra",
-}

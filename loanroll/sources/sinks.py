@@ -57,10 +57,16 @@ def write_csv2(df: DataFrame, folder: str, key: int | str, mode: str = "overwrit
 
 
 def write_bundle(bundle: dict[str, DataFrame], folder: str, fmt: str = "parquet",
-                 display_names: bool = True, mode: str = "overwrite") -> dict[str, str]:
-    """K1/K3/K4: one dataset per named table under ``folder``."""
+                 display_names: bool = True, mode: str = "overwrite", sort_by: str = "credito") -> dict[str, str]:
+    """K1/K3/K4: one dataset per named table under ``folder``.
+
+    O1: tables that hold ``sort_by`` are written in its order (range
+    partitions, so part files ascend), as the scripts present them.
+    """
     paths = {}
     for name, df in bundle.items():
+        if sort_by in df.columns:
+            df = df.orderBy(sort_by)
         out = with_display_names(df) if display_names else df
         path = f"{folder.rstrip('/')}/{name}"
         out.write.mode(mode).format(fmt).save(path)

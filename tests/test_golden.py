@@ -4,8 +4,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
-
 from conftest import ledger_rows
 from loanroll.functions.calendar import closing_window_keys, previous_month_name, report_month_key
 from loanroll.operators import ledger as L
@@ -125,7 +123,7 @@ def test_dpd_buckets(spark):
     days = [0.0, 1.0, 30.0, 31.0, 360.0, 361.0, 30.5, -1.0, None]
     want = ["ICV0", "ICV30", "ICV30", "ICV60", "ICV360", "ICV360+", None, None, None]
     df = spark.createDataFrame([(d,) for d in days], "d double")
-    assert [r[0] for r in df.select(RM.dpd_bucket(F.col("d"))).collect()] == want
+    assert [r[0] for r in df.select(RM.dpd_bucket("d")).collect()] == want
 
 
 def test_roll_matrix_edges(spark):
@@ -172,3 +170,55 @@ def test_first_mark_collation_option(spark):
     lcase = {r["credito"]: r["marc_desc"] for r in V.first_restructuring_mark(marks, case_insensitive=True).collect()}
     assert binary == {1: "Reestructuracion", 2: "Refinanciacion"}   # 's' is not 'S', 's' kept first
     assert lcase == {1: "Refinanciacion", 2: "Refinanciacion"}
+
+
+def test_first_mark_keeps_missing_dates_and_ids(spark):
+    """A mark without a date, or without an id, is ordered first, as ROW_NUMBER() orders it."""
+    marks = spark.createDataFrame(
+        [(1, None, "R", 5), (1, 20200101, "T", 1), (2, None, "T", 1), (3, 20200101, "R", None), (3, 20200101, "T", 1),
+         (4, 20200101, "S", None), (4, 20200102, "R", 2), (5, 20200101, None, 1), (6, 20200101, "T", None), (6, 20200101, "R", None)],
+        "credito long, id_fecha int, marcacion string, id_marca long")
+    got = {r["credito"]: r["marc_desc"] for r in V.first_restructuring_mark(marks).collect()}
+    assert got == {1: "Refinanciacion", 2: "Reestructuracion", 3: "Refinanciacion", 4: "Refinanciacion", 6: "Refinanciacion"}
+
+
+def test_sequence_with_missing_dates_and_ids(spark):
+    rows = [(1, None, 70, float(i), 0.0, 0.0, 0) for i in range(4)] + [(1, 20200131, 70, 1.0, 0.0, 0.0, 0), (1, 20200229, 70, 1.0, 0.0, 0.0, 0)]
+    rows += [(None, 20200131 + 100 * i, 70, 1.0, 0.0, 0.0, 0) for i in range(3)]
+    for hot_rows in (1_000_000, 2):
+        seq = L.with_sequence(ledger_rows(spark, rows), hot_rows=hot_rows).collect()
+        assert sorted(r["orden"] for r in seq if r["credito"] == 1) == [1, 2, 3, 4, 5, 6]
+        assert sorted(r["orden"] for r in seq if r["credito"] is None) == [1, 2, 3]
+        assert [r["orden"] for r in seq if r["id_fecha"] == 20200229] == [6]
+
+
+def test_profile_skips_missing_dates_but_span_does_not(spark):
+    rows = [(1, None, 70, 9.0, 0.0, 0.0, 0), (1, 20200131, 70, 5.0, 0.0, 0.0, 0), (1, 20200229, 70, 3.0, 0.0, 0.0, 0)]
+    r = L.loan_profile(ledger_rows(spark, rows)).first()
+    assert r["saldo_capital_inicial"] == 5.0 and r["saldo_capital_actual"] == 3.0
+    assert r["fecha_inicio_p70"] is None and r["fecha_vigencia"] is None and r["Duracion_p70"] == 3 and r["Duracion_p10"] == 1
+
+
+def test_profile_of_two_products_in_one_month(spark):
+    """The product-10 row of the same month comes first in the declared order, so the first product-70 row is number 2."""
+    rows = [(1, 20200131, 70, 5.0, 0.0, 0.0, 0), (1, 20200131, 10, 7.0, 0.0, 0.0, 0)]
+    ledger = ledger_rows(spark, rows)
+    for numbered in (ledger, L.with_sequence(ledger, last_date=True), L.with_sequence(ledger, hot_rows=1, last_date=True)):
+        assert L.loan_profile(numbered).first()["Duracion_p10"] == 2
+
+
+def test_zero_start_ignores_rows_without_a_date(spark):
+    rows = [(1, None, 70, 8.0, 0.0, 0.0, 0), (1, 20200131, 70, 0.0, 0.0, 0.0, 0)]
+    assert [r["credito"] for r in L.zero_start_loans(L.recovery_base(L.loan_profile(ledger_rows(spark, rows)))).collect()] == [1]
+
+
+def test_last_two_rows_fan_out(spark):
+    rows = [(1, 20200131, 70, 0.0, 0.0, 0.0, 0), (1, 20200229, 10, 6.0, 0.0, 0.0, 0), (1, 20200331, 10, 7.0, 0.0, 0.0, 0),
+            (2, 20200131, 10, 5.0, 0.0, 0.0, 0), (2, 20200229, 70, 0.0, 0.0, 0.0, 0), (3, 20200131, 70, 0.0, 0.0, 0.0, 0),
+            (4, 20200131, 10, 4.0, 0.0, 0.0, 0), (4, 20200229, 70, 1.0, 0.0, 0.0, 0)]
+    profile = L.loan_profile(ledger_rows(spark, rows))
+    got = sorted((r["credito"], r["capital_ant"]) for r in L.last_two_non_product(profile).collect())
+    assert got == [(1, 6.0), (1, 7.0), (2, 5.0)]
+    adjusted = sorted((r["credito"], r["Saldo_capital_inicial"]) for r in L.adjusted_capital_v1(profile).collect() if r["credito"] != 3)
+    assert adjusted == [(1, 6.0), (1, 7.0), (2, 5.0), (4, 1.0)]
+    assert [r["Saldo_capital_inicial"] for r in L.adjusted_capital_v1(profile).collect() if r["credito"] == 3] == [None]

@@ -30,9 +30,35 @@ def test_tape_csv_with_preamble(spark):
     with open(os.path.join(folder, "tape.csv"), "w") as fh:
         fh.write("Cartera PM\nCorte noviembre\n\nCredito,Suma de Importe base,Precio de compra\n"
                  "10,\"1234,5\",300.25\n,5,1\n11,0,0\n")
-    rows = {r["credito"]: r for r in readers.read_purchase_tape_csv(spark, folder).collect()}
-    assert set(rows) == {10, 11}
-    assert rows[10]["suma_importe_base"] == 1234.5 and rows[10]["precio_compra"] == 300.25
+    rows = [tuple(r) for r in readers.read_purchase_tape_csv(spark, folder).collect()]
+    assert sorted(rows, key=str) == sorted([(10, 1234.5, 300.25), (None, 5.0, 1.0), (11, 0.0, 0.0)], key=str)
+
+
+def test_tape_is_cut_by_position(spark):
+    """Numbers in the preamble are no loans, ids with a decimal part are; '.' groups digits where a comma is the decimal mark."""
+    folder = scratch_dir(spark, "t-tape2")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "tape.csv"), "w") as fh:
+        fh.write("20241130,x,y\n1,2,3\n\nCredito,Suma de Importe base,Precio de compra\n"
+                 "10.0,\"1.234,5\",2\n12,\"1.234.567,25\",\"0,5\"\n 13 ,1234.5,n/a\n")
+    rows = sorted(tuple(r) for r in readers.read_purchase_tape_csv(spark, folder).collect())
+    assert rows == [(10, 1234.5, 2.0), (12, 1234567.25, 0.5), (13, 1234.5, None)]
+
+
+def test_csv2_grouped_numbers(spark):
+    folder = scratch_dir(spark, "t-csv2g")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "x.csv"), "w") as fh:
+        fh.write("credito;v\n1;1.234,5\n2;abc\n3;NA\n4;2,25\n5;7\n")
+    got = {r["credito"]: r["v"] for r in readers.read_csv2(spark, folder, spark.createDataFrame([], "credito long, v double").schema).collect()}
+    assert got == {1: 1234.5, 2: None, 3: None, 4: 2.25, 5: 7.0}
+
+
+def test_jdbc_needs_bounds(spark):
+    import inspect
+
+    required = [n for n, p in inspect.signature(readers.read_jdbc_table).parameters.items() if p.default is p.empty]
+    assert {"partition_column", "bounds"} <= set(required)
 
 
 def test_newest_extract_is_read(spark):
@@ -57,19 +83,19 @@ def test_write_bundle_uses_display_names(spark):
 
 
 def test_warehouse_sources_from_stored_tables(spark):
-    from dataclasses import fields
-
     from conftest import SF_SMALL
+    from loanroll.plans.registry import fixture_params
     from loanroll.plans.reports import RollReport
-    from loanroll.sources.fixtures import Sources, staged_sources
+    from loanroll.sources.fixtures import staged_sources
+    from loanroll.sources.model import TABLES
 
     staged = staged_sources(spark, SF_SMALL)
     base = scratch_dir(spark, "t-warehouse")
     paths = {}
-    for f in fields(Sources):
-        getattr(staged, f.name).write.parquet(f"{base}/{f.name}")
-        paths[f.name] = f"{base}/{f.name}"
+    for name in TABLES:
+        getattr(staged, name).write.parquet(f"{base}/{name}")
+        paths[name] = f"{base}/{name}"
     src = readers.warehouse_sources(spark, paths, wide_ledger=True)
     assert "total_deuda" in src.ledger_month.columns
     assert src.ledger_month.filter("total_deuda IS NOT NULL").isEmpty()
-    assert RollReport(src).units.count() == 14
+    assert RollReport(src, fixture_params()).units.count() == 14

@@ -41,33 +41,39 @@ def test_daily_snapshot_filters_reach_the_scan(stored):
            "valor_pago_ttl_canc:double,ind_cierre:int>" in plan
 
 
-def test_rate_stage_shuffles_only_aggregates(spark, stored):
-    """On the plain ledger the raw rows are never shuffled: every exchange
-    carries hash-aggregate output (partial per-loan aggregates, or the
-    narrow (loan, month) cell table), and no window numbers raw rows."""
+def _without_broadcast(spark, build):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = _plan(L.adjusted_recovery_base(L.loan_profile(stored["ledger_month"])))
+        return _plan(build())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    lines = plan.splitlines()
-    exchanges = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
-    assert exchanges
-    for i in exchanges:
-        assert "HashAggregate(" in lines[i + 1], lines[i + 1]
-    assert "row_number" not in plan and "SortAggregate" not in plan
-
-
-def test_sequence_is_skew_safe(stored):
-    """No window sorts a loan's raw rows in one task: the only window over raw
-    rows is per (loan, month) cell, and per-loan values pre-aggregate
-    map-side (partial aggregates) before the exchange by loan."""
-    seq = L.with_sequence(stored["ledger_month"])
-    plan = _plan(L.adjusted_recovery_base(L.loan_profile(seq)))
-    specs = re.findall(r"Window \[row_number\(\) windowspecdefinition\(([^,]*), ([^,]*),", plan)
-    assert specs and all(b.startswith("id_fecha") for _, b in specs), specs
-    assert re.search(r"HashAggregate\(keys=\[credito[^\]]*\], functions=\[partial_", plan)
-    assert "SortAggregate" not in plan  # fixed-width buffers -> hash aggregate
+
+
+def test_rate_stage_is_one_scan_and_one_exchange(spark, stored):
+    """The ledger is read once, in the profile's columns, and exchanged once by loan: numbering and aggregate share it."""
+    plan = _without_broadcast(spark, lambda: L.adjusted_recovery_base(L.loan_profile(stored["ledger_month"], max_loan_rows=0)))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    assert "valor_garantia" not in plan and "SortAggregate" not in plan
+    assert re.search(r"Exchange hashpartitioning\(credito", plan)
+
+
+@pytest.mark.parametrize("key,scans", [("valuation_table", 1), ("price_factor_direct", 1), ("priced_portfolio_v1", 1),
+                                       ("adjusted_capital_v1", 1), ("ledger_sequence", 1), ("zero_start_history", 2),
+                                       ("exclude_loans", 2), ("collections_flag", 1), ("product_slice", 1)])
+def test_ledger_scans_of_registered_queries(spark, key, scans):
+    plan = _without_broadcast(spark, lambda: queries()[key](spark, SF_SMALL))
+    assert len(re.findall(r"FileScan parquet [^\n]*/ledger_month\b", plan)) == scans, plan
+
+
+def test_sequence_is_one_exchange(stored):
+    plan = _plan(L.with_sequence(stored["ledger_month"], max_loan_rows=0))
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("key", ["roll_matrix_units", "bucket_one_hot", "ltv_snapshot", "common_loans", "daily_closing_snapshot"])
+def test_registered_queries_prune_partitions(spark, key):
+    plan = _plan(queries()[key](spark, SF_SMALL))
+    assert re.search(r"PartitionFilters: \[[^\]]*id_fecha", plan), plan
 
 
 def test_month_filter_prunes_partitions(stored):
@@ -78,7 +84,7 @@ def test_month_filter_prunes_partitions(stored):
 
 def test_no_python_udf_cartesian_or_sort_aggregate_in_any_query(spark):
     for name, fn in queries().items():
-        if name in ("csv2_roundtrip", "latest_extract"):
+        if name in ("csv2_roundtrip", "latest_extract") or name.endswith("_written"):
             continue  # these write files when built
         plan = _plan(fn(spark, SF_SMALL))
         assert "PythonUDF" not in plan and "EvalPython" not in plan, name
