@@ -5,7 +5,7 @@ on ``local[$BENCH_CPUS]`` and prints ONE JSON line:
 ``{"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}``.
 
 The source tables are first derived from the driver's tables and staged as
-Parquet (``staging_sec``, reported apart: it plays the warehouse load). Each
+Parquet (``staging``, the warehouse load, once; it counts in the total). Each
 query is then executed in full through the ``noop`` sink (no rows are pulled
 to the driver); its time is the best of ``$BENCH_REPEAT`` runs (default 3)
 after one warm-up run of a small query.
@@ -31,6 +31,9 @@ HEADLINE = [
     "price_factor_direct",
     "ledger_sequence",
     "collections_flag",
+    "priced_portfolio_v1",
+    "report_bundle_counts",
+    "zero_start_history",
 ]
 
 
@@ -61,9 +64,10 @@ def main() -> None:
     timings = {}
     for name in HEADLINE:
         timings[name] = round(min(run(name) for _ in range(max(repeat, 1))), 3)
+    timings["staging"] = staging  # deriving and writing the source tables belongs to the total
     total = round(sum(timings.values()), 3)
     print(json.dumps({"metric": "headline_total_wall", "value": total, "unit": "sec",
-                      "queries": timings, "staging_sec": staging, "sf": sf, "cpus": cpus}))
+                      "queries": timings, "sf": sf, "cpus": cpus}))
     spark.stop()
 
 
