@@ -7,8 +7,9 @@ the table in one aggregate. A text is rejected if, against every reference, its
 character-class divergence or its common-word divergence exceeds a limit;
 texts shorter than a minimum number of words are not judged by divergence.
 
-Everything is a DataFrame expression: no Python runs on the executors, and
-nothing is shuffled but the references' few rows.
+Everything is a DataFrame expression: no Python runs on the executors. The
+measures of all texts are written once (a few numbers per document), the
+references are summed from them, and nothing is shuffled but those sums.
 
 Defined results: null, empty and blank texts have no words and fail the base
 rules; documents in other languages or with a null language are compared with
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Common words of the languages, lower case. Fixed values.
 COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat".split(),
@@ -31,8 +34,9 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son".split(),
 }
 #: Character classes of the histogram; what is in none of them is the class "other".
-CHARACTER_CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "stop": ".,;:", "symbol": "#*$%&|<>", "exclaim": "!?",
-                     "space": " \\x09-\\x0D", "letter": "\\x{80}-\\x{10FFFF}"}
+CHARACTER_CLASSES = {"lower": "a-z", "space": " \\x09-\\x0D", "letter": "\\x{80}-\\x{10FFFF}", "stop": ".,;:", "symbol": "#*$%&|<>",
+                     "upper": "A-Z", "exclaim": "!?", "digit": "0-9"}
+_PLACE = {name: i for i, name in enumerate(CHARACTER_CLASSES)}
 WORD_BREAKS = "[\\x20\\x09-\\x0D]+"
 #: Limits of the divergences (in bits, 0 to 1), and the fewest words that are judged by them.
 CHARACTER_LIMIT, WORD_LIMIT, MIN_WORDS = 0.10, 0.45, 50
@@ -45,14 +49,19 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAKS), lambda w: w != "")
 
 
-def _class_counts(text: Column) -> list[Column]:
-    """Characters of each class, the last one being the others."""
-    n = F.length(text).cast("bigint")
-    own = [n - F.length(F.regexp_replace(text, f"[{c}]+", "")) for c in CHARACTER_CLASSES.values()]
-    total = own[0]
-    for c in own[1:]:
-        total = total + c
-    return [*own, n - total]
+def _class_counts(text: Column) -> Column:
+    """Array of the characters of each class, the last entry being the others.
+
+    Each class is removed from what the classes before it have left, the most
+    frequent ones first, so that the later passes run over little text.
+    """
+    def count(left: Column, names: list[str]) -> Column:
+        if not names:
+            return F.array(F.length(left).cast("bigint"))
+        rest = F.regexp_replace(left, f"[{CHARACTER_CLASSES[names[0]]}]+", "")
+        return _let(rest, lambda r: F.concat(F.array((F.length(left) - F.length(r)).cast("bigint")), count(r, names[1:])))
+
+    return count(text, list(CHARACTER_CLASSES))
 
 
 def _repeated_words(words: Column, window: int) -> Column:
@@ -106,25 +115,23 @@ def measures(text: Column, window: int = 8) -> Column:
     """A text's base measures with ``chars`` (class counts) and ``common`` (word counts), as one struct."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    return _let(_words(text), lambda words: F.struct(
-        F.size(words).cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace(text, WORD_BREAKS, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
+    return _let(F.struct(_words(text).alias("words"), _class_counts(text).alias("chars")), lambda m: F.struct(
+        F.size(m["words"]).cast("bigint").alias("n_words"),
+        (F.length(text) - F.get(m["chars"], _PLACE["space"])).alias("word_chars"),
+        F.get(m["chars"], _PLACE["symbol"]).alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        _repeated_words(words, window).alias("n_repeat_words"),
-        F.array(*_class_counts(text)).alias("chars"), _word_counts(words).alias("common")))
+        _repeated_words(m["words"], window).alias("n_repeat_words"),
+        m["chars"].alias("chars"), _word_counts(m["words"]).alias("common")))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Per language the shares of character classes and of common words over all its documents.
+def references(measured: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
+    """Per language the shares of character classes and of common words over all its documents (columns lang, chars, common).
 
     The aggregate has at most one row per language and entry, whatever the table.
     """
-    rows = docs.where(F.col(lang_col).isin(*COMMON_WORDS)).select(F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.select("lang", F.array(*_class_counts(F.col("text"))).alias("chars"),
-                       _let(_words(F.col("text")), _word_counts).alias("common"))
+    rows = measured.where(F.col("lang").isin(*COMMON_WORDS))
     k = len(CHARACTER_CLASSES) + 1
-    chars = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.concat(F.lit("\x00"), i.cast("string")).alias("w"), F.get("chars", i).alias("n")))
+    chars = F.transform("chars", lambda n, i: F.struct(F.concat(F.lit("\x00"), i.cast("string")).alias("w"), n.alias("n")))
     pooled = (rows.select("lang", F.explode(F.concat(chars, "common")).alias("e"))
               .groupBy("lang", F.col("e.w").alias("w")).agg(F.sum("e.n").alias("n")))
     out: dict[str, tuple[list[float], dict[str, float]]] = {}
@@ -187,12 +194,19 @@ def verdict(m: Column, refs: dict[str, tuple[list[float], dict[str, float]]], mi
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Measures and verdicts of every document, with references from the same table."""
-    refs = references(docs, text_col, lang_col)
-    judged = _let(measures(F.col(text_col)), lambda m: verdict(m, refs, **options))
-    return docs.select(F.col(id_col).alias("doc_id"), judged.alias("judged")).select("doc_id", "judged.*")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), measures(F.col(text_col)).alias("m"))
+    measured = staged(rows.select("doc_id", "lang", "m.*"), "measures")
+    refs = references(measured)
+    m = F.struct(*(c for c in measured.columns if c not in ("doc_id", "lang")))
+    return measured.select("doc_id", _let(m, lambda m: verdict(m, refs, **options)).alias("judged")).select("doc_id", "judged.*")
 
 
 def keep_well_formed(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    refs = references(docs, text_col, lang_col)
+    """The documents that pass, with all their columns.
+
+    The texts are read twice: for the references, and again while filtering
+    instead of a shuffle that would bring verdicts to texts.
+    """
+    text = F.coalesce(text_col, F.lit(""))
+    refs = references(docs.select(F.col(lang_col).alias("lang"), _class_counts(text).alias("chars"), _let(_words(text), _word_counts).alias("common")))
     return docs.where(_let(measures(F.col(text_col)), lambda m: verdict(m, refs, **options)["kept"]))

@@ -27,7 +27,7 @@ def plain_measures(text):
 
 
 def classes(text):
-    found = [re.findall(p, text) for p in ("[a-z]", "[A-Z]", "[0-9]", "[.,;:]", r"[#*$%&|<>]", "[!?]", "[ \x09-\x0d]", "[\x80-\U0010ffff]")]
+    found = [re.findall(p, text) for p in ("[a-z]", "[ \x09-\x0d]", "[\x80-\U0010ffff]", "[.,;:]", r"[#*$%&|<>]", "[A-Z]", "[!?]", "[0-9]")]
     n = [len(x) for x in found]
     return [*n, len(text) - sum(n)]
 
