@@ -241,9 +241,26 @@ def _main(root: Node) -> list[Node]:
                 walk(c, inside)
 
     walk(root, frozenset())
+    if not found["article"] and not found["main"]:
+        # a wrapper around the whole page may be named after one of its parts ("with-sidebar")
+        named = [n for n in _descendants(root) if n.tag in ("article", "main")]
+        inner = [n for n in named if not _inside_boilerplate(root, n)]
+        found["main"] = inner
     return found["article"] or found["main"] or found["body"] or [root]
 
 
+def _descendants(node: Node) -> list[Node]:
+    out = [node]
+    for n in out:
+        out.extend(c for c in n.children if not isinstance(c, str))
+    return out
+
+
+def _inside_boilerplate(root: Node, node: Node) -> bool:
+    """Whether the node lies inside an element that is no content by its tag."""
+    return any(n.tag in NOT_CONTENT and node in _descendants(n) for n in _descendants(root))
+
+
 def blocks(nodes: list[Node], constants: set[int]) -> list[str]:
     """Texts of the blocks in page order, without boilerplate and template constants."""
     out, line = [], []

@@ -102,3 +102,9 @@ def test_pages_table(spark):
     texts = ["t", "", "", "just text é", "unclosed tags here", "\n".join(["word"] * 20000)]
     assert got == sorted(((*r[:2], t) for r, t in zip(rows, texts, strict=True)), key=str)
     assert wrapper.extract_pages(df.where("page_id = 99")).count() == 0
+
+
+def test_a_wrapper_named_after_a_part_is_no_part():
+    html = '<body><div class="page with-sidebar"><nav>menu</nav><article><p>Story</p></article><div class="sidebar">x</div></div></body>'
+    assert wrapper.extract([html]) == ["Story"]
+    assert wrapper.extract(['<body><aside><article><p>teaser</p></article></aside><div><p>Story</p></div></body>']) == ["Story"]
