@@ -41,7 +41,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         begins = np.cumsum(sizes.astype(np.int64)) - sizes
 
         def values_of(own: np.ndarray) -> tuple[bytes, bytes]:
-            return dictionary.pack(sizes[own]), dictionary.pack(flat[ranges(begins[own], sizes[own])])
+            return dictionary.pack_numbers(sizes[own]), dictionary.pack_numbers(flat[ranges(begins[own], sizes[own])])
         return [], values_of
 
     def use(doc_ids: list[int | None], lengths: np.ndarray, places: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:

@@ -1,14 +1,15 @@
 """The distinct-word table of a corpus, and its values brought back to every word by position.
 
 1. ``split``: each task cuts its documents into words and writes, per chunk of
-   documents, the words' places in the chunk's own list of distinct words
-   (``docs`` rows) and that list, dealt into buckets by the words' hash
-   (``words`` rows). The table is written once to the shared folder.
+   documents, the words' places in the chunk's own list of distinct words (a
+   ``docs`` row) and that list, dealt into buckets by the words' hash
+   (``words`` rows). The table is written once to the shared folder, bucketed
+   by chunk, so that the documents need no shuffle later.
 2. ``by_word``: the lists of one bucket meet in one task, which sees each
    distinct word of the corpus once, with its total count, and answers every
    chunk in the order of its list.
-3. ``by_chunk``: a chunk's documents and answers meet; values are put in place
-   by position.
+3. ``by_chunk``: a chunk's row and its answers are joined; values are put in
+   place by position.
 
 A word that is frequent everywhere is one entry per chunk, so no key is hot;
 a chunk is bounded by words and distinct words, a bucket by the number of
@@ -28,21 +29,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, list_slices, ranges, staged, texts_as_bytes
+from loanroll.session import scratch_dir
+
+from .common import bounded_batches, ranges, texts_as_bytes
 
 #: Words and distinct words of a chunk at most, beyond the document that passes the limit.
-CHUNK_WORDS, CHUNK_DISTINCT = 6_000_000, 600_000
+CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 500_000
+#: Bytes of text per bucket of the written table.
+CHUNK_BYTES = 16 << 20
 #: Bytes of text per bucket of the word table.
 BUCKET_BYTES = 32 << 20
 _SLICE_WORDS = 250_000
 
-SPLIT_SCHEMA = ("kind string, chunk bigint, bucket int, seq int, doc_ids array<bigint>, null_ids array<boolean>, "
-                "lengths array<int>, places binary, words binary, counts binary")
+SPLIT_SCHEMA = ("kind string, chunk bigint, bucket int, doc_ids array<bigint>, null_ids array<boolean>, "
+                "lengths array<int>, docs array<int>, slices array<binary>, places binary, words binary, counts binary")
 ANSWER_SCHEMA = "chunk bigint, bucket int, places binary, sizes binary, values binary"
 
 
-def pack(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+def pack(x: np.ndarray | bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
 
 
 def unpack(b: bytes, kind=None):
@@ -50,6 +55,15 @@ def unpack(b: bytes, kind=None):
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes of equal weight together: most high bytes are zero."""
+    return pack(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T))
+
+
+def unpack_numbers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 class _Numbered(dict):
     """Numbers words in the order in which they are first seen."""
 
@@ -71,7 +85,7 @@ def words_lower(text: bytes) -> list[bytes]:
 def _record(schema: str, rows: list[dict]) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(),
              "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-             "array<boolean>": pa.list_(pa.bool_())}
+             "array<boolean>": pa.list_(pa.bool_()), "array<binary>": pa.list_(pa.binary())}
     fields = [f.split(" ") for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], [n for n, _ in fields])
 
@@ -82,9 +96,7 @@ class _Chunk:
     words: _Numbered = field(default_factory=_Numbered)
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     n: int = 0
-    seq: int = 0
-    held: list = field(default_factory=list)
-    held_words: int = 0
+    docs: list = field(default_factory=list)
 
     def add(self, doc_id: int | None, counted: bool, words: list[bytes]) -> None:
         places = np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words))
@@ -93,30 +105,38 @@ class _Chunk:
             if len(self.counts) < len(found):
                 self.counts = np.concatenate([self.counts, np.zeros(max(len(found), 2 * len(self.counts)) - len(self.counts), np.int64)])
             self.counts[:len(found)] += found
-        self.held.append((doc_id, places))
-        self.held_words += len(words)
+        self.docs.append((doc_id, places))
         self.n += len(words)
 
-    def slice(self) -> dict:
-        ids = [d for d, _ in self.held]
-        row = {"kind": "docs", "chunk": self.number, "bucket": -1, "seq": self.seq, "doc_ids": [d or 0 for d in ids],
-               "null_ids": [d is None for d in ids], "lengths": [len(p) for _, p in self.held],
-               "places": pack(np.concatenate([p for _, p in self.held]))}
-        self.held, self.held_words, self.seq = [], 0, self.seq + 1
-        return row
-
-    def lists(self, buckets: int) -> Iterator[dict]:
+    def rows(self, buckets: int) -> Iterator[dict]:
+        """The chunk's documents, and its words by bucket. Words are numbered anew by frequency: small numbers pack better."""
+        places = np.concatenate([p for _, p in self.docs])
+        order = np.argsort(-np.bincount(places, minlength=len(self.words)), kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        yield self._documents(number[places])
         words = list(self.words)
-        bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
         counts = np.zeros(len(words), np.int64)
         counts[:min(len(words), len(self.counts))] = self.counts[:len(words)]
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket[order])) + 1
-        for own in np.split(order, edges):
+        bucket = (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets)[order]
+        by = np.argsort(bucket, kind="stable")
+        for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
             if len(own):
-                yield {"kind": "words", "chunk": self.number, "bucket": int(bucket[own[0]]), "seq": 0,
-                       "places": pack(np.diff(own, prepend=0).astype(np.uint32)),
-                       "words": pack(b"\n".join(words[i] for i in own.tolist())), "counts": pack(counts[own].astype(np.uint32))}
+                yield {"kind": "words", "chunk": self.number, "bucket": int(bucket[own[0]]), "places": pack_numbers(np.diff(own, prepend=0)),
+                       "words": pack(b"\n".join(words[i] for i in order[own].tolist()), 6), "counts": pack_numbers(counts[order[own]])}
+
+    def _documents(self, places: np.ndarray) -> dict:
+        """The documents' row, the places in slices of about _SLICE_WORDS words."""
+        ids, lengths = [d for d, _ in self.docs], [len(p) for _, p in self.docs]
+        slices, docs, first, size, at = [], [], 0, 0, 0
+        for i, n in enumerate(lengths, 1):
+            size += n
+            if size >= _SLICE_WORDS or i == len(lengths):
+                slices.append(pack_numbers(places[at:at + size]))
+                docs.append(i - first)
+                first, at, size = i, at + size, 0
+        return {"kind": "docs", "chunk": self.number, "bucket": -1, "doc_ids": [d or 0 for d in ids],
+                "null_ids": [d is None for d in ids], "lengths": lengths, "docs": docs, "slices": slices}
 
 
 @dataclass(frozen=True)
@@ -137,28 +157,36 @@ def split(docs: DataFrame, to_words: Callable[[bytes], list[bytes]], id_col: str
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), mark.alias("counted"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, made = TaskContext.get().partitionId() << 32, 0
-        chunk = _Chunk(first)
+        chunk = _Chunk(TaskContext.get().partitionId() << 32)
         for b in batches:
             for doc, on, text in zip(b.column("doc_id").to_pylist(), b.column("counted").to_pylist(),
                                      texts_as_bytes(b.column("text")), strict=True):
                 chunk.add(doc, on, to_words(text))
-                if chunk.held_words >= _SLICE_WORDS:
-                    yield _record(SPLIT_SCHEMA, [chunk.slice()])
                 if chunk.n >= CHUNK_WORDS or len(chunk.words) >= CHUNK_DISTINCT:
-                    if chunk.held:
-                        yield _record(SPLIT_SCHEMA, [chunk.slice()])
-                    yield from (_record(SPLIT_SCHEMA, [r]) for r in chunk.lists(buckets))
-                    made += 1
-                    chunk = _Chunk(first + made)
-        if chunk.held:
-            yield _record(SPLIT_SCHEMA, [chunk.slice()])
-        yield from (_record(SPLIT_SCHEMA, [r]) for r in chunk.lists(buckets))
-
-    table = staged(rows.mapInArrow(run, SPLIT_SCHEMA), "words", ("kind",))
+                    yield from (_record(SPLIT_SCHEMA, [r]) for r in chunk.rows(buckets))
+                    chunk = _Chunk(chunk.number + 1)
+        if chunk.docs:
+            yield from (_record(SPLIT_SCHEMA, [r]) for r in chunk.rows(buckets))
+
+    table = _bucketed(rows.mapInArrow(run, SPLIT_SCHEMA), size // CHUNK_BYTES + 8)
     return Split(table.where("kind = 'docs'"), table.where("kind = 'words'"), buckets)
 
 
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """Written to the shared scratch folder in files by chunk. The kinds fill different columns, so each is read alone.
+
+    Spark keeps what it knows of the files' buckets in its catalog; the entry
+    is dropped once the table is opened, the files stay.
+    """
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "words")
+    name = "words_" + path.rsplit("-", 1)[1]
+    writer = df.write.format("parquet").option("path", path).option("compression", "uncompressed")  # rows are packed already
+    writer.bucketBy(buckets, "chunk").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def by_word(parts: Split, answer: Callable[[int, list[bytes], np.ndarray], tuple[list[dict], Callable]], extra_schema: str = "") -> DataFrame:
     """Answers to every chunk. ``answer(bucket, words, counts)`` gets each distinct word of a bucket once and returns
     further rows (columns of ``extra_schema``) and a function from word numbers to (sizes, values) as bytes."""
@@ -169,7 +197,7 @@ def by_word(parts: Split, answer: Callable[[int, list[bytes], np.ndarray], tuple
         lists = [np.fromiter(map(numbers.__getitem__, unpack(words).split(b"\n")), np.int64) for _, _, words, _ in rows]
         counts = np.zeros(len(numbers), np.int64)
         for own, (_, _, _, n) in zip(lists, rows, strict=True):
-            counts[own] += unpack(n, np.uint32)
+            counts[own] += unpack_numbers(n)
         extra, values_of = answer(bucket, list(numbers), counts)
         if extra:
             yield _record(schema, [{"chunk": -1, "bucket": bucket} | r for r in extra])
@@ -194,43 +222,35 @@ def by_word(parts: Split, answer: Callable[[int, list[bytes], np.ndarray], tuple
     return dealt.sortWithinPartitions("bucket", "chunk").mapInArrow(run, schema)
 
 
-def by_chunk(parts: Split, answers: DataFrame, use: Callable[[list[int | None], np.ndarray, np.ndarray, np.ndarray, list[bytes]], pa.RecordBatch],
+def by_chunk(parts: Split, answers: DataFrame, use: Callable[[list[int | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch],
              schema: str) -> DataFrame:
     """``use(doc_ids, lengths, places, sizes, values)`` for each slice of documents. The last two hold, for the chunk's
-    whole word list, the answers in order of place: sizes (uint32 per word) and the joined values."""
-    left = parts.docs.select("chunk", F.lit(1).alias("side"), "seq", "doc_ids", "null_ids", "lengths", "places",
-                             F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("values"))
-    right = answers.where("chunk >= 0").select(
-        "chunk", F.lit(0).alias("side"), F.col("bucket").alias("seq"), F.lit(None).cast("array<bigint>").alias("doc_ids"),
-        F.lit(None).cast("array<boolean>").alias("null_ids"), F.lit(None).cast("array<int>").alias("lengths"), "places", "sizes", "values")
-
-    def assemble(got: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, list[bytes]]:
+    whole word list, the answers in order of place: sizes and the joined values (32-bit numbers, packed by ``pack_numbers``)."""
+    bounded_batches(parts.docs.sparkSession)
+    answer = F.collect_list(F.struct("places", "sizes", "values")).alias("answers")  # one row per bucket that the chunk's words lie in
+    answers = answers.where("chunk >= 0").groupBy("chunk").agg(answer)
+    rows = parts.docs.select("chunk", "doc_ids", "null_ids", "lengths", "docs", "slices").join(answers, "chunk", "left")
+
+    def assemble(got: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and values of the whole list, from the buckets' answers."""
         if not got:
             return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        place = np.concatenate([np.cumsum(unpack(p, np.uint32).astype(np.int64)) for p, _, _ in got])
-        sizes = np.concatenate([unpack(s, np.uint32) for _, s, _ in got])
-        flat = np.concatenate([unpack(v, np.uint32) for _, _, v in got])
+        place = np.concatenate([np.cumsum(unpack_numbers(g["places"]).astype(np.int64)) for g in got])
+        sizes = np.concatenate([unpack_numbers(g["sizes"]) for g in got])
+        flat = np.concatenate([unpack_numbers(g["values"]) for g in got])
         order = np.argsort(place, kind="stable")
         begins = np.cumsum(sizes.astype(np.int64)) - sizes
         return sizes[order], flat[ranges(begins[order], sizes[order])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, got, ready = None, [], None
         for b in batches:
-            names = ("chunk", "side", "null_ids", "places", "sizes", "values")
-            cols = [b.column(n).to_pylist() for n in names]
-            ids, lengths = list(list_slices(b.column("doc_ids"))), list(list_slices(b.column("lengths")))
-            for i, (chunk, side, nulls, places, sizes, values) in enumerate(zip(*cols, strict=True)):
-                if chunk != now:
-                    now, got, ready = chunk, [], None
-                if side == 0:
-                    got.append((places, sizes, values))
-                    continue
-                if ready is None:
-                    ready = assemble(got)
-                doc_ids = [None if null else int(x) for x, null in zip(ids[i], nulls, strict=True)]
-                yield use(doc_ids, lengths[i].astype(np.int64), unpack(places, np.uint32), *ready)
-
-    dealt = left.unionByName(right).repartition("chunk").sortWithinPartitions("chunk", "side", "seq")
-    return dealt.mapInArrow(run, schema)
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                ready, first = assemble(row["answers"] or []), 0
+                for n, packed in zip(row["docs"], row["slices"], strict=True):
+                    own = slice(first, first + n)
+                    doc_ids = [None if null else x for x, null in zip(row["doc_ids"][own], row["null_ids"][own], strict=True)]
+                    yield use(doc_ids, np.array(row["lengths"][own], np.int64), unpack_numbers(packed), *ready)
+                    first += n
+
+    return rows.mapInArrow(run, schema)

@@ -179,7 +179,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
         rank[often] = np.arange(1, len(often) + 1)
         row = {"distinct": int((counts > 0).sum()), "often": [int(counts[i]) for i in often]}
         flat = np.stack([np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), rank], 1)
-        return [row], lambda own: (dictionary.pack(np.full(len(own), 2, np.uint32)), dictionary.pack(flat[own].ravel()))
+        return [row], lambda own: (dictionary.pack_numbers(np.full(len(own), 2)), dictionary.pack_numbers(flat[own].ravel()))
 
     answers = staged(dictionary.by_word(parts, answer, "distinct bigint, often array<bigint>"), "counts")
     told = answers.where("chunk < 0").select("bucket", "distinct", "often")
@@ -229,9 +229,9 @@ def _coded(parts: dictionary.Split, answers: DataFrame, offset: Broadcast, bucke
         for b in batches:
             own, made = b.column("bucket").to_pylist(), []
             for bucket, packed in zip(own, b.column("values").to_pylist(), strict=True):
-                pairs = dictionary.unpack(packed, np.uint32).reshape(-1, 2).copy()
+                pairs = dictionary.unpack_numbers(packed).reshape(-1, 2).astype(np.int64)
                 pairs[:, 1] = np.where(pairs[:, 1] > 0, pairs[:, 1] + shifts[bucket], OTHER)
-                made.append(dictionary.pack(pairs))
+                made.append(dictionary.pack_numbers(pairs.ravel()))
             yield b.set_column(b.schema.get_field_index("values"), "values", pa.array(made, pa.binary()))
 
     numbered = answers.mapInArrow(shift, answers.schema)
