@@ -7,7 +7,7 @@ formulas are the same rules, so an arm misread twice would pass. First/last
 rows by ``ROW_NUMBER`` instead of ``min_by``/``max_by``, share history by
 group + window + filtered pivot, roll matrix by join. R's NA/NaN rules are
 spelled out as ``CASE`` (DuckDB, like Spark, ranks NaN above all numbers).
-Doubles are rounded to 6 decimals as in ``registry.present``.
+Doubles are rounded to 6 decimals, sums of money to 2.
 """
 
 from __future__ import annotations
@@ -56,8 +56,13 @@ def ISNA(x: str) -> str:
     return f"(({x}) IS NULL OR isnan({x}))"
 
 
+# Sums of money are shown with 2 decimals, other doubles with 6.
+MONEY_SUMS = ("Deuda_total", "Saldo_a_capital", "Precio_de_compra", "Valoracion", "Valoracion_mod", "Valoracion_capital")
+
+
 def RND(x: str, alias: str | None = None) -> str:
-    return f'round({x}, 6) AS "{alias or x.strip(chr(34))}"'
+    name = alias or x.strip(chr(34))
+    return f'round({x}, {2 if name in MONEY_SUMS else 6}) AS "{name}"'
 
 
 def KEY(ts: str) -> str:
@@ -637,9 +642,9 @@ ORACLE["active_loans"] = _q(["active"], _PRICED_COLS, _D_PRICED, "active")
 ORACLE["inactive_loans"] = _q(["inactive"], _PRICED_COLS, _D_PRICED, "inactive")
 ORACLE["portfolio_summary"] = _q(["summary"], _SUMMARY_COLS, _D_SUMMARY, "summary")
 ORACLE["portfolio_summary_v1"] = with_ctes(["active_v1"], f"""
-SELECT tipo_producto, Creditos, round(Deuda_total, 6) AS Deuda_total, round(Saldo_a_capital, 6) AS Saldo_a_capital,
-       round(Precio_de_compra, 6) AS Precio_de_compra, round(Valoracion, 6) AS Valoracion,
-       round(Valoracion_mod, 6) AS Valoracion_mod,
+SELECT tipo_producto, Creditos, round(Deuda_total, 2) AS Deuda_total, round(Saldo_a_capital, 2) AS Saldo_a_capital,
+       round(Precio_de_compra, 2) AS Precio_de_compra, round(Valoracion, 2) AS Valoracion,
+       round(Valoracion_mod, 2) AS Valoracion_mod,
        round({DIV('Valoracion', 'Precio_de_compra')} - 1, 6) AS p,
        round({DIV('Valoracion_mod', 'Precio_de_compra')} - 1, 6) AS p_mod
 FROM (SELECT tipo_producto, count(*) AS Creditos, {NANSUM('valor_pago_ttl_canc')} AS Deuda_total,

@@ -1,12 +1,15 @@
 """Presentation rules of the registered queries.
 
-* Doubles are rounded to ``ROUND_DIGITS`` decimals.
+* Doubles are rounded to ``ROUND_DIGITS`` decimals, sums of money to ``MONEY_DIGITS``.
 * Integer columns that can hold gaps are shown as doubles, in every query
   alike, so that a gap is the same missing float in every client (pandas turns
   a Spark int column with nulls into float64, DuckDB into nullable Int32).
 """
 
 ROUND_DIGITS = 6
+MONEY_DIGITS = 2
+
+MONEY_SUMS = frozenset(["Deuda_total", "Saldo_a_capital", "Precio_de_compra", "Valoracion", "Valoracion_mod", "Valoracion_capital"])
 
 KEYS_AS_DOUBLES = frozenset([
     "credito", "id_fecha", "id_fecha_desembolso", "id_fecha_primera_factura", "id_fecha_inicial", "id_fecha_actual",

@@ -2,7 +2,7 @@
 
 Each query takes ``(spark, sf_dir)``, derives the report sources from the
 driver's tables (``loanroll.sources.fixtures``) and returns a lazy DataFrame.
-Doubles are rounded to 6 decimals at this presentation step only, so the
+Doubles are rounded (6 decimals, sums of money 2) at this presentation step only, so the
 DuckDB oracle (same rounding) can be compared value by value.
 """
 
@@ -26,7 +26,7 @@ from loanroll.operators import ledger as L
 from loanroll.operators import recovery as R
 from loanroll.operators import valuation as V
 from loanroll.plans import run
-from loanroll.plans.presentation import KEYS_AS_DOUBLES, ROUND_DIGITS
+from loanroll.plans.presentation import KEYS_AS_DOUBLES, MONEY_DIGITS, MONEY_SUMS, ROUND_DIGITS
 from loanroll.plans.reports import ExtractReport, ReportParams, RollReport, ValuationReport
 from loanroll.sources import readers, sinks
 from loanroll.sources.fixtures import FIXTURE_AS_OF, ROLL_MONTHS, ledger_month_wide, write_tape_csv
@@ -45,7 +45,7 @@ def present(df: DataFrame) -> DataFrame:
         if f.name in KEYS_AS_DOUBLES:
             c = f"CAST({c} AS DOUBLE)"
         elif isinstance(f.dataType, T.DoubleType):
-            c = f"round({c}, {ROUND_DIGITS})"
+            c = f"round({c}, {MONEY_DIGITS if f.name in MONEY_SUMS else ROUND_DIGITS})"
         cols.append(f"{c} AS `{f.name}`")
     return df.selectExpr(*cols)
 
@@ -309,7 +309,10 @@ def live_product_71_v1(spark, sf_dir):
 
 
 def report_bundle_counts(spark, sf_dir):
-    return sinks.bundle_counts(_nv(spark, sf_dir).bundle())
+    """K1's row counts; the priced portfolio that four of the five sheets share is written once."""
+    report = _nv(spark, sf_dir)
+    run.share(report, "priced")
+    return sinks.bundle_counts(report.bundle())
 
 
 def report_bundle_written(spark, sf_dir):

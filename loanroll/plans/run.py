@@ -37,7 +37,7 @@ UNITS_MATRIX_NAME = "MATRIZ RODAMIENTOS UNIDADES"
 SHARE_MATRIX_NAME = "MATRIZ RODAMIENTOS PROPORCIONES"
 
 
-def _share(report, attr: str) -> None:
+def share(report, attr: str) -> None:
     """Replace a cached report stage by its materialized table."""
     report.__dict__[attr] = write_and_read(getattr(report, attr), attr)
 
@@ -45,20 +45,20 @@ def _share(report, attr: str) -> None:
 def write_valuation_report(spark: SparkSession, report: ValuationReport, out_dir: str) -> dict[str, str]:
     """K1 + K5: the five sheets of the newest script, one dataset each, under a
     folder named after the previous month (``Resumen y créditos vigentes <Mes>``)."""
-    _share(report, "priced")
+    share(report, "priced")
     folder = f"{out_dir.rstrip('/')}/{VALUATION_FOLDER} {previous_month_name(report.params.as_of)}"
     return sinks.write_bundle(report.bundle(), folder)
 
 
 def write_extract(report: ExtractReport, out_dir: str) -> str:
     """K2: the older script's hand-off extract (';' CSV, decimal comma), built once for the older report too."""
-    _share(report, "extract")
+    share(report, "extract")
     return sinks.write_csv2(report.extract, out_dir, key=report.params.report_key)
 
 
 def write_extract_report(spark: SparkSession, report: ExtractReport, out_dir: str) -> dict[str, str]:
     """K1 for the older report: tape, summary, residual, live 70/71 lists."""
-    _share(report, "priced")
+    share(report, "priced")
     bundle = {
         "Cartera": report.tape,
         "Resumen": report.summary,
@@ -71,7 +71,7 @@ def write_extract_report(spark: SparkSession, report: ExtractReport, out_dir: st
 
 def write_roll_report(spark: SparkSession, report: RollReport, out_dir: str) -> dict[str, str]:
     """K3 (share history) + K4 (unit and share matrices, ``bucket_from`` first)."""
-    _share(report, "units")
+    share(report, "units")
     base = out_dir.rstrip("/")
     return sinks.write_bundle({
         SHARE_HISTORY_NAME: report.share_history,
