@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,7 @@ from loanroll.session import scratch_dir
 
 #: Rows that one Arrow batch brings to a Python worker at most: long texts make few rows large.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -39,6 +42,21 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def returns_memory(run: Callable) -> Callable:
+    """A function of a stream of batches that gives freed memory back to the system when its task ends.
+
+    Workers live on for other tasks, and the C library would keep what a task has freed.
+    """
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+        if trim:
+            trim(0)
+    return wrapped
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; a null counts as the empty text."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -57,6 +75,7 @@ def load_tokenizer(source: Broadcast):
     """The worker's own copy of a broadcast tokenizer, built once per Python worker."""
     key = hash(source.value)
     if key not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         spec = json.loads(source.value)

@@ -20,35 +20,31 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, list_column, list_slices, load_tokenizer, ranges, tokenizer_source
+from .common import bounded_batches, list_column, list_slices, load_tokenizer, ranges, returns_memory, staged, tokenizer_source
 
 FILE_SCHEMA = "doc_id bigint, row bigint, ids array<int>"
 
 #: Unicode White_Space, as the tokenizer's pattern has it. Fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RE2_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: The pre-tokenizer's pattern never joins characters across these pieces, so their ids can be joined.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: A cut before a space falls between pieces, unless the space stands inside a run of white space.
+INNER_SPACE = f"[{_RE2_SPACE}] (?:[{_RE2_SPACE}]|\\z)"
 #: Pieces after which a worker begins a new generation; it remembers two.
-REMEMBERED = 300_000
-#: Characters whose distinct pieces are looked up together.
+REMEMBERED = 250_000
+#: Bytes of text whose distinct pieces are looked up together.
 GATHERED = 8 << 20
 
 
-class _Numbered(dict):
-    """Numbers pieces in the order in which they are first seen."""
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        return n
-
-
 class PieceIds:
-    """Ids of whole texts: each distinct piece between white space is encoded once while it is remembered."""
+    """Ids of whole texts: each distinct piece between spaces is encoded once while it is remembered."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
@@ -61,42 +57,77 @@ class PieceIds:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces not seen before: those without a line end together, one per line, the others alone."""
+        """Encode pieces not seen before: together, one per line; those with a line end are cut there first; white space alone."""
+        compound = {p: PIECES.findall(p) for p in pieces if "\n" in p and not p.isspace()}
+        if compound:
+            parts = {x for own in compound.values() for x in own}
+            self._learn([*(p for p in pieces if p not in compound), *(x for x in parts if x not in self.young)])
+            self.young.update((p, b"".join(map(self.young.__getitem__, own))) for p, own in compound.items())
+            return
         one = len(self.newline) == 1
-        lines = [p for p in pieces if one and "\n" not in p and not p.isspace()]
-        alone = [p for p in pieces if not one or "\n" in p or p.isspace()]
+        lines = [p for p in pieces if one and p and not p.isspace()]
+        alone = [p for p in pieces if not one or not p or p.isspace()]
         for i in range(0, len(lines), 50_000):
             blocks = [lines[j:j + 1000] for j in range(i, min(i + 50_000, len(lines)), 1000)]
             for block, ids in zip(blocks, self._ids(["\n".join(b) for b in blocks]), strict=True):
                 cuts = np.flatnonzero(ids == self.newline[0]).tolist()
                 if len(cuts) == len(block) - 1:
-                    raw, edges = ids.tobytes(), [-1, *cuts, len(ids)]
-                    self.young.update((p, raw[4 * a + 4:4 * b]) for p, a, b in zip(block, edges, edges[1:], strict=False))
+                    raw = ids.tobytes()
+                    self.young.update(zip(block, map(raw.__getitem__, map(slice, [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), len(raw)])), strict=True))
                 else:
                     alone += block
-        self.young.update((p, x.tobytes()) for p, x in zip(alone, self._ids(alone), strict=True))
+        self.young.update(zip(alone, (x.tobytes() for x in self._ids(alone)), strict=True))
 
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces. What the last two generations did not hold is forgotten."""
+    def _known(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and joined ids of distinct pieces. What the last two generations did not hold is forgotten."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        young.update((p, old[p]) for p in pieces if p not in young and p in old)
-        self._learn([p for p in pieces if p not in young])
-        return [young[p] for p in pieces]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """32-bit ids of each text."""
-        numbers, places, whole = _Numbered(), [], {}
-        for i, t in enumerate(texts):
-            if any(s in t for s in self.special):  # special strings cut a text first: the library encodes it whole
-                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-            pieces = [] if i in whole else PIECES.findall(t)
-            places.append(np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces)))
-        known = self._known(list(numbers))
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        begins, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), np.uint32)
-        return [whole[i] if i in whole else flat[ranges(begins[p], sizes[p])] for i, p in enumerate(places)]
+        known = list(map(young.get, pieces))
+        missing = [p for p, ids in zip(pieces, known, strict=True) if ids is None]
+        if missing:
+            new = []
+            for p in missing:
+                ids = old.get(p)
+                if ids is None:
+                    new.append(p)
+                else:
+                    young[p] = ids
+            self._learn(new)
+            known = list(map(young.__getitem__, pieces))
+        return np.fromiter(map(len, known), np.int64, len(known)) // 4, np.frombuffer(b"".join(known), np.uint32)
+
+    def _whole(self, text: str) -> np.ndarray:
+        """A text with special strings, which cut it first, or with spaces inside runs of white space."""
+        if any(x in text for x in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        pieces = PIECES.findall(text)
+        distinct = list(dict.fromkeys(pieces))
+        sizes, flat = self._known(distinct)
+        begins, place = np.cumsum(sizes) - sizes, dict(zip(distinct, range(len(distinct)), strict=True))
+        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        return flat[ranges(begins[at], sizes[at])]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """32-bit ids of each text (no nulls)."""
+        odd = pc.match_substring_regex(texts, INNER_SPACE)
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        codes = plain.flatten().dictionary_encode()
+        at, lengths = codes.indices.to_numpy(), pc.list_value_length(plain).to_numpy()
+        begins = np.cumsum(lengths) - lengths  # every text has a first piece, which no space precedes
+        words = codes.dictionary.to_pylist()
+        firsts = np.unique(at[begins]).tolist()
+        sizes, flat = self._known([*(" " + w for w in words), *(words[i] for i in firsts)])
+        # a piece that never follows a space costs an encoding, no more
+        at = at.astype(np.int64)
+        at[begins] = len(words) + np.searchsorted(firsts, at[begins])
+        starts = np.cumsum(sizes) - sizes
+        ids, each = flat[ranges(starts[at], sizes[at])], np.cumsum(sizes[at])
+        ends = np.where(lengths > 0, each[np.cumsum(lengths) - 1], 0) if len(at) else np.zeros(0, np.int64)
+        fast = iter(np.split(ids, ends[:-1]) if len(ends) else ())
+        return [self._whole(t) if o else next(fast) for t, o in zip(texts.to_pylist() if pc.any(odd).as_py() else [None] * len(texts), odd.to_pylist(), strict=True)]
 
 
 _WORKER: dict[int, PieceIds] = {}
@@ -112,24 +143,28 @@ def _encoder(source: Broadcast, end_id: int) -> Callable[[Iterator[pa.RecordBatc
         for doc_ids, texts in _gathered(batches):
             ids = [np.concatenate([x, end]).astype(np.int32) for x in pieces.encode(texts)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(np.arange(row, row + len(ids)), pa.int64()), list_column(ids, pa.int32())],
-                ["doc_id", "row", "ids"])
+                [doc_ids, pa.array(np.arange(row, row + len(ids)), pa.int64()), list_column(ids, pa.int32())], ["doc_id", "row", "ids"])
             row += len(ids)
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Neighbouring batches together, up to GATHERED characters and the batch that passes them."""
-    ids, texts, size = [], [], 0
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts (null: empty) of neighbouring batches together, up to GATHERED bytes and the batch that passes them."""
+    held, size = [], 0
+
+    def out() -> tuple[pa.Array, pa.Array]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        texts = pc.fill_null(whole.column("text").cast(pa.large_string()), "").combine_chunks()
+        return whole.column("doc_id").combine_chunks(), texts
+
     for b in batches:
-        ids += b.column("doc_id").to_pylist()
-        texts += [t or "" for t in b.column("text").to_pylist()]
-        size += sum(map(len, texts[len(texts) - b.num_rows:]))
+        held.append(b)
+        size += b.nbytes
         if size >= GATHERED:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+            yield out()
+            held, size = [], 0
+    if size or held:
+        yield out()
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -145,7 +180,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = rows.withColumns({"h": F.xxhash64("text"), "n": F.monotonically_increasing_id()})
     ranged = keyed.repartitionByRange("doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n").drop("h", "n")
-    (ranged.mapInArrow(_encoder(source, end_id), FILE_SCHEMA).write
+    (ranged.mapInArrow(returns_memory(_encoder(source, end_id)), FILE_SCHEMA).write
      .option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id")
      .option("orc.row.index.stride", str(row_index_stride)).option("orc.stripe.size", str(stripe_bytes)).orc(path))
 
@@ -170,14 +205,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def file_index(tokens: DataFrame) -> DataFrame:
     """Per document of read files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
+    The files are read once, into a table of one short row per document.
     Starts are sums inside a file plus the sum of the files before it; file
     numbers ascend with the ranges. Only one row per file meets in one task.
     """
     bounded_batches(tokens.sparkSession)
     per_doc = tokens.mapInArrow(_digest, "doc_id bigint, file string, row bigint, n_tokens bigint, ids_crc32 bigint")
+    per_doc = staged(per_doc, "token-index")
     inside = W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
     rows = per_doc.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    files = tokens.groupBy("file").agg(F.sum(F.size("ids").cast("bigint")).alias("total"))
+    files = per_doc.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     part = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint")
     order = W.orderBy(part, "file").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base"))

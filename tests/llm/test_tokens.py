@@ -5,7 +5,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loanroll.llm import bpe, token_files
@@ -14,6 +17,9 @@ from loanroll.session import scratch_dir
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
+TOK = Tokenizer.from_file(BYTE)
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -85,5 +91,13 @@ def test_generations_forget_and_learn_again(monkeypatch):
     pieces = token_files.PieceIds(tok)
     texts = ["alpha beta gamma delta\n\nepsilon", "beta zeta  eta", "alpha\ttheta beta", ""] * 3
     for i in range(0, len(texts), 2):
-        for t, x in zip(texts[i:i + 2], pieces.encode(texts[i:i + 2]), strict=True):
+        for t, x in zip(texts[i:i + 2], pieces.encode(pa.array(texts[i:i + 2], pa.large_string())), strict=True):
             assert x.tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*" \n\t\u2003\xa0\x1c", *"ab,'s1é漢", "<|endoftext|>"]), max_size=30).map("".join), min_size=1, max_size=5))
+def test_pieces_are_the_library_s(texts):
+    tok = TOK
+    for t, x in zip(texts, token_files.PieceIds(tok).encode(pa.array(texts, pa.large_string())), strict=True):
+        assert x.tolist() == tok.encode(t, add_special_tokens=False).ids, t
