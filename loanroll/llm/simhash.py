@@ -5,10 +5,12 @@ computed once. For two fingerprints within ``radius`` bits every coordinate
 differs by ``radius`` at most (triangle inequality), so pairs with a larger
 coordinate difference are discarded and the survivors verified bit by bit.
 
-Which pairs are compared at all: the 64 bits are cut into ``radius + 2``
-segments; fingerprints within ``radius`` bits agree in at least two of them, so
-the rows are dealt by each pair of segments and compared inside those buckets
-only, without loss. A bucket gives at most one link per fingerprint (a spanning
+Which pairs are compared at all: the 64 bits are cut into ``k`` segments;
+fingerprints within ``radius`` bits agree in at least ``k - radius`` of them, so
+the rows are dealt by each choice of that many segments and compared inside
+those buckets only, without loss. ``k`` follows the number of fingerprints, so
+that random ones share few buckets at any size; every ``k`` gives the same
+components. A bucket gives at most one link per fingerprint (a spanning
 forest of its near pairs, never all pairs). A bucket over ``tile`` distinct
 fingerprints is cut into blocks, and each pair of blocks is a bucket of its
 own, so no task holds more than two blocks. Equal fingerprints are one row
@@ -26,6 +28,7 @@ table gives no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, texts_as_bytes
+from .common import bounded_batches, returns_memory, staged, texts_as_bytes
 
 SEED = 42
 #: Reference fingerprints: XXH64 of the numbers from zero.
@@ -80,9 +83,16 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, schema)
 
 
-def _segments(radius: int) -> list[int]:
-    """Bit masks that cut 64 bits into radius + 2 segments."""
+def segment_count(n: int, radius: int) -> int:
+    """The fewest segments whose keys (``k - radius`` of them) have about as many bits as there are fingerprints to tell apart."""
     k = radius + 2
+    while k < 16 and 64 * (k - radius) / k < math.log2(max(n, 2)) - 1:
+        k += 1
+    return k
+
+
+def _segments(k: int) -> list[int]:
+    """Bit masks that cut 64 bits into k segments."""
     edges = [64 * i // k for i in range(k + 1)]
     return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -164,12 +174,13 @@ def _links(radius: int):
     return run
 
 
-def near_links(distinct: DataFrame, radius: int, tile: int = 4096) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int, tile: int = 4096, segments: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to connect every pair within ``radius`` bits."""
-    masks = _segments(radius)
+    k = segments or segment_count(distinct.count(), radius)
     keys = []
-    for c, (x, y) in enumerate(combinations(masks, 2)):
-        mask = (x | y) - (1 << 64) if (x | y) >> 63 else x | y
+    for c, chosen in enumerate(combinations(_segments(k), k - radius)):
+        mask = sum(chosen)
+        mask = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(c).alias("c"), F.col("fingerprint").bitwiseAND(F.lit(mask).cast("bigint")).alias("bits")))
     rows = distinct.select("fingerprint", F.explode(F.array(*keys)).alias("k")).select("k.c", "k.bits", "fingerprint")
     hot = rows.groupBy("c", "bits").count().where(F.col("count") > tile)
@@ -181,7 +192,7 @@ def near_links(distinct: DataFrame, radius: int, tile: int = 4096) -> DataFrame:
         "c", "bits", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "fingerprint")
     dealt = (whole.unionByName(tiles) if hot.head(1) else whole).repartition("c", "bits", "i", "j")
     ordered = dealt.sortWithinPartitions("c", "bits", "i", "j")
-    return ordered.mapInArrow(_links(radius), "a bigint, b bigint")
+    return ordered.mapInArrow(returns_memory(_links(radius)), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -48,8 +48,12 @@ def test_simhash_is_brute_force(request, source):
     assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str) == sorted(expected, key=str)
 
 
-@pytest.mark.parametrize("tile", [8, 4096])
-def test_links_connect_crowded_buckets(spark, tile):
+def test_segments_follow_the_number_of_fingerprints():
+    assert [simhash.segment_count(n, 4) for n in (0, 1, 236_000, 14_000_000, 10 ** 10)] == [6, 6, 6, 7, 9]
+
+
+@pytest.mark.parametrize("tile,segments", [(8, None), (4096, None), (4096, 7), (8, 9)])
+def test_links_connect_crowded_buckets(spark, tile, segments):
     """Many fingerprints around few centres: buckets of all sizes, also cut into tiles, give the right components."""
     rng = np.random.default_rng(5)
     values = set()
@@ -59,7 +63,7 @@ def test_links_connect_crowded_buckets(spark, tile):
             flips = rng.choice(64, rng.integers(0, 7), replace=False)
             values.add(centre ^ sum(1 << int(b) for b in flips))
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
-    links = simhash.near_links(spark.createDataFrame(signed, "fingerprint bigint"), 4, tile).collect()
+    links = simhash.near_links(spark.createDataFrame(signed, "fingerprint bigint"), 4, tile, segments).collect()
     unsigned = [(a % (1 << 64), b % (1 << 64)) for a, b in links]
     assert all((a ^ b).bit_count() <= 4 for a, b in unsigned)
     got = {v: v for v in values}
