@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, list_column, texts_as_bytes
+from .common import bounded_batches, list_column, returns_memory, texts_as_bytes
 
 SHARD_WORDS = 1 << 20
 #: Distance between sampled suffix positions.
@@ -303,7 +303,7 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"),
                      F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for q in query_blocks(benchmark, item_col, item_text_col, window, block_words):
-        df = df.mapInArrow(_pass(spark.sparkContext.broadcast(q), df.columns), df.schema)
+        df = df.mapInArrow(returns_memory(_pass(spark.sparkContext.broadcast(q), df.columns)), df.schema)
     return df if keep_text else df.drop("text")
 
 
@@ -318,7 +318,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
     window, block = options.get("window", 10), options.get("block_words", 2_000_000)
     for q in query_blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), window, block):
-        carried = carried.mapInArrow(_pass(spark.sparkContext.broadcast(q), carried.columns), carried.schema)
+        carried = carried.mapInArrow(returns_memory(_pass(spark.sparkContext.broadcast(q), carried.columns)), carried.schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

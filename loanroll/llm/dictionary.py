@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loanroll.session import scratch_dir
 
-from .common import bounded_batches, ranges, texts_as_bytes
+from .common import bounded_batches, ranges, returns_memory, texts_as_bytes
 
 #: Words and distinct words of a chunk at most, beyond the document that passes the limit.
 CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 500_000
@@ -96,7 +96,8 @@ class _Chunk:
     words: _Numbered = field(default_factory=_Numbered)
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     n: int = 0
-    docs: list = field(default_factory=list)
+    ids: list[int | None] = field(default_factory=list)
+    places: list[np.ndarray] = field(default_factory=list)
 
     def add(self, doc_id: int | None, counted: bool, words: list[bytes]) -> None:
         places = np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words))
@@ -105,17 +106,19 @@ class _Chunk:
             if len(self.counts) < len(found):
                 self.counts = np.concatenate([self.counts, np.zeros(max(len(found), 2 * len(self.counts)) - len(self.counts), np.int64)])
             self.counts[:len(found)] += found
-        self.docs.append((doc_id, places))
+        self.ids.append(doc_id)
+        self.places.append(places)
         self.n += len(words)
 
     def rows(self, buckets: int) -> Iterator[dict]:
         """The chunk's documents, and its words by bucket. Words are numbered anew by frequency: small numbers pack better."""
-        places = np.concatenate([p for _, p in self.docs])
-        order = np.argsort(-np.bincount(places, minlength=len(self.words)), kind="stable")
+        lengths, places = [len(p) for p in self.places], np.concatenate(self.places)
+        words, self.words, self.places = list(self.words), _Numbered(), []  # what is done with is let go
+        order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order), dtype=np.uint32)
-        yield self._documents(number[places])
-        words = list(self.words)
+        yield self._documents(lengths, number[places])
+        del places
         counts = np.zeros(len(words), np.int64)
         counts[:min(len(words), len(self.counts))] = self.counts[:len(words)]
         bucket = (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets)[order]
@@ -125,9 +128,9 @@ class _Chunk:
                 yield {"kind": "words", "chunk": self.number, "bucket": int(bucket[own[0]]), "places": pack_numbers(np.diff(own, prepend=0)),
                        "words": pack(b"\n".join(words[i] for i in order[own].tolist()), 6), "counts": pack_numbers(counts[order[own]])}
 
-    def _documents(self, places: np.ndarray) -> dict:
+    def _documents(self, lengths: list[int], places: np.ndarray) -> dict:
         """The documents' row, the places in slices of about _SLICE_WORDS words."""
-        ids, lengths = [d for d, _ in self.docs], [len(p) for _, p in self.docs]
+        ids = self.ids
         slices, docs, first, size, at = [], [], 0, 0, 0
         for i, n in enumerate(lengths, 1):
             size += n
@@ -165,10 +168,10 @@ def split(docs: DataFrame, to_words: Callable[[bytes], list[bytes]], id_col: str
                 if chunk.n >= CHUNK_WORDS or len(chunk.words) >= CHUNK_DISTINCT:
                     yield from (_record(SPLIT_SCHEMA, [r]) for r in chunk.rows(buckets))
                     chunk = _Chunk(chunk.number + 1)
-        if chunk.docs:
+        if chunk.ids:
             yield from (_record(SPLIT_SCHEMA, [r]) for r in chunk.rows(buckets))
 
-    table = _bucketed(rows.mapInArrow(run, SPLIT_SCHEMA), size // CHUNK_BYTES + 8)
+    table = _bucketed(rows.mapInArrow(returns_memory(run), SPLIT_SCHEMA), size // CHUNK_BYTES + 8)
     return Split(table.where("kind = 'docs'"), table.where("kind = 'words'"), buckets)
 
 
@@ -219,7 +222,7 @@ def by_word(parts: Split, answer: Callable[[int, list[bytes], np.ndarray], tuple
 
     # one task per bucket at most; buckets are about equal, each bounded
     dealt = parts.words.select("bucket", "chunk", "places", "words", "counts").repartition(parts.buckets, "bucket")
-    return dealt.sortWithinPartitions("bucket", "chunk").mapInArrow(run, schema)
+    return dealt.sortWithinPartitions("bucket", "chunk").mapInArrow(returns_memory(run), schema)
 
 
 def by_chunk(parts: Split, answers: DataFrame, use: Callable[[list[int | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch],
@@ -253,4 +256,4 @@ def by_chunk(parts: Split, answers: DataFrame, use: Callable[[list[int | None],
                     yield use(doc_ids, np.array(row["lengths"][own], np.int64), unpack_numbers(packed), *ready)
                     first += n
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(returns_memory(run), schema)
