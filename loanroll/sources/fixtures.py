@@ -224,13 +224,11 @@ _INPUTS = ("lineitem", "part", "orders")
 
 def _content_key(spark: SparkSession, sf_dir: str) -> tuple:
     """What the inputs are: files with their sizes and times (listed, not read)."""
-    key = []
-    for name in _INPUTS:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir.rstrip('/')}/{name}.parquet")
-                 .select("path", "modificationTime", "length"))
-        mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
-        key.append(tuple(mark))
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), *key)
+    paths = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in _INPUTS]
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+             .select("path", "modificationTime", "length"))
+    mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), *mark)
 
 
 def stage(derived: Sources, base: str) -> Sources:
