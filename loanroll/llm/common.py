@@ -42,6 +42,12 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def returns_memory(run: Callable) -> Callable:
     """A function of a stream of batches that gives freed memory back to the system when its task ends.
 

@@ -64,6 +64,15 @@ def unpack_numbers(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def pack_wide(x: np.ndarray) -> bytes:
+    """64-bit numbers, their bytes of equal weight together."""
+    return pack(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_wide(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 class _Numbered(dict):
     """Numbers words in the order in which they are first seen."""
 
@@ -93,6 +102,7 @@ def _record(schema: str, rows: list[dict]) -> pa.RecordBatch:
 @dataclass
 class _Chunk:
     number: int
+    slice_words: int = _SLICE_WORDS
     words: _Numbered = field(default_factory=_Numbered)
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     n: int = 0
@@ -129,12 +139,12 @@ class _Chunk:
                        "words": pack(b"\n".join(words[i] for i in order[own].tolist()), 6), "counts": pack_numbers(counts[order[own]])}
 
     def _documents(self, lengths: list[int], places: np.ndarray) -> dict:
-        """The documents' row, the places in slices of about _SLICE_WORDS words."""
+        """The documents' row, the places in slices of about ``slice_words`` words."""
         ids = self.ids
         slices, docs, first, size, at = [], [], 0, 0, 0
         for i, n in enumerate(lengths, 1):
             size += n
-            if size >= _SLICE_WORDS or i == len(lengths):
+            if size >= self.slice_words or i == len(lengths):
                 slices.append(pack_numbers(places[at:at + size]))
                 docs.append(i - first)
                 first, at, size = i, at + size, 0
@@ -150,7 +160,7 @@ class Split:
 
 
 def split(docs: DataFrame, to_words: Callable[[bytes], list[bytes]], id_col: str = "doc_id", text_col: str = "text",
-          counted=None) -> Split:
+          counted=None, slice_words: int = _SLICE_WORDS) -> Split:
     """Write chunks of word places and their word lists; ``counted`` (a condition) says whose words are counted."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -160,23 +170,23 @@ def split(docs: DataFrame, to_words: Callable[[bytes], list[bytes]], id_col: str
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), mark.alias("counted"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(TaskContext.get().partitionId() << 32)
+        chunk = _Chunk(TaskContext.get().partitionId() << 32, slice_words)
         for b in batches:
             for doc, on, text in zip(b.column("doc_id").to_pylist(), b.column("counted").to_pylist(),
                                      texts_as_bytes(b.column("text")), strict=True):
                 chunk.add(doc, on, to_words(text))
                 if chunk.n >= CHUNK_WORDS or len(chunk.words) >= CHUNK_DISTINCT:
                     yield from (_record(SPLIT_SCHEMA, [r]) for r in chunk.rows(buckets))
-                    chunk = _Chunk(chunk.number + 1)
+                    chunk = _Chunk(chunk.number + 1, slice_words)
         if chunk.ids:
             yield from (_record(SPLIT_SCHEMA, [r]) for r in chunk.rows(buckets))
 
-    table = _bucketed(rows.mapInArrow(returns_memory(run), SPLIT_SCHEMA), size // CHUNK_BYTES + 8)
+    table = bucketed(rows.mapInArrow(returns_memory(run), SPLIT_SCHEMA), size // CHUNK_BYTES + 8)
     return Split(table.where("kind = 'docs'"), table.where("kind = 'words'"), buckets)
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    """Written to the shared scratch folder in files by chunk. The kinds fill different columns, so each is read alone.
+def bucketed(df: DataFrame, buckets: int, key: str = "chunk") -> DataFrame:
+    """Written to the shared scratch folder in files by ``key``. The kinds fill different columns, so each is read alone.
 
     Spark keeps what it knows of the files' buckets in its catalog; the entry
     is dropped once the table is opened, the files stay.
@@ -184,7 +194,7 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     spark, path = df.sparkSession, scratch_dir(df.sparkSession, "words")
     name = "words_" + path.rsplit("-", 1)[1]
     writer = df.write.format("parquet").option("path", path).option("compression", "uncompressed")  # rows are packed already
-    writer.bucketBy(buckets, "chunk").saveAsTable(name)
+    writer.bucketBy(buckets, key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table

@@ -1,19 +1,27 @@
 """A probabilistic suffix tree over words: training by Spark aggregates, scoring of whole texts.
 
-Symbols are the words whose training share is at least ``min_share`` (at most
-1 / min_share of them, whatever the corpus), one symbol for all other words,
-and the end of a text. The root predicts symbols by their training counts; a
-word under the common symbol has its own smoothed share of that symbol, so the
-root alone is the smoothed unigram model over all words of the corpus.
-
-Contexts of one, two, ... ``depth`` symbols are kept if their own share is at
-least ``min_share`` and their next-symbol distribution diverges from that of
+Symbols are the words that occur at least ``min_count`` times in the training
+texts, one symbol for all other words, and the end of a text. The root predicts
+symbols by their training counts; a word under the common symbol has its own
+smoothed share of that symbol, so the root alone is the smoothed unigram model
+over all words of the corpus.
+
+Contexts of one, two, ... ``depth`` symbols are kept if they occur at least
+``min_count`` times and their next-symbol distribution diverges from that of
 their longest proper suffix by at least ``min_divergence`` bits. A context's
 distribution is its counts less a discount, plus the mass so freed times its
-suffix's distribution; followers whose share is below ``min_follower`` have
-only the latter. Both shares bound the tree (1 / min_share contexts and
-1 / min_follower followers per depth), which is why it is broadcast; the counts
-it is chosen from cover all training texts.
+suffix's distribution; followers seen once have only the latter.
+
+Words, contexts and followers are kept by absolute counts, so the tree grows
+with the corpus; it is never collected or broadcast. Each unit of texts asks for
+the counts of its distinct n-grams (64-bit hashes, dealt by hash into tasks that
+sum them), depth by depth; an n-gram can occur twice only if both of its parts
+do, and only those are asked for. Of each n-gram that occurs twice one unit
+writes a row; the tables of these rows and of the kept contexts are the tree.
+Units ask the latter for the share that a context leaves to its suffix.
+
+With ``min_share`` the tree is bounded instead: words and contexts need that
+share of the tokens, followers ``min_follower``, and it is broadcast.
 
 A token is scored by the longest kept suffix of the symbols before it.
 
@@ -34,15 +42,21 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanroll.session import scratch_dir
+
 from . import dictionary
-from .common import bounded_batches, staged
+from .common import bounded_batches, remove, returns_memory, staged
 
 OTHER, END, FIRST = 0, 1, 2  # symbols: all other words, the end, then frequent words
 SMOOTHING = 0.1
 DISCOUNT = 0.5
 
 CODED_SCHEMA = ("doc_ids array<bigint>, null_ids array<boolean>, lengths array<int>, known array<int>, "
-                "base array<double>, rest array<double>, symbols binary")
+                "base array<double>, rest array<double>, symbols binary, counts binary")
+#: Words of the texts that ask together, beyond the document that passes the limit.
+UNIT_WORDS = 1_000_000
+ASKED_SCHEMA = "kind string, unit bigint, bucket int, keys binary, counts binary, context bigint, n bigint, total bigint, p double"
+TOLD_SCHEMA = "round int, unit bigint, bucket int, told binary"
 
 
 @dataclass
@@ -111,7 +125,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         cols = [b.column(n).to_pylist() for n in ("doc_ids", "null_ids", "lengths", "symbols")]
         for i, (ids, nulls, lengths, packed) in enumerate(zip(*cols, strict=True)):
             ids = [None if n else x for x, n in zip(ids, nulls, strict=True)]
-            yield b, i, ids, np.array(lengths, np.int64), dictionary.unpack(packed, np.uint16)
+            yield b, i, ids, np.array(lengths, np.int64), dictionary.unpack_numbers(packed)
 
 
 def _count(coded: DataFrame, depth: int, symbols: int, kept: Broadcast | None) -> DataFrame:
@@ -147,53 +161,65 @@ def _count(coded: DataFrame, depth: int, symbols: int, kept: Broadcast | None) -
     return rows.groupBy("context", "follower").agg(F.sum("n").alias("n"))
 
 
+@dataclass(frozen=True)
+class Grown:
+    """A tree kept as tables: ``levels[d]`` are n-grams seen twice (context, n, total, p) and kept contexts (context, free)."""
+
+    levels: list[tuple[DataFrame, DataFrame]]
+    told: DataFrame
+    walk: Walk
+
+
 @dataclass(frozen=True)
 class Model:
-    """A fitted tree with the coded texts it was counted from."""
+    """A fitted tree with the coded texts it was counted from; ``tree`` is the root alone where the tree is ``grown``."""
 
     coded: DataFrame
     tree: Tree
     train_tokens: int
     vocabulary: int
+    grown: Grown | None = None
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_share: float = 1e-4,
-        min_follower: float = 1e-6, min_divergence: float = 0.05) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None,
+        min_share: float | None = None, min_follower: float = 1e-6, min_divergence: float = 0.05, min_count: int = 2) -> Model:
     """Count, choose and smooth the tree of the training documents (those not held out)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    if not 0 < min_share < 1 or 1 / min_share + 2 > 65_535:
+    if min_share is not None and (not 0 < min_share < 1 or 1 / min_share + 2 > 65_535):
         raise ValueError("min_share must leave fewer than 65536 symbols")
-    parts = dictionary.split(docs, dictionary.words_lower, id_col, text_col, ~held_out(F.col(id_col)))
+    depth = depth if depth is not None else 3 if min_share is None else 2
+    parts = dictionary.split(docs, dictionary.words_lower, id_col, text_col, ~held_out(F.col(id_col)), UNIT_WORDS)
 
     # all training tokens: words and ends
     each = parts.docs.select(F.explode(F.arrays_zip("doc_ids", "null_ids", "lengths")).alias("d"))
     learned = F.when(F.col("d.null_ids"), F.lit(True)).otherwise(~held_out(F.col("d.doc_ids")))
     n_ends, n_words = each.where(learned).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("d.lengths").cast("bigint")), F.lit(0))).first()
     n_all = n_words + n_ends
-    least = max(2, int(np.ceil(min_share * n_all)))
+    least = max(2, min_count if min_share is None else int(np.ceil(min_share * n_all)))
 
     def answer(_bucket: int, words: list[bytes], counts: np.ndarray):
         often = sorted(np.flatnonzero(counts >= least).tolist(), key=lambda i: words[i])
         rank = np.zeros(len(words), np.uint32)
         rank[often] = np.arange(1, len(often) + 1)
-        row = {"distinct": int((counts > 0).sum()), "often": [int(counts[i]) for i in often]}
+        row = {"distinct": int((counts > 0).sum()), "n_often": len(often), "mass": int(counts[often].sum()),
+               "often": [] if min_share is None else [int(counts[i]) for i in often]}
         flat = np.stack([np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), rank], 1)
         return [row], lambda own: (dictionary.pack_numbers(np.full(len(own), 2)), dictionary.pack_numbers(flat[own].ravel()))
 
-    answers = staged(dictionary.by_word(parts, answer, "distinct bigint, often array<bigint>"), "counts")
-    told = answers.where("chunk < 0").select("bucket", "distinct", "often")
+    answers = staged(dictionary.by_word(parts, answer, "distinct bigint, n_often bigint, mass bigint, often array<bigint>"), "counts")
+    told = answers.where("chunk < 0").select("bucket", "distinct", "n_often", "mass", "often")
     vocabulary = (told.agg(F.sum("distinct")).first()[0] or 0) + (n_ends > 0)
-    often = {r.bucket: r.often for r in told.where(F.size("often") > 0).select("bucket", "often").collect()}  # 1 / min_share at most
-    offset, counts = {}, [0, n_ends]
-    for bucket in sorted(often):
-        offset[bucket] = len(counts) - 1  # ranks begin at 1
-        counts += often[bucket]
-    symbols = len(counts)
+    often = sorted(told.where("n_often > 0").select("bucket", "n_often", "mass", "often").collect())  # one row per bucket
+    offset, counts, symbols = {}, [0, n_ends], FIRST
+    for bucket, n_often, _, own in often:
+        offset[bucket] = symbols - 1  # ranks begin at 1
+        symbols += n_often
+        counts += own  # 1 / min_share at most, none without
+    often_words = sum(r.mass for r in often)
     mass = n_all + SMOOTHING * (vocabulary + 1)
+    rest = max(mass - n_ends - often_words - SMOOTHING * (symbols - 1), SMOOTHING)  # an unseen word keeps its share without training texts, too
     own = np.array(counts, float) + SMOOTHING
-    own[END] = n_ends + SMOOTHING
-    rest = max(mass - own[1:].sum(), SMOOTHING)  # an unseen word keeps its share without training texts, too
     own[OTHER] = rest
     tree = Tree(symbols, np.log10(own / mass))
     numbered = answers.where("chunk >= 0").select("chunk", "bucket", "places", "sizes", "values")
@@ -201,6 +227,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     held = coded.withColumn("held", F.transform(
         F.arrays_zip("doc_ids", "null_ids"), lambda d: ~d["null_ids"] & held_out(d["doc_ids"])))
 
+    if min_share is None:
+        walk = Walk(depth, least, parts.buckets, n_ends, n_words - often_words, mass, rest)
+        unit = held.withColumn("unit", F.monotonically_increasing_id())
+        coded = dictionary.bucketed(unit, parts.buckets, "unit")
+        return Model(coded, tree, n_all, vocabulary, _grow(coded, walk, min_divergence))
     kept = None
     for d in range(1, depth + 1):
         if symbols ** (d + 1) >= 1 << 62:
@@ -250,12 +281,15 @@ def _coded(parts: dictionary.Split, answers: DataFrame, offset: Broadcast, bucke
         row = {"doc_ids": [d or 0 for d in doc_ids], "null_ids": [d is None for d in doc_ids], "lengths": lengths.tolist(),
                "known": (total((counts > 0).astype(float)).round().astype(int) + (n_ends > 0)).tolist()}
         b, r = total(base) + end_base, total(other)
-        packed = dictionary.pack((symbol[places] if len(places) else np.zeros(0)).astype(np.uint16))
+        own = symbol[places] if len(places) else np.zeros(0, np.uint32)
+        first = np.unique(own, return_index=True)[1]
+        own_counts = dictionary.pack_numbers(counts[places[first]] if len(places) else np.zeros(0))
         return pa.RecordBatch.from_arrays(
             [pa.array([row["doc_ids"]], pa.list_(pa.int64())), pa.array([row["null_ids"]], pa.list_(pa.bool_())),
              pa.array([row["lengths"]], pa.list_(pa.int32())), pa.array([row["known"]], pa.list_(pa.int32())),
-             pa.array([b.tolist()], pa.list_(pa.float64())), pa.array([r.tolist()], pa.list_(pa.float64())), pa.array([packed], pa.binary())],
-            ["doc_ids", "null_ids", "lengths", "known", "base", "rest", "symbols"])
+             pa.array([b.tolist()], pa.list_(pa.float64())), pa.array([r.tolist()], pa.list_(pa.float64())), pa.array([dictionary.pack_numbers(own)], pa.binary()),
+             pa.array([own_counts], pa.binary())],
+            ["doc_ids", "null_ids", "lengths", "known", "base", "rest", "symbols", "counts"])
 
     return dictionary.by_chunk(parts, numbered, use, CODED_SCHEMA)
 
@@ -291,10 +325,264 @@ def _level(tree: Tree, rows: pa.Table, depth: int, min_divergence: float) -> Lev
     return Level(keys[keep], np.log10(np.maximum(free[keep], 1e-300)), place[at[on]] * tree.symbols + follower[on], np.log10(p[on]))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers to 64-bit numbers, every bit depending on every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass(frozen=True)
+class Walk:
+    """How a unit's tokens go down a grown tree, as far as what was told reaches."""
+
+    depth: int
+    least: int
+    buckets: int
+    n_ends: int
+    n_other: int
+    mass: float
+    rest: float
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        """Ranges of sorted keys."""
+        return (((keys >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64)
+
+    def start(self, packed: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, places, training counts and root probabilities of the tokens."""
+        kinds, at = np.unique(packed, return_inverse=True)
+        count = np.where(kinds == OTHER, self.n_other, counts.astype(np.int64))
+        share = np.where(kinds == OTHER, self.rest, count + SMOOTHING) / self.mass
+        full, place = _sequences(lengths, packed)
+        ends = np.cumsum(lengths)
+        own = np.insert(count[at], ends, self.n_ends)
+        return full.astype(np.uint64), place, own, np.insert(share[at], ends, (self.n_ends + SMOOTHING) / self.mass)
+
+    def go(self, full: np.ndarray, place: np.ndarray, above: np.ndarray, p: np.ndarray, train: np.ndarray,
+           told: dict[int, list[bytes]]) -> Iterator[tuple[str, tuple]]:
+        """Changes ``p`` to the probabilities of the depths that are told in full, and yields what is to be asked next.
+
+        ``above`` is the count of the n-gram that ends at a token, of as many symbols as the contexts have. Rounds
+        2 d tell counts of the n-grams of context and token, rounds 2 d + 1 the shares left by contexts.
+        """
+        key = np.zeros(len(full), np.uint64)
+        for d in range(1, self.depth + 1):
+            total, near = np.zeros(len(full), np.int64), np.zeros(len(full), np.uint64)
+            total[1:], near[d:] = above[:-1], full[:-d]  # a context is the n-gram that ends before the token
+            key = _mix(key + (near + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            on = (place >= d) & (total >= self.least)
+            rows = np.flatnonzero(on if d == 1 else on & (above >= 2))
+            pair = _mix(key[rows] ^ _mix(full[rows] + np.uint64(1 << 40)))
+            pairs, first, at = np.unique(pair, return_index=True, return_inverse=True)
+            if 2 * d not in told:
+                yield "pairs", (pairs, np.bincount(at[train[rows]], minlength=len(pairs)))
+                return
+            n = _joined(told[2 * d], np.uint64)
+            writes, n = (n & np.uint64(1)).astype(bool), (n >> np.uint64(1)).astype(np.int64)
+            count = np.zeros(len(full), np.int64)
+            count[rows] = n[at]
+            reach = np.flatnonzero(on)
+            contexts, at = np.unique(key[reach], return_inverse=True)
+            if 2 * d + 1 in told:
+                free = _joined(told[2 * d + 1], np.float32)[at].astype(float)
+                kept = ~np.isnan(free)
+                r = reach[kept]
+                p[r] = np.where(count[r] > 0, (count[r] - DISCOUNT) / total[r], 0) + free[kept] * p[r]
+            else:
+                own = rows[first[writes]]
+                yield "listed", (key[own], n[writes], total[own], p[own])
+                yield "contexts", (contexts, None)
+            above = count
+
+
+def _joined(parts: list[bytes], kind) -> np.ndarray:
+    unpacked = dictionary.unpack_wide if kind is np.uint64 else dictionary.unpack_numbers
+    return np.concatenate([unpacked(x).view(kind) for x in parts]) if parts else np.zeros(0, kind)
+
+
+def _walked(coded: DataFrame, told: DataFrame | None, use, schema: str) -> DataFrame:
+    """``use(batch, row, ids, lengths, tokens' start, told)`` for each unit, with what it was told so far."""
+    rows = coded.withColumn("got", F.lit(None).cast("array<struct<round:int,bucket:int,told:binary>>"))
+    if told is not None:
+        # rows per unit and bucket, bounded by its words
+        rows = coded.join(told.groupBy("unit").agg(F.collect_list(F.struct("round", "bucket", "told")).alias("got")), "unit", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, i, ids, lengths, packed in _decoded(x.slice(k, 1) for x in batches for k in range(x.num_rows)):
+            by: dict[int, list[bytes]] = {r: [] for r in b.column("rounds")[i].as_py()}
+            for g in sorted(b.column("got")[i].as_py() or [], key=lambda g: (g["round"], g["bucket"])):
+                by[g["round"]].append(g["told"])
+            yield from use(b, i, ids, lengths, packed, by)
+
+    return rows.mapInArrow(returns_memory(run), schema)
+
+
+def _grow(coded: DataFrame, walk: Walk, min_divergence: float) -> Grown:
+    """Ask and tell until all depths are told."""
+    spark, told, rounds, levels = coded.sparkSession, None, [], []
+
+    def ask(b, i, ids, lengths, packed, got) -> Iterator[pa.RecordBatch]:
+        unit = b.column("unit")[i].as_py()
+        tokens = walk.start(packed, dictionary.unpack_numbers(b.column("counts")[i].as_py()), lengths)
+        train = np.repeat(~np.array(b.column("held").to_pylist()[i], bool), lengths + 1)
+        for kind, made in walk.go(*tokens, train, got):
+            if kind == "listed":
+                n = len(made[0])
+                yield _asked(kind=[kind] * n, context=made[0].view(np.int64), n=made[1], total=made[2], p=made[3])
+                continue
+            keys, counts = made
+            bucket = walk.bucket(keys)
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            own = [x for x in np.split(keys, cuts) if len(x)]
+            n = [dictionary.pack_wide(x) for x in np.split(counts, cuts)][:len(own)] if counts is not None else None
+            yield _asked(kind=[kind] * len(own), unit=[unit] * len(own), bucket=[int(walk.bucket(x[:1])[0]) for x in own],
+                         keys=[dictionary.pack_wide(np.diff(x, prepend=np.uint64(0))) for x in own], counts=n)
+
+    for d in range(1, walk.depth + 2):
+        asking = coded.withColumn("rounds", F.array(*map(F.lit, rounds)).cast("array<int>"))
+        path = scratch_dir(spark, "asked")
+        _walked(asking, told, ask, ASKED_SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+        asked = spark.read.schema(ASKED_SCHEMA).parquet(path)
+        dealt = lambda kind: asked.where(F.col("kind") == kind).select("bucket", "unit", "keys", "counts")  # noqa: E731, B023
+        new = []
+        if d <= walk.depth:
+            new.append(_counted(dealt("pairs"), walk.buckets, 2 * d))
+        if d > 1:
+            listed = asked.where("kind = 'listed'").select("context", "n", "total", "p")
+            kept = staged(_kept(listed, min_divergence), "contexts")
+            levels.append((listed, kept))
+            new.append(_looked_up(dealt("contexts"), kept, walk.buckets, 2 * d - 1))
+        rounds += ([2 * d] if d <= walk.depth else []) + ([2 * d - 1] if d > 1 else [])
+        for answers in new:
+            answers = staged(answers, "told")
+            told = answers if told is None else told.unionByName(answers)
+        # what was asked is answered and written: its files can go, and the shuffles that no frame needs any more
+        for kind in ("pairs", "contexts"):
+            remove(spark, f"{path}/kind={kind}")
+        spark.sparkContext._jvm.System.gc()
+    return Grown(levels, told, walk)
+
+
+def _asked(**columns) -> pa.RecordBatch:
+    names = [f.split(" ") for f in ASKED_SCHEMA.split(", ")]
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    n = len(columns["kind"])
+    cols = [pa.nulls(n, kinds[k]) if columns.get(c) is None else pa.array(columns[c], kinds[k]) for c, k in names]
+    return pa.RecordBatch.from_arrays(cols, [c for c, _ in names])
+
+
+def _keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(dictionary.unpack_wide(packed), dtype=np.uint64)
+
+
+def _told(number: int, bucket: int, units: list[int], values: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number] * len(units), pa.int32()), pa.array(units, pa.int64()), pa.array([bucket] * len(units), pa.int32()),
+         pa.array(values, pa.binary())], ["round", "unit", "bucket", "told"])
+
+
+def _counted(asked: DataFrame, buckets: int, number: int) -> DataFrame:
+    """Tell each unit the training counts of its n-grams, 0 for fewer than 2, and which of them it is to write (the lowest bit)."""
+    def solve(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+        lists = [_keys(k) for _, k, _ in rows]
+        sizes = np.cumsum([len(x) for x in lists])[:-1]
+        _, first, at = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
+        n = np.zeros(len(first), np.uint64)
+        np.add.at(n, at, np.concatenate([dictionary.unpack_wide(c) for _, _, c in rows]))
+        n[n < 2] = 0
+        out = n[at] << np.uint64(1)
+        out[first[n > 0]] |= np.uint64(1)
+        return _told(number, bucket, [u for u, _, _ in rows], [dictionary.pack_wide(x) for x in np.split(out, sizes)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for b in batches:
+            for bucket, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if rows and bucket != now:
+                    yield solve(now, rows)
+                    rows = []
+                now = bucket
+                rows.append(tuple(row))
+        if rows:
+            yield solve(now, rows)
+
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "unit").mapInArrow(returns_memory(run), TOLD_SCHEMA)
+
+
+def _kept(listed: DataFrame, min_divergence: float) -> DataFrame:
+    """(context, free) of the contexts that diverge enough from their suffixes. ``listed``: one row per n-gram seen twice."""
+    explicit = (F.col("n") - F.lit(DISCOUNT)) / F.col("total")
+    by = listed.groupBy("context").agg(F.greatest(1 - F.sum(explicit), F.lit(1e-30)).alias("free"))
+    p = explicit + F.col("free") * F.col("p")
+    parts = listed.join(by, "context").groupBy("context").agg(
+        F.first("free").alias("free"), F.sum(p * F.log2(p / F.col("p"))).alias("seen"), F.sum("p").alias("share"))
+    # followers that are not listed have the free share of the suffix's probability, so they add (rest) log2(free)
+    unlisted = F.col("free") * F.greatest(1 - F.col("share"), F.lit(0.0)) * F.log2("free")
+    return parts.where(F.col("seen") + unlisted >= min_divergence).select("context", "free")
+
+
+def _looked_up(asked: DataFrame, kept: DataFrame, buckets: int, number: int) -> DataFrame:
+    """Tell each unit the share that each of its contexts leaves to the suffix; NaN for those that are not kept."""
+    rows = kept.select(F.expr(f"cast(shiftright(shiftrightunsigned(context, 32) * {buckets}L, 32) as int)").alias("bucket"), "context", "free")
+    both = asked.select("bucket", "unit", "keys").unionByName(rows, allowMissingColumns=True)
+    dealt = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("unit").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, contexts, free = None, [], []
+        for b in batches:
+            bucket = b.column("bucket").to_numpy()
+            in_tree = b.column("unit").is_null().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(in_tree.astype(np.int8)) != 0)) + 1
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(bucket)], strict=True):
+                if i == j:
+                    continue
+                if bucket[i] != now:
+                    now, contexts, free = int(bucket[i]), [], []
+                if in_tree[i]:
+                    contexts.append(b.column("context").slice(i, j - i).to_numpy().view(np.uint64))
+                    free.append(b.column("free").slice(i, j - i).to_numpy())
+                    continue
+                have = np.concatenate([*contexts, np.zeros(0, np.uint64)])
+                order = np.argsort(have)
+                have, left = have[order], np.concatenate([*free, np.zeros(0)])[order]
+                contexts, free = [have], [left]
+                units, values = b.column("unit").slice(i, j - i).to_pylist(), []
+                for packed in b.column("keys").slice(i, j - i).to_pylist():
+                    keys = _keys(packed)
+                    at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
+                    own = np.where(have[at] == keys, left[at], np.nan) if len(have) else np.full(len(keys), np.nan)
+                    values.append(dictionary.pack_numbers(own.astype(np.float32).view(np.uint32)))
+                yield _told(number, now, units, values)
+
+    return dealt.mapInArrow(returns_memory(run), TOLD_SCHEMA)
+
+
 def score(model: Model) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = model.coded.sparkSession
     bounded_batches(spark)
+    schema = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+
+    def scored(b: pa.RecordBatch, i: int, ids: list, lengths: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+        ends = np.cumsum(lengths + 1)
+        scores = _sums(logs, ends - lengths - 1, ends) + np.array(b.column("rest")[i].as_py())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(lengths + 1), pa.array(b.column("known")[i].as_py(), pa.int64()),
+             pa.array(b.column("base")[i].as_py(), pa.float64()), pa.array(scores)],
+            ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    if model.grown:
+        walk = model.grown.walk
+
+        def use(b, i, ids, lengths, packed, got) -> Iterator[pa.RecordBatch]:
+            tokens = walk.start(packed, dictionary.unpack_numbers(b.column("counts")[i].as_py()), lengths)
+            if list(walk.go(*tokens, np.zeros(len(tokens[0]), bool), got)):
+                raise ValueError("the tree is not told in full")
+            yield scored(b, i, ids, lengths, np.log10(tokens[3]))
+
+        every = model.coded.withColumn("rounds", F.array(*(F.lit(r) for r in range(2, 2 * walk.depth + 2))).cast("array<int>"))
+        rows = _walked(every, model.grown.told, use, schema)
+        return _with_totals(rows, model)
     tree = spark.sparkContext.broadcast(model.tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,14 +590,11 @@ def score(model: Model) -> DataFrame:
         for b, i, ids, lengths, packed in _decoded(batches):
             full, place = _sequences(lengths, packed)
             keys, valid = _contexts(full, place, len(t.levels), t.symbols)
-            logs = t.log10(keys, full, valid)
-            ends = np.cumsum(lengths + 1)
-            scores = _sums(logs, ends - lengths - 1, ends) + np.array(b.column("rest")[i].as_py())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(lengths + 1), pa.array(b.column("known")[i].as_py(), pa.int64()),
-                 pa.array(b.column("base")[i].as_py(), pa.float64()), pa.array(scores)],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    rows = model.coded.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+            yield scored(b, i, ids, lengths, t.log10(keys, full, valid))
+
+    return _with_totals(model.coded.mapInArrow(run, schema), model)
+
+
+def _with_totals(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
                        F.lit(model.train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -161,6 +161,70 @@ def test_suffix_tree_of_nothing(no_docs, weird_docs):
         assert r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) and math.isfinite(r.base_score)
 
 
+def plain_tree(rows, depth=3):
+    """Scores by dictionaries of n-grams: words, contexts and followers seen twice, whatever their share."""
+    counts, ends = unigrams(rows)
+    mass = sum(counts.values()) + ends + 0.1 * (len(counts) + 2)
+    rest = mass - ends - 0.1 - sum(n + 0.1 for n in counts.values() if n >= 2)
+    coded = [(i, [w if counts[w] >= 2 else 0 for w in (t or "").encode().lower().split()] + [1], (t or "").encode().lower().split())
+             for i, t in rows]
+    grams, follow = Counter(), {}
+    for i, s, _ in coded:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            for d in range(1, depth + 1):
+                grams.update(tuple(s[k:k + d + 1]) for k in range(len(s) - d))
+    for g, n in grams.items():
+        follow.setdefault(g[:-1], {})[g[-1]] = n
+    root = lambda f: (rest if f == 0 else (ends if f == 1 else counts[f]) + 0.1) / mass
+    kept = {}
+
+    def p(c, f):
+        if not c:
+            return root(f)
+        if c not in kept:
+            return p(c[1:], f)
+        n, total, free = follow[c].get(f, 0), *kept[c]
+        return ((n - 0.5) / total if n >= 2 else 0) + free * p(c[1:], f)
+
+    for d in range(1, depth + 1):
+        chosen = {}
+        for c, own in follow.items():
+            twice = {f: n for f, n in own.items() if n >= 2}
+            if len(c) == d and sum(own.values()) >= 2 and twice:
+                total = sum(own.values())
+                free = 1 - sum((n - 0.5) / total for n in twice.values())
+                below = {f: p(c[1:], f) for f in twice}
+                here = {f: (n - 0.5) / total + free * below[f] for f, n in twice.items()}
+                unlisted = free * max(1 - sum(below.values()), 0)
+                if sum(here[f] * math.log2(here[f] / below[f]) for f in twice) + unlisted * math.log2(free) >= 0.05:
+                    chosen[c] = (total, free)
+        kept.update(chosen)
+    scores = [(i, sum(math.log10(p(tuple(s[max(0, k - depth):k]), f)) for k, f in enumerate(s))
+               + sum(math.log10((counts[w] + 0.1) / rest) for w in words if counts[w] < 2)) for i, s, words in coded]
+    return scores, Counter(len(c) for c in kept)
+
+
+@pytest.mark.parametrize("unit_words", [300, 1_000_000])
+def test_grown_tree_is_brute_force(spark, monkeypatch, unit_words):
+    monkeypatch.setattr(suffix_tree, "UNIT_WORDS", unit_words)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    df = df.unionByName(df.limit(3)).unionByName(df.limit(1).withColumn("doc_id", df.doc_id * 0 - 5).withColumn("text", df.text.substr(1, 0)))
+    model = suffix_tree.fit(df)
+    expected, kept = plain_tree([(r.doc_id, r.text) for r in df.collect()])
+    assert [k.count() for _, k in model.grown.levels] == [kept[d] for d in (1, 2, 3)]
+    got = sorted((r.doc_id, r.score) for r in suffix_tree.score(model).collect())
+    assert [g[0] for g in got] == [e[0] for e in sorted(expected)]
+    assert all(abs(g[1] - e[1]) < 1e-6 * abs(e[1]) for g, e in zip(got, sorted(expected), strict=True))
+
+
+def test_tree_grows_with_the_corpus(spark):
+    sizes = []
+    for sf in ("0.001", "0.01"):
+        model = suffix_tree.fit(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
+        sizes.append((model.tree.symbols, *(k.count() for _, k in model.grown.levels)))
+    assert all(b > 2 * a for a, b in zip(*sizes, strict=True)) and sum(sizes[1][1:]) > 10_000
+
+
 def test_table_of_shards():
     shards = [f"s{i}" for i in range(10)]
     table = sharding.fill_table(shards, 1009)
