@@ -8,9 +8,12 @@ string, encoded once with offsets (the control strings are special tokens, so
 no token crosses a turn's edge), and the sorted spans of loss-bearing texts are
 intersected with the sorted token spans by binary search.
 
-A conversation is formatted in segments of ``turns_per_segment`` turn numbers:
-rendering and encoding commute with cutting at a control string, and one
-conversation that holds a large part of all rows is spread over many tasks.
+A conversation is formatted in segments of at most ``turns_per_segment`` rows
+and ``SEGMENT_CHARS`` characters (or one longer row): rendering and encoding
+commute with cutting at a control string. Rows are dealt by ranges of their
+order, equal rows by a row id, so one conversation that holds a large part of
+all rows is spread over many tasks whatever its turn numbers. Segment numbers
+ascend in a conversation's order; they need not follow each other.
 
 Defined results: a null text or role is the empty string; null conversation
 ids form one conversation; null turns come first; ties in ``turn`` are ordered
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,9 @@ _CONTROL = re.compile(r"([\[<])(\\*)(?=/?INST\]|/s>)")
 _ESCAPED = re.compile(r"([\[<])\\(\\*)(?=/?INST\]|/s>)")
 _TURN = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(MID) + "(.*?)" + re.escape(CLOSE), re.S)
 
+#: Characters of a segment, and of the segments that are encoded together, at most (beyond one longer row).
+SEGMENT_CHARS = 2_000_000
+
 SEGMENT_SCHEMA = ("conv_id bigint, segment bigint, n_turns bigint, formatted string, "
                   "ids array<int>, token_start array<int>, token_end array<int>, loss array<byte>")
 
@@ -101,7 +108,8 @@ def format_conversations(turns: DataFrame, tokenizer: str, loss_roles: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(source)
-        key, own, done = None, [], []
+        conv_now, own, done, size, waiting = None, [], [], 0, 0
+        segment = TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
             rendered = [render(t, loss_roles) for _, t in done]
@@ -118,25 +126,29 @@ def format_conversations(turns: DataFrame, tokenizer: str, loss_roles: tuple[str
             done.clear()
             return made
 
-        for conv, segment, role, text in _rows(batches):
-            if own and (conv, segment) != key:
-                done.append((key, own))
-                own = []
-                if len(done) == 256:
+        for conv, role, text in _rows(batches):
+            role, text = role or "", text or ""
+            n = len(role) + len(text)
+            if own and (conv != conv_now or len(own) >= turns_per_segment or size + n > SEGMENT_CHARS):
+                done.append(((conv_now, segment), own))
+                segment, waiting = segment + 1, waiting + size
+                own, size = [], 0
+                if len(done) == 256 or waiting + n > SEGMENT_CHARS:
                     yield out()
-            key = (conv, segment)
-            own.append((role or "", text or ""))
+                    waiting = 0
+            conv_now = conv
+            own.append((role, text))
+            size += n
         if own:
-            done.append((key, own))
+            done.append(((conv_now, segment), own))
         if done:
             yield out()
 
     rows = turns.select(F.col(id_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"),
                         F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    segment = F.floor(F.coalesce("turn", F.lit(-1)) / F.lit(turns_per_segment)).cast("bigint")
-    rows = rows.withColumn("segment", F.when(F.col("turn").isNull(), F.lit(-(1 << 62))).otherwise(segment))
-    dealt = rows.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "turn", "role", "text")
-    return dealt.select("conv_id", "segment", "role", "text").mapInArrow(run, SEGMENT_SCHEMA)
+    order = ("conv_id", "turn", "role", "text")
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order, "row").sortWithinPartitions(*order)
+    return dealt.select("conv_id", "role", "text").mapInArrow(run, SEGMENT_SCHEMA)
 
 
 DIGEST_SCHEMA = ("conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "

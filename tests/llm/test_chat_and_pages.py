@@ -48,6 +48,25 @@ def test_digests_read_back(turns, turns_per_segment):
         assert got[c].formatted_chars == len(chat.render(own, ())[0])
 
 
+def test_segments_are_cut_by_rows_and_size(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("cast(null as bigint) AS conv_id", "id % 2 AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "'same text' AS text")
+    segments = chat.format_conversations(df, BYTE)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # so little data would be brought back into one task
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = segments.selectExpr("max(n_turns)", "sum(n_turns)", "count(DISTINCT segment)", "count(*)", "count(DISTINCT segment >> 32)").first()
+    finally:
+        spark.conf.set(key, before)
+    assert got[0] <= 64 and got[1] == n and got[2] == got[3] >= n / 64 and got[4] > 1  # more than one task
+    r = chat.conversation_digests(segments).first()
+    whole = "user\nsame text\n" * (n // 2) + "assistant\nsame text\n" * (n // 2)
+    assert r.n_turns == n and r.turns_sha256 == hashlib.sha256(whole.encode()).hexdigest() and r.loss_chars == 9 * n // 2
+    long = spark.range(40).selectExpr("1L AS conv_id", "0L AS turn", "'user' AS role", "repeat('word ', 20000) AS text")
+    assert chat.format_conversations(long, BYTE).selectExpr("max(length(formatted))").first()[0] < 2_100_000
+
+
 def test_mask_is_the_overlap_of_spans():
     rng = np.random.default_rng(2)
     for _ in range(200):
