@@ -27,7 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -153,10 +153,20 @@ class Run:
 
     def __init__(self, sign: str, members: list[Node]):
         self.sign, self.members = sign, members
-        self.children = runs([c for m in members for c in m.children if not isinstance(c, str)])
+        todo = [self]
+        for r in todo:  # the list grows; no recursion, pages may be nested to any depth
+            r.children = _runs([c for m in r.members for c in m.children if not isinstance(c, str)])
+            todo.extend(r.children)
 
 
-def runs(nodes: list[Node]) -> list[Run]:
+def _bare(sign: str, members: list[Node]) -> Run:
+    """A run whose children are still to be set."""
+    run = Run.__new__(Run)
+    run.sign, run.members = sign, members
+    return run
+
+
+def _runs(nodes: list[Node]) -> list[Run]:
     out: list[tuple[str, list[Node]]] = []
     for n in nodes:
         if is_boilerplate(n):
@@ -165,18 +175,33 @@ def runs(nodes: list[Node]) -> list[Run]:
             out[-1][1].append(n)
         else:
             out.append((n.sign, [n]))
-    return [Run(s, m) for s, m in out]
+    return [_bare(s, m) for s, m in out]
 
 
-def simple_tree_matching(a: Run, b: Run, pairs: list[tuple[Run, Run]] | None = None) -> tuple[int, list[tuple[Run, Run]]]:
+def simple_tree_matching(a: Run, b: Run) -> tuple[int, list[tuple[Run, Run]]]:
     """The size of the largest order-keeping match of two trees, and the matched nodes."""
+    open_pairs, value = [_match(a, b)], None
+    while open_pairs:
+        try:
+            inner = open_pairs[-1].send(value)
+        except StopIteration as done:
+            open_pairs.pop()
+            value = done.value
+        else:
+            open_pairs.append(_match(*inner))
+            value = None
+    return value
+
+
+def _match(a: Run, b: Run) -> Generator[tuple[Run, Run], tuple, tuple[int, list[tuple[Run, Run]]]]:
+    """Yields the pairs of children whose matches it needs, and is sent them."""
     if a.sign != b.sign:
         return 0, []
     x, y = a.children, b.children
     best = [[(0, [])] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i, c in enumerate(x, 1):
         for j, d in enumerate(y, 1):
-            w, own = simple_tree_matching(c, d) if c.sign == d.sign else (0, [])
+            w, own = (yield c, d) if c.sign == d.sign else (0, [])
             up, left, both = best[i - 1][j], best[i][j - 1], best[i - 1][j - 1]
             top = up if up[0] >= left[0] else left
             best[i][j] = (both[0] + w, both[1] + [own]) if w and both[0] + w > top[0] else top
@@ -188,15 +213,35 @@ def clean(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 
 
-def direct_text(node: Node) -> str:
-    """The text of a node and its inline children, not of blocks inside it."""
-    return clean(" ".join(c if isinstance(c, str) else direct_text(c) for c in node.children if isinstance(c, str) or c.tag not in BLOCK))
+def direct_text(node: Node, known: dict[int, str] | None = None) -> str:
+    """The text of a node and its inline children, not of blocks inside it; ``known`` keeps the texts of nodes by id."""
+    known = {} if known is None else known
+    if id(node) in known:
+        return known[id(node)]
+    open_nodes = [(node, iter(node.children), [])]
+    while True:
+        now, children, parts = open_nodes[-1]
+        for c in children:
+            if isinstance(c, str):
+                parts.append(c)
+            elif c.tag not in BLOCK and id(c) in known:
+                parts.append(known[id(c)])
+            elif c.tag not in BLOCK:
+                open_nodes.append((c, iter(c.children), []))
+                break
+        else:
+            open_nodes.pop()
+            text = known[id(now)] = clean(" ".join(parts))
+            if not open_nodes:
+                return text
+            open_nodes[-1][2].append(text)
 
 
 def template_constants(trees: list[Run], min_support: int = 4, share: float = 0.8) -> list[set[int]]:
     """Per tree the nodes (by id) that hold template constants."""
     constants: list[set[int]] = [set() for _ in trees]
-    texts = [tuple(t for r in _all(tree) for t in map(direct_text, r.members)) for tree in trees]
+    known: dict[int, str] = {}
+    texts = [tuple(direct_text(m, known) for r in _all(tree) for m in r.members) for tree in trees]
     first = {}
     for i, t in enumerate(texts):
         first.setdefault(t, i)
@@ -210,10 +255,10 @@ def template_constants(trees: list[Run], min_support: int = 4, share: float = 0.
             matched.setdefault(id(own), []).append((i, other))
     once = set(different)
     for rows in matched.values():
-        seen = Counter(t for i, r in rows if i in once for t in {direct_text(m) for m in r.members})
+        seen = Counter(t for i, r in rows if i in once for t in {direct_text(m, known) for m in r.members})
         template = {t for t, n in seen.items() if t and n >= max(min_support, share * len(different))}
         for i, r in rows if template else ():
-            constants[i].update(id(m) for m in r.members if direct_text(m) in template)
+            constants[i].update(id(m) for m in r.members if direct_text(m, known) in template)
     return constants
 
 
@@ -228,19 +273,17 @@ def _main(root: Node) -> list[Node]:
     """The outermost article elements (or main, or the body), leaving out those inside boilerplate."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
 
-    def walk(node: Node, inside: frozenset) -> None:
-        for c in node.children:
-            if isinstance(c, str) or is_boilerplate(c):
-                continue
-            kind = "main" if c.tag == "main" or c.attrs.get("role") == "main" else c.tag
-            kind = "article" if c.attrs.get("itemprop") == "articleBody" else kind
-            if kind in found and kind not in inside:
-                found[kind].append(c)
-                walk(c, inside | {kind})
-            else:
-                walk(c, inside)
-
-    walk(root, frozenset())
+    todo = [(c, frozenset()) for c in reversed(root.children)]
+    while todo:
+        c, inside = todo.pop()
+        if isinstance(c, str) or is_boilerplate(c):
+            continue
+        kind = "main" if c.tag == "main" or c.attrs.get("role") == "main" else c.tag
+        kind = "article" if c.attrs.get("itemprop") == "articleBody" else kind
+        if kind in found and kind not in inside:
+            found[kind].append(c)
+            inside = inside | {kind}
+        todo.extend((x, inside) for x in reversed(c.children))
     if not found["article"] and not found["main"]:
         # a wrapper around the whole page may be named after one of its parts ("with-sidebar")
         named = [n for n in _descendants(root) if n.tag in ("article", "main")]
@@ -272,20 +315,24 @@ def blocks(nodes: list[Node], constants: set[int]) -> list[str]:
             out.append(text)
 
     def walk(node: Node) -> None:
-        skip = id(node) in constants
-        for c in node.children:
-            if isinstance(c, str):
-                if not skip:
-                    line.append(entities.unescape(c))
-            elif c.tag == "br":
-                line.append(" ")
-            elif not is_boilerplate(c) and not (c.tag == "header" and node.tag not in ("article", "section", "main")):
-                if c.tag in BLOCK:
-                    end()
-                    walk(c)
+        open_nodes = [(node, iter(node.children), id(node) in constants, False)]
+        while open_nodes:
+            node, children, skip, block = open_nodes[-1]
+            for c in children:
+                if isinstance(c, str):
+                    if not skip:
+                        line.append(entities.unescape(c))
+                elif c.tag == "br":
+                    line.append(" ")
+                elif not is_boilerplate(c) and not (c.tag == "header" and node.tag not in ("article", "section", "main")):
+                    if c.tag in BLOCK:
+                        end()
+                    open_nodes.append((c, iter(c.children), id(c) in constants, c.tag in BLOCK))
+                    break
+            else:
+                open_nodes.pop()
+                if block:
                     end()
-                else:
-                    walk(c)
 
     for n in nodes:
         walk(n)

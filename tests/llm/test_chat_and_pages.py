@@ -127,3 +127,11 @@ def test_a_wrapper_named_after_a_part_is_no_part():
     html = '<body><div class="page with-sidebar"><nav>menu</nav><article><p>Story</p></article><div class="sidebar">x</div></div></body>'
     assert wrapper.extract([html]) == ["Story"]
     assert wrapper.extract(['<body><aside><article><p>teaser</p></article></aside><div><p>Story</p></div></body>']) == ["Story"]
+
+
+@pytest.mark.parametrize("tag", ["b", "font", "div"])
+def test_pages_nested_to_any_depth(tag):
+    deep = "<p>start</p>" + f"<{tag}>" * 5000 + "deep"
+    assert wrapper.extract([deep]) == ["start\ndeep"]
+    a, b = (wrapper.Run("#root", [wrapper.parse("<p>start</p>" + f"<{tag}>" * 1500)]) for _ in range(2))
+    assert wrapper.simple_tree_matching(a, b)[0] >= 1500
