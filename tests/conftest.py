@@ -6,9 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -17,14 +14,3 @@ def spark():
     s = get_session("local[*]", shuffle_partitions=8, app_name="loanroll-tests")
     yield s
     s.stop()
-
-
-def ledger_rows(spark, rows):
-    """Small ledger from (credito, id_fecha, tipo, capital, interest, arrears, days) tuples."""
-    from loanroll.sources.schemas import LEDGER_MONTH
-
-    full = []
-    for credito, id_fecha, tipo, cap, inte, mora, days in rows:
-        full.append((id_fecha, credito, 20000101, 1000.0, days, cap, inte, 0.0, 0.0, 0.0, 0.0, mora,
-                     None, tipo, 0.0))
-    return spark.createDataFrame(full, LEDGER_MONTH)

@@ -4,7 +4,7 @@ import datetime as dt
 import math
 
 import pytest
-from conftest import ledger_rows
+from tables import ledger_rows
 from loanroll.functions.calendar import closing_window_keys, previous_month_name, report_month_key
 from loanroll.operators import ledger as L
 from loanroll.operators import portfolio as P

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from loanroll.operators import rolling as RM
 from loanroll.plans.registry import fixture_params
 from loanroll.plans.reports import RollReport, ValuationReport

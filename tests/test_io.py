@@ -83,7 +83,7 @@ def test_write_bundle_uses_display_names(spark):
 
 
 def test_warehouse_sources_from_stored_tables(spark):
-    from conftest import SF_SMALL
+    from tables import SF_SMALL
     from loanroll.plans.registry import fixture_params
     from loanroll.plans.reports import RollReport
     from loanroll.sources.fixtures import staged_sources

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from loanroll.operators import ledger as L
 from loanroll.operators import valuation as V
 from loanroll.plans.registry import queries

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from loanroll.operators import ledger as L
 from loanroll.plans.registry import fixture_params
 from loanroll.plans.run import main, run_all

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ledger_rows
+from tables import ledger_rows
 from loanroll.operators import ledger as L
 
 
