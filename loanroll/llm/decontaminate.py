@@ -8,9 +8,10 @@ the suffix positions. All windows of the benchmark are searched backwards at
 once with the matrix's ranks, occurrences are located by walking to the next
 sampled position, and the spans found in a document are merged.
 
-The benchmark is the stated query set: it is read in blocks of at most
+The benchmark is the stated query set: it is dealt into blocks of about
 ``block_words`` words, each broadcast and matched in a pass of its own against
-all documents, so that what is broadcast has that bound. Documents are never
+all documents, so that what is broadcast has that bound; what a pass found is
+written before the next one begins. Documents are never
 shuffled, so a hot source makes no hot task; a text longer than a shard is cut
 into pieces that overlap by a window less one word.
 
@@ -30,10 +31,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, list_column, returns_memory, texts_as_bytes
+from .common import bounded_batches, list_column, returns_memory, staged, texts_as_bytes
 
 SHARD_WORDS = 1 << 20
 #: Distance between sampled suffix positions.
@@ -86,9 +87,16 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search and locating over one shard."""
+    """Backward search and locating over one shard.
+
+    The shard is closed by an end of its own, smaller than every symbol and
+    found nowhere else: without it the row before the first suffix would hold
+    one of many equal separators, and steps back through those would be off by
+    one. Symbols are thus one higher inside than outside.
+    """
 
     def __init__(self, s: np.ndarray, sigma: int):
+        s, sigma = np.append(s + 1, 0), sigma + 1
         n = len(s)
         order = suffix_order(s)
         x = s[order - 1].astype(np.int32)  # the transform: what stands before each suffix
@@ -123,7 +131,7 @@ class FMIndex:
             on = np.flatnonzero((lengths > step) & (lo < hi))
             if not len(on):
                 break
-            c = patterns[on, -1 - step]
+            c = patterns[on, -1 - step] + 1
             lo[on] = self.before[c] + self.rank(c, lo[on])
             hi[on] = self.before[c] + self.rank(c, hi[on])
         return lo, hi
@@ -163,18 +171,23 @@ def query_set(items: list[tuple[str, bytes]], window: int) -> dict:
 
 
 def query_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[dict]:
-    """Query sets of at most ``block_words`` words (one item at least) over all items."""
-    block, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
-    for item, text in rows.toLocalIterator():
-        b = (text or "").encode()
-        n = len(words_of(b))
-        if block and size + n > block_words:
-            yield query_set(block, window)
-            block, size = [], 0
-        block.append((item, b))
-        size += n
-    yield query_set(block, window)
+    """Query sets of about ``block_words`` words over all items, one at a time.
+
+    Items are cut into pieces of at most a block (neighbours share a window
+    less one word, so that no window is lost) and dealt into blocks by hash.
+    """
+    size = max(block_words, 2 * window)
+    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WORD.pattern), F.lit(0))
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words.alias("words"))
+    n = F.size("words")
+    starts = F.when(n > size, F.sequence(F.lit(1), n - window + 1, F.lit(size - window + 1))).otherwise(F.array(F.lit(1)))
+    pieces = items.where(n > 0).select("item", F.explode(starts).alias("start"), "words")
+    pieces = pieces.select("item", F.array_join(F.slice("words", F.col("start"), size), " ").alias("text"))
+    total = items.agg(F.sum(n.cast("bigint"))).first()[0] or 0
+    blocks = -(-total // size) or 1
+    for block in range(blocks):
+        own = pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
+        yield query_set([(r.item, r.text.encode()) for r in own.collect()], window)  # one block, bounded
 
 
 def _shards(lengths: list[int], window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -291,6 +304,17 @@ def _pass(query: Broadcast, names: list[str]) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
+def _passes(docs: DataFrame, blocks: Iterator[dict]) -> DataFrame:
+    """All blocks against all documents, one block at a time: what one pass found is written before the next one begins."""
+    spark, first = docs.sparkSession, True
+    for q in blocks:
+        if not first:
+            docs = staged(docs, "benchmark-pass")
+        sent = spark.sparkContext.broadcast(q)
+        docs, first = docs.mapInArrow(returns_memory(_pass(sent, docs.columns)), docs.schema), False
+    return docs
+
+
 def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
                          block_words: int = 2_000_000, keep_text: bool = False) -> DataFrame:
@@ -298,27 +322,25 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
 
     ``keep_text`` adds the text column (as ``text``).
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"),
-                     F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for q in query_blocks(benchmark, item_col, item_text_col, window, block_words):
-        df = df.mapInArrow(returns_memory(_pass(spark.sparkContext.broadcast(q), df.columns)), df.schema)
-    return df if keep_text else df.drop("text")
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *_nothing_found())
+    found = _passes(rows, query_blocks(benchmark, item_col, item_text_col, window, block_words))
+    return found if keep_text else found.drop("text")
+
+
+def _nothing_found() -> list[Column]:
+    return [F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("spans"),
+            F.array().cast("array<string>").alias("items")]
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents with every benchmark span cut out of their texts; all rows and columns stay, clean texts as they are."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
-    carried = docs.toDF(*(f"c{i}" for i in range(len(names)))).select(
-        "*", F.col(f"c{at}").alias("text"), F.lit(0).cast("bigint").alias("n_words"),
-        F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    carried = docs.toDF(*(f"c{i}" for i in range(len(names)))).select("*", F.col(f"c{at}").alias("text"), *_nothing_found())
     window, block = options.get("window", 10), options.get("block_words", 2_000_000)
-    for q in query_blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), window, block):
-        carried = carried.mapInArrow(returns_memory(_pass(spark.sparkContext.broadcast(q), carried.columns)), carried.schema)
+    carried = _passes(carried, query_blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), window, block))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

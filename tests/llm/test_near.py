@@ -173,6 +173,50 @@ def test_suffix_order_and_index():
                 assert found == [i for i in range(len(text)) if text[i:i + size] == text[a:a + size]]
 
 
+@pytest.mark.parametrize("shard_words", [60, 1 << 20])
+def test_many_short_documents_in_a_shard(monkeypatch, shard_words):
+    """Matches near the beginning of short documents, whose steps back meet separators."""
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard_words)
+    rng = np.random.default_rng(7)
+    item = [b"w%d" % i for i in range(12)]
+    q = decontaminate.query_set([("a", b" ".join(item)), ("b", b"x y")], 10)
+    two = [b"o o " + b" ".join(item[:10]), b"o " + b" ".join(item[:10])]
+    code = lambda t: np.array([q["vocabulary"].get(w, 1) for w in decontaminate.words_of(t)], np.int32)
+    spans, _ = decontaminate.find([code(t) for t in two], q)
+    assert [s.tolist() for s in spans] == [[2, 12], [1, 11]]
+    windows = plain_windows([("a", b" ".join(item).decode()), ("b", "x y")], 10)
+    for _ in range(40):
+        texts = []
+        for _ in range(12):
+            words = [(b"o", b"w1", b"x", b"y")[k] for k in rng.integers(0, 4, rng.integers(0, 15))]
+            at = rng.integers(0, len(words) + 1)
+            texts.append(b" ".join(words[:at] + item[:rng.integers(0, 13)] + words[at:]))
+        spans, found = decontaminate.find([code(t) for t in texts], q)
+        for t, s, f in zip(texts, spans, found, strict=True):
+            _, hit, items = plain_hits(t.decode(), windows)
+            assert {k for a, b in s.reshape(-1, 2) for k in range(a, b)} == hit and f == sorted(items)
+
+
+def test_fm_index_on_ten_thousand_documents(spark):
+    """Every document of the largest table, in shards of two sizes, against brute force; all spans can be cut out."""
+    base = "/root/testdata/sf0.1"
+    benchmark = spark.read.parquet(f"{base}/benchmark.parquet")
+    windows = plain_windows([tuple(r) for r in benchmark.select("item_id", "text").collect()], 10)
+    (q,) = decontaminate.query_blocks(benchmark, "item_id", "text", 10, 2_000_000)
+    texts = [r.text or "" for r in spark.read.parquet(f"{base}/documents.parquet").select("text").toLocalIterator()]
+    expected = [plain_hits(t, windows) for t in texts]
+    ids = [np.array([q["vocabulary"].get(w, 1) for w in decontaminate.words_of(t.encode())], np.int32) for t in texts]
+    for step in (500, len(texts)):
+        for k in range(0, len(texts), step):
+            spans, found = decontaminate.find(ids[k:k + step], q)
+            for t, s, f, (_, hit, items) in zip(texts[k:k + step], spans, found, expected[k:k + step], strict=True):
+                assert {i for a, b in s.reshape(-1, 2) for i in range(a, b)} == hit and set(f) == items
+                assert hit or decontaminate.without_spans(t, s) == t
+                if hit:
+                    left = decontaminate.words_of(decontaminate.without_spans(t, s).encode())
+                    assert len(left) == len(decontaminate.words_of(t.encode())) - len(hit)
+
+
 def test_removal_leaves_clean_texts_alone(spark, weird_docs):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     before = {(r.doc_id, r.text) for r in weird_docs.collect()}
