@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loanroll.session import scratch_dir
 
-from . import bpe, chat, classifier, decontaminate, oracle, quality_rules, sharding, simhash, suffix_tree, token_files, wrapper
+from . import bpe, chat, classifier, decontaminate, oracle, piece_merges, quality_rules, sharding, simhash, suffix_tree, token_files, wrapper
 from .common import table
 
 #: Production parameters.
@@ -66,10 +66,15 @@ def op10_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op13_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_merges.digests(piece_merges.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_format, op2_suffix_tree, op3_quality_rules, op4_bpe, op5_shard_table, op6_simhash, op7_fm_index,
-        op8_token_files, op9_wrapper, op10_discriminant)}
+        op8_token_files, op9_wrapper, op10_discriminant, op13_piece_merges)}
 
 
 def oracle_sql() -> dict[str, str]:
