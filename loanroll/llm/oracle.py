@@ -86,3 +86,56 @@ SELECT b.*, NOT base_failed AND (n_words < 50 OR n.doc_id IS NOT NULL) AS kept
 FROM based b LEFT JOIN near n ON n.doc_id = b.doc_id
 """.replace("{classes}", ", ".join(f"len(regexp_extract_all(t, '{c}'))" for c in _CLASSES)).replace(
     "{common}", ", ".join(f"'{w}'" for w in sorted(set(_COMMON.split()))))
+
+MERKLE = r"""
+WITH RECURSIVE fields AS (
+    SELECT doc_id, lang, text, doc_id IS NOT NULL AND text IS NOT NULL AS can_change,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+    FROM documents),
+-- crc32 of the decimal id, byte by byte through the usual table, whose entries are eight halvings each
+steps AS (
+    SELECT i AS entry, i::BIGINT AS v, 0 AS k FROM range(256) r(i) UNION ALL
+    SELECT entry, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM steps WHERE k < 8),
+crcs AS (
+    SELECT doc_id, 4294967295::BIGINT AS v, 1 AS k FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) UNION ALL
+    SELECT c.doc_id, xor(c.v // 256, s.v), c.k + 1 FROM crcs c JOIN steps s ON s.k = 8 AND s.entry = xor(c.v, ascii(substr(c.doc_id::VARCHAR, c.k::BIGINT, 1))::BIGINT) % 256
+    WHERE c.k <= strlen(c.doc_id::VARCHAR)),
+thirds AS (SELECT doc_id FROM crcs WHERE k = strlen(doc_id::VARCHAR) + 1 AND xor(v, 4294967295) % 3 = 0),
+leaves AS (
+    SELECT f.doc_id, f.lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        CASE WHEN can_change AND t.doc_id IS NOT NULL
+            THEN sha256(head || strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END AS now
+    FROM fields f LEFT JOIN thirds t ON t.doc_id = f.doc_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (
+    SELECT lang, 0 AS lev, i, leaf AS h, n FROM placed UNION ALL
+    SELECT lang, lev + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, lev, i // 8, n),
+subroots AS (SELECT lang, lev, h AS subroot FROM nodes WHERE n = 1),
+langs AS (SELECT *, row_number() OVER (ORDER BY lang IS NOT NULL, lang) - 1 AS g, count(*) OVER () AS n FROM subroots),
+upper AS (
+    SELECT 0 AS lev, g AS i, subroot AS h, n FROM langs UNION ALL
+    SELECT lev + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM upper WHERE n > 1 GROUP BY lev, i // 8, n),
+top AS (SELECT h AS root, lev FROM upper WHERE n = 1),
+-- the siblings of every node that is not a root, and the steps of each leaf: first in its language, then above
+sides AS (
+    SELECT a.lang, a.lev, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lhs,
+        coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rhs
+    FROM nodes a JOIN nodes b ON b.lang IS NOT DISTINCT FROM a.lang AND b.lev = a.lev AND b.i // 8 = a.i // 8 WHERE a.n > 1 GROUP BY a.lang, a.lev, a.i),
+top_sides AS (
+    SELECT a.lev, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lhs,
+        coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rhs
+    FROM upper a JOIN upper b ON b.lev = a.lev AND b.i // 8 = a.i // 8 WHERE a.n > 1 GROUP BY a.lev, a.i),
+every_side AS (
+    SELECT coalesce(lang, chr(0)) AS lang, lev, i, lhs, rhs FROM sides UNION ALL
+    SELECT coalesce(l.lang, chr(0)), l.lev + t.lev, -1 - l.g // pow(8, t.lev)::BIGINT, t.lhs, t.rhs
+    FROM langs l JOIN top_sides t ON t.i = l.g // pow(8, t.lev)::BIGINT),
+walked AS (
+    SELECT p.doc_id, p.leaf, p.i AS own, coalesce(p.lang, chr(0)) AS lang, 0 AS lev, coalesce(p.now, p.leaf) AS h, '' AS proof, l.lev AS inner_levels, l.g, l.subroot
+    FROM placed p JOIN langs l ON l.lang IS NOT DISTINCT FROM p.lang UNION ALL
+    SELECT w.doc_id, w.leaf, w.own, w.lang, w.lev + 1, sha256(s.lhs || w.h || s.rhs), w.proof || s.lhs || s.rhs, w.inner_levels, w.g, w.subroot
+    FROM walked w JOIN every_side s ON s.lang = w.lang AND s.lev = w.lev
+        AND s.i = CASE WHEN w.lev < w.inner_levels THEN w.own // pow(8, w.lev)::BIGINT ELSE -1 - w.g // pow(8, w.lev - w.inner_levels)::BIGINT END)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM walked w JOIN top t ON w.lev = w.inner_levels + t.lev
+"""
