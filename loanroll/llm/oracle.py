@@ -139,3 +139,26 @@ walked AS (
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
 FROM walked w JOIN top t ON w.lev = w.inner_levels + t.lev
 """
+
+RANKED = r"""
+WITH cut AS (
+    SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL
+    SELECT 'b', item_id, row_number() OVER (), text FROM benchmark),
+words AS (
+    SELECT kind, id, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM cut),
+counted AS (SELECT id, r, term, count(*) AS tf FROM words WHERE kind = 'd' GROUP BY id, r, term),
+sized AS (SELECT r, sum(tf)::BIGINT AS n FROM counted GROUP BY r),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sized),
+asked AS (SELECT DISTINCT id AS item_id, r AS q, term FROM words WHERE kind = 'b'),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counted, total WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scored AS (
+    SELECT a.item_id, a.q, c.id AS doc_id, c.r, sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (100 - 90 + (90 * s.n * t.docs) // t.terms))))::BIGINT AS score
+    FROM asked a JOIN counted c ON c.term = a.term JOIN weights w ON w.term = a.term JOIN sized s ON s.r = c.r CROSS JOIN total t
+    GROUP BY a.item_id, a.q, c.id, c.r)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, q ORDER BY score DESC, doc_id NULLS FIRST, r)::INTEGER AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""

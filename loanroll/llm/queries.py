@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loanroll.session import scratch_dir
 
-from . import bpe, chat, classifier, decontaminate, merkle, oracle, piece_merges, quality_rules, sharding, simhash, suffix_tree, token_files, wrapper
+from . import bpe, chat, classifier, decontaminate, merkle, oracle, piece_merges, quality_rules, ranked_search, sharding, simhash, suffix_tree, token_files, wrapper
 from .common import table
 
 #: Production parameters.
@@ -66,6 +66,10 @@ def op10_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op11_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(merkle.manifest(table(spark, sf_dir, "documents"), changed=merkle.tampered()))
 
@@ -78,7 +82,7 @@ def op13_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_format, op2_suffix_tree, op3_quality_rules, op4_bpe, op5_shard_table, op6_simhash, op7_fm_index,
-        op8_token_files, op9_wrapper, op10_discriminant, op12_merkle, op13_piece_merges)}
+        op8_token_files, op9_wrapper, op10_discriminant, op11_geometric_blocks, op12_merkle, op13_piece_merges)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -89,4 +93,4 @@ def oracle_sql() -> dict[str, str]:
             FROM documents)
         SELECT doc_id, slot::INTEGER AS slot, [{slots}][slot + 1] AS shard FROM placed"""
     return {"op1_chat_format": oracle.CHAT, "op3_quality_rules": oracle.QUALITY_RULES, "op5_shard_table": shard_table,
-            "op7_fm_index": oracle.FM_INDEX, "op12_merkle": oracle.MERKLE}
+            "op7_fm_index": oracle.FM_INDEX, "op11_geometric_blocks": oracle.RANKED, "op12_merkle": oracle.MERKLE}
