@@ -66,5 +66,47 @@ def is_nan_sql(x) -> str:
 
 
 def sum_na_rm_sql(x) -> str:
+    """``sum(na.rm = TRUE)`` with the same digits whatever the partitions: NA and NaN are skipped, an empty sum is 0."""
+    return exact_value_sql(exact_parts(x))
+
+
+# Sums that don't depend on the order of addition ---------------------------------
+
+EXACT_SCALE = 100_000_000  # whole units and 10^-8 parts are summed apart, as integers
+
+
+def _finite(x: str) -> str:
+    return f"abs({x}) < CAST('Infinity' AS DOUBLE)"  # not for NaN, which is above infinity, nor for null
+
+
+def exact_parts(x) -> dict[str, str]:
+    """Aggregates of one double column from which its sum follows whatever the order of the rows.
+
+    ``hi`` and ``lo``: sums of the whole parts and of the rest in units of 10^-8 (each value is rounded to
+    these once, so the sum is that of the rounded values); ``up``, ``down``, ``nan``: whether there are
+    infinities and NaN. Sums beyond 64 bits raise under ANSI rules.
+    """
     x = sql(x)
-    return f"coalesce(sum(CASE WHEN NOT isnan({x}) THEN {x} END), 0.0D)"
+    whole, rest = f"floor({x})", f"floor(({x} - floor({x})) * {EXACT_SCALE}D + 0.5D)"
+    return {
+        "hi": f"coalesce(sum(CASE WHEN {_finite(x)} THEN {whole} END), 0L)",
+        "lo": f"coalesce(sum(CASE WHEN {_finite(x)} THEN {rest} END), 0L)",
+        "up": f"coalesce(max({x} = CAST('Infinity' AS DOUBLE)), false)",
+        "down": f"coalesce(max({x} = CAST('-Infinity' AS DOUBLE)), false)",
+        "nan": f"coalesce(max(isnan({x})), false)",
+    }
+
+
+def merged_parts(prefix: str) -> dict[str, str]:
+    """Aggregates that merge the parts of several groups, held in columns ``prefix`` + part."""
+    return {k: f"coalesce({'sum' if k in ('hi', 'lo') else 'max'}({prefix}{k}), {'0L' if k in ('hi', 'lo') else 'false'})"
+            for k in ("hi", "lo", "up", "down", "nan")}
+
+
+def exact_value_sql(parts: dict[str, str], na_rm: bool = True) -> str:
+    """The sum as a double; ``na_rm`` leaves NaN out."""
+    p = parts
+    total = f"CAST(CAST({p['hi']} AS DECIMAL(28,0)) * {EXACT_SCALE} + {p['lo']} AS DOUBLE) / {EXACT_SCALE}D"
+    nan = f"({p['up']} AND {p['down']})" if na_rm else f"({p['nan']} OR ({p['up']} AND {p['down']}))"
+    return (f"(CASE WHEN {nan} THEN {NAN_SQL} WHEN {p['up']} THEN CAST('Infinity' AS DOUBLE) "
+            f"WHEN {p['down']} THEN CAST('-Infinity' AS DOUBLE) ELSE {total} END)")

@@ -36,7 +36,7 @@ EXPOSURE_PARTS = [
 ]
 
 PRODUCT = 70
-_ORDEN_SPAN = 1 << 31  # orden < 2^31, so id_fecha * 2^31 - orden orders (id_fecha, -orden)
+_ORDEN_SPAN = 1 << 36  # orden < 2^36 and id_fecha < 10^8, so id_fecha * 2^36 - orden fits 64 bits and orders (id_fecha, -orden)
 
 # Order of the rows that share (credito, id_fecha), ascending, nulls first. Rows equal in
 # all these columns are interchangeable.
@@ -89,7 +89,7 @@ def with_sequence(ledger: DataFrame, tie_break: Sequence[str] = (), hot_rows: in
     loan = Window.partitionBy("credito")
 
     def plain(rows: DataFrame) -> DataFrame:
-        out = rows.withColumn("orden", F.row_number().over(loan.orderBy(*order)).cast("int"))
+        out = rows.withColumn("orden", F.row_number().over(loan.orderBy(*order)).cast("bigint"))
         return out.withColumn("_ultima", F.max("id_fecha").over(loan)) if last_date else out
 
     if max_loan_rows is not None and max_loan_rows <= hot_rows:
@@ -124,7 +124,7 @@ def _number_by_ranges(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     inside = Window.partitionBy("credito", "_tramo").orderBy(*order, "_fila")
     numbered = ranged.withColumn("_en", F.row_number().over(inside))
     joined = numbered.join(counts, numbered["credito"].eqNullSafe(F.col("_credito")) & (F.col("_tramo") == F.col("_t")))
-    return joined.withColumn("orden", (F.col("_antes") + F.col("_en")).cast("int")).drop(
+    return joined.withColumn("orden", (F.col("_antes") + F.col("_en")).cast("bigint")).drop(
         "_fila", "_tramo", "_credito", "_t", "_antes", "_en")
 
 

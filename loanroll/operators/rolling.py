@@ -2,23 +2,23 @@
 
 Plan shape, chosen for scale:
 
-* share history: ONE hash aggregate keyed by ``(anio, mes)`` with a
-  conditional sum per bucket (partial aggregation map-side, so a month that
-  holds a third of the ledger costs one row per task before the shuffle);
-  no separate window or pivot stage.
-* roll matrix: the two month slices are paired per loan by one aggregate
-  keyed by ``credito`` (one exchange), then a key-less aggregate of 14 x 14
+* share history: a hash aggregate keyed by month and bucket (partial
+  aggregation map-side, so a month that holds a third of the ledger costs a
+  few rows per task before the shuffle), then one over its few rows by month;
+  no window or pivot stage over the ledger.
+* roll matrix: the two month slices are reduced to one row per loan and month
+  (in each task first), paired per loan by an aggregate keyed by ``credito``, then a key-less aggregate of 14 x 14
   conditional counts (partial per task, one final row) is unfolded into the
   fixed 14-row grid. No dense matrix, no collect, no literal-table join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanroll.functions.rnum import div_sql
-from loanroll.operators.ledger import left_by_loan, month_range, with_year_month
+from loanroll.functions.rnum import NULL_DOUBLE_SQL, div_sql, exact_parts, exact_value_sql, merged_parts
+from loanroll.operators.ledger import left_by_loan, month_range, sequence_order, with_year_month
 
 # Days-past-due bucket labels, in order. ICV<n> holds up to n
 # days (30-day bands up to 360), ICV0 exactly 0 days, ICV360+ beyond 360.
@@ -58,24 +58,30 @@ def bucket_share_history(p70: DataFrame, include_over_360: bool = False,
     included). With ``strict_na`` one NA balance makes its bucket (and the
     month total) NA, as ``sum()`` without ``na.rm`` does (D16).
 
-    One hash aggregate keyed by the integer month ``id_fecha div 100`` with an
-    integer bucket code per row; the text ``anio``/``mes`` columns are cut
-    from the month after the aggregate.
+    One hash aggregate keyed by the integer month ``id_fecha div 100`` and an
+    integer bucket code, with order-free sums; its rows (one per month and
+    bucket) are merged by month. The text ``anio``/``mes`` columns are cut from
+    the month after that.
     """
     shown = BUCKETS if include_over_360 else SHARE_BUCKETS
     rows = p70.selectExpr(
         "id_fecha DIV 100 AS _ym", "saldo_capital",
         f"array_position({_BUCKET_ARRAY_SQL}, {dpd_bucket_sql('numero_dias_mora')}) AS _b")
 
-    def strict_sum(cond: str) -> str:
-        total = f"sum(CASE WHEN {cond} THEN saldo_capital END)"
-        if not strict_na:
-            return total
-        return f"CASE WHEN count(CASE WHEN {cond} AND saldo_capital IS NULL THEN 1 END) > 0 THEN NULL ELSE {total} END"
+    cells = rows.groupBy("_ym", "_b").agg(
+        *(F.expr(f"{a} AS _{k}") for k, a in exact_parts("saldo_capital").items()),
+        F.expr("count(*) AS _rows"), F.expr("count(saldo_capital) AS _known"))
 
-    aggs = [F.expr(f"{strict_sum(f'_b = {i + 1}')} AS _n{i}") for i in range(len(shown))]
-    aggs.append(F.expr(f"{strict_sum('true')} AS _total"))
-    g = rows.groupBy("_ym").agg(*aggs)
+    def value(parts: dict[str, str], n_rows: str, known: str) -> str:
+        missing = f"{n_rows} > {known}" if strict_na else f"{known} = 0"
+        return f"CASE WHEN {missing} THEN {NULL_DOUBLE_SQL} ELSE {exact_value_sql(parts, na_rm=False)} END"
+
+    cells = cells.withColumn("_n", F.expr(value({k: f"_{k}" for k in exact_parts("x")}, "_rows", "_known")))
+    totals = [F.expr(f"{a} AS _{k}") for k, a in merged_parts("_").items()]
+    g = cells.groupBy("_ym").agg(  # one row per month and bucket comes in
+        *(F.expr(f"max(CASE WHEN _b = {i + 1} THEN _n END) AS _n{i}") for i in range(len(shown))), *totals,
+        F.expr("sum(_rows) AS _rows"), F.expr("sum(_known) AS _known"))
+    g = g.withColumn("_total", F.expr(value({k: f"_{k}" for k in exact_parts("x")}, "_rows", "_known")))
     return g.selectExpr(
         "substring(CAST(_ym AS STRING), 1, 4) AS anio", "substring(CAST(_ym AS STRING), 5, 2) AS mes",
         *[f"{div_sql(f'_n{i}', '_total')} AS `{b}`" for i, b in enumerate(shown)])
@@ -85,14 +91,49 @@ def month_slice(p70: DataFrame, year: int, month: int) -> DataFrame:
     return with_bucket(p70.filter(month_range(year, month)))
 
 
-def bucket_one_hot(p70: DataFrame, year: int, month: int) -> DataFrame:
-    """V2 + V3: one row per loan of the month, 1 in its bucket, 0 elsewhere.
+def month_states(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
+    """One row per loan and month of the pair: ``credito``, ``_t1`` (the later month) and ``_b``, its bucket's number.
 
-    The ledger key ``(credito, id_fecha)`` makes this a projection.
+    A loan with several rows in a month has the bucket of its last one: the
+    latest date, then the lowest ``orden`` (the order of the columns that
+    ``orden`` breaks ties by, where the rows are not numbered). Each task keeps
+    one row per loan and month before the exchange, so repeats cost nothing there.
     """
-    rows = month_slice(p70, year, month)
-    return rows.selectExpr(
-        "credito", *[f"CASE WHEN icvs = '{b}' THEN 1 ELSE 0 END AS `{b}`" for b in BUCKETS])
+    in0, in1 = month_range(*t0), month_range(*t1)
+    ties = [F.col("orden")] if "orden" in p70.columns else sequence_order(p70)[1:]
+    last = Window.partitionBy("credito", "_t1").orderBy(F.col("id_fecha").desc(), *ties)
+    rows = p70.filter(in0 | in1).withColumn("_t1", in1)
+    one = rows.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1")
+    return one.select("credito", "_t1", "id_fecha",
+                      F.expr(f"array_position({_BUCKET_ARRAY_SQL}, {dpd_bucket_sql('numero_dias_mora')})").alias("_b"))
+
+
+def bucket_one_hot(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
+    """V2: one row per loan and month (``anio``, ``mes``), 1 in its bucket, 0 elsewhere; all 0 without a bucket."""
+    return with_year_month(month_states(p70, t0, t1)).selectExpr(
+        "anio", "mes", "credito", *[f"CASE WHEN _b = {i} THEN 1 ELSE 0 END AS `{b}`" for i, b in enumerate(BUCKETS, 1)])
+
+
+def bucket_one_hot_common(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
+    """V3: the one-hot rows of the loans present in both months, two rows each.
+
+    One aggregate per loan over the pair of months, unfolded again.
+    """
+    pairs = _paired(month_states(p70, t0, t1))
+    months = ", ".join(f"struct('{y:04d}' AS anio, '{m:02d}' AS mes, {b} AS _b)" for (y, m), b in ((t0, "_b0"), (t1, "_b1")))
+    return pairs.selectExpr("credito", f"inline(array({months}))").selectExpr(
+        "anio", "mes", "credito", *[f"CASE WHEN _b = {i} THEN 1 ELSE 0 END AS `{b}`" for i, b in enumerate(BUCKETS, 1)])
+
+
+def _paired(states: DataFrame) -> DataFrame:
+    """Loans of both months with their buckets' numbers (0 or null: none) as ``_b0`` and ``_b1``."""
+    pairs = states.groupBy("credito").agg(
+        F.expr("max(CASE WHEN NOT _t1 THEN 1 END) AS _in0"),
+        F.expr("max(CASE WHEN _t1 THEN 1 END) AS _in1"),
+        F.expr("max(CASE WHEN NOT _t1 THEN _b END) AS _b0"),
+        F.expr("max(CASE WHEN _t1 THEN _b END) AS _b1"),
+    )
+    return pairs.filter("_in0 IS NOT NULL AND _in1 IS NOT NULL").select("credito", "_b0", "_b1")
 
 
 def common_loans(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
@@ -107,22 +148,12 @@ def common_loans(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> Da
 def roll_pairs(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
     """Each loan present in both months with its bucket at t0 and t1.
 
-    Both slices are read once and paired per loan by an aggregate on
-    ``credito`` (partial aggregation, one exchange; integer bucket codes keep
-    it a hash aggregate).
+    Both slices are read once, reduced to one row per loan and month
+    (:func:`month_states`) and paired per loan by a hash aggregate on ``credito``.
     """
-    in0, in1 = month_range(*t0), month_range(*t1)
-    rows = p70.filter(in0 | in1).select(
-        "credito", in1.alias("_t1"),
-        F.expr(f"array_position({_BUCKET_ARRAY_SQL}, {dpd_bucket_sql('numero_dias_mora')})").alias("_b"))
-    pairs = rows.groupBy("credito").agg(
-        F.expr("max(CASE WHEN NOT _t1 THEN 1 END) AS _in0"),
-        F.expr("max(CASE WHEN _t1 THEN 1 END) AS _in1"),
-        F.expr("max(CASE WHEN NOT _t1 THEN _b END) AS _b0"),
-        F.expr("max(CASE WHEN _t1 THEN _b END) AS _b1"),
-    )
+    pairs = _paired(month_states(p70, t0, t1))
     label = "CASE WHEN {0} > 0 THEN element_at(" + _BUCKET_ARRAY_SQL + ", CAST({0} AS INT)) END"
-    return pairs.filter("_in0 IS NOT NULL AND _in1 IS NOT NULL").selectExpr(
+    return pairs.selectExpr(
         "credito", f"{label.format('_b0')} AS bucket_t0", f"{label.format('_b1')} AS bucket_t1")
 
 

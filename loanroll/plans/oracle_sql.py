@@ -48,8 +48,17 @@ def _cmp(op: str):
 GT, LT, LE, EQ = _cmp(">"), _cmp("<"), _cmp("<="), _cmp("=")
 
 
+def EXACT(x: str) -> str:
+    """The finite values' sum, order-free: whole parts and 10^-8 parts as integers."""
+    fin = f"CASE WHEN isfinite({x}) THEN"
+    return (f"(coalesce(sum({fin} CAST(floor({x}) AS HUGEINT) * 100000000"
+            f" + CAST(floor(({x} - floor({x})) * 100000000 + 0.5) AS HUGEINT) END), 0)::DOUBLE / 100000000)")
+
+
 def NANSUM(x: str) -> str:
-    return f"coalesce(sum(CASE WHEN NOT isnan({x}) THEN {x} END), 0.0)"
+    up, down = f"coalesce(bool_or({x} = 'Infinity'::DOUBLE), false)", f"coalesce(bool_or({x} = '-Infinity'::DOUBLE), false)"
+    return (f"(CASE WHEN {up} AND {down} THEN 'NaN'::DOUBLE WHEN {up} THEN 'Infinity'::DOUBLE "
+            f"WHEN {down} THEN '-Infinity'::DOUBLE ELSE {EXACT(x)} END)")
 
 
 def ISNA(x: str) -> str:
@@ -202,7 +211,7 @@ _TIES = ", ".join(f"{c} ASC NULLS FIRST" for c in [
     "saldo_cargo_1", "saldo_cargo_2", "saldo_cargo_3", "saldo_mora", "valor_desembolso", "valor_canc_capital_intereses_seguros",
     "valor_garantia"])
 cte("ledger_seq", ["ledger_month"], f"""
-SELECT *, CAST(row_number() OVER (PARTITION BY credito ORDER BY {_TIES}) AS INTEGER) AS orden
+SELECT *, row_number() OVER (PARTITION BY credito ORDER BY {_TIES}) AS orden
 FROM ledger_month""")
 
 cte("p70", ["ledger_seq"], "SELECT * FROM ledger_seq WHERE tipo_producto = 70")
@@ -469,15 +478,14 @@ cte("inactive_v1", ["priced_v1"], f"SELECT * FROM priced_v1 WHERE {ISNA('valor_p
 cte("residual_v1", ["inactive_v1"], _residual("inactive_v1"))
 
 # --- roll rates ---
-cte("t0", ["p70b"], f"SELECT credito, icvs FROM p70b WHERE id_fecha BETWEEN {T0[0]} AND {T0[1]}")
-cte("t1", ["p70b"], f"SELECT credito, icvs FROM p70b WHERE id_fecha BETWEEN {T1[0]} AND {T1[1]}")
-# a loan with several rows in a month counts once, in its highest bucket
-_ORDER = "[" + ", ".join(f"'{b}'" for b in BUCKETS) + "]"
-for _t in ("t0", "t1"):
-    cte(f"{_t}b", [_t], f"SELECT credito, max(list_position({_ORDER}, icvs)) AS b FROM {_t} GROUP BY credito")
-cte("pairs", ["t0b", "t1b"], f"""
-SELECT t0b.credito, {_ORDER}[t0b.b] AS b0, {_ORDER}[t1b.b] AS b1 FROM t0b JOIN t1b ON t0b.credito IS NOT DISTINCT FROM t1b.credito
-WHERE t0b.b > 0 AND t1b.b > 0""")
+# a loan with several rows in a month counts once: by its latest date there, then by the lowest number
+for _t, _range in (("t0", T0), ("t1", T1)):
+    cte(_t, ["p70b"], f"""
+SELECT credito, icvs, anio, mes FROM p70b WHERE id_fecha BETWEEN {_range[0]} AND {_range[1]}
+QUALIFY row_number() OVER (PARTITION BY credito ORDER BY id_fecha DESC, orden) = 1""")
+cte("pairs", ["t0", "t1"], """
+SELECT t0.credito, t0.icvs AS b0, t1.icvs AS b1 FROM t0 JOIN t1 ON t0.credito IS NOT DISTINCT FROM t1.credito
+WHERE t0.icvs IS NOT NULL AND t1.icvs IS NOT NULL""")
 _BUCKET_VALUES = ", ".join(f"({i}, '{b}')" for i, b in enumerate(BUCKETS, 1))
 _UNIT_COLS = ", ".join(f"count(p.b1) FILTER (WHERE p.b1 = '{b}') AS \"{b}\"" for b in BUCKETS)
 cte("units", ["pairs"], f"""
@@ -579,8 +587,11 @@ ORACLE["product_slice"] = with_ctes(["p70b"], f"SELECT {_ledger_select()}, orden
 ORACLE["year_month_parts"] = with_ctes(["p70b"], "SELECT credito, id_fecha, anio, mes FROM p70b")
 ORACLE["exposure"] = with_ctes(["ledger_seq"], f"""
 SELECT credito, id_fecha, tipo_producto, round({EXPOSURE()}, 6) AS saldo_exposicion FROM ledger_seq""")
-ORACLE["exclude_loans"] = _ledger_query("ledger_seq", "ledger_seq", """NOT EXISTS (
-  SELECT 1 FROM ledger_seq x WHERE (x.saldo_capital IS NULL OR x.saldo_interes < 0) AND x.credito IS NOT DISTINCT FROM ledger_seq.credito)""")
+cte("bad_loans", ["ledger_month"], "SELECT DISTINCT credito FROM ledger_month WHERE saldo_capital IS NULL OR saldo_interes < 0")
+ORACLE["exclude_loans"] = with_ctes(["ledger_seq", "bad_loans"], f"""
+SELECT {_ledger_select()}, orden FROM ledger_seq
+WHERE CASE WHEN credito IS NULL THEN (SELECT count(*) FROM bad_loans WHERE credito IS NULL) = 0
+           ELSE credito NOT IN (SELECT credito FROM bad_loans WHERE credito IS NOT NULL) END""")
 
 ORACLE["loan_span"] = _q(["span"], ["credito", "Fecha_desembolso", "fecha_inicio_p70", "fecha_vigencia",
                                     "Duracion_p70", "Duracion_p10"], {"Fecha_desembolso"}, "span")
@@ -695,7 +706,7 @@ _SHARE_PIVOT = ", ".join(f"round(max(p) FILTER (WHERE icvs = '{b}'), 6) AS \"{b}
 ORACLE["bucket_share_history"] = with_ctes(["p70b"], f"""
 , by_bucket AS (
   SELECT anio, mes, icvs,
-         CASE WHEN count(*) > count(saldo_capital) THEN NULL ELSE sum(saldo_capital) END AS n
+         CASE WHEN count(*) > count(saldo_capital) THEN NULL ELSE {EXACT('saldo_capital')} END AS n
   FROM p70b GROUP BY anio, mes, icvs),
 shares AS (
   SELECT anio, mes, icvs,
@@ -703,9 +714,13 @@ shares AS (
   FROM (SELECT *, CASE WHEN count(*) OVER w > count(n) OVER w THEN NULL ELSE sum(n) OVER w END AS tot
         FROM by_bucket WINDOW w AS (PARTITION BY anio, mes)) x)
 SELECT anio, mes, {_SHARE_PIVOT} FROM shares GROUP BY anio, mes""")
-ORACLE["bucket_one_hot"] = with_ctes(["p70b"], "SELECT credito, " + ", ".join(
-    f"CASE WHEN icvs = '{b}' THEN 1 ELSE 0 END AS \"{b}\"" for b in BUCKETS)
-    + f" FROM p70b WHERE id_fecha BETWEEN {T0[0]} AND {T0[1]}")
+_ONE_HOT = "SELECT anio, mes, credito, " + ", ".join(f"CASE WHEN icvs = '{b}' THEN 1 ELSE 0 END AS \"{b}\"" for b in BUCKETS)
+ORACLE["bucket_one_hot"] = with_ctes(["t0", "t1"], f"{_ONE_HOT} FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1) m")
+ORACLE["bucket_one_hot_common"] = with_ctes(["t0", "t1"], f"""
+, common AS (SELECT credito FROM t0 INTERSECT SELECT credito FROM t1)
+{_ONE_HOT} FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1) m
+WHERE CASE WHEN credito IS NULL THEN (SELECT count(*) FROM common WHERE credito IS NULL) > 0
+           ELSE credito IN (SELECT credito FROM common WHERE credito IS NOT NULL) END""")
 ORACLE["common_loans"] = with_ctes(["t0", "t1"], "SELECT credito FROM t1 INTERSECT SELECT credito FROM t0")
 ORACLE["roll_matrix_units"] = with_ctes(["units"], "SELECT * FROM units")
 ORACLE["roll_matrix_share"] = with_ctes(["share"], "SELECT bucket_from, " + ", ".join(

@@ -393,6 +393,10 @@ def bucket_one_hot(spark, sf_dir):
     return _rm(spark, sf_dir).one_hot
 
 
+def bucket_one_hot_common(spark, sf_dir):
+    return _rm(spark, sf_dir).one_hot_common
+
+
 def common_loans(spark, sf_dir):
     return _rm(spark, sf_dir).common
 
@@ -431,7 +435,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         live_product_71_v1, report_bundle_counts,
         report_bundle_written, bucket_share_written, roll_matrices_written, purchase_tape_csv, ledger_wide,
         calendar_keys, previous_month_name,
-        dpd_bucket, bucket_share_history, bucket_one_hot, common_loans,
+        dpd_bucket, bucket_share_history, bucket_one_hot, bucket_one_hot_common, common_loans,
         roll_matrix_units, roll_matrix_share, roll_matrix_check, collections_flag,
     ]
 }

@@ -275,7 +275,11 @@ class RollReport(_Base):
 
     @cached_property
     def one_hot(self) -> DataFrame:
-        return RM.bucket_one_hot(self.product_rows, *self.params.months[0])
+        return RM.bucket_one_hot(self.product_rows, *self.params.months)
+
+    @cached_property
+    def one_hot_common(self) -> DataFrame:
+        return RM.bucket_one_hot_common(self.product_rows, *self.params.months)
 
     @cached_property
     def common(self) -> DataFrame:
