@@ -77,6 +77,12 @@ def previous_month_end_col(as_of_col: Column) -> Column:
     return F.date_sub(F.trunc(as_of_col, "month"), 1)
 
 
+def month_ends_col(year_col: Column) -> Column:
+    """the keys of the last day of each of a year's twelve months, as an array."""
+    months = F.sequence(F.lit(1), F.lit(12))
+    return F.transform(months, lambda m: key_of(F.last_day(F.make_date(year_col.cast("int"), m, F.lit(1)))))
+
+
 def month_name_col(month_col: Column) -> Column:
     names = F.array(*[F.lit(n) for n in MONTH_NAMES_ES])
     return F.element_at(names, month_col.cast("int"))

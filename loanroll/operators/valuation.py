@@ -8,7 +8,7 @@ and a sort-merge join else.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,9 +77,16 @@ LTV_COLUMNS = ["credito", "LTV", "valor_garantia_final", "libre_inversion_o_vehi
                "marca_refi_restru"]
 
 
-def valuation_table(rates: DataFrame, ltv_snap: DataFrame, daily: DataFrame) -> DataFrame:
+def _unmarked(df: DataFrame, _name: str) -> DataFrame:
+    return df
+
+
+def valuation_table(rates: DataFrame, ltv_snap: DataFrame, daily: DataFrame,
+                    mark: Callable[[DataFrame, str], DataFrame] = _unmarked) -> DataFrame:
     """M9: rates of each loan + collateral snapshot + daily payoff (left joins).
 
+    ``mark(df, name)`` sees the rows before and after each join (``rates``, ``ltv``, ``daily``).
+
     ``rates`` is :func:`loanroll.operators.recovery.all_rates`; a loan with no
     product-70 month has no rate row, so its daily row is never attached.
     """
@@ -87,7 +94,8 @@ def valuation_table(rates: DataFrame, ltv_snap: DataFrame, daily: DataFrame) ->
         "credito", "id_fecha_inicial", "id_fecha_actual", "Duracion_p10", "Duracion_p70",
         "tasa_recuperacion_anual_exp", "tasa_recuperacion_anual", "tasa_recuperacion_anual_capital",
     )
-    return left_by_loan(left_by_loan(t, ltv_snap.select(*LTV_COLUMNS)), daily)
+    with_ltv = mark(left_by_loan(mark(t, "rates"), ltv_snap.select(*LTV_COLUMNS)), "ltv")
+    return mark(left_by_loan(with_ltv, daily), "daily")
 
 
 def price_factor_inverse_sql(rate: str, ltv: str, months: str) -> str:

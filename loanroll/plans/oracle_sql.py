@@ -701,6 +701,34 @@ ORACLE["previous_month_name"] = with_ctes(["ledger_month"], f"""
 SELECT id_fecha, [{_MONTHS_SQL}][month(date_trunc('month', d) - INTERVAL 1 DAY)] AS nombre_mes
 FROM {_calendar_dates()}""")
 
+ORACLE["month_ends_of_year"] = with_ctes(["ledger_month"], f"""
+, by_month AS (SELECT id_fecha, count(*) AS filas FROM ledger_month WHERE id_fecha IS NOT NULL GROUP BY id_fecha),
+ends AS (
+  SELECT anio, numero, {KEY("last_day(make_date(anio, numero, 1))")} AS id_fecha
+  FROM (SELECT DISTINCT (id_fecha // 10000)::BIGINT AS anio FROM by_month), (SELECT unnest(range(1, 13)) AS numero))
+SELECT anio::INTEGER AS anio, numero::INTEGER AS numero, e.id_fecha, [{_MONTHS_SQL}][numero] AS nombre, coalesce(filas, 0) AS filas
+FROM ends e LEFT JOIN by_month m ON e.id_fecha = m.id_fecha""")
+ORACLE["default_report_dates"] = with_ctes(["ledger_month"], f"""
+, d AS (SELECT date_trunc('month', current_date)::DATE AS first)
+SELECT {KEY("first - INTERVAL 1 DAY")} AS fecha_actual,
+       array_to_string(list_transform(range(0, 5), lambda x: strftime(first + CAST(x AS INTEGER), '%Y%m%d')), ',') AS fechas_cierre,
+       strftime(first - INTERVAL 2 MONTH, '%Y%m') AS mes_t0, strftime(first - INTERVAL 1 MONTH, '%Y%m') AS mes_t1,
+       (SELECT count(*) FROM ledger_month WHERE id_fecha <= {KEY("first - INTERVAL 1 DAY")}) AS filas
+FROM d""")
+ORACLE["fan_out_check"] = with_ctes(["priced", "df_saldos"], """
+, n AS (
+  SELECT (SELECT count(*) FROM df_saldos) AS rates,
+         (SELECT count(*) FROM df_saldos s LEFT JOIN ltv_snap l ON s.credito IS NOT DISTINCT FROM l.credito) AS ltv,
+         (SELECT count(*) FROM valuation) AS daily, (SELECT count(*) FROM purchase_tape) AS tape, (SELECT count(*) FROM priced) AS priced)
+SELECT lado, antes AS filas_antes, despues AS filas_despues, despues - antes AS filas_de_mas
+FROM (SELECT unnest(['ltv', 'daily', 'valuation']) AS lado, unnest([rates, ltv, tape]) AS antes, unnest([ltv, daily, priced]) AS despues FROM n)""")
+ORACLE["jdbc_split_ranges"] = with_ctes(["ledger_month"], """
+, dates AS (SELECT id_fecha, count(*) AS n FROM ledger_month GROUP BY id_fecha),
+placed AS (
+  SELECT *, ((2 * sum(n) OVER (ORDER BY id_fecha) - n) * 8 // (2 * sum(n) OVER ()))::BIGINT AS parte FROM dates WHERE id_fecha IS NOT NULL)
+SELECT parte, min(id_fecha) AS desde, max(id_fecha) AS hasta, sum(n)::BIGINT AS filas FROM placed GROUP BY parte
+UNION ALL SELECT -1, NULL, NULL, n FROM dates WHERE id_fecha IS NULL""")
+
 ORACLE["dpd_bucket"] = with_ctes(["p70b"], "SELECT credito, id_fecha, anio, mes, numero_dias_mora, icvs FROM p70b")
 _SHARE_PIVOT = ", ".join(f"round(max(p) FILTER (WHERE icvs = '{b}'), 6) AS \"{b}\"" for b in SHARE_BUCKETS)
 ORACLE["bucket_share_history"] = with_ctes(["p70b"], f"""
@@ -747,8 +775,8 @@ SELECT {_ledger_select()}, CASE WHEN credito % 3 = 0 THEN 'NIT' ELSE 'CC' END AS
 # Integer columns that can hold gaps, shown as doubles in every query (as in the registry's presentation).
 KEYS_AS_DOUBLES = ("credito", "id_fecha", "id_fecha_desembolso", "id_fecha_primera_factura", "id_fecha_inicial", "id_fecha_actual",
                    "fecha_inicio_p70", "fecha_vigencia", "Duracion_p70", "Duracion_p10", "numero_dias_mora",
-                   "numero_dias_mora_inicial", "numero_dias_mora_actual", "dias_mora_actual", "tipo_producto", "cod_trans")
-WITHOUT_KEYS = ("residual_summary", "residual_summary_v1", "report_bundle_counts", "report_bundle_written", "bucket_share_history",
+                   "numero_dias_mora_inicial", "numero_dias_mora_actual", "dias_mora_actual", "tipo_producto", "cod_trans", "desde", "hasta")
+WITHOUT_KEYS = ("fan_out_check", "default_report_dates", "residual_summary", "residual_summary_v1", "report_bundle_counts", "report_bundle_written", "bucket_share_history",
                 "bucket_share_written", "roll_matrix_units", "roll_matrix_share", "roll_matrix_check", "roll_matrices_written")
 
 

@@ -14,5 +14,5 @@ MONEY_SUMS = frozenset(["Deuda_total", "Saldo_a_capital", "Precio_de_compra", "V
 KEYS_AS_DOUBLES = frozenset([
     "credito", "id_fecha", "id_fecha_desembolso", "id_fecha_primera_factura", "id_fecha_inicial", "id_fecha_actual",
     "fecha_inicio_p70", "fecha_vigencia", "Duracion_p70", "Duracion_p10", "numero_dias_mora",
-    "numero_dias_mora_inicial", "numero_dias_mora_actual", "dias_mora_actual", "tipo_producto", "cod_trans",
+    "numero_dias_mora_inicial", "numero_dias_mora_actual", "dias_mora_actual", "tipo_producto", "cod_trans", "desde", "hasta",
 ])

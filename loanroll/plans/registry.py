@@ -19,6 +19,7 @@ from loanroll.functions.calendar import (
     CLOSING_WINDOW_DAYS,
     date_of_key,
     key_of,
+    month_ends_col,
     month_name_col,
     previous_month_end_col,
 )
@@ -27,7 +28,7 @@ from loanroll.operators import recovery as R
 from loanroll.operators import valuation as V
 from loanroll.plans import run
 from loanroll.plans.presentation import KEYS_AS_DOUBLES, MONEY_DIGITS, MONEY_SUMS, ROUND_DIGITS
-from loanroll.plans.reports import ExtractReport, ReportParams, RollReport, ValuationReport
+from loanroll.plans.reports import ExtractReport, Observed, ReportParams, RollReport, ValuationReport
 from loanroll.sources import readers, sinks
 from loanroll.sources.fixtures import FIXTURE_AS_OF, ROLL_MONTHS, ledger_month_wide, write_tape_csv
 from loanroll.sources.fixtures import staged_sources as fixture_sources
@@ -379,6 +380,41 @@ def previous_month_name(spark, sf_dir):
     return _report_dates(spark, sf_dir).select("id_fecha", month_name_col(F.month(me)).alias("nombre_mes"))
 
 
+def month_ends_of_year(spark, sf_dir):
+    """the twelve month ends of every year that the ledger has rows of, with the rows of each."""
+    ledger = fixture_sources(spark, sf_dir).ledger_month.filter("id_fecha IS NOT NULL").select("id_fecha")
+    by_month = ledger.groupBy("id_fecha").agg(F.count(F.lit(1)).alias("filas"))
+    years = by_month.select(F.expr("id_fecha DIV 10000").cast("int").alias("anio")).distinct()
+    ends = years.select("anio", F.posexplode(month_ends_col(F.col("anio"))).alias("i", "id_fecha"))
+    named = ends.select("anio", (F.col("i") + 1).alias("numero"), "id_fecha", month_name_col(F.col("i") + 1).alias("nombre"))
+    return named.join(by_month, "id_fecha", "left").withColumn("filas", F.coalesce("filas", F.lit(0)))
+
+
+def default_report_dates(spark, sf_dir):
+    """what a report without a date reads: the month before today, its closing window, and the ledger's rows up to it."""
+    params = ReportParams()
+    ledger = fixture_sources(spark, sf_dir).ledger_month
+    (y0, m0), (y1, m1) = params.months
+    return ledger.filter(F.col("id_fecha") <= params.report_key).agg(F.count(F.lit(1)).alias("filas")).select(
+        F.lit(params.report_key).alias("fecha_actual"), F.lit(",".join(map(str, params.window_keys))).alias("fechas_cierre"),
+        F.lit(f"{y0:04d}{m0:02d}").alias("mes_t0"), F.lit(f"{y1:04d}{m1:02d}").alias("mes_t1"), "filas")
+
+
+# --- checks ----------------------------------------------------------------------------
+
+def fan_out_check(spark, sf_dir):
+    """Rows before and after each join of the report, counted by the pass that writes the priced portfolio."""
+    report = ValuationReport(fixture_sources(spark, sf_dir), fixture_params(), observed=Observed())
+    run.share(report, "priced")
+    rows = [(name, before, after, after - before) for name, (before, after) in report.check_fan_out().items()]
+    return spark.createDataFrame(rows, "lado string, filas_antes bigint, filas_despues bigint, filas_de_mas bigint")
+
+
+def jdbc_split_ranges(spark, sf_dir):
+    """The ledger's dates in ranges of about equal rows, as a warehouse read would be split."""
+    return readers.split_ranges(fixture_sources(spark, sf_dir).ledger_month, "id_fecha", 8)
+
+
 # --- roll rates ------------------------------------------------------------------------
 
 def dpd_bucket(spark, sf_dir):
@@ -434,7 +470,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         residual_summary_v1, live_product_70, live_product_70_v1, live_product_71,
         live_product_71_v1, report_bundle_counts,
         report_bundle_written, bucket_share_written, roll_matrices_written, purchase_tape_csv, ledger_wide,
-        calendar_keys, previous_month_name,
+        calendar_keys, previous_month_name, month_ends_of_year, default_report_dates, fan_out_check, jdbc_split_ranges,
         dpd_bucket, bucket_share_history, bucket_one_hot, bucket_one_hot_common, common_loans,
         roll_matrix_units, roll_matrix_share, roll_matrix_check, collections_flag,
     ]

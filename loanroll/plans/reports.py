@@ -16,7 +16,7 @@ import datetime as dt
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loanroll.functions.calendar import closing_window_keys, date_key, previous_month_end, report_month_key
@@ -105,14 +105,44 @@ class _Base:
         return V.purchase_tape(self.src.purchase_tape_raw)
 
 
+class Observed:
+    """Rows before and after the joins of a report, counted while it is written.
+
+    Each marked frame is observed once; ``counts`` waits for the write that
+    reads them. A recomputed task may be counted twice, so counts that differ
+    are a suspicion, not a proof.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def mark(self, df: DataFrame, name: str) -> DataFrame:
+        self.seen[name] = Observation()
+        return df.observe(self.seen[name], F.count(F.lit(1)).alias("filas"))
+
+    def counts(self) -> dict[str, int]:
+        return {name: seen.get["filas"] for name, seen in self.seen.items()}
+
+
+#: The joins that may fan out: rows before, rows after.
+FAN_OUT = {"ltv": ("rates", "ltv"), "daily": ("ltv", "daily"), "valuation": ("tape", "priced")}
+
+
 def _require_unique(df: DataFrame, what: str) -> None:
     """D4 option: raise when a per-loan side would fan a left join out."""
     if not L.assert_unique_key(df, ["credito"]).isEmpty():
         raise ValueError(f"{what} holds several rows for some loans; the join would fan out")
 
 
+@dataclass
 class ValuationReport(_Base):
-    """Newest script: recovery rates -> valuation -> priced portfolio -> report."""
+    """Newest script: recovery rates -> valuation -> priced portfolio -> report.
+
+    With ``observed`` the joins' rows are counted by the pass that writes
+    ``priced``, and no side is read ahead of it.
+    """
+
+    observed: Observed | None = None
 
     @cached_property
     def base(self) -> DataFrame:
@@ -132,17 +162,34 @@ class ValuationReport(_Base):
 
     @cached_property
     def valuation(self) -> DataFrame:
+        if self.observed:
+            return V.valuation_table(self.rates, self.ltv_snapshot, self.daily, self.observed.mark)
         if self.params.assert_unique:
-            _require_unique(self.ltv_snapshot, "LTV snapshot")
-            _require_unique(self.daily, "daily closing snapshot")
+            self.require_unique()
         return V.valuation_table(self.rates, self.ltv_snapshot, self.daily)
 
+    def require_unique(self) -> None:
+        _require_unique(self.ltv_snapshot, "LTV snapshot")
+        _require_unique(self.daily, "daily closing snapshot")
+        _require_unique(self.valued, "valuation")
+
+    def check_fan_out(self) -> dict[str, tuple[int, int]]:
+        """Rows before and after each join, as the write of ``priced`` has seen them; with ``assert_unique`` a
+        join that made rows is looked into (one aggregate per side) and fails the report."""
+        seen = self.observed.counts()
+        rows = {name: (seen[a], seen[b]) for name, (a, b) in FAN_OUT.items()}
+        if self.params.assert_unique and any(b != a for a, b in rows.values()):
+            ValuationReport(self.src, self.params, self.exclusions).require_unique()
+        return rows
+
     @cached_property
     def valued(self) -> DataFrame:
         return V.with_price_factors(self.valuation)
 
     @cached_property
     def priced(self) -> DataFrame:
+        if self.observed:
+            return self.observed.mark(V.priced_portfolio(self.observed.mark(self.tape, "tape"), self.valued), "priced")
         return V.priced_portfolio(self.tape, self.valued)
 
     @cached_property

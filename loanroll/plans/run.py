@@ -23,7 +23,7 @@ import json
 from pyspark.sql import SparkSession
 
 from loanroll.functions.calendar import previous_month_name
-from loanroll.plans.reports import ExtractReport, ReportParams, RollReport, ValuationReport
+from loanroll.plans.reports import ExtractReport, Observed, ReportParams, RollReport, ValuationReport
 from loanroll.session import write_and_read
 from loanroll.sources import readers, sinks
 from loanroll.sources.model import Sources
@@ -45,7 +45,11 @@ def share(report, attr: str) -> None:
 def write_valuation_report(spark: SparkSession, report: ValuationReport, out_dir: str) -> dict[str, str]:
     """K1 + K5: the five sheets of the newest script, one dataset each, under a
     folder named after the previous month (``Resumen y créditos vigentes <Mes>``)."""
+    if report.observed is None and "valuation" not in report.__dict__ and "priced" not in report.__dict__:
+        report.observed = Observed()
     share(report, "priced")
+    if report.observed:
+        report.check_fan_out()  # before anything is published
     folder = f"{out_dir.rstrip('/')}/{VALUATION_FOLDER} {previous_month_name(report.params.as_of)}"
     return sinks.write_bundle(report.bundle(), folder)
 

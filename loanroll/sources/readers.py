@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanroll.session import write_and_read
 from loanroll.sources import schemas
 from loanroll.sources.model import Sources
 from loanroll.sources.schemas import PURCHASE_TAPE
@@ -29,40 +30,85 @@ def read_parquet_table(spark: SparkSession, path: str, schema: T.StructType) ->
 
 def read_jdbc_table(spark: SparkSession, table: str, url: str, schema: T.StructType,
                     partition_column: str, bounds: tuple[int, int], num_partitions: int = 64,
-                    query_timeout: int = 1000, properties: dict[str, str] | None = None) -> DataFrame:
+                    query_timeout: int = 1000, properties: dict[str, str] | None = None,
+                    predicates: list[str] | None = None) -> DataFrame:
     """A warehouse table over JDBC; connection details come from configuration.
 
     The read is always split into ``num_partitions`` range queries on
-    ``partition_column``: one connection would be one task.
+    ``partition_column``: one connection would be one task. The ranges are of
+    equal width, or those of ``predicates`` (see :func:`range_predicates`: of
+    about equal rows).
     """
-    reader = (
-        spark.read.format("jdbc").option("url", url).option("dbtable", table)
-        .option("queryTimeout", str(query_timeout))
-        .option("partitionColumn", partition_column)
-        .option("lowerBound", str(bounds[0])).option("upperBound", str(bounds[1]))
-        .option("numPartitions", str(num_partitions))
-    )
-    for k, v in (properties or {}).items():
-        reader = reader.option(k, v)
-    df = reader.load()
+    options = {"queryTimeout": str(query_timeout), **(properties or {})}
+    if predicates:
+        df = spark.read.jdbc(url, table, predicates=predicates, properties=options)
+    else:
+        df = (
+            spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+            .option("partitionColumn", partition_column)
+            .option("lowerBound", str(bounds[0])).option("upperBound", str(bounds[1]))
+            .option("numPartitions", str(num_partitions)).load()
+        )
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def split_ranges(rows: DataFrame, column: str, parts: int, width: int = 1) -> DataFrame:
+    """Ranges of an integer column that hold about equal rows: ``parte``, ``desde``, ``hasta`` (inclusive), ``filas``.
+
+    From a histogram of bins of ``width`` values (one aggregate over one
+    column; the bins, not the rows, are put in order): a bin goes to the part
+    that the middle of its rows falls in. A value that holds more than a part's
+    rows is a range of its own size; rows without a value are one more part,
+    without bounds. ``rows`` may be any stored table with the same ids, e.g.
+    last month's.
+    """
+    bins = rows.groupBy(F.expr(f"floor({column} / {width})").alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    known = bins.filter("_bin IS NOT NULL")
+    total = known.agg(F.sum("_n").alias("_total"))
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = known.crossJoin(F.broadcast(total)).withColumn("_until", F.sum("_n").over(before))  # total: one row
+    placed = placed.withColumn("parte", F.expr(f"(2 * _until - _n) * {parts} DIV (2 * _total)"))
+    ranges = placed.groupBy("parte").agg(F.min("_lo").alias("desde"), F.max("_hi").alias("hasta"), F.sum("_n").alias("filas"))
+    missing = bins.filter("_bin IS NULL").select(
+        F.lit(-1).cast("bigint").alias("parte"), F.col("_lo").alias("desde"), F.col("_hi").alias("hasta"), F.col("_n").alias("filas"))
+    return ranges.unionByName(missing)
+
+
+def range_predicates(ranges: DataFrame, column: str) -> list[str]:
+    """Conditions that cut a table into the ranges (one row of ``ranges`` each: as many as the parts asked for).
+
+    Together they hold for every row once: the first and last range are open, those between meet, and rows
+    without a value have a condition of their own.
+    """
+    found = sorted(r.desde for r in ranges.filter("desde IS NOT NULL").collect())
+    if not found:
+        return [f"{column} IS NULL", f"{column} IS NOT NULL"]
+    cuts = [f"{column} < {found[1]}" if len(found) > 1 else f"{column} IS NOT NULL"]
+    cuts += [f"{column} >= {a} AND {column} < {b}" for a, b in zip(found[1:-1], found[2:], strict=True)]
+    return [f"{column} IS NULL", *cuts, *([f"{column} >= {found[-1]}"] if len(found) > 1 else [])]
+
+
 def read_purchase_tape_csv(spark: SparkSession, path: str, skip: int = 3) -> DataFrame:
     """CSV export of the tape: ``skip`` preamble lines and a header line, then data, one row per line.
 
     The preamble is cut by position, as the scripts' ``skip`` does: the first
-    lines of each file, which are the first lines of the task that reads the
-    file's first block. Columns are taken by position. Rows without an id stay
+    lines of each file. The text is read once and written with the order of the
+    lines inside each split of a file; the splits' line counts and their sums
+    over the splits before give every line its number in the file, whatever the
+    size of a split and whichever task read it. Columns are taken by position. Rows without an id stay
     (the operators drop them); ids may be written as ``10`` or ``10.0``.
     """
     names = [f.name for f in PURCHASE_TAPE.fields]
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"))
-    first = lines.filter("start = 0").groupBy("file").agg(F.min("at").alias("first"))  # one row per file
-    numbered = lines.join(first, "file", "left")
-    data = numbered.filter(F.expr(f"start > 0 OR at - first > {skip}")).filter(F.trim("value") != "")
+    lines = write_and_read(lines, "tape-lines")
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # one row per split
+              .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "start", "first", "before"))
+    numbered = lines.join(splits, ["file", "start"]).withColumn("line", F.expr("before + at - first"))
+    data = numbered.filter(F.col("line") > skip).filter(F.trim("value") != "")
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
     row = F.from_csv("value", text.simpleString()[len("struct<"):-1].replace(":", " "))
     return data.select(row.alias("r")).select(

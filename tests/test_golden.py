@@ -222,3 +222,45 @@ def test_last_two_rows_fan_out(spark):
     adjusted = sorted((r["credito"], r["Saldo_capital_inicial"]) for r in L.adjusted_capital_v1(profile).collect() if r["credito"] != 3)
     assert adjusted == [(1, 6.0), (1, 7.0), (2, 5.0), (4, 1.0)]
     assert [r["Saldo_capital_inicial"] for r in L.adjusted_capital_v1(profile).collect() if r["credito"] == 3] == [None]
+
+
+def test_one_hot_has_one_row_a_loan_and_month(spark):
+    """Repeats are settled by the latest date of the month, then the lowest sequence number."""
+    rows = [(1, 20200131, 70, 5.0, 0.0, 0.0, 40), (1, 20200130, 70, 5.0, 0.0, 0.0, 100), (1, 20200131, 70, 5.0, 0.0, 0.0, 10),
+            (1, 20200229, 70, 5.0, 0.0, 0.0, 0), (2, 20200131, 70, 1.0, 0.0, 0.0, 400), (3, 20200229, 70, 1.0, 0.0, 0.0, 5),
+            (4, 20200131, 70, 1.0, 0.0, 0.0, -3), (4, 20200229, 70, 1.0, 0.0, 0.0, 70),
+            (None, 20200131, 70, 1.0, 0.0, 0.0, 20), (None, 20200229, 70, 1.0, 0.0, 0.0, 50)]
+    months = ((2020, 1), (2020, 2))
+    ledger = ledger_rows(spark, rows)
+    for p70 in (ledger, L.with_sequence(ledger)):
+        hot = {(r["mes"], r["credito"]): [b for b in RM.BUCKETS if r[b]] for r in RM.bucket_one_hot(p70, *months).collect()}
+        assert hot == {("01", 1): ["ICV30"], ("02", 1): ["ICV0"], ("01", 2): ["ICV360+"], ("02", 3): ["ICV30"], ("01", 4): [],
+                       ("02", 4): ["ICV90"], ("01", None): ["ICV30"], ("02", None): ["ICV60"]}
+        common = [(r["mes"], r["credito"]) for r in RM.bucket_one_hot_common(p70, *months).collect()]
+        assert sorted(common, key=str) == sorted([(m, c) for m in ("01", "02") for c in (1, 4, None)], key=str)
+        assert len(common) == 2 * RM.common_loans(p70, *months).count()
+        units = {r["bucket_from"]: r["ICV0"] + r["ICV60"] for r in RM.roll_matrix_units(p70, *months).collect()}
+        assert units["ICV30"] == 2 and sum(units.values()) == 2
+
+
+def test_sequence_numbers_beyond_32_bits(spark):
+    """First and last rows of a loan whose numbers begin above 2^31, ties by the lowest number."""
+    far = 1 << 33
+    rows = [(1, 20200131, 70, 10.0, 0.0, 0.0, 1), (1, 20200131, 70, 11.0, 0.0, 0.0, 2), (1, 20200229, 10, 12.0, 0.0, 0.0, 3),
+            (1, 20200331, 70, 13.0, 0.0, 0.0, 4), (1, 20200331, 70, 14.0, 0.0, 0.0, 5)]
+    seq = L.with_sequence(ledger_rows(spark, rows), last_date=True)
+    assert dict(seq.dtypes)["orden"] == "bigint"
+    near, moved = (L.loan_profile(s).first().asDict() for s in (seq, seq.withColumn("orden", seq["orden"] + far)))
+    assert moved["Duracion_p10"] == near["Duracion_p10"] + far
+    assert moved["saldo_capital_inicial"] == 10.0 and moved["saldo_capital_actual"] == 13.0 and moved["saldo_ant"] == 12.0
+    assert moved["_previo_capital"] == 12.0 and moved["_ultimo_capital"] == 13.0
+    assert {k: v for k, v in moved.items() if k != "Duracion_p10"} == {k: v for k, v in near.items() if k != "Duracion_p10"}
+
+
+def test_month_ends_of_a_year(spark):
+    from pyspark.sql import functions as F
+
+    from loanroll.functions.calendar import date_key, month_ends_col, month_ends_of_year
+
+    got = {r[0]: r[1] for r in spark.createDataFrame([(2023,), (2024,), (1900,), (2000,)], "y int").select("y", month_ends_col(F.col("y"))).collect()}
+    assert got == {y: [date_key(d) for d in month_ends_of_year(y)] for y in got} and got[2024][1] == 20240229
