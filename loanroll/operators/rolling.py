@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loanroll.functions.rnum import NULL_DOUBLE_SQL, div_sql, exact_parts, exact_value_sql, merged_parts
 from loanroll.operators.ledger import left_by_loan, month_range, sequence_order, with_year_month
+from loanroll.sources.layout import in_period
 
 # Days-past-due bucket labels, in order. ICV<n> holds up to n
 # days (30-day bands up to 360), ICV0 exactly 0 days, ICV360+ beyond 360.
@@ -88,7 +89,7 @@ def bucket_share_history(p70: DataFrame, include_over_360: bool = False,
 
 
 def month_slice(p70: DataFrame, year: int, month: int) -> DataFrame:
-    return with_bucket(p70.filter(month_range(year, month)))
+    return with_bucket(p70.filter(month_range(year, month) & in_period(p70, year, month)))
 
 
 def month_states(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> DataFrame:
@@ -99,7 +100,7 @@ def month_states(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> Da
     ``orden`` breaks ties by, where the rows are not numbered). Each task keeps
     one row per loan and month before the exchange, so repeats cost nothing there.
     """
-    in0, in1 = month_range(*t0), month_range(*t1)
+    in0, in1 = (month_range(*t) & in_period(p70, *t) for t in (t0, t1))
     ties = [F.col("orden")] if "orden" in p70.columns else sequence_order(p70)[1:]
     last = Window.partitionBy("credito", "_t1").orderBy(F.col("id_fecha").desc(), *ties)
     rows = p70.filter(in0 | in1).withColumn("_t1", in1)
@@ -140,8 +141,7 @@ def common_loans(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> Da
     """Distinct loans present in both months (set intersection)."""
     # Each side is made distinct first (partial aggregation), so a loan with
     # many rows in a month reaches the set operation as one row.
-    c0 = p70.filter(month_range(*t0)).select("credito").distinct()
-    c1 = p70.filter(month_range(*t1)).select("credito").distinct()
+    c0, c1 = (p70.filter(month_range(*t) & in_period(p70, *t)).select("credito").distinct() for t in (t0, t1))
     return c1.intersect(c0)
 
 

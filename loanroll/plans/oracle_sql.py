@@ -616,6 +616,9 @@ _ADJ_V1_COLS = ["credito", "Fecha_desembolso", "fecha_inicio_p70", "fecha_vigenc
 ORACLE["adjusted_capital_v1"] = _q(["adj_v1"], _ADJ_V1_COLS,
                                    {"Fecha_desembolso", "Saldo_capital_inicial", "Saldo_capital_final"}, "adj_v1")
 
+for _key in ("recovery_base", "prior_product_balance", "adjusted_capital_v1"):
+    ORACLE[{"recovery_base": "recovery_base_by_month", "prior_product_balance": "prior_balance_by_month"}.get(_key, "adjusted_capital_by_month")] = ORACLE[_key]
+
 _EXP_COLS = _RATE_BASE + ["prop_recuperado_exposicion", "tasa_recuperacion_anual"]
 ORACLE["recovery_rate_exposure"] = _q(["df_saldos"], _EXP_COLS, _D_RATE, "df_saldos")
 ORACLE["recovery_rate_exposure_initial"] = _q(["df_saldos_initial"], _EXP_COLS, _D_RATE, "df_saldos_initial")

@@ -25,6 +25,7 @@ from loanroll.functions.calendar import (
 )
 from loanroll.operators import ledger as L
 from loanroll.operators import recovery as R
+from loanroll.operators import state as S
 from loanroll.operators import valuation as V
 from loanroll.plans import run
 from loanroll.plans.presentation import KEYS_AS_DOUBLES, MONEY_DIGITS, MONEY_SUMS, ROUND_DIGITS
@@ -32,8 +33,9 @@ from loanroll.plans.reports import ExtractReport, Observed, ReportParams, RollRe
 from loanroll.sources import readers, sinks
 from loanroll.sources.fixtures import FIXTURE_AS_OF, ROLL_MONTHS, ledger_month_wide, write_tape_csv
 from loanroll.sources.fixtures import staged_sources as fixture_sources
+from loanroll.sources.layout import in_period
 from loanroll.sources.schemas import LEDGER_COLUMNS, LEDGER_MONTH_WIDE
-from loanroll.session import scratch_dir
+from loanroll.session import scratch_dir, write_and_read
 
 
 
@@ -192,6 +194,33 @@ def adjusted_capital_v1(spark, sf_dir):
     return _ov(spark, sf_dir).adjusted
 
 
+# --- month by month ------------------------------------------------------------------
+
+def _profile_by_month(spark, sf_dir, months: int = 3) -> DataFrame:
+    """The profile from a state of all but the last months' rows, merged with one month after the other."""
+    src = fixture_sources(spark, sf_dir)
+    ledger, month = src.ledger_month, F.expr("id_fecha DIV 100")
+    known = sorted(r[0] for r in ledger.filter("id_fecha IS NOT NULL").select(month).distinct().collect())[-months:]  # one row a month
+    before = F.col("id_fecha").isNull() | (month < (known[0] if known else 0))
+    state = write_and_read(S.loan_state(ledger.filter(before), max_loan_rows=src.max_loan_rows), "state")
+    for ym in known:
+        rows = ledger.filter(L.month_range(ym // 100, ym % 100) & in_period(ledger, ym // 100, ym % 100))
+        state = write_and_read(S.merge(state, S.loan_state(rows, max_loan_rows=src.max_loan_rows)), "state")
+    return S.profile(state)
+
+
+def recovery_base_by_month(spark, sf_dir):
+    return L.recovery_base(_profile_by_month(spark, sf_dir))
+
+
+def prior_balance_by_month(spark, sf_dir):
+    return L.prior_product_balance(_profile_by_month(spark, sf_dir))
+
+
+def adjusted_capital_by_month(spark, sf_dir):
+    return L.adjusted_capital_v1(_profile_by_month(spark, sf_dir))
+
+
 # --- rates -----------------------------------------------------------------------------
 
 def recovery_rate_exposure(spark, sf_dir):
@@ -461,6 +490,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         loan_span, loan_span_mean, first_last_observation, first_last_capital, recovery_base,
         zero_start_loans, zero_start_history, prior_product_balance, last_two_non70,
         adjusted_recovery_base, adjusted_capital_v1,
+        recovery_base_by_month, prior_balance_by_month, adjusted_capital_by_month,
         recovery_rate_exposure, recovery_rate_exposure_initial, recovery_rate_arrears,
         recovery_rate_capital, recovery_rate_combined,
         valuation_table, price_factor_combined, price_factor_exposure, price_factor_capital,

@@ -25,6 +25,7 @@ from loanroll.operators import portfolio as P
 from loanroll.operators import recovery as R
 from loanroll.operators import rolling as RM
 from loanroll.operators import valuation as V
+from loanroll.sources.layout import PERIOD_COLUMNS
 from loanroll.sources.model import Sources
 
 
@@ -75,7 +76,12 @@ class _Base:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        """The monthly ledger, without excluded loans (left anti join) if given."""
+        """The monthly ledger in its own columns."""
+        return self.stored.drop(*PERIOD_COLUMNS)
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The monthly ledger as it is stored, without excluded loans (left anti join) if given."""
         if self.exclusions is None:
             return self.src.ledger_month
         excluded = self.exclusions.select("credito").distinct()
@@ -310,7 +316,7 @@ class RollReport(_Base):
 
     @cached_property
     def product_rows(self) -> DataFrame:
-        return L.product_slice(self.ledger, self.params.product)
+        return L.product_slice(self.stored, self.params.product)
 
     @cached_property
     def bucketed(self) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from loanroll.functions.calendar import key_of, month_end_key
 from loanroll.session import scratch_dir
+from loanroll.sources.layout import store_ledger, stored_ledger
 from loanroll.sources.model import PARTITIONED, TABLES, Sources
 
 # Fixed values of the fixture derivation (FIXTURES.md section 2).
@@ -37,6 +38,7 @@ LTV_SNAPSHOTS = ((20010630, 25.0), (20010531, 30.0))  # (id_fecha, p_size diviso
 LEAVE_KEY = 20000630                          # from here on, loans with l_partkey % 19 = 0 are product 10 again
 LATE_CUTOFF_KEY = 20010531                    # cutoff when l_partkey % 4 = 3
 EARLY_CUTOFF_BASE = 19970131                  # else 19970131 + 10000 * (l_partkey % 4)
+LEDGER_BUCKETS = 64                           # at most; the fixture is small at every scale factor
 ROLL_MONTHS = ((2000, 10), (2000, 11))        # month pair of the roll-rate matrix
 
 
@@ -232,9 +234,14 @@ def _content_key(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def stage(derived: Sources, base: str) -> Sources:
-    """Write the tables under ``base`` and read them back; dated tables in one folder per date, of evenly sized files."""
+    """Write the tables under ``base`` and read them back: the ledger bucketed by loan in folders by year
+    (:mod:`loanroll.sources.layout`), the other dated tables in one folder per date, of evenly sized files."""
     spark, tables = derived.ledger_month.sparkSession, {}
-    for name in TABLES:
+    name = "loanroll_ledger_" + base.rsplit("-", 1)[-1]
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), LEDGER_BUCKETS)
+    store_ledger(derived.ledger_month, name, buckets, period="year", path=f"{base}/ledger_month")
+    tables["ledger_month"], largest = stored_ledger(spark, name)
+    for name in TABLES[1:]:
         df = getattr(derived, name)
         path = f"{base}/{name}"
         if name in PARTITIONED:
@@ -242,8 +249,7 @@ def stage(derived: Sources, base: str) -> Sources:
         else:
             df.write.mode("overwrite").parquet(path)
         tables[name] = spark.read.schema(df.schema).parquet(path).select(*df.columns)
-    largest = tables["ledger_month"].groupBy("credito").count().agg(F.max("count")).first()[0]
-    return Sources(**tables, max_loan_rows=largest or 0)
+    return Sources(**tables, max_loan_rows=largest)
 
 
 def staged_sources(spark: SparkSession, sf_dir: str) -> Sources:

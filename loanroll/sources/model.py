@@ -26,4 +26,4 @@ class Sources:
 
 TABLES = ("ledger_month", "ledger_day", "ltv", "restructuring_mark", "collections", "purchase_tape_raw")
 # Tables that are stored by date: a date predicate reads the folders of those dates only.
-PARTITIONED = ("ledger_month", "ledger_day", "ltv")
+PARTITIONED = ("ledger_day", "ltv")

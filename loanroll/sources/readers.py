@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from loanroll.session import write_and_read
 from loanroll.sources import schemas
+from loanroll.sources.layout import stored_ledger
 from loanroll.sources.model import Sources
 from loanroll.sources.schemas import PURCHASE_TAPE
 
@@ -177,7 +178,8 @@ def warehouse_sources(spark: SparkSession, tables: dict[str, str | dict], wide_l
     """S1-S6 from stored tables: ``tables`` maps each of ``model.TABLES`` to a
     Parquet folder, or to the keyword arguments of :func:`read_jdbc_table`
     (the purchase tape may be a ``.csv`` export instead). ``wide_ledger``
-    reads the roll-rate report's wider ledger projection (S1b)."""
+    reads the roll-rate report's wider ledger projection (S1b). A ledger given
+    as ``table:name`` is the catalog table of :func:`loanroll.sources.layout.store_ledger`."""
     declared = {
         "ledger_month": schemas.LEDGER_MONTH_WIDE if wide_ledger else schemas.LEDGER_MONTH,
         "ledger_day": schemas.LEDGER_DAY, "ltv": schemas.LTV,
@@ -187,7 +189,9 @@ def warehouse_sources(spark: SparkSession, tables: dict[str, str | dict], wide_l
     read = {}
     for name, schema in declared.items():
         where = tables[name]
-        if isinstance(where, dict):
+        if name == "ledger_month" and isinstance(where, str) and where.startswith("table:"):
+            read[name], read["max_loan_rows"] = stored_ledger(spark, where.removeprefix("table:"))
+        elif isinstance(where, dict):
             read[name] = read_jdbc_table(spark, schema=schema, **where)
         elif name == "purchase_tape_raw" and where.endswith(".csv"):
             read[name] = read_purchase_tape_csv(spark, where)
