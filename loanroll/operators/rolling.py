@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanroll.functions.rnum import NULL_DOUBLE_SQL, div_sql, exact_parts, exact_value_sql, merged_parts
-from loanroll.operators.ledger import left_by_loan, month_range, sequence_order, with_year_month
+from loanroll.operators.ledger import TIE_BREAK, left_by_loan, month_range, with_year_month
 from loanroll.sources.layout import in_period
 
 # Days-past-due bucket labels, in order. ICV<n> holds up to n
@@ -101,7 +101,9 @@ def month_states(p70: DataFrame, t0: tuple[int, int], t1: tuple[int, int]) -> Da
     one row per loan and month before the exchange, so repeats cost nothing there.
     """
     in0, in1 = (month_range(*t) & in_period(p70, *t) for t in (t0, t1))
-    ties = [F.col("orden")] if "orden" in p70.columns else sequence_order(p70)[1:]
+    # what stands after the days past due in the declared order changes nothing here
+    declared = TIE_BREAK[:TIE_BREAK.index("numero_dias_mora") + 1]
+    ties = [F.col("orden")] if "orden" in p70.columns else [F.col(c).asc_nulls_first() for c in declared]
     last = Window.partitionBy("credito", "_t1").orderBy(F.col("id_fecha").desc(), *ties)
     rows = p70.filter(in0 | in1).withColumn("_t1", in1)
     one = rows.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1")

@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import datetime as dt
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -237,18 +239,24 @@ def stage(derived: Sources, base: str) -> Sources:
     """Write the tables under ``base`` and read them back: the ledger bucketed by loan in folders by year
     (:mod:`loanroll.sources.layout`), the other dated tables in one folder per date, of evenly sized files."""
     spark, tables = derived.ledger_month.sparkSession, {}
-    name = "loanroll_ledger_" + base.rsplit("-", 1)[-1]
+    table = "loanroll_ledger_" + base.rsplit("-", 1)[-1]
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), LEDGER_BUCKETS)
-    store_ledger(derived.ledger_month, name, buckets, period="year", path=f"{base}/ledger_month")
-    tables["ledger_month"], largest = stored_ledger(spark, name)
-    for name in TABLES[1:]:
-        df = getattr(derived, name)
-        path = f"{base}/{name}"
-        if name in PARTITIONED:
+
+    def write(name: str) -> None:
+        df, path = getattr(derived, name), f"{base}/{name}"
+        if name == "ledger_month":
+            store_ledger(df, table, buckets, period="year", path=path)
+        elif name in PARTITIONED:
             df.hint("rebalance", "id_fecha").write.mode("overwrite").partitionBy("id_fecha").parquet(path)
         else:
             df.write.mode("overwrite").parquet(path)
-        tables[name] = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+    with ThreadPoolExecutor(max_workers=3) as pool:  # small jobs fill the cores that the ledger's first stage leaves idle
+        list(pool.map(inheritable_thread_target(write), TABLES))
+    tables["ledger_month"], largest = stored_ledger(spark, table)
+    for name in TABLES[1:]:
+        df = getattr(derived, name)
+        tables[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}").select(*df.columns)
     return Sources(**tables, max_loan_rows=largest)
 
 
