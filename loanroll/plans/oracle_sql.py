@@ -71,7 +71,7 @@ MONEY_SUMS = ("Deuda_total", "Saldo_a_capital", "Precio_de_compra", "Valoracion"
 
 def RND(x: str, alias: str | None = None) -> str:
     name = alias or x.strip(chr(34))
-    return f'round({x}, {2 if name in MONEY_SUMS else 6}) AS "{name}"'
+    return f'round_even({x} * 100, 0) / 100 AS "{name}"' if name in MONEY_SUMS else f'round({x}, 6) AS "{name}"'
 
 
 def KEY(ts: str) -> str:
@@ -656,9 +656,7 @@ ORACLE["active_loans"] = _q(["active"], _PRICED_COLS, _D_PRICED, "active")
 ORACLE["inactive_loans"] = _q(["inactive"], _PRICED_COLS, _D_PRICED, "inactive")
 ORACLE["portfolio_summary"] = _q(["summary"], _SUMMARY_COLS, _D_SUMMARY, "summary")
 ORACLE["portfolio_summary_v1"] = with_ctes(["active_v1"], f"""
-SELECT tipo_producto, Creditos, round(Deuda_total, 2) AS Deuda_total, round(Saldo_a_capital, 2) AS Saldo_a_capital,
-       round(Precio_de_compra, 2) AS Precio_de_compra, round(Valoracion, 2) AS Valoracion,
-       round(Valoracion_mod, 2) AS Valoracion_mod,
+SELECT tipo_producto, Creditos, {", ".join(RND(c) for c in ("Deuda_total", "Saldo_a_capital", "Precio_de_compra", "Valoracion", "Valoracion_mod"))},
        round({DIV('Valoracion', 'Precio_de_compra')} - 1, 6) AS p,
        round({DIV('Valoracion_mod', 'Precio_de_compra')} - 1, 6) AS p_mod
 FROM (SELECT tipo_producto, count(*) AS Creditos, {NANSUM('valor_pago_ttl_canc')} AS Deuda_total,

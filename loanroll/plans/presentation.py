@@ -1,6 +1,8 @@
 """Presentation rules of the registered queries.
 
-* Doubles are rounded to ``ROUND_DIGITS`` decimals, sums of money to ``MONEY_DIGITS``.
+* Doubles are rounded to ``ROUND_DIGITS`` decimals, sums of money to ``MONEY_DIGITS``. The latter are exact sums of
+  amounts with few decimals, often halfway between two cents: they are rounded half to even by plain arithmetic, as
+  engines differ in what ``round`` makes of such a double.
 * Integer columns that can hold gaps are shown as doubles, in every query
   alike, so that a gap is the same missing float in every client (pandas turns
   a Spark int column with nulls into float64, DuckDB into nullable Int32).

@@ -47,8 +47,10 @@ def present(df: DataFrame) -> DataFrame:
         c = f"`{f.name}`"
         if f.name in KEYS_AS_DOUBLES:
             c = f"CAST({c} AS DOUBLE)"
+        elif f.name in MONEY_SUMS:
+            c = f"rint({c} * {10 ** MONEY_DIGITS}) / {10 ** MONEY_DIGITS}"
         elif isinstance(f.dataType, T.DoubleType):
-            c = f"round({c}, {MONEY_DIGITS if f.name in MONEY_SUMS else ROUND_DIGITS})"
+            c = f"round({c}, {ROUND_DIGITS})"
         cols.append(f"{c} AS `{f.name}`")
     return df.selectExpr(*cols)
 

@@ -252,7 +252,7 @@ def stage(derived: Sources, base: str) -> Sources:
             df.write.mode("overwrite").parquet(path)
 
     with ThreadPoolExecutor(max_workers=3) as pool:  # small jobs fill the cores that the ledger's first stage leaves idle
-        list(pool.map(inheritable_thread_target(write), TABLES))
+        list(pool.map(inheritable_thread_target(spark)(write), TABLES))
     tables["ledger_month"], largest = stored_ledger(spark, table)
     for name in TABLES[1:]:
         df = getattr(derived, name)

@@ -66,9 +66,10 @@ def split_ranges(rows: DataFrame, column: str, parts: int, width: int = 1) -> Da
     bins = rows.groupBy(F.expr(f"floor({column} / {width})").alias("_bin")).agg(
         F.count(F.lit(1)).alias("_n"), F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     known = bins.filter("_bin IS NOT NULL")
-    total = known.agg(F.sum("_n").alias("_total"))
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = known.crossJoin(F.broadcast(total)).withColumn("_until", F.sum("_n").over(before))  # total: one row
+    every = Window.orderBy("_bin")
+    placed = known.withColumns({
+        "_until": F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_total": F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     placed = placed.withColumn("parte", F.expr(f"(2 * _until - _n) * {parts} DIV (2 * _total)"))
     ranges = placed.groupBy("parte").agg(F.min("_lo").alias("desde"), F.max("_hi").alias("hasta"), F.sum("_n").alias("filas"))
     missing = bins.filter("_bin IS NULL").select(
