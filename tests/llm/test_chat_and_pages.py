@@ -1,6 +1,9 @@
 """op1 and op9: exact round trips and hand-made pages."""
 
 import hashlib
+import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -135,3 +138,104 @@ def test_pages_nested_to_any_depth(tag):
     assert wrapper.extract([deep]) == ["start\ndeep"]
     a, b = (wrapper.Run("#root", [wrapper.parse("<p>start</p>" + f"<{tag}>" * 1500)]) for _ in range(2))
     assert wrapper.simple_tree_matching(a, b)[0] >= 1500
+
+
+def in_memory(rows):
+    """The texts by the host's pages alone, without Spark."""
+    by = {}
+    for i, (_, url, html) in enumerate(rows):
+        host = re.match(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", url or "")
+        by.setdefault(host[1].lower() if host else "", []).append((i, html or ""))
+    texts = {}
+    for own in by.values():
+        texts.update(zip([i for i, _ in own], wrapper.extract([h for _, h in own]), strict=True))
+    return [texts[i] for i in range(len(rows))]
+
+
+def bare_page(i, story, extra=""):
+    """No roles: a template around two slots; the menu and the notice are equal on all pages."""
+    return (f"<html><body><div class=x1><ul><li>Home<li>About us<li>Contact</ul></div><div class=x2><p>We value your privacy.</p></div>"
+            f"<div class=x3><h1>Title {i}</h1>{story}<p>Written by our staff</p></div><div class=x4>Copyright {2000 + i % 2} by us{extra}</div></body></html>")
+
+
+def test_only_the_wrapper_can_tell():
+    pages = [bare_page(i, f"<p>Story {i} begins here and goes on for some words.</p><p>It ends with {i}.</p>") for i in range(8)]
+    assert wrapper.extract(pages) == [f"Title {i}\nStory {i} begins here and goes on for some words.\nIt ends with {i}." for i in range(8)]
+    alone = wrapper.extract(pages[:1])[0]
+    assert "Home" in alone and "privacy" in alone and "Copyright" in alone
+
+
+def test_an_article_is_kept_whole():
+    """Texts that all articles share stay; words of parts count only where a class is made of them."""
+    body = lambda i: (f"<article><h2>Introduction</h2><p>Legal text all pages share.</p><p>Own text {i}.</p>"
+                      f"<div class='share prices'><p>Prices {i}</p></div><div class='ad-box'>Buy {i}</div><div id=comments>First {i}</div></article>")
+    pages = [page(body(i), nav=f"<li>Item {i}") for i in range(6)]
+    assert wrapper.extract(pages) == [f"Introduction\nLegal text all pages share.\nOwn text {i}.\nPrices {i}" for i in range(6)]
+    assert wrapper.extract(pages) == [t for p in pages for t in wrapper.extract([p])]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_table_is_the_hosts_pages_alone(spark, partitions):
+    """Counts by Spark, copies and foreign templates included; the same however the pages are dealt."""
+    rows = [(i, f"http://a.example/{i}", bare_page(i, f"<p>Story {i} goes on and on, some words more.</p>" * (1 + i % 3), "<b>!</b>" * (i % 2))) for i in range(30)]
+    rows += [(100 + i, "http://a.example/copy", rows[3][2]) for i in range(40)]
+    rows += [(200 + i, "https://B.example/x", page(f"<div class=body><p>Text {i}</p><p>Always here</p></div>")) for i in range(5)]
+    rows += [(300 + i, "//b.example/y", page(f"<article><p>Text {i}</p><p>Always here</p></article>")) for i in range(1)]
+    rows += [(400, None, "<p>no host</p>"), (401, "//c.example", None), (402, "//c.example", ""), (403, "//a.example/plain", "only text")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(partitions)
+    got = {r.page_id: r.text for r in wrapper.extract_pages(df).collect()}
+    expected = in_memory(rows)
+    assert got == {r[0]: t for r, t in zip(rows, expected, strict=True)}
+    assert "Written by" not in got[0] and "Always here" not in got[200] and "Always here" in got[300]
+
+
+def test_query_is_the_hosts_pages_alone(spark):
+    from loanroll.llm import queries
+
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in queries.op9_wrapper(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: (u, t, len(t)) for (i, u, _), t in zip(rows, in_memory(rows), strict=True)}
+
+
+def plain_matching(a, b):
+    """The textbook recursion."""
+    if a.sign != b.sign:
+        return 0
+    m = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + plain_matching(x, y))
+    return m[-1][-1] + 1
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 6])
+def test_matching_is_the_textbook_recursion(monkeypatch, cells):
+    monkeypatch.setattr(wrapper, "TABLE_CELLS", cells)
+    rng = random.Random(3)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth and rng.random() < 0.7 else 'x'}</{t}>" for t in rng.choices(["div", "ul", "h1", "span"], k=rng.randint(0, 4)))
+
+    for _ in range(150):
+        a, b = (wrapper.tree_of(tree(3))[1] for _ in range(2))
+        size, pairs = wrapper.simple_tree_matching(a, b)
+        assert size == plain_matching(a, b) == len(pairs)
+        place = {id(x): k for t in (a, b) for k, x in enumerate(sorted(wrapper._all(t), key=lambda r: r.number))}
+        left, right = ([place[id(p[k])] for p in pairs] for k in (0, 1))
+        assert sorted(left) == sorted(set(left)) and [r for _, r in sorted(zip(left, right, strict=True))] == sorted(right)
+        up = {id(c): r for t in (a, b) for r in wrapper._all(t) for c in r.children}
+        matched = {(id(x), id(y)) for x, y in pairs}
+        assert all(x.sign == y.sign and (x is a or (id(up[id(x)]), id(up[id(y)])) in matched) for x, y in pairs)
+        back = wrapper.unpack_tree(wrapper.pack_tree(a))
+        assert back.shape == a.shape and [r.sign for r in sorted(wrapper._all(back), key=lambda r: r.number)] == [
+            r.sign for r in sorted(wrapper._all(a), key=lambda r: r.number)]
+
+
+def test_broken_markup_takes_no_long_time():
+    began = time.time()
+    for s in ("<a " * 100_000, '<a href="x ' * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<a " + "x" * 100_000 + " b=1>", "<!-- " * 50_000,
+              "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<p>" + "<b>" * 20_000 + "<p>" * 20_000, "<script>" * 50_000, "<td><p>" * 30_000):
+        wrapper.extract([s])
+    alternating = ["".join(f"<p>a{i} {k}</p><h2>b{k % (7 + i)}</h2>" + "<ul><li>x</ul>" * (k % 11 == i) for k in range(800)) for i in range(4)]
+    assert len(wrapper.extract(alternating)) == 4
+    assert time.time() - began < 20
