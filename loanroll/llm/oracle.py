@@ -62,15 +62,38 @@ measured AS (
         coalesce(r.n, 0) AS n_repeat_words
     FROM split s LEFT JOIN repeated r ON r.doc_id = s.doc_id),
 counted AS (SELECT doc_id, lang, length(t) AS size, [{classes}] AS n FROM docs),
-words AS (SELECT doc_id, lang, lower(unnest(w)) AS x FROM split),
+words AS (SELECT doc_id, lang, trim(lower(unnest(w)), '.,;:!?"''()[]') AS x FROM split),
 hist AS (
     SELECT doc_id, lang, 'c' AS kind, unnest(range(9))::VARCHAR AS k, unnest(list_append(n, size - list_sum(n)))::DOUBLE AS n FROM counted
     UNION ALL
     SELECT doc_id, lang, 'w', CASE WHEN x IN ({common}) THEN x ELSE '' END AS y, count(*) FROM words GROUP BY doc_id, lang, y),
 shares AS (SELECT doc_id, kind, k, n / sum(n) OVER (PARTITION BY doc_id, kind) AS p FROM hist WHERE n > 0),
+-- the references: documents near the medians of their language, one vote each
+enough AS (
+    SELECT s.doc_id, s.lang FROM split s WHERE s.lang IN ('de', 'en', 'es', 'fr') AND len(s.w) >= 50),
+own AS (
+    SELECT e.doc_id, e.lang, count(w.x) FILTER (list_contains({by_lang}[e.lang], w.x)) AS n, count(w.x) AS total
+    FROM enough e JOIN words w ON w.doc_id = e.doc_id GROUP BY e.doc_id, e.lang),
+bins AS (
+    SELECT e.doc_id, e.lang, h.k, floor(h.n * 1000 / c.size)::BIGINT AS bin
+    FROM enough e JOIN (SELECT doc_id, unnest(range(9))::VARCHAR AS k, unnest(list_append(n, size - list_sum(n))) AS n FROM counted) h ON h.doc_id = e.doc_id
+        JOIN counted c ON c.doc_id = e.doc_id
+    UNION ALL SELECT doc_id, lang, 'own', floor(n * 1000 / total)::BIGINT FROM own),
+medians AS (
+    SELECT lang, k, min(bin) AS m
+    FROM (SELECT lang, k, bin, sum(count(*)) OVER (PARTITION BY lang, k ORDER BY bin) AS until, sum(count(*)) OVER (PARTITION BY lang, k) AS total
+          FROM bins GROUP BY lang, k, bin) WHERE 2 * until >= total GROUP BY lang, k),
+typical AS (
+    SELECT b.doc_id FROM bins b JOIN medians m ON m.lang = b.lang AND m.k = b.k
+    GROUP BY b.doc_id HAVING bool_and(CASE WHEN b.k = 'own' THEN b.bin * 2 >= m.m ELSE abs(b.bin - m.m) <= 20 + m.m // 4 END)),
 refs AS (
     SELECT lang, kind, k, n / sum(n) OVER (PARTITION BY lang, kind) AS q
-    FROM (SELECT lang, kind, k, sum(n) AS n FROM hist WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY lang, kind, k) WHERE n > 0),
+    FROM (SELECT h.lang, h.kind, h.k, sum(floor(h.n * 1000000 / CASE WHEN h.kind = 'c' THEN c.size ELSE len(s.w) END)::BIGINT) AS n
+          FROM hist h JOIN typical t ON t.doc_id = h.doc_id JOIN counted c ON c.doc_id = h.doc_id JOIN split s ON s.doc_id = h.doc_id
+          GROUP BY h.lang, h.kind, h.k) WHERE n > 0),
+without AS (  -- the word divergence of a text without common words
+    SELECT lang, (log2(2 / (1 + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (1 + q)) ELSE 0 END + 1 - q) / 2 AS d
+    FROM (SELECT l.lang, coalesce(r.q, 0) AS q FROM (SELECT DISTINCT lang FROM refs) l LEFT JOIN refs r ON r.lang = l.lang AND r.kind = 'w' AND r.k = '')),
 terms AS (
     SELECT s.doc_id, l.lang, s.kind, s.p, coalesce(r.q, 0) AS q
     FROM shares s CROSS JOIN (SELECT DISTINCT lang FROM refs) l LEFT JOIN refs r ON r.lang = l.lang AND r.kind = s.kind AND r.k = s.k),
@@ -80,12 +103,14 @@ divergence AS (
     FROM terms GROUP BY doc_id, lang, kind),
 near AS (
     SELECT DISTINCT c.doc_id FROM divergence c JOIN divergence w ON w.doc_id = c.doc_id AND w.lang = c.lang
-    WHERE c.kind = 'c' AND w.kind = 'w' AND c.d <= 0.10 AND w.d <= 0.45),
+        JOIN without o ON o.lang = c.lang JOIN split s ON s.doc_id = c.doc_id
+    WHERE c.kind = 'c' AND w.kind = 'w' AND c.d <= 0.10 AND w.d <= o.d * least(0.9, 0.5 + 4.0 / sqrt(len(s.w)))),
 based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
-SELECT b.*, NOT base_failed AND (n_words < 50 OR n.doc_id IS NOT NULL) AS kept
+SELECT b.*, NOT base_failed AND (n_words < 50 OR n.doc_id IS NOT NULL OR NOT EXISTS (SELECT 1 FROM refs)) AS kept
 FROM based b LEFT JOIN near n ON n.doc_id = b.doc_id
 """.replace("{classes}", ", ".join(f"len(regexp_extract_all(t, '{c}'))" for c in _CLASSES)).replace(
-    "{common}", ", ".join(f"'{w}'" for w in sorted(set(_COMMON.split()))))
+    "{common}", ", ".join(f"'{w}'" for w in sorted(set(_COMMON.split())))).replace(
+    "{by_lang}", "MAP {" + ", ".join(f"'{k}': {sorted(set(x.split()))}" for k, x in zip(("de", "en", "es", "fr"), _COMMON.split("\n"), strict=True)) + "}")
 
 MERKLE = r"""
 WITH RECURSIVE fields AS (

@@ -1,11 +1,20 @@
 """Quality rules: Jensen-Shannon divergence of a text's histograms from language references.
 
 Two histograms describe a text: its characters by class and its words by the
-common words of four languages (all other words are one entry). A language's
-reference is the pooled histogram of all documents of that language, read from
-the table in one aggregate. A text is rejected if, against every reference, its
-character-class divergence or its common-word divergence exceeds a limit;
-texts shorter than a minimum number of words are not judged by divergence.
+common words of four languages (all other words are one entry; punctuation
+around a word is left out). A text is rejected if, against every reference, its
+character-class divergence or its common-word divergence exceeds a limit. The
+limit of the words follows from the reference and the text's length: it is a
+share of the divergence of a text without any common word, the larger the
+shorter the text, but always below 1. Texts shorter than a minimum number of
+words are not judged by divergence.
+
+A language's reference is made of the documents of that language in the table,
+so that junk does not set it: over all of them that have the minimum of words,
+the median share of each character class and of the language's common words is
+taken (from histograms of whole per mille), and the documents near these
+medians have one vote each. Up to half of a language's documents may be junk.
+All sums are of integers, so that they don't depend on partitions.
 
 Everything is a DataFrame expression: no Python runs on the executors. The
 measures of all texts are written once (a few numbers per document), the
@@ -20,6 +29,7 @@ rows. Only id, text and language are read.
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +48,15 @@ CHARACTER_CLASSES = {"lower": "a-z", "space": " \\x09-\\x0D", "letter": "\\x{80}
                      "upper": "A-Z", "exclaim": "!?", "digit": "0-9"}
 _PLACE = {name: i for i, name in enumerate(CHARACTER_CLASSES)}
 WORD_BREAKS = "[\\x20\\x09-\\x0D]+"
-#: Limits of the divergences (in bits, 0 to 1), and the fewest words that are judged by them.
-CHARACTER_LIMIT, WORD_LIMIT, MIN_WORDS = 0.10, 0.45, 50
+#: Limit of the character divergence (in bits, 0 to 1), and the fewest words that are judged by divergence.
+CHARACTER_LIMIT, MIN_WORDS = 0.10, 50
+#: The limit of the word divergence is that of a text without common words times least(MOST, SHARE + NOISE / sqrt(words)).
+WORD_MOST, WORD_SHARE, WORD_NOISE = 0.9, 0.5, 4.0
+#: What is left out around a word before it is looked up.
+PUNCTUATION = ".,;:!?\"'()[]"
+#: Shares are taken in whole parts of BINS for medians, of VOTE for references; a typical document's shares of
+#: characters differ from the medians by at most NEAR + a quarter, and it has at least half the median share of common words.
+BINS, VOTE, NEAR = 1000, 1_000_000, 20
 
 VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
 OTHER_WORD = ""
@@ -97,7 +114,7 @@ def _let(value: Column, body) -> Column:
 
 def _word_counts(words: Column) -> Column:
     """Sorted array of (w, n): the counts of the common words in lower case, and of all other words under OTHER_WORD."""
-    lower = F.transform(words, lambda w: F.lower(w))
+    lower = F.transform(words, lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION)))
     common = F.array_sort(F.filter(lower, lambda w: w.isin(*VOCABULARY)))
 
     def runs(s: Column) -> Column:
@@ -125,15 +142,44 @@ def measures(text: Column, window: int = 8) -> Column:
 
 
 def references(measured: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Per language the shares of character classes and of common words over all its documents (columns lang, chars, common).
+    """Per language the shares of character classes and of common words (columns lang, n_words, chars, common).
 
-    The aggregate has at most one row per language and entry, whatever the table.
+    Two aggregates over the written measures: at most BINS + 1 rows per language and class, then one per entry.
     """
-    rows = measured.where(F.col("lang").isin(*COMMON_WORDS))
     k = len(CHARACTER_CLASSES) + 1
-    chars = F.transform("chars", lambda n, i: F.struct(F.concat(F.lit("\x00"), i.cast("string")).alias("w"), n.alias("n")))
-    pooled = (rows.select("lang", F.explode(F.concat(chars, "common")).alias("e"))
-              .groupBy("lang", F.col("e.w").alias("w")).agg(F.sum("e.n").alias("n")))
+    size = F.aggregate("chars", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    own = F.lit(0).cast("bigint")
+    for lang, words in COMMON_WORDS.items():
+        known = F.aggregate(F.filter("common", lambda x: x["w"].isin(*words)), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])  # noqa: B023
+        own = F.when(F.col("lang") == lang, known).otherwise(own)
+    rows = measured.where(F.col("lang").isin(*COMMON_WORDS) & (F.col("n_words") >= MIN_WORDS)).select(
+        "lang", "n_words", "chars", "common", size.alias("size"), own.alias("own"))
+    bins = F.concat(F.transform("chars", lambda n: F.floor(n * BINS / F.col("size"))),
+                    F.array(F.floor(F.col("own") * BINS / F.col("n_words"))))
+    rows = rows.withColumn("bins", bins)
+    counted = rows.select("lang", F.posexplode("bins").alias("i", "bin")).groupBy("lang", "i", "bin").count().collect()
+    medians: dict[str, dict[int, int]] = {}
+    for lang in sorted({r.lang for r in counted}):
+        for i in range(k + 1):
+            found = sorted((r.bin, r["count"]) for r in counted if r.lang == lang and r.i == i)
+            total, until = sum(n for _, n in found), 0
+            for b, n in found:
+                until += n
+                if 2 * until >= total:
+                    medians.setdefault(lang, {})[i] = b
+                    break
+    if not medians:
+        return {}
+    typical = F.lit(False)
+    for lang, m in medians.items():
+        near = F.get("bins", k) * 2 >= m[k]
+        for i in range(k):
+            near = near & (F.abs(F.get("bins", i) - m[i]) <= NEAR + m[i] // 4)
+        typical = typical | ((F.col("lang") == lang) & near)
+    votes = F.concat(
+        F.transform("chars", lambda n, i: F.struct(F.concat(F.lit("\x00"), i.cast("string")).alias("w"), F.floor(n * VOTE / F.col("size")).alias("n"))),
+        F.transform("common", lambda x: F.struct(x["w"].alias("w"), F.floor(x["n"] * VOTE / F.col("n_words")).alias("n"))))
+    pooled = rows.where(typical).select("lang", F.explode(votes).alias("e")).groupBy("lang", F.col("e.w").alias("w")).agg(F.sum("e.n").alias("n"))
     out: dict[str, tuple[list[float], dict[str, float]]] = {}
     by: dict[str, dict[str, int]] = {}
     for lang, w, n in pooled.collect():
@@ -141,11 +187,17 @@ def references(measured: DataFrame) -> dict[str, tuple[list[float], dict[str, fl
     for lang, counts in by.items():
         chars = [counts.get(f"\x00{i}", 0) for i in range(k)]
         words = {w: n for w, n in counts.items() if not w.startswith("\x00") and n}
-        if sum(chars) and sum(words.values()):
-            out[lang] = ([c / sum(chars) for c in chars], {w: n / sum(words.values()) for w, n in words.items()})
+        out[lang] = ([c / sum(chars) for c in chars], {w: n / sum(words.values()) for w, n in words.items()})
     return dict(sorted(out.items()))
 
 
+def without_common_words(reference: dict[str, float]) -> float:
+    """The word divergence of a text that has no common word."""
+    q = reference.get(OTHER_WORD, 0.0)
+    both = math.log2(2 / (1 + q)) + (q * math.log2(2 * q / (1 + q)) if q else 0.0)
+    return (both + 1 - q) / 2
+
+
 def _term(p: Column, q: Column) -> Column:
     """p and q's part of twice the divergence, where p is positive."""
     left = p * F.log2(2 * p / (p + q))
@@ -173,16 +225,17 @@ def _word_divergence(common: Column, n_words: Column, reference: dict[str, float
 
 
 def verdict(m: Column, refs: dict[str, tuple[list[float], dict[str, float]]], min_words: int = MIN_WORDS,
-            character_limit: float = CHARACTER_LIMIT, word_limit: float = WORD_LIMIT) -> Column:
+            character_limit: float = CHARACTER_LIMIT) -> Column:
     """Measures (a struct) with base_failed, the least divergences over the languages, and kept."""
     base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-    pairs = [F.struct(_character_divergence(m["chars"], c).alias("c"), _word_divergence(m["common"], m["n_words"], w).alias("w"))
-             for c, w in refs.values()]
-    kind = "array<struct<c:double,w:double>>"
+    part = F.least(F.lit(WORD_MOST), WORD_SHARE + WORD_NOISE / F.sqrt(m["n_words"]))
+    pairs = [F.struct(_character_divergence(m["chars"], c).alias("c"), _word_divergence(m["common"], m["n_words"], w).alias("w"),
+                      (F.lit(without_common_words(w)) * part).alias("most")) for c, w in refs.values()]
+    kind = "array<struct<c:double,w:double,most:double>>"
     against = F.when(m["n_words"] >= min_words, F.array(*pairs)).otherwise(F.lit(None).cast(kind)) if pairs else F.lit(None).cast(kind)
 
     def judged(pairs: Column) -> Column:
-        near = F.exists(pairs, lambda x: (x["c"] <= character_limit) & (x["w"] <= word_limit))
+        near = F.exists(pairs, lambda x: (x["c"] <= character_limit) & (x["w"] <= x["most"]))
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
         return F.struct(*(m[n].alias(n) for n in names), base.alias("base_failed"),
                         F.array_min(F.transform(pairs, lambda x: x["c"])).alias("char_divergence"),
@@ -204,9 +257,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_well_formed(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The documents that pass, with all their columns.
 
-    The texts are read twice: for the references, and again while filtering
-    instead of a shuffle that would bring verdicts to texts.
+    The texts are read twice: for the references (their counts are written),
+    and again while filtering instead of a shuffle that would bring verdicts to
+    texts.
     """
     text = F.coalesce(text_col, F.lit(""))
-    refs = references(docs.select(F.col(lang_col).alias("lang"), _class_counts(text).alias("chars"), _let(_words(text), _word_counts).alias("common")))
+    counts = _let(_words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), _word_counts(w).alias("common")))
+    rows = docs.where(F.col(lang_col).isin(*COMMON_WORDS)).select(F.col(lang_col).alias("lang"), _class_counts(text).alias("chars"), counts.alias("m"))
+    refs = references(staged(rows.select("lang", "chars", "m.*"), "reference-counts"))
     return docs.where(_let(measures(F.col(text_col)), lambda m: verdict(m, refs, **options)["kept"]))

@@ -2,40 +2,20 @@
 
 import public_tokenizers
 import pytest
-from test_documents import classes, common, divergence, plain_measures
+from test_documents import plain_kept, plain_references
 from test_near import plain_components, plain_fingerprint, plain_hits, plain_windows
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loanroll.llm import classifier, decontaminate, quality_rules
+from loanroll.llm import classifier, decontaminate
 from loanroll.llm.common import staged
 
 SF = "/root/testdata/sf0.001"
 
 
 def plain_rules(rows):
-    refs = {}
-    for lang in quality_rules.COMMON_WORDS:
-        own = [r.text or "" for r in rows if r.lang == lang]
-        if own:
-            c = [sum(x) for x in zip(*map(classes, own), strict=True)]
-            w = {}
-            for t in own:
-                for k, n in common(t).items():
-                    w[k] = w.get(k, 0) + n
-            refs[lang] = ([x / sum(c) for x in c], {k: n / sum(w.values()) for k, n in w.items()})
-    kept = []
-    for r in rows:
-        m = plain_measures(r.text)
-        near = m[0] < quality_rules.MIN_WORDS
-        for qc, qw in () if near else refs.values():
-            c, w = classes(r.text), common(r.text)
-            keys = {*w, *qw}
-            near = near or (divergence([x / sum(c) for x in c], qc) <= quality_rules.CHARACTER_LIMIT
-                            and divergence([w.get(k, 0) / m[0] for k in keys], [qw.get(k, 0) for k in keys]) <= quality_rules.WORD_LIMIT)
-        if near and not m[5]:
-            kept.append(r)
-    return kept
+    refs = plain_references(rows)
+    return [r for r in rows if plain_kept(r.text, refs)]
 
 
 def test_stages(spark):
