@@ -4,10 +4,13 @@ White space never joins characters into one token (the tokenizer drops it), so
 a text is cut at ASCII white space, each distinct word of the corpus is encoded
 once (``dictionary``), and the ids are joined back by position. Decoding joins
 ids with the tokenizer's id-to-piece table: the table is as large as the
-vocabulary whatever the data, so it is broadcast and looked up by id.
+vocabulary whatever the data, so it is broadcast and looked up by id (a join of
+exploded ids would shuffle every token to put a text's pieces together again).
+Files with a decoder of their own are refused.
 
 Defined results: a null, empty or blank text has no ids and decodes to the
-empty string; a null document id is kept; repeated documents are all encoded;
+empty string; a null document id is kept, an id that is no number fails the
+query under ANSI rules as any cast does; repeated documents are all encoded;
 an empty table gives no rows. Only the id and text columns are read.
 """
 
@@ -61,6 +64,8 @@ def piece_table(tokenizer: str) -> list[str]:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer)
+    if tok.decoder is not None:
+        raise ValueError("the file has a decoder: pieces joined by spaces are not what it makes of ids")
     return [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
 
 

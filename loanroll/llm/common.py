@@ -42,6 +42,14 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``staged``, with the folder, for tables that are deleted when nothing reads them any more."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

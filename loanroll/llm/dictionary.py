@@ -14,6 +14,13 @@
 A word that is frequent everywhere is one entry per chunk, so no key is hot;
 a chunk is bounded by words and distinct words, a bucket by the number of
 buckets, which follows the measured size of the texts.
+
+A chunk's list is dealt into ``GROUP_BUCKETS`` buckets at most, however large
+the corpus is: beyond ``GROUP_BYTES`` of text the chunks form groups, the lists
+of a group's chunks are merged bucket by bucket, and only the merged lists,
+which are as much longer, are dealt into the many buckets that the whole corpus
+needs (``by_word`` does both steps, and the way back). So no row ever holds
+less than some dozen words, and no task more than a bucket of one group.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from pyspark.sql import functions as F
 
 from loanroll.session import scratch_dir
 
-from .common import bounded_batches, ranges, returns_memory, texts_as_bytes
+from .common import bounded_batches, ranges, returns_memory, staged, texts_as_bytes
 
 #: Words and distinct words of a chunk at most, beyond the document that passes the limit.
 CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 500_000
@@ -39,7 +46,12 @@ CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 500_000
 CHUNK_BYTES = 16 << 20
 #: Bytes of text per bucket of the word table.
 BUCKET_BYTES = 32 << 20
+#: Bytes of text per group of chunks, and the buckets of its word lists at most.
+GROUP_BYTES, GROUP_BUCKETS = 16 << 30, 520
+#: Buckets of a written table, and tasks of a shuffle, at most (Spark allows 100,000 buckets).
+MOST_BUCKETS = 65_536
 _SLICE_WORDS = 250_000
+DATABASE = "loanroll_scratch"
 
 SPLIT_SCHEMA = ("kind string, chunk bigint, bucket int, doc_ids array<bigint>, null_ids array<boolean>, "
                 "lengths array<int>, docs array<int>, slices array<binary>, places binary, words binary, counts binary")
@@ -136,7 +148,7 @@ class _Chunk:
         for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
             if len(own):
                 yield {"kind": "words", "chunk": self.number, "bucket": int(bucket[own[0]]), "places": pack_numbers(np.diff(own, prepend=0)),
-                       "words": pack(b"\n".join(words[i] for i in order[own].tolist()), 6), "counts": pack_numbers(counts[order[own]])}
+                       "words": pack(b"\n".join(words[i] for i in order[own].tolist()), 6), "counts": pack_wide(counts[order[own]].astype(np.uint64))}
 
     def _documents(self, lengths: list[int], places: np.ndarray) -> dict:
         """The documents' row, the places in slices of about ``slice_words`` words."""
@@ -152,11 +164,36 @@ class _Chunk:
                 "null_ids": [d is None for d in ids], "lengths": lengths, "docs": docs, "slices": slices}
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How the words of a corpus are dealt: follows its bytes alone."""
+
+    groups: int
+    buckets: int
+    files: int
+
+    @staticmethod
+    def of(size: int) -> Layout:
+        groups = max(1, -(-size // GROUP_BYTES))
+        buckets = size // BUCKET_BYTES + 8 if groups == 1 else GROUP_BUCKETS
+        return Layout(groups, min(buckets, GROUP_BUCKETS), min(size // CHUNK_BYTES + 8, MOST_BUCKETS))
+
+    @property
+    def all_buckets(self) -> int:
+        """Buckets of the whole corpus: each group bucket is cut into as many as there are groups."""
+        return self.buckets * self.groups
+
+
 @dataclass(frozen=True)
 class Split:
     docs: DataFrame
     words: DataFrame
-    buckets: int
+    layout: Layout
+    path: str
+
+    @property
+    def buckets(self) -> int:
+        return self.layout.all_buckets
 
 
 def split(docs: DataFrame, to_words: Callable[[bytes], list[bytes]], id_col: str = "doc_id", text_col: str = "text",
@@ -165,7 +202,8 @@ def split(docs: DataFrame, to_words: Callable[[bytes], list[bytes]], id_col: str
     spark = docs.sparkSession
     bounded_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = size // BUCKET_BYTES + 8
+    layout = Layout.of(size)
+    buckets = layout.buckets
     mark = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), mark.alias("counted"), F.col(text_col).alias("text"))
 
@@ -181,58 +219,151 @@ def split(docs: DataFrame, to_words: Callable[[bytes], list[bytes]], id_col: str
         if chunk.ids:
             yield from (_record(SPLIT_SCHEMA, [r]) for r in chunk.rows(buckets))
 
-    table = bucketed(rows.mapInArrow(returns_memory(run), SPLIT_SCHEMA), size // CHUNK_BYTES + 8)
-    return Split(table.where("kind = 'docs'"), table.where("kind = 'words'"), buckets)
+    table, path = bucketed(rows.mapInArrow(returns_memory(run), SPLIT_SCHEMA), layout.files)
+    return Split(table.where("kind = 'docs'"), table.where("kind = 'words'"), layout, path)
 
 
-def bucketed(df: DataFrame, buckets: int, key: str = "chunk") -> DataFrame:
-    """Written to the shared scratch folder in files by ``key``. The kinds fill different columns, so each is read alone.
+def bucketed(df: DataFrame, buckets: int, key: str = "chunk") -> tuple[DataFrame, str]:
+    """Written to the shared scratch folder in files by ``key``, with that folder.
 
-    Spark keeps what it knows of the files' buckets in its catalog; the entry
-    is dropped once the table is opened, the files stay.
+    Spark keeps what it knows of the files' buckets in its catalog, in a
+    database of this module's own; the entry is dropped once the table is
+    opened, the files stay.
     """
     spark, path = df.sparkSession, scratch_dir(df.sparkSession, "words")
-    name = "words_" + path.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+    name = f"{DATABASE}.words_" + path.rsplit("-", 1)[1]
     writer = df.write.format("parquet").option("path", path).option("compression", "uncompressed")  # rows are packed already
     writer.bucketBy(buckets, key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
-    return table
+    return table, path
+
+
+def _in_turn(key: int, solve: Callable[[tuple, list[tuple]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``solve(key, rows)`` for each run of rows with the same first ``key`` columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                if rows and row[:key] != now:
+                    yield from solve(now, rows)
+                    rows = []
+                now = row[:key]
+                rows.append(row[key:])
+        if rows:
+            yield from solve(now, rows)
+    return returns_memory(run)
+
+
+def _merged(packed: list[tuple[bytes, bytes]]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """Distinct words of several lists, their total counts, and each list as numbers of the distinct words."""
+    numbers = _Numbered()
+    lists = [np.fromiter(map(numbers.__getitem__, unpack(words).split(b"\n")), np.int64) for words, _ in packed]
+    counts = np.zeros(len(numbers), np.int64)
+    for own, (_, n) in zip(lists, packed, strict=True):
+        counts[own] += unpack_wide(n).astype(np.int64)
+    return list(numbers), counts, lists
+
+
+Answer = Callable[[int, list[bytes], np.ndarray], tuple[list[dict], Callable]]
 
 
-def by_word(parts: Split, answer: Callable[[int, list[bytes], np.ndarray], tuple[list[dict], Callable]], extra_schema: str = "") -> DataFrame:
-    """Answers to every chunk. ``answer(bucket, words, counts)`` gets each distinct word of a bucket once and returns
-    further rows (columns of ``extra_schema``) and a function from word numbers to (sizes, values) as bytes."""
+def by_word(parts: Split, answer: Answer) -> DataFrame:
+    """Answers to every chunk."""
+    return passed_on(parts, solved(parts, answer))
+
+
+def solved(parts: Split, answer: Answer, extra_schema: str = "") -> DataFrame:
+    """Answers to every list. ``answer(bucket, words, counts)`` gets each distinct word of a bucket once and returns
+    further rows (columns of ``extra_schema``, ``chunk`` being -1) and a function from word numbers to (sizes, values) as bytes."""
     schema = ANSWER_SCHEMA + (", " + extra_schema if extra_schema else "")
 
-    def solve(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbered()
-        lists = [np.fromiter(map(numbers.__getitem__, unpack(words).split(b"\n")), np.int64) for _, _, words, _ in rows]
-        counts = np.zeros(len(numbers), np.int64)
-        for own, (_, _, _, n) in zip(lists, rows, strict=True):
-            counts[own] += unpack_numbers(n)
-        extra, values_of = answer(bucket, list(numbers), counts)
+    def solve(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        bucket, = key
+        words, counts, lists = _merged([(words, n) for _, _, words, n in rows])
+        extra, values_of = answer(bucket, words, counts)
         if extra:
             yield _record(schema, [{"chunk": -1, "bucket": bucket} | r for r in extra])
         for own, (chunk, places, _, _) in zip(lists, rows, strict=True):
             sizes, values = values_of(own)
             yield _record(schema, [{"chunk": chunk, "bucket": bucket, "places": places, "sizes": sizes, "values": values}])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for b in batches:
-            for bucket, *row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
-                if rows and bucket != now:
-                    yield from solve(now, rows)
-                    rows = []
-                now = bucket
-                rows.append(tuple(row))
-        if rows:
-            yield from solve(now, rows)
+    layout, words = parts.layout, parts.words.select("bucket", "chunk", "places", "words", "counts")
+    if layout.groups == 1:
+        dealt = words.repartition(layout.buckets, "bucket")
+        return dealt.sortWithinPartitions("bucket", "chunk").mapInArrow(_in_turn(1, solve), schema)
+    merged = staged(_dealt_merged(_in_groups(parts), layout), "merged-words")
+    dealt = merged.select("bucket", "chunk", "places", "words", "counts").repartition(min(layout.all_buckets, MOST_BUCKETS), "bucket")
+    return dealt.sortWithinPartitions("bucket", "chunk").mapInArrow(_in_turn(1, solve), schema)
+
+
+def passed_on(parts: Split, answers: DataFrame) -> DataFrame:
+    """The answers to chunks, from those to lists: they are the same where no lists were merged."""
+    answers = answers.where("chunk >= 0").select(*(f.split(" ")[0] for f in ANSWER_SCHEMA.split(", ")))
+    if parts.layout.groups == 1:
+        return answers
+    return _answered(_in_groups(parts), staged(answers, "merged-answers"), parts.layout)
+
 
-    # one task per bucket at most; buckets are about equal, each bounded
-    dealt = parts.words.select("bucket", "chunk", "places", "words", "counts").repartition(parts.buckets, "bucket")
-    return dealt.sortWithinPartitions("bucket", "chunk").mapInArrow(returns_memory(run), schema)
+def _in_groups(parts: Split) -> DataFrame:
+    words = parts.words.select("bucket", "chunk", "places", "words", "counts")
+    return words.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(parts.layout.groups)))
+
+
+def _list_id(group: int, bucket: int, layout: Layout) -> int:
+    return group * layout.buckets + bucket
+
+
+def _dealt_merged(in_groups: DataFrame, layout: Layout) -> DataFrame:
+    """One list per group and bucket, dealt into the corpus' buckets; rows as those of chunks, ``chunk`` being the list's id."""
+    schema = "chunk bigint, bucket int, places binary, words binary, counts binary"
+
+    def merge(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        group, bucket = key
+        words, counts, _ = _merged([(words, n) for _, _, words, n in rows])
+        fine = (np.fromiter(map(zlib.adler32, words), np.uint32, len(words)) ^ np.fromiter(map(len, words), np.uint32, len(words)) * np.uint32(2654435761)) % layout.groups
+        by = np.argsort(fine, kind="stable")
+        for own in np.split(by, np.flatnonzero(np.diff(fine[by])) + 1):
+            yield _record(schema, [{"chunk": _list_id(group, bucket, layout), "bucket": bucket * layout.groups + int(fine[own[0]]),
+                                    "places": pack_numbers(np.diff(own, prepend=0)), "words": pack(b"\n".join(words[i] for i in own.tolist()), 6),
+                                    "counts": pack_wide(counts[own].astype(np.uint64))}])
+
+    rows = in_groups.select("group", "bucket", "chunk", "places", "words", "counts")
+    dealt = rows.repartition(min(layout.all_buckets, MOST_BUCKETS), "group", "bucket").sortWithinPartitions("group", "bucket", "chunk")
+    return dealt.mapInArrow(_in_turn(2, merge), schema)
+
+
+def _answered(in_groups: DataFrame, answers: DataFrame, layout: Layout) -> DataFrame:
+    """The answers to the merged lists, passed on to the chunks that the lists were merged from."""
+    def pass_on(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        group, bucket = key
+        chunks = [r for r in rows if r[0] is not None]
+        sizes, flat = assembled([{"places": p, "sizes": s, "values": v} for chunk, p, _, _, s, v in rows if chunk is None])
+        _, _, lists = _merged([(words, n) for _, _, words, n, _, _ in chunks])  # the order of the merged list
+        begins = np.cumsum(sizes.astype(np.int64)) - sizes
+        for own, (chunk, places, *_) in zip(lists, chunks, strict=True):
+            yield _record(ANSWER_SCHEMA, [{"chunk": chunk, "bucket": bucket, "places": places, "sizes": pack_numbers(sizes[own]),
+                                           "values": pack_numbers(flat[ranges(begins[own], sizes[own])])}])
+
+    asked = in_groups.select("group", "bucket", "chunk", "places", "words", "counts", *(F.lit(None).cast("binary").alias(c) for c in ("sizes", "values")))
+    told = answers.select(
+        F.expr(f"chunk div {layout.buckets}").alias("group"), F.expr(f"cast(chunk % {layout.buckets} as int)").alias("bucket"),
+        F.lit(None).cast("bigint").alias("chunk"), "places", *(F.lit(None).cast("binary").alias(c) for c in ("words", "counts")), "sizes", "values")
+    dealt = asked.unionByName(told).repartition(min(layout.all_buckets, MOST_BUCKETS), "group", "bucket")
+    return dealt.sortWithinPartitions("group", "bucket", F.col("chunk").asc_nulls_first()).mapInArrow(_in_turn(2, pass_on), ANSWER_SCHEMA)
+
+
+def assembled(got: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and values of a whole list, from the buckets' answers."""
+    if not got:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    place = np.concatenate([np.cumsum(unpack_numbers(g["places"]).astype(np.int64)) for g in got])
+    sizes = np.concatenate([unpack_numbers(g["sizes"]) for g in got])
+    flat = np.concatenate([unpack_numbers(g["values"]) for g in got])
+    order = np.argsort(place, kind="stable")
+    begins = np.cumsum(sizes.astype(np.int64)) - sizes
+    return sizes[order], flat[ranges(begins[order], sizes[order])]
 
 
 def by_chunk(parts: Split, answers: DataFrame, use: Callable[[list[int | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch],
@@ -244,22 +375,11 @@ def by_chunk(parts: Split, answers: DataFrame, use: Callable[[list[int | None],
     answers = answers.where("chunk >= 0").groupBy("chunk").agg(answer)
     rows = parts.docs.select("chunk", "doc_ids", "null_ids", "lengths", "docs", "slices").join(answers, "chunk", "left")
 
-    def assemble(got: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and values of the whole list, from the buckets' answers."""
-        if not got:
-            return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        place = np.concatenate([np.cumsum(unpack_numbers(g["places"]).astype(np.int64)) for g in got])
-        sizes = np.concatenate([unpack_numbers(g["sizes"]) for g in got])
-        flat = np.concatenate([unpack_numbers(g["values"]) for g in got])
-        order = np.argsort(place, kind="stable")
-        begins = np.cumsum(sizes.astype(np.int64)) - sizes
-        return sizes[order], flat[ranges(begins[order], sizes[order])]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                ready, first = assemble(row["answers"] or []), 0
+                ready, first = assembled(row["answers"] or []), 0
                 for n, packed in zip(row["docs"], row["slices"], strict=True):
                     own = slice(first, first + n)
                     doc_ids = [None if null else x for x, null in zip(row["doc_ids"][own], row["null_ids"][own], strict=True)]

@@ -65,10 +65,13 @@ def slot_of(key: Column, table_size: int = TABLE_SIZE) -> Column:
 
 
 def place(rows: DataFrame, key: str, shards: list[str], table_size: int = TABLE_SIZE) -> DataFrame:
-    """The key column with its slot and shard (named ``slot`` and ``shard``), by a broadcast of the bounded table."""
+    """The key column with its slot and shard (named ``slot`` and ``shard``), by a broadcast of the bounded table.
+
+    A key column of one of these two names is returned as ``key``.
+    """
     keyed = rows.select(F.col(key).alias("key")).withColumn("slot", slot_of(F.col("key"), table_size))
     placed = keyed.join(F.broadcast(lookup_table(rows.sparkSession, shards, table_size)), "slot")
-    return placed.select(F.col("key").alias(key), "slot", "shard")
+    return placed.select(F.col("key").alias("key" if key in ("slot", "shard") else key), "slot", "shard")
 
 
 def write_shards(rows: DataFrame, path: str, key: str, shards: list[str], table_size: int = TABLE_SIZE) -> None:

@@ -20,9 +20,6 @@ do, and only those are asked for. Of each n-gram that occurs twice one unit
 writes a row; the tables of these rows and of the kept contexts are the tree.
 Units ask the latter for the share that a context leaves to its suffix.
 
-With ``min_share`` the tree is bounded instead: words and contexts need that
-share of the tokens, followers ``min_follower``, and it is broadcast.
-
 A token is scored by the longest kept suffix of the symbols before it.
 
 Defined results: a null, empty or blank text is its end alone; a null document
@@ -34,131 +31,55 @@ the smoothed share of an unknown one. Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanroll.session import scratch_dir
 
 from . import dictionary
-from .common import bounded_batches, remove, returns_memory, staged
+from .common import bounded_batches, remove, returns_memory, staged, staged_at
 
 OTHER, END, FIRST = 0, 1, 2  # symbols: all other words, the end, then frequent words
 SMOOTHING = 0.1
 DISCOUNT = 0.5
 
+#: A unit's distinct symbols and their counts (64-bit numbers), and each word's place among them.
 CODED_SCHEMA = ("doc_ids array<bigint>, null_ids array<boolean>, lengths array<int>, known array<int>, "
-                "base array<double>, rest array<double>, symbols binary, counts binary")
+                "base array<double>, rest array<double>, symbols binary, counts binary, places binary")
 #: Words of the texts that ask together, beyond the document that passes the limit.
 UNIT_WORDS = 1_000_000
 ASKED_SCHEMA = "kind string, unit bigint, bucket int, keys binary, counts binary, context bigint, n bigint, total bigint, p double"
 TOLD_SCHEMA = "round int, unit bigint, bucket int, told binary"
 
 
-@dataclass
-class Level:
-    """The kept contexts of one depth: sorted keys, the share left to the suffix, and their followers' log10 probabilities."""
-
-    contexts: np.ndarray
-    left: np.ndarray
-    keys: np.ndarray  # context's place * symbols + follower
-    logs: np.ndarray
-
-
-@dataclass
-class Tree:
-    symbols: int
-    root: np.ndarray  # log10 probability of each symbol
-    levels: list[Level] = field(default_factory=list)
-
-    def _find(self, sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, -1 where it is missing."""
-        if not len(sorted_keys):
-            return np.full(len(keys), -1)
-        at = np.searchsorted(sorted_keys, keys)
-        return np.where(sorted_keys[np.minimum(at, len(sorted_keys) - 1)] == keys, at, -1)
-
-    def log10(self, contexts: list[np.ndarray], follower: np.ndarray, valid: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each follower; ``contexts[d]`` are the keys of d + 1 symbols before it, where ``valid[d]``."""
-        out = self.root[follower]
-        for level, key, on in zip(self.levels, contexts, valid, strict=False):
-            rows = np.flatnonzero(on)
-            place = self._find(level.contexts, key[rows])
-            rows, place = rows[place >= 0], place[place >= 0]
-            at = self._find(level.keys, place * self.symbols + follower[rows])
-            own = np.where(at >= 0, level.logs[np.maximum(at, 0)] if len(level.logs) else 0.0, level.left[place] + out[rows])
-            out[rows] = own
-        return out
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a document is not learned from: crc32 of its id as text leaves remainder 0 modulo 10."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def _sequences(lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols with an end after each text, and each symbol's place in its text."""
-    ends = np.cumsum(lengths)
-    full = np.insert(symbols, ends, END)
+def _sequences(lengths: np.ndarray, words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words with an end after each text, and each token's place in its text."""
     sizes = lengths + 1
-    return full.astype(np.int64), np.arange(len(full)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
+    ends = np.cumsum(sizes) - 1
+    full = np.full(len(words) + len(lengths), end, np.int64)
+    inner = np.ones(len(full), bool)
+    inner[ends] = False
+    full[inner] = words
+    return full, np.arange(len(full)) - np.repeat(ends - lengths, sizes)
 
-def _contexts(full: np.ndarray, place: np.ndarray, depth: int, symbols: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Keys of the d + 1 symbols before each token (the nearest one is the lowest digit), and where a text has so many."""
-    keys, valid, key, power = [], [], np.zeros(len(full), np.int64), 1
-    for d in range(depth):
-        key = key.copy()
-        key[d + 1:] += full[:len(full) - d - 1] * power
-        power *= symbols
-        keys.append(key)
-        valid.append(place > d)
-    return keys, valid
 
-
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list, np.ndarray, np.ndarray]]:
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list, np.ndarray, tuple[np.ndarray, ...]]]:
     for b in batches:
-        cols = [b.column(n).to_pylist() for n in ("doc_ids", "null_ids", "lengths", "symbols")]
-        for i, (ids, nulls, lengths, packed) in enumerate(zip(*cols, strict=True)):
+        cols = [b.column(n).to_pylist() for n in ("doc_ids", "null_ids", "lengths", "symbols", "counts", "places")]
+        for i, (ids, nulls, lengths, symbols, counts, places) in enumerate(zip(*cols, strict=True)):
             ids = [None if n else x for x, n in zip(ids, nulls, strict=True)]
-            yield b, i, ids, np.array(lengths, np.int64), dictionary.unpack_numbers(packed)
-
-
-def _count(coded: DataFrame, depth: int, symbols: int, kept: Broadcast | None) -> DataFrame:
-    """(context, follower, n) over the training texts for contexts of ``depth`` symbols; ``kept``: the frequent ones of one less.
-
-    Each task sums its own pairs first, a bounded number of tokens at a time.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(pairs // symbols), pa.array((pairs % symbols).astype(np.int32)), pa.array(n)], ["context", "follower", "n"])
-
-        for b, i, ids, lengths, packed in _decoded(batches):
-            train = ~np.array(b.column("held").to_pylist()[i], bool)
-            on = np.repeat(train, lengths)
-            full, place = _sequences(lengths[train], packed[on])
-            keys, valid = _contexts(full, place, depth, symbols)
-            rows = valid[-1]
-            if kept is not None:  # a context's own suffix must be frequent: it can't be frequent otherwise
-                rows = rows & np.isin(keys[-2], kept.value)
-            parts.append(keys[-1][rows] * symbols + full[rows])
-            size += len(parts[-1])
-            if size > 4_000_000:
-                yield out()
-                parts, size = [], 0
-        if parts:
-            yield out()
-
-    rows = coded.mapInArrow(run, "context bigint, follower int, n bigint")
-    return rows.groupBy("context", "follower").agg(F.sum("n").alias("n"))
+            yield b, i, ids, np.array(lengths, np.int64), (
+                dictionary.unpack_wide(symbols), dictionary.unpack_wide(counts).astype(np.int64), dictionary.unpack_numbers(places))
 
 
 @dataclass(frozen=True)
@@ -166,29 +87,26 @@ class Grown:
     """A tree kept as tables: ``levels[d]`` are n-grams seen twice (context, n, total, p) and kept contexts (context, free)."""
 
     levels: list[tuple[DataFrame, DataFrame]]
-    told: DataFrame
+    told: dict[int, DataFrame]
     walk: Walk
 
 
 @dataclass(frozen=True)
 class Model:
-    """A fitted tree with the coded texts it was counted from; ``tree`` is the root alone where the tree is ``grown``."""
+    """A fitted tree with the coded texts it was counted from."""
 
     coded: DataFrame
-    tree: Tree
+    symbols: int
     train_tokens: int
     vocabulary: int
-    grown: Grown | None = None
+    grown: Grown
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None,
-        min_share: float | None = None, min_follower: float = 1e-6, min_divergence: float = 0.05, min_count: int = 2) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_divergence: float = 0.05, min_count: int = 2) -> Model:
     """Count, choose and smooth the tree of the training documents (those not held out)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    if min_share is not None and (not 0 < min_share < 1 or 1 / min_share + 2 > 65_535):
-        raise ValueError("min_share must leave fewer than 65536 symbols")
-    depth = depth if depth is not None else 3 if min_share is None else 2
+    least = max(2, min_count)
     parts = dictionary.split(docs, dictionary.words_lower, id_col, text_col, ~held_out(F.col(id_col)), UNIT_WORDS)
 
     # all training tokens: words and ends
@@ -196,80 +114,58 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     learned = F.when(F.col("d.null_ids"), F.lit(True)).otherwise(~held_out(F.col("d.doc_ids")))
     n_ends, n_words = each.where(learned).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("d.lengths").cast("bigint")), F.lit(0))).first()
     n_all = n_words + n_ends
-    least = max(2, min_count if min_share is None else int(np.ceil(min_share * n_all)))
 
     def answer(_bucket: int, words: list[bytes], counts: np.ndarray):
         often = sorted(np.flatnonzero(counts >= least).tolist(), key=lambda i: words[i])
-        rank = np.zeros(len(words), np.uint32)
+        rank = np.zeros(len(words), np.uint64)
         rank[often] = np.arange(1, len(often) + 1)
-        row = {"distinct": int((counts > 0).sum()), "n_often": len(often), "mass": int(counts[often].sum()),
-               "often": [] if min_share is None else [int(counts[i]) for i in often]}
-        flat = np.stack([np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), rank], 1)
-        return [row], lambda own: (dictionary.pack_numbers(np.full(len(own), 2)), dictionary.pack_numbers(flat[own].ravel()))
-
-    answers = staged(dictionary.by_word(parts, answer, "distinct bigint, n_often bigint, mass bigint, often array<bigint>"), "counts")
-    told = answers.where("chunk < 0").select("bucket", "distinct", "n_often", "mass", "often")
-    vocabulary = (told.agg(F.sum("distinct")).first()[0] or 0) + (n_ends > 0)
-    often = sorted(told.where("n_often > 0").select("bucket", "n_often", "mass", "often").collect())  # one row per bucket
-    offset, counts, symbols = {}, [0, n_ends], FIRST
-    for bucket, n_often, _, own in often:
-        offset[bucket] = symbols - 1  # ranks begin at 1
-        symbols += n_often
-        counts += own  # 1 / min_share at most, none without
-    often_words = sum(r.mass for r in often)
+        row = {"distinct": int((counts > 0).sum()), "n_often": len(often), "mass": int(counts[often].sum())}
+        flat = np.stack([counts.astype(np.uint64), rank], 1).view(np.uint32)  # both as two 32-bit numbers
+        return [row], lambda own: (dictionary.pack_numbers(np.full(len(own), 4)), dictionary.pack_numbers(flat[own].ravel()))
+
+    answers, answers_path = staged_at(dictionary.solved(parts, answer, "distinct bigint, n_often bigint, mass bigint"), "counts")
+    told = answers.where("chunk < 0").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("distinct", "n_often", "mass")))
+    distinct, n_often, often_words = told.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "n_often", "mass"))).first()
+    vocabulary, symbols = distinct + (n_ends > 0), FIRST + n_often
+    # ranks begin at 1 in each bucket: a symbol is the rank after those of the buckets before
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    shifts = staged(told.select("bucket", (F.coalesce(F.sum("n_often").over(before), F.lit(0)) + FIRST - 1).alias("shift")), "shifts")
     mass = n_all + SMOOTHING * (vocabulary + 1)
     rest = max(mass - n_ends - often_words - SMOOTHING * (symbols - 1), SMOOTHING)  # an unseen word keeps its share without training texts, too
-    own = np.array(counts, float) + SMOOTHING
-    own[OTHER] = rest
-    tree = Tree(symbols, np.log10(own / mass))
-    numbered = answers.where("chunk >= 0").select("chunk", "bucket", "places", "sizes", "values")
-    coded = staged(_coded(parts, numbered, spark.sparkContext.broadcast(offset), parts.buckets, n_ends, mass, rest), "coded")
-    held = coded.withColumn("held", F.transform(
-        F.arrays_zip("doc_ids", "null_ids"), lambda d: ~d["null_ids"] & held_out(d["doc_ids"])))
-
-    if min_share is None:
-        walk = Walk(depth, least, parts.buckets, n_ends, n_words - often_words, mass, rest)
-        unit = held.withColumn("unit", F.monotonically_increasing_id())
-        coded = dictionary.bucketed(unit, parts.buckets, "unit")
-        return Model(coded, tree, n_all, vocabulary, _grow(coded, walk, min_divergence))
-    kept = None
-    for d in range(1, depth + 1):
-        if symbols ** (d + 1) >= 1 << 62:
-            raise ValueError("too many symbols for this depth")
-        pairs = staged(_count(held, d, symbols, kept), "pairs")
-        totals = pairs.groupBy("context").agg(F.sum("n").alias("total"))
-        frequent = totals.where(F.col("total") >= least)
-        followers = pairs.where(F.col("n") >= max(2, int(np.ceil(min_follower * n_all))))
-        rows = followers.join(frequent, "context").select("context", "follower", "n", "total")
-        # 1 / min_follower rows at most, whatever the corpus
-        got = rows.toArrow()
-        keys = sorted(r[0] for r in frequent.select("context").collect())  # 1 / min_share rows at most
-        tree.levels.append(_level(tree, got, d, min_divergence))
-        kept = spark.sparkContext.broadcast(np.array(keys, np.int64))
-    return Model(coded, tree, n_all, vocabulary)
-
-
-def _coded(parts: dictionary.Split, answers: DataFrame, offset: Broadcast, buckets: int, n_ends: int, mass: float, rest: float) -> DataFrame:
-    """Texts as symbols, with each text's base score, known words, and the shares of its other words within OTHER."""
-    # a chunk's answers come bucket by bucket; the rank of a frequent word is made a symbol by its bucket's offset
-    shifts = np.zeros(buckets, np.int64)
-    for bucket, n in offset.value.items():
-        shifts[bucket] = n
+    values = answers.where("chunk >= 0").select("chunk", "bucket", "places", "sizes", "values")
+    coded = _coded(parts, dictionary.passed_on(parts, _shifted(values, shifts)), n_ends, mass, rest)
+    held = F.transform(F.arrays_zip("doc_ids", "null_ids"), lambda d: ~d["null_ids"] & held_out(d["doc_ids"]))
+    unit = coded.withColumns({"held": held, "unit": F.monotonically_increasing_id()})
+    walk = Walk(depth, least, parts.buckets, n_ends, n_words - often_words, mass, rest)
+    coded, _ = dictionary.bucketed(unit, parts.layout.files, "unit")
+    for path in (parts.path, answers_path):  # the words are coded: their lists can go
+        remove(spark, path)
+    return Model(coded, symbols, n_all, vocabulary, _grow(coded, walk, min_divergence))
+
+
+def _shifted(values: DataFrame, shifts: DataFrame) -> DataFrame:
+    """The answers with symbols for ranks."""
+    names = values.columns
+    joined = values.join(shifts, "bucket")
 
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, made = b.column("bucket").to_pylist(), []
-            for bucket, packed in zip(own, b.column("values").to_pylist(), strict=True):
-                pairs = dictionary.unpack_numbers(packed).reshape(-1, 2).astype(np.int64)
-                pairs[:, 1] = np.where(pairs[:, 1] > 0, pairs[:, 1] + shifts[bucket], OTHER)
-                made.append(dictionary.pack_numbers(pairs.ravel()))
-            yield b.set_column(b.schema.get_field_index("values"), "values", pa.array(made, pa.binary()))
-
-    numbered = answers.mapInArrow(shift, answers.schema)
+            made = []
+            for by, packed in zip(b.column("shift").to_pylist(), b.column("values").to_pylist(), strict=True):
+                pairs = dictionary.unpack_numbers(packed).copy().view(np.uint64).reshape(-1, 2)
+                pairs[:, 1] = np.where(pairs[:, 1] > 0, pairs[:, 1] + np.uint64(by), np.uint64(OTHER))
+                made.append(dictionary.pack_numbers(pairs.ravel().view(np.uint32)))
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()) if n == "values" else b.column(n) for n in names], names)
+
+    return joined.mapInArrow(shift, values.schema)
+
+
+def _coded(parts: dictionary.Split, answers: DataFrame, n_ends: int, mass: float, rest: float) -> DataFrame:
+    """Texts as symbols, with each text's base score, known words, and the shares of its other words within OTHER."""
     log_mass, log_rest = np.log10(mass), np.log10(rest)
 
     def use(doc_ids: list[int | None], lengths: np.ndarray, places: np.ndarray, _sizes: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
-        pairs = flat.reshape(-1, 2)
+        pairs = np.ascontiguousarray(flat).view(np.uint64).reshape(-1, 2)
         counts, symbol = pairs[:, 0].astype(np.int64), pairs[:, 1]
         own_log = np.log10(counts + SMOOTHING)
         base = own_log - log_mass
@@ -281,17 +177,20 @@ def _coded(parts: dictionary.Split, answers: DataFrame, offset: Broadcast, bucke
         row = {"doc_ids": [d or 0 for d in doc_ids], "null_ids": [d is None for d in doc_ids], "lengths": lengths.tolist(),
                "known": (total((counts > 0).astype(float)).round().astype(int) + (n_ends > 0)).tolist()}
         b, r = total(base) + end_base, total(other)
-        own = symbol[places] if len(places) else np.zeros(0, np.uint32)
-        first = np.unique(own, return_index=True)[1]
-        own_counts = dictionary.pack_numbers(counts[places[first]] if len(places) else np.zeros(0))
+        own = symbol[places] if len(places) else np.zeros(0, np.uint64)
+        kinds, first, at = np.unique(own, return_index=True, return_inverse=True)
+        order = np.argsort(-np.bincount(at, minlength=len(kinds)), kind="stable")  # frequent ones first: small numbers pack better
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        own_counts = counts[places[first[order]]].astype(np.uint64) if len(places) else np.zeros(0, np.uint64)
         return pa.RecordBatch.from_arrays(
             [pa.array([row["doc_ids"]], pa.list_(pa.int64())), pa.array([row["null_ids"]], pa.list_(pa.bool_())),
              pa.array([row["lengths"]], pa.list_(pa.int32())), pa.array([row["known"]], pa.list_(pa.int32())),
-             pa.array([b.tolist()], pa.list_(pa.float64())), pa.array([r.tolist()], pa.list_(pa.float64())), pa.array([dictionary.pack_numbers(own)], pa.binary()),
-             pa.array([own_counts], pa.binary())],
-            ["doc_ids", "null_ids", "lengths", "known", "base", "rest", "symbols", "counts"])
+             pa.array([b.tolist()], pa.list_(pa.float64())), pa.array([r.tolist()], pa.list_(pa.float64())), pa.array([dictionary.pack_wide(kinds[order])], pa.binary()),
+             pa.array([dictionary.pack_wide(own_counts)], pa.binary()), pa.array([dictionary.pack_numbers(number[at])], pa.binary())],
+            ["doc_ids", "null_ids", "lengths", "known", "base", "rest", "symbols", "counts", "places"])
 
-    return dictionary.by_chunk(parts, numbered, use, CODED_SCHEMA)
+    return dictionary.by_chunk(parts, answers, use, CODED_SCHEMA)
 
 
 def _sums(x: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -299,30 +198,36 @@ def _sums(x: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.array([x[a:b].sum() for a, b in zip(begins, ends, strict=True)])
 
 
-def _level(tree: Tree, rows: pa.Table, depth: int, min_divergence: float) -> Level:
-    """Choose the contexts of one depth by divergence from their suffixes and smooth their distributions."""
-    context, follower, n, total = (rows.column(i).to_numpy() for i in range(4))
-    order = np.lexsort((follower, context))
-    context, follower, n, total = context[order], follower[order].astype(np.int64), n[order], total[order]
-    if not len(context):
-        nothing = np.zeros(0, np.int64)
-        return Level(nothing, np.zeros(0), nothing, np.zeros(0))
-    keys, first = np.unique(context, return_index=True)
-    at = np.repeat(np.arange(len(keys)), np.diff(np.append(first, len(context))))
-    explicit = (n - DISCOUNT) / total
-    free = 1 - np.add.reduceat(explicit, first)  # what the discounts and the rare followers leave to the suffix
-    # the suffix's probability of each follower: the context without its farthest symbol, the highest digit of its key
-    suffixes = [context % tree.symbols ** d for d in range(1, depth)]
-    suffix = 10 ** tree.log10(suffixes, follower, [np.ones(len(context), bool)] * len(suffixes))
-    p = explicit + free[at] * suffix
-    # followers that are not listed have the free share of the suffix's probability, so they add (rest) log2(free)
-    listed = np.add.reduceat(p * np.log2(p / suffix), first)
-    unlisted = np.maximum(free * (1 - np.add.reduceat(suffix, first)), 0)
-    divergence = listed + np.where(unlisted > 0, unlisted * np.log2(np.maximum(free, 1e-300)), 0)
-    keep = divergence >= min_divergence
-    place = np.cumsum(keep) - 1
-    on = keep[at]
-    return Level(keys[keep], np.log10(np.maximum(free[keep], 1e-300)), place[at[on]] * tree.symbols + follower[on], np.log10(p[on]))
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes, the first place of each, and each key's number among them.
+
+    Keys are sorted with their places in the lowest bits; runs of keys that agree in all other bits but not
+    in these are sorted anew.
+    """
+    n = len(keys)
+    if not n:
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    packed = keys >> bits << bits
+    top = packed | np.arange(n, dtype=np.uint64)
+    top.sort()
+    order = (top & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    found = keys[order]
+    new = np.ones(n, bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    begins_run = np.ones(n, bool)
+    begins_run[1:] = top[1:] >> bits != top[:-1] >> bits
+    mixed = np.flatnonzero(new & ~begins_run)
+    if len(mixed):
+        run = np.cumsum(begins_run)
+        at = np.flatnonzero(np.isin(run, run[mixed]))
+        order[at] = order[at][np.lexsort((order[at], keys[order[at]], run[at]))]
+        found = keys[order]
+        np.not_equal(found[1:], found[:-1], out=new[1:])
+    begins = np.flatnonzero(new)
+    at = np.empty(n, np.int64)
+    at[order] = np.cumsum(new) - 1
+    return found[begins], order[begins], at
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -344,24 +249,31 @@ class Walk:
     mass: float
     rest: float
 
+    @property
+    def tasks(self) -> int:
+        """Of a shuffle by bucket: a task takes its buckets one after the other."""
+        return min(self.buckets, dictionary.MOST_BUCKETS)
+
     def bucket(self, keys: np.ndarray) -> np.ndarray:
         """Ranges of sorted keys."""
         return (((keys >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64)
 
-    def start(self, packed: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, places, training counts and root probabilities of the tokens."""
-        kinds, at = np.unique(packed, return_inverse=True)
-        count = np.where(kinds == OTHER, self.n_other, counts.astype(np.int64))
-        share = np.where(kinds == OTHER, self.rest, count + SMOOTHING) / self.mass
-        full, place = _sequences(lengths, packed)
-        ends = np.cumsum(lengths)
-        own = np.insert(count[at], ends, self.n_ends)
-        return full.astype(np.uint64), place, own, np.insert(share[at], ends, (self.n_ends + SMOOTHING) / self.mass)
+    def start(self, words: tuple[np.ndarray, ...], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, places, training counts and root probabilities of the tokens: the words and an end after each text."""
+        kinds, counts, at = words
+        n = len(kinds)
+        count = np.append(np.where(kinds == OTHER, self.n_other, counts), self.n_ends)
+        share = np.append(np.where(kinds == OTHER, self.rest, counts + SMOOTHING), self.n_ends + SMOOTHING) / self.mass
+        full, place = _sequences(lengths, at, n)
+        return np.append(kinds, np.uint64(END))[full], place, count[full], share[full]
 
     def go(self, full: np.ndarray, place: np.ndarray, above: np.ndarray, p: np.ndarray, train: np.ndarray,
-           told: dict[int, list[bytes]]) -> Iterator[tuple[str, tuple]]:
+           told: dict[int, list[bytes]], pairs_only: bool = False) -> Iterator[tuple[str, tuple]]:
         """Changes ``p`` to the probabilities of the depths that are told in full, and yields what is to be asked next.
 
+        With ``pairs_only`` that is the next depth's n-grams, for which counts alone are needed; else the
+        n-grams to be written and the contexts of the first depth whose shares are not told.
+
         ``above`` is the count of the n-gram that ends at a token, of as many symbols as the contexts have. Rounds
         2 d tell counts of the n-grams of context and token, rounds 2 d + 1 the shares left by contexts.
         """
@@ -373,16 +285,20 @@ class Walk:
             on = (place >= d) & (total >= self.least)
             rows = np.flatnonzero(on if d == 1 else on & (above >= 2))
             pair = _mix(key[rows] ^ _mix(full[rows] + np.uint64(1 << 40)))
-            pairs, first, at = np.unique(pair, return_index=True, return_inverse=True)
+            pairs, first, at = distinct(pair)
             if 2 * d not in told:
-                yield "pairs", (pairs, np.bincount(at[train[rows]], minlength=len(pairs)))
+                if pairs_only:
+                    yield "pairs", (pairs, np.bincount(at[train[rows]], minlength=len(pairs)))
                 return
             n = _joined(told[2 * d], np.uint64)
             writes, n = (n & np.uint64(1)).astype(bool), (n >> np.uint64(1)).astype(np.int64)
             count = np.zeros(len(full), np.int64)
             count[rows] = n[at]
+            above = count
+            if pairs_only:
+                continue
             reach = np.flatnonzero(on)
-            contexts, at = np.unique(key[reach], return_inverse=True)
+            contexts, _, at = distinct(key[reach])
             if 2 * d + 1 in told:
                 free = _joined(told[2 * d + 1], np.float32)[at].astype(float)
                 kept = ~np.isnan(free)
@@ -392,7 +308,7 @@ class Walk:
                 own = rows[first[writes]]
                 yield "listed", (key[own], n[writes], total[own], p[own])
                 yield "contexts", (contexts, None)
-            above = count
+                return
 
 
 def _joined(parts: list[bytes], kind) -> np.ndarray:
@@ -400,66 +316,61 @@ def _joined(parts: list[bytes], kind) -> np.ndarray:
     return np.concatenate([unpacked(x).view(kind) for x in parts]) if parts else np.zeros(0, kind)
 
 
-def _walked(coded: DataFrame, told: DataFrame | None, use, schema: str) -> DataFrame:
-    """``use(batch, row, ids, lengths, tokens' start, told)`` for each unit, with what it was told so far."""
+def _walked(coded: DataFrame, told: dict[int, DataFrame], use, schema: str) -> DataFrame:
+    """``use(batch, row, ids, lengths, words, told)`` for each unit, with what it was told in the given rounds."""
     rows = coded.withColumn("got", F.lit(None).cast("array<struct<round:int,bucket:int,told:binary>>"))
-    if told is not None:
+    rounds = sorted(told)
+    if told:
         # rows per unit and bucket, bounded by its words
-        rows = coded.join(told.groupBy("unit").agg(F.collect_list(F.struct("round", "bucket", "told")).alias("got")), "unit", "left")
+        every = reduce(DataFrame.unionByName, (told[r] for r in rounds))
+        rows = coded.join(every.groupBy("unit").agg(F.collect_list(F.struct("round", "bucket", "told")).alias("got")), "unit", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, i, ids, lengths, packed in _decoded(x.slice(k, 1) for x in batches for k in range(x.num_rows)):
-            by: dict[int, list[bytes]] = {r: [] for r in b.column("rounds")[i].as_py()}
+        for b, i, ids, lengths, words in _decoded(x.slice(k, 1) for x in batches for k in range(x.num_rows)):
+            by: dict[int, list[bytes]] = {r: [] for r in rounds}
             for g in sorted(b.column("got")[i].as_py() or [], key=lambda g: (g["round"], g["bucket"])):
                 by[g["round"]].append(g["told"])
-            yield from use(b, i, ids, lengths, packed, by)
+            yield from use(b, i, ids, lengths, words, by)
 
     return rows.mapInArrow(returns_memory(run), schema)
 
 
 def _grow(coded: DataFrame, walk: Walk, min_divergence: float) -> Grown:
-    """Ask and tell until all depths are told."""
-    spark, told, rounds, levels = coded.sparkSession, None, [], []
-
-    def ask(b, i, ids, lengths, packed, got) -> Iterator[pa.RecordBatch]:
-        unit = b.column("unit")[i].as_py()
-        tokens = walk.start(packed, dictionary.unpack_numbers(b.column("counts")[i].as_py()), lengths)
-        train = np.repeat(~np.array(b.column("held").to_pylist()[i], bool), lengths + 1)
-        for kind, made in walk.go(*tokens, train, got):
-            if kind == "listed":
-                n = len(made[0])
-                yield _asked(kind=[kind] * n, context=made[0].view(np.int64), n=made[1], total=made[2], p=made[3])
-                continue
-            keys, counts = made
-            bucket = walk.bucket(keys)
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            own = [x for x in np.split(keys, cuts) if len(x)]
-            n = [dictionary.pack_wide(x) for x in np.split(counts, cuts)][:len(own)] if counts is not None else None
-            yield _asked(kind=[kind] * len(own), unit=[unit] * len(own), bucket=[int(walk.bucket(x[:1])[0]) for x in own],
-                         keys=[dictionary.pack_wide(np.diff(x, prepend=np.uint64(0))) for x in own], counts=n)
-
-    for d in range(1, walk.depth + 2):
-        asking = coded.withColumn("rounds", F.array(*map(F.lit, rounds)).cast("array<int>"))
+    """Ask and tell until all depths are told: for each depth the counts of its n-grams, then the shares of its contexts."""
+    spark, told, levels = coded.sparkSession, {}, []
+
+    def ask(pairs_only: bool):
+        def use(b, i, ids, lengths, words, got) -> Iterator[pa.RecordBatch]:
+            unit = b.column("unit")[i].as_py()
+            tokens = walk.start(words, lengths)
+            train = np.repeat(~np.array(b.column("held").to_pylist()[i], bool), lengths + 1)
+            for kind, made in walk.go(*tokens, train, got, pairs_only):
+                if kind == "listed":
+                    n = len(made[0])
+                    yield _asked(kind=[kind] * n, context=made[0].view(np.int64), n=made[1], total=made[2], p=made[3])
+                    continue
+                keys, counts = made
+                bucket = walk.bucket(keys)
+                cuts = np.flatnonzero(np.diff(bucket)) + 1
+                own = [x for x in np.split(keys, cuts) if len(x)]
+                n = [dictionary.pack_wide(x) for x in np.split(counts, cuts)][:len(own)] if counts is not None else None
+                yield _asked(kind=[kind] * len(own), unit=[unit] * len(own), bucket=[int(walk.bucket(x[:1])[0]) for x in own],
+                             keys=[dictionary.pack_wide(np.diff(x, prepend=np.uint64(0))) for x in own], counts=n)
+        return use
+
+    for d in range(1, walk.depth + 1):
+        pairs = _walked(coded, {r: t for r, t in told.items() if r % 2 == 0}, ask(True), ASKED_SCHEMA)
+        told[2 * d] = staged(_counted(pairs.select("bucket", "unit", "keys", "counts"), walk.tasks, 2 * d), "told")
         path = scratch_dir(spark, "asked")
-        _walked(asking, told, ask, ASKED_SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+        _walked(coded, told, ask(False), ASKED_SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(path)
         asked = spark.read.schema(ASKED_SCHEMA).parquet(path)
-        dealt = lambda kind: asked.where(F.col("kind") == kind).select("bucket", "unit", "keys", "counts")  # noqa: E731, B023
-        new = []
-        if d <= walk.depth:
-            new.append(_counted(dealt("pairs"), walk.buckets, 2 * d))
-        if d > 1:
-            listed = asked.where("kind = 'listed'").select("context", "n", "total", "p")
-            kept = staged(_kept(listed, min_divergence), "contexts")
-            levels.append((listed, kept))
-            new.append(_looked_up(dealt("contexts"), kept, walk.buckets, 2 * d - 1))
-        rounds += ([2 * d] if d <= walk.depth else []) + ([2 * d - 1] if d > 1 else [])
-        for answers in new:
-            answers = staged(answers, "told")
-            told = answers if told is None else told.unionByName(answers)
-        # what was asked is answered and written: its files can go, and the shuffles that no frame needs any more
-        for kind in ("pairs", "contexts"):
-            remove(spark, f"{path}/kind={kind}")
-        spark.sparkContext._jvm.System.gc()
+        listed = asked.where("kind = 'listed'").select("context", "n", "total", "p")
+        kept = staged(_kept(listed, min_divergence), "contexts")
+        levels.append((listed, kept))
+        contexts = asked.where("kind = 'contexts'").select("bucket", "unit", "keys")
+        told[2 * d + 1] = staged(_looked_up(contexts, kept, walk, 2 * d + 1), "told")
+        remove(spark, f"{path}/kind=contexts")  # answered and written
+        spark.sparkContext._jvm.System.gc()  # the driver lets go of frames, and Spark of their shuffles
     return Grown(levels, told, walk)
 
 
@@ -481,14 +392,21 @@ def _told(number: int, bucket: int, units: list[int], values: list[bytes]) -> pa
          pa.array(values, pa.binary())], ["round", "unit", "bucket", "told"])
 
 
-def _counted(asked: DataFrame, buckets: int, number: int) -> DataFrame:
+def _summed(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Sums of 64-bit counts by number, exact: doubles hold sums of the lower and of the upper 32 bits."""
+    low = np.bincount(at, counts & 0xFFFFFFFF, n).astype(np.uint64)
+    high = np.bincount(at, counts >> 32, n).astype(np.uint64)
+    return low + (high << np.uint64(32))
+
+
+def _counted(asked: DataFrame, tasks: int, number: int) -> DataFrame:
     """Tell each unit the training counts of its n-grams, 0 for fewer than 2, and which of them it is to write (the lowest bit)."""
     def solve(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
         lists = [_keys(k) for _, k, _ in rows]
         sizes = np.cumsum([len(x) for x in lists])[:-1]
-        _, first, at = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
-        n = np.zeros(len(first), np.uint64)
-        np.add.at(n, at, np.concatenate([dictionary.unpack_wide(c) for _, _, c in rows]))
+        _, first, at = distinct(np.concatenate(lists))
+        counts = np.concatenate([dictionary.unpack_wide(c) for _, _, c in rows]).astype(np.int64)
+        n = _summed(at, counts, len(first))
         n[n < 2] = 0
         out = n[at] << np.uint64(1)
         out[first[n > 0]] |= np.uint64(1)
@@ -506,7 +424,7 @@ def _counted(asked: DataFrame, buckets: int, number: int) -> DataFrame:
         if rows:
             yield solve(now, rows)
 
-    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "unit").mapInArrow(returns_memory(run), TOLD_SCHEMA)
+    return asked.repartition(tasks, "bucket").sortWithinPartitions("bucket", "unit").mapInArrow(returns_memory(run), TOLD_SCHEMA)
 
 
 def _kept(listed: DataFrame, min_divergence: float) -> DataFrame:
@@ -521,11 +439,11 @@ def _kept(listed: DataFrame, min_divergence: float) -> DataFrame:
     return parts.where(F.col("seen") + unlisted >= min_divergence).select("context", "free")
 
 
-def _looked_up(asked: DataFrame, kept: DataFrame, buckets: int, number: int) -> DataFrame:
+def _looked_up(asked: DataFrame, kept: DataFrame, walk: Walk, number: int) -> DataFrame:
     """Tell each unit the share that each of its contexts leaves to the suffix; NaN for those that are not kept."""
-    rows = kept.select(F.expr(f"cast(shiftright(shiftrightunsigned(context, 32) * {buckets}L, 32) as int)").alias("bucket"), "context", "free")
+    rows = kept.select(F.expr(f"cast(shiftright(shiftrightunsigned(context, 32) * {walk.buckets}L, 32) as int)").alias("bucket"), "context", "free")
     both = asked.select("bucket", "unit", "keys").unionByName(rows, allowMissingColumns=True)
-    dealt = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("unit").asc_nulls_first())
+    dealt = both.repartition(walk.tasks, "bucket").sortWithinPartitions("bucket", F.col("unit").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, contexts, free = None, [], []
@@ -571,28 +489,15 @@ def score(model: Model) -> DataFrame:
              pa.array(b.column("base")[i].as_py(), pa.float64()), pa.array(scores)],
             ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    if model.grown:
-        walk = model.grown.walk
-
-        def use(b, i, ids, lengths, packed, got) -> Iterator[pa.RecordBatch]:
-            tokens = walk.start(packed, dictionary.unpack_numbers(b.column("counts")[i].as_py()), lengths)
-            if list(walk.go(*tokens, np.zeros(len(tokens[0]), bool), got)):
-                raise ValueError("the tree is not told in full")
-            yield scored(b, i, ids, lengths, np.log10(tokens[3]))
+    walk = model.grown.walk
 
-        every = model.coded.withColumn("rounds", F.array(*(F.lit(r) for r in range(2, 2 * walk.depth + 2))).cast("array<int>"))
-        rows = _walked(every, model.grown.told, use, schema)
-        return _with_totals(rows, model)
-    tree = spark.sparkContext.broadcast(model.tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tree.value
-        for b, i, ids, lengths, packed in _decoded(batches):
-            full, place = _sequences(lengths, packed)
-            keys, valid = _contexts(full, place, len(t.levels), t.symbols)
-            yield scored(b, i, ids, lengths, t.log10(keys, full, valid))
+    def use(b, i, ids, lengths, words, got) -> Iterator[pa.RecordBatch]:
+        tokens = walk.start(words, lengths)
+        if list(walk.go(*tokens, np.zeros(len(tokens[0]), bool), got)):
+            raise ValueError("the tree is not told in full")
+        yield scored(b, i, ids, lengths, np.log10(tokens[3]))
 
-    return _with_totals(model.coded.mapInArrow(run, schema), model)
+    return _with_totals(_walked(model.coded, model.grown.told, use, schema), model)
 
 
 def _with_totals(rows: DataFrame, model: Model) -> DataFrame:

@@ -159,40 +159,37 @@ def test_base_scores(request, source):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
-def test_tree_is_a_distribution_and_root_is_the_base(docs):
-    model = suffix_tree.fit(docs, min_share=1e-3)
-    tree = model.tree
-    assert abs((10 ** tree.root).sum() - 1) < 1e-9
+def test_the_root_alone_is_the_base(docs):
+    for r in suffix_tree.score(suffix_tree.fit(docs, depth=0)).collect():
+        assert abs(r.score - r.base_score) < 1e-6 * abs(r.base_score)
+
+
+def test_distinct_hashes():
     import numpy as np
 
-    followers = np.arange(tree.symbols)
-    for d, level in enumerate(tree.levels):
-        assert len(level.contexts)
-        for key in level.contexts[:: max(1, len(level.contexts) // 20)]:
-            contexts = [np.full(tree.symbols, key % tree.symbols ** (k + 1)) for k in range(d + 1)]
-            p = 10 ** tree.log10(contexts, followers, [np.ones(tree.symbols, bool)] * (d + 1))
-            assert abs(p.sum() - 1) < 1e-9
-    bare = suffix_tree.Model(model.coded, suffix_tree.Tree(tree.symbols, tree.root), model.train_tokens, model.vocabulary)
-    for r in suffix_tree.score(bare).collect():
-        assert abs(r.score - r.base_score) < 1e-6 * abs(r.base_score)
+    rng = np.random.default_rng(4)
+    for keys in (rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 50, 3000, dtype=np.uint64), np.zeros(0, np.uint64),
+                 np.repeat(rng.integers(0, 1 << 63, 40, dtype=np.uint64), 30) + rng.integers(0, 2, 1200, dtype=np.uint64)):
+        values, first, at = suffix_tree.distinct(keys)
+        expected = np.unique(keys, return_index=True, return_inverse=True)
+        assert all((a == b).all() for a, b in zip((values, first, at), expected, strict=True))
 
 
-def test_context_counts_are_brute_force(docs):
-    """The pairs a tree is chosen from equal a count over the symbols of the training texts."""
-    model = suffix_tree.fit(docs, min_share=1e-3)
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    counts, ends = unigrams(rows)
-    least = max(2, math.ceil(1e-3 * (sum(counts.values()) + ends)))
-    often = {w for w, n in counts.items() if n >= least}
-    assert model.tree.symbols == len(often) + 2
-    pairs = Counter()
-    for i, text in rows:
-        if zlib.crc32(str(i).encode()) % 10:
-            s = [w if w in often else None for w in (text or "").encode().lower().split()] + ["end"]
-            pairs.update(zip(s, s[1:], strict=False))
-    held = model.coded.withColumn("held", suffix_tree.F.transform("doc_ids", suffix_tree.held_out))
-    got = sorted(r.n for r in suffix_tree._count(held, 1, model.tree.symbols, None).collect())
-    assert got == sorted(pairs.values())
+def test_counts_beyond_32_bits(docs, monkeypatch):
+    """A word's count is a 64-bit number on its way to the base score."""
+    from loanroll.llm import dictionary
+
+    many, merged = 1 << 34, dictionary._merged
+
+    def counted(packed):
+        words, counts, lists = merged(packed)
+        return words, counts * many, lists
+
+    monkeypatch.setattr(dictionary, "_merged", counted)
+    model = suffix_tree.fit(docs, depth=0)
+    counts, _ = unigrams([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    held = sorted(c for row in model.coded.select("counts").collect() for c in dictionary.unpack_wide(row.counts).tolist())
+    assert max(held) >= max(counts.values()) * many
 
 
 def test_contexts_help_on_held_out_texts(spark):
@@ -268,7 +265,7 @@ def test_tree_grows_with_the_corpus(spark):
     sizes = []
     for sf in ("0.001", "0.01"):
         model = suffix_tree.fit(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
-        sizes.append((model.tree.symbols, *(k.count() for _, k in model.grown.levels)))
+        sizes.append((model.symbols, *(k.count() for _, k in model.grown.levels)))
     assert all(b > 2 * a for a, b in zip(*sizes, strict=True)) and sum(sizes[1][1:]) > 10_000
 
 
@@ -289,6 +286,33 @@ def test_table_of_shards():
             sharding.fill_table([f"s{i}" for i in range(10)], size)
 
 
+def plain_table(shards, size):
+    """Turn by turn, each shard looks through its whole permutation for the first free slot."""
+    import hashlib
+
+    number = lambda kind, s: int(hashlib.md5(f"{kind}:{s}".encode()).hexdigest()[:16], 16)
+    orders = {s: [(number("offset", s) + k * (number("skip", s) % (size - 1) + 1)) % size for k in range(size)] for s in shards}
+    taken = {}
+    while len(taken) < size:
+        for s in shards:
+            free = [x for x in orders[s] if x not in taken]
+            if free:
+                taken[free[0]] = s
+    return [taken[i] for i in range(size)]
+
+
+@pytest.mark.parametrize("n,size", [(1, 7), (3, 7), (5, 101), (10, 211)])
+def test_table_of_shards_is_brute_force(n, size):
+    shards = [f"node-{i}" for i in range(n)]
+    assert sharding.fill_table(shards, size) == plain_table(shards, size)
+
+
+def test_keys_named_like_the_results(weird_docs):
+    rows = weird_docs.selectExpr("doc_id AS slot", "text AS shard")
+    for key in ("slot", "shard"):
+        assert sharding.place(rows, key, ["a", "b"], 7).columns == ["key", "slot", "shard"]
+
+
 def test_placement(weird_docs, no_docs, spark, tmp_path):
     shards = [f"s{i}" for i in range(5)]
     rows = sharding.place(weird_docs, "doc_id", shards, 101).collect()
@@ -312,6 +336,45 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) >= 0.97
 
 
+def test_classifier_is_brute_force(docs, spark):
+    """Statistics word by word, class sums row by row, densities by the inverse covariance."""
+    import string
+
+    import numpy as np
+
+    def plain_statistics(text):
+        raw = (text or "").encode()
+        words, n = raw.split(), len(raw.split())
+        if not n:
+            return [0.0] * 15
+        share = lambda f: math.asin(math.sqrt(sum(f(c) for c in raw) / len(raw)))
+        marks = set(range(128)) - set((string.ascii_letters + string.digits).encode())
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        kinds = [string.ascii_uppercase, string.digits, "#*$%&|<>", ".,;:", "!?", "\"'()+-/=@[\\]^_`{}~", " \t\n\r\x0b\x0c"]
+        return [math.log1p(n), math.log(sum(c not in b" \t\n\r\x0b\x0c" for c in raw) / n), *(share(lambda c, k=k.encode(): c in k) for k in kinds),
+                share(lambda c: c >= 128), math.asin(math.sqrt(len(set(words)) / n)) + 0.1 * math.log1p(n),
+                math.asin(math.sqrt(sum(len(w) <= 3 for w in words) / n)),
+                math.asin(math.sqrt(sum(all(c in marks for c in w) for w in words) / n)),
+                math.asin(math.sqrt(1 - len(set(lines)) / len(lines))), math.log1p(len(raw) / len(lines)) / 2]
+
+    rows = [(r.doc_id, np.array(plain_statistics(r.text))) for r in docs.select("doc_id", "text").collect()]
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    x = [np.array([v for i, v in rows if known.get(i) == c]) for c in (0, 1)]
+    own = [(a - a.mean(0)).T @ (a - a.mean(0)) for a in x]
+    pooled = (own[0] + own[1]) / (len(x[0]) + len(x[1]))
+    density = []
+    for a, s in zip(x, own, strict=True):
+        s = 0.2 * s / len(a) + 0.8 * pooled
+        s = 0.7 * s + 0.3 * np.diag(np.diag(s)) + 1e-3 * np.eye(15)
+        inverse, (_, log_det) = np.linalg.inv(s), np.linalg.slogdet(s)
+        density.append(lambda v, m=a.mean(0), i=inverse, d=log_det, n=len(a): math.log(n) - d / 2 - (v - m) @ i @ (v - m) / 2)
+    expected = {i: 1 / (1 + math.exp(min(max(density[0](v) - density[1](v), -700), 700))) for i, v in rows}
+    got = {r.doc_id: (r.score, r.predicted) for r in classifier.quality_scores(docs, labels).collect()}
+    assert got.keys() == expected.keys()
+    assert all(abs(s - expected[i]) < 1e-6 and p == int(s >= 0.7) for i, (s, p) in got.items())
+
+
 def test_labels_are_no_inputs(docs, spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     before = {r.doc_id: r.score for r in classifier.quality_scores(docs, labels).collect()}
