@@ -97,9 +97,12 @@ def blocks(rows: DataFrame, group: str, members: Sequence[str], name: str) -> Da
     return staged(made.select(group, "block", F.expr(f"(n - 1) div {size} + 1").alias("n_blocks"), "members", "levels"), f"{name}-blocks")
 
 
-def butterfly(state: DataFrame, group: str, rounds: int) -> DataFrame:
-    """Per block: node (now the group's root) and proof, from its own root (``node``) by ``rounds`` rounds of exchange."""
-    state = state.withColumn("proof", F.array().cast(PROOF))
+def butterfly(state: DataFrame, group: str, rounds: int, name: str) -> DataFrame:
+    """Per block: node (now the group's root) and proof, from its own root (``node``) by ``rounds`` rounds of exchange.
+
+    What a round leaves is written (one row per block, a 4,096th of the leaves), as the next one reads it twice.
+    """
+    state = staged(state.withColumn("proof", F.array().cast(PROOF)), f"{name}-round")
     for r in range(rounds):
         width = FANOUT ** r  # blocks under a full subtree
         block, total = F.col("block"), F.col("n_blocks")
@@ -118,7 +121,7 @@ def butterfly(state: DataFrame, group: str, rounds: int) -> DataFrame:
         next_state = met.select(
             group, F.col("_own.block").alias("block"), "n_blocks", digest(F.array_join(F.transform("_met", lambda m: m["node"]), "")).alias("node"),
             F.concat("_own.proof", F.array(step)).alias("proof"))
-        state = state.where(total <= width).select(*next_state.columns).unionByName(next_state)
+        state = staged(state.where(total <= width).select(*next_state.columns).unionByName(next_state), f"{name}-round")
     return state
 
 
@@ -136,7 +139,7 @@ def tree(rows: DataFrame, group: str, order: Sequence[str], members: Sequence[st
     most = made.agg(F.max("n_blocks")).first()[0] or 1
     rounds = next(r for r in range(64) if FANOUT ** r >= most)
     roots = made.select(group, "block", "n_blocks", F.element_at(F.element_at("levels", -1), 1).alias("node"))
-    return made, staged(butterfly(roots, group, rounds), f"{name}-proofs")
+    return made, butterfly(roots, group, rounds, name)
 
 
 def _steps_inside(i: Column, levels: Column) -> Column:

@@ -13,12 +13,14 @@ distribution is its counts less a discount, plus the mass so freed times its
 suffix's distribution; followers seen once have only the latter.
 
 Words, contexts and followers are kept by absolute counts, so the tree grows
-with the corpus; it is never collected or broadcast. Each unit of texts asks for
-the counts of its distinct n-grams (64-bit hashes, dealt by hash into tasks that
-sum them), depth by depth; an n-gram can occur twice only if both of its parts
-do, and only those are asked for. Of each n-gram that occurs twice one unit
-writes a row; the tables of these rows and of the kept contexts are the tree.
-Units ask the latter for the share that a context leaves to its suffix.
+with the corpus; it is never collected or broadcast. Depth by depth, each unit
+of texts asks about its distinct contexts (64-bit hashes, dealt by hash) with
+their followers, how often it has them, and what their suffixes make of them.
+The task that a context is dealt to sums the followers over all units, decides
+whether the context is kept, writes it as a part of the tree, and tells the
+units the followers' counts and the share that the context leaves to its
+suffix. An n-gram can occur twice only if both of its parts do, and only those
+are asked about.
 
 A token is scored by the longest kept suffix of the symbols before it.
 
@@ -39,8 +41,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanroll.session import scratch_dir
-
 from . import dictionary
 from .common import bounded_batches, remove, returns_memory, staged, staged_at
 
@@ -53,8 +53,9 @@ CODED_SCHEMA = ("doc_ids array<bigint>, null_ids array<boolean>, lengths array<i
                 "base array<double>, rest array<double>, symbols binary, counts binary, places binary")
 #: Words of the texts that ask together, beyond the document that passes the limit.
 UNIT_WORDS = 1_000_000
-ASKED_SCHEMA = "kind string, unit bigint, bucket int, keys binary, counts binary, context bigint, n bigint, total bigint, p double"
-TOLD_SCHEMA = "round int, unit bigint, bucket int, told binary"
+ASKED_SCHEMA = "unit bigint, bucket int, contexts binary, totals binary, sizes binary, followers binary, counts binary, p binary"
+#: Rows without a unit are the tree: kept contexts, their shares left, and their followers with counts.
+TOLD_SCHEMA = "unit bigint, bucket int, told binary, shares binary, contexts binary, sizes binary, followers binary"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,9 +85,8 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 
 @dataclass(frozen=True)
 class Grown:
-    """A tree kept as tables: ``levels[d]`` are n-grams seen twice (context, n, total, p) and kept contexts (context, free)."""
+    """A tree kept as tables: for each depth what units were told, and the kept contexts (``tree_level``)."""
 
-    levels: list[tuple[DataFrame, DataFrame]]
     told: dict[int, DataFrame]
     walk: Walk
 
@@ -258,138 +258,173 @@ class Walk:
         """Ranges of sorted keys."""
         return (((keys >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64)
 
-    def start(self, words: tuple[np.ndarray, ...], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, places, training counts and root probabilities of the tokens: the words and an end after each text."""
+    def start(self, words: tuple[np.ndarray, ...], lengths: np.ndarray) -> Tokens:
         kinds, counts, at = words
         n = len(kinds)
         count = np.append(np.where(kinds == OTHER, self.n_other, counts), self.n_ends)
         share = np.append(np.where(kinds == OTHER, self.rest, counts + SMOOTHING), self.n_ends + SMOOTHING) / self.mass
-        full, place = _sequences(lengths, at, n)
-        return np.append(kinds, np.uint64(END))[full], place, count[full], share[full]
-
-    def go(self, full: np.ndarray, place: np.ndarray, above: np.ndarray, p: np.ndarray, train: np.ndarray,
-           told: dict[int, list[bytes]], pairs_only: bool = False) -> Iterator[tuple[str, tuple]]:
-        """Changes ``p`` to the probabilities of the depths that are told in full, and yields what is to be asked next.
+        local, place = _sequences(lengths, at, n)
+        return Tokens(np.append(kinds, np.uint64(END)), local, place, count[local], share[local])
 
-        With ``pairs_only`` that is the next depth's n-grams, for which counts alone are needed; else the
-        n-grams to be written and the contexts of the first depth whose shares are not told.
+    def go(self, t: Tokens, train: np.ndarray, told: dict[int, tuple[list[bytes], list[bytes]]]) -> Iterator[dict[str, np.ndarray]]:
+        """Changes ``t.p`` to the probabilities of the depths that are told, and yields what is to be asked about the next one.
 
-        ``above`` is the count of the n-gram that ends at a token, of as many symbols as the contexts have. Rounds
-        2 d tell counts of the n-grams of context and token, rounds 2 d + 1 the shares left by contexts.
+        ``above`` is the count of the n-gram that ends at a token, of as many symbols as the contexts have.
         """
-        key = np.zeros(len(full), np.uint64)
+        n, above = len(t.local), t.count
+        full, key = t.symbols[t.local], np.zeros(n, np.uint64)
         for d in range(1, self.depth + 1):
-            total, near = np.zeros(len(full), np.int64), np.zeros(len(full), np.uint64)
+            total, near = np.zeros(n, np.int64), np.zeros(n, np.uint64)
             total[1:], near[d:] = above[:-1], full[:-d]  # a context is the n-gram that ends before the token
             key = _mix(key + (near + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-            on = (place >= d) & (total >= self.least)
-            rows = np.flatnonzero(on if d == 1 else on & (above >= 2))
-            pair = _mix(key[rows] ^ _mix(full[rows] + np.uint64(1 << 40)))
-            pairs, first, at = distinct(pair)
-            if 2 * d not in told:
-                if pairs_only:
-                    yield "pairs", (pairs, np.bincount(at[train[rows]], minlength=len(pairs)))
-                return
-            n = _joined(told[2 * d], np.uint64)
-            writes, n = (n & np.uint64(1)).astype(bool), (n >> np.uint64(1)).astype(np.int64)
-            count = np.zeros(len(full), np.int64)
-            count[rows] = n[at]
-            above = count
-            if pairs_only:
-                continue
-            reach = np.flatnonzero(on)
-            contexts, _, at = distinct(key[reach])
-            if 2 * d + 1 in told:
-                free = _joined(told[2 * d + 1], np.float32)[at].astype(float)
-                kept = ~np.isnan(free)
-                r = reach[kept]
-                p[r] = np.where(count[r] > 0, (count[r] - DISCOUNT) / total[r], 0) + free[kept] * p[r]
-            else:
-                own = rows[first[writes]]
-                yield "listed", (key[own], n[writes], total[own], p[own])
-                yield "contexts", (contexts, None)
+            reach = np.flatnonzero((t.place >= d) & (total >= self.least))
+            contexts, first, at = distinct(key[reach])
+            some = np.arange(len(reach)) if d == 1 else np.flatnonzero(above[reach] >= 2)
+            rows = reach[some]
+            context, follower, pair = _pairs(at[some], t.local[rows], len(contexts), len(t.symbols))
+            if d not in told:
+                one = np.zeros(len(context), np.int64)
+                one[pair] = rows  # any token of each pair: what its suffix makes of it is the same everywhere
+                yield {"contexts": contexts, "totals": total[reach[first]].astype(np.uint64), "sizes": np.bincount(context, minlength=len(contexts)),
+                       "followers": t.symbols[follower], "counts": np.bincount(pair[train[rows]], minlength=len(context)).astype(np.uint64),
+                       "p": t.p[one].astype(np.float32)}
                 return
-
-
-def _joined(parts: list[bytes], kind) -> np.ndarray:
-    unpacked = dictionary.unpack_wide if kind is np.uint64 else dictionary.unpack_numbers
-    return np.concatenate([unpacked(x).view(kind) for x in parts]) if parts else np.zeros(0, kind)
+            counts, shares = (np.concatenate([f(x) for x in parts]) if parts else np.zeros(0, np.uint32)
+                              for f, parts in zip((dictionary.unpack_wide, dictionary.unpack_numbers), told[d], strict=True))
+            above = np.zeros(n, np.int64)
+            above[rows] = counts.astype(np.int64)[pair]
+            free = shares.view(np.float32)[at].astype(float)
+            kept = ~np.isnan(free)
+            r = reach[kept]
+            t.p[r] = np.where(above[r] > 0, (above[r] - DISCOUNT) / total[r], 0) + free[kept] * t.p[r]
+
+
+@dataclass
+class Tokens:
+    """A unit's tokens: their symbols (``symbols[local]``), places in their texts, training counts and probabilities so far."""
+
+    symbols: np.ndarray
+    local: np.ndarray
+    place: np.ndarray
+    count: np.ndarray
+    p: np.ndarray
+
+
+def _pairs(context: np.ndarray, follower: np.ndarray, n_contexts: int, n_followers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in the order of their contexts, and each row's pair. Sorted as one number with the row where it fits."""
+    n = len(context)
+    bits = [max(1, int(x).bit_length()) for x in (n_contexts, n_followers, n)]
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    if sum(bits) <= 64:
+        one = (context.astype(np.uint64) << np.uint64(bits[1] + bits[2])) | (follower.astype(np.uint64) << np.uint64(bits[2])) | np.arange(n, dtype=np.uint64)
+        one.sort()
+        order = (one & np.uint64((1 << bits[2]) - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((follower, context))
+    c, f = context[order], follower[order]
+    new = np.ones(n, bool)
+    new[1:] = (c[1:] != c[:-1]) | (f[1:] != f[:-1])
+    pair = np.empty(n, np.int64)
+    pair[order] = np.cumsum(new) - 1
+    return c[new], f[new], pair
 
 
 def _walked(coded: DataFrame, told: dict[int, DataFrame], use, schema: str) -> DataFrame:
-    """``use(batch, row, ids, lengths, words, told)`` for each unit, with what it was told in the given rounds."""
-    rows = coded.withColumn("got", F.lit(None).cast("array<struct<round:int,bucket:int,told:binary>>"))
-    rounds = sorted(told)
+    """``use(batch, row, ids, lengths, words, told)`` for each unit, with what it was told about each depth."""
+    rows = coded.withColumn("got", F.lit(None).cast("array<struct<depth:int,bucket:int,told:binary,shares:binary>>"))
+    depths = sorted(told)
     if told:
         # rows per unit and bucket, bounded by its words
-        every = reduce(DataFrame.unionByName, (told[r] for r in rounds))
-        rows = coded.join(every.groupBy("unit").agg(F.collect_list(F.struct("round", "bucket", "told")).alias("got")), "unit", "left")
+        every = reduce(DataFrame.unionByName, (told[d].where("unit is not null").select(
+            "unit", F.struct(F.lit(d).alias("depth"), "bucket", "told", "shares").alias("t")) for d in depths))
+        rows = coded.join(every.groupBy("unit").agg(F.collect_list("t").alias("got")), "unit", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, ids, lengths, words in _decoded(x.slice(k, 1) for x in batches for k in range(x.num_rows)):
-            by: dict[int, list[bytes]] = {r: [] for r in rounds}
-            for g in sorted(b.column("got")[i].as_py() or [], key=lambda g: (g["round"], g["bucket"])):
-                by[g["round"]].append(g["told"])
+            by: dict[int, tuple[list[bytes], list[bytes]]] = {d: ([], []) for d in depths}
+            for g in sorted(b.column("got")[i].as_py() or [], key=lambda g: (g["depth"], g["bucket"])):
+                by[g["depth"]][0].append(g["told"])
+                by[g["depth"]][1].append(g["shares"])
             yield from use(b, i, ids, lengths, words, by)
 
     return rows.mapInArrow(returns_memory(run), schema)
 
 
 def _grow(coded: DataFrame, walk: Walk, min_divergence: float) -> Grown:
-    """Ask and tell until all depths are told: for each depth the counts of its n-grams, then the shares of its contexts."""
-    spark, told, levels = coded.sparkSession, {}, []
-
-    def ask(pairs_only: bool):
-        def use(b, i, ids, lengths, words, got) -> Iterator[pa.RecordBatch]:
-            unit = b.column("unit")[i].as_py()
-            tokens = walk.start(words, lengths)
-            train = np.repeat(~np.array(b.column("held").to_pylist()[i], bool), lengths + 1)
-            for kind, made in walk.go(*tokens, train, got, pairs_only):
-                if kind == "listed":
-                    n = len(made[0])
-                    yield _asked(kind=[kind] * n, context=made[0].view(np.int64), n=made[1], total=made[2], p=made[3])
-                    continue
-                keys, counts = made
-                bucket = walk.bucket(keys)
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                own = [x for x in np.split(keys, cuts) if len(x)]
-                n = [dictionary.pack_wide(x) for x in np.split(counts, cuts)][:len(own)] if counts is not None else None
-                yield _asked(kind=[kind] * len(own), unit=[unit] * len(own), bucket=[int(walk.bucket(x[:1])[0]) for x in own],
-                             keys=[dictionary.pack_wide(np.diff(x, prepend=np.uint64(0))) for x in own], counts=n)
-        return use
+    """Ask and tell depth by depth."""
+    spark, told = coded.sparkSession, {}
+
+    def ask(b, i, ids, lengths, words, got) -> Iterator[pa.RecordBatch]:
+        unit = b.column("unit")[i].as_py()
+        train = np.repeat(~np.array(b.column("held").to_pylist()[i], bool), lengths + 1)
+        for made in walk.go(walk.start(words, lengths), train, got):
+            bucket = walk.bucket(made["contexts"])
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            ends = np.cumsum(made["sizes"])
+            inner = ends[cuts - 1] if len(cuts) else cuts
+            parts = {c: np.split(made[c], cuts if c in ("contexts", "totals", "sizes") else inner) for c in made}
+            for k, contexts in enumerate(parts["contexts"]):
+                if len(contexts):
+                    yield _row(ASKED_SCHEMA, unit=unit, bucket=int(walk.bucket(contexts[:1])[0]),
+                               contexts=dictionary.pack_wide(np.diff(contexts, prepend=np.uint64(0))), totals=dictionary.pack_wide(parts["totals"][k]),
+                               sizes=dictionary.pack_numbers(parts["sizes"][k]), followers=dictionary.pack_wide(parts["followers"][k]),
+                               counts=dictionary.pack_wide(parts["counts"][k]), p=dictionary.pack_numbers(parts["p"][k].view(np.uint32)))
 
     for d in range(1, walk.depth + 1):
-        pairs = _walked(coded, {r: t for r, t in told.items() if r % 2 == 0}, ask(True), ASKED_SCHEMA)
-        told[2 * d] = staged(_counted(pairs.select("bucket", "unit", "keys", "counts"), walk.tasks, 2 * d), "told")
-        path = scratch_dir(spark, "asked")
-        _walked(coded, told, ask(False), ASKED_SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-        asked = spark.read.schema(ASKED_SCHEMA).parquet(path)
-        listed = asked.where("kind = 'listed'").select("context", "n", "total", "p")
-        kept = staged(_kept(listed, min_divergence), "contexts")
-        levels.append((listed, kept))
-        contexts = asked.where("kind = 'contexts'").select("bucket", "unit", "keys")
-        told[2 * d + 1] = staged(_looked_up(contexts, kept, walk, 2 * d + 1), "told")
-        remove(spark, f"{path}/kind=contexts")  # answered and written
+        asked = _walked(coded, told, ask, ASKED_SCHEMA).repartition(walk.tasks, "bucket").sortWithinPartitions("bucket", "unit")
+        told = told | {d: staged(asked.select("bucket", *(c for c in asked.columns if c != "bucket")).mapInArrow(
+            dictionary._in_turn(1, _decided(min_divergence)), TOLD_SCHEMA), "told")}
+        del asked
         spark.sparkContext._jvm.System.gc()  # the driver lets go of frames, and Spark of their shuffles
-    return Grown(levels, told, walk)
-
-
-def _asked(**columns) -> pa.RecordBatch:
-    names = [f.split(" ") for f in ASKED_SCHEMA.split(", ")]
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
-    n = len(columns["kind"])
-    cols = [pa.nulls(n, kinds[k]) if columns.get(c) is None else pa.array(columns[c], kinds[k]) for c, k in names]
-    return pa.RecordBatch.from_arrays(cols, [c for c, _ in names])
-
-
-def _keys(packed: bytes) -> np.ndarray:
-    return np.cumsum(dictionary.unpack_wide(packed), dtype=np.uint64)
-
-
-def _told(number: int, bucket: int, units: list[int], values: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number] * len(units), pa.int32()), pa.array(units, pa.int64()), pa.array([bucket] * len(units), pa.int32()),
-         pa.array(values, pa.binary())], ["round", "unit", "bucket", "told"])
+    return Grown(told, walk)
+
+
+def _row(schema: str, **values) -> pa.RecordBatch:
+    return dictionary._record(schema, [values])
+
+
+def _decided(min_divergence: float):
+    """For the units' questions of one bucket: the answers, and the part of the tree that its contexts are."""
+    def solve(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        bucket, = key
+        units = [r[0] for r in rows]
+        contexts = [np.cumsum(dictionary.unpack_wide(r[1]), dtype=np.uint64) for r in rows]
+        sizes = np.concatenate([dictionary.unpack_numbers(r[3]) for r in rows]).astype(np.int64)
+        follower, counts = (np.concatenate([dictionary.unpack_wide(r[k]) for r in rows]) for k in (4, 5))
+        p = np.concatenate([dictionary.unpack_numbers(r[6]) for r in rows]).view(np.float32)
+        every = np.concatenate(contexts)
+        known, one, at = distinct(every)
+        total = np.concatenate([dictionary.unpack_wide(r[2]) for r in rows])[one].astype(float)
+        entry = np.repeat(np.arange(len(every)), sizes)
+        _, first, pair = distinct(_mix(every[entry] ^ _mix(follower + np.uint64(1 << 40))))
+        n = _summed(pair, counts.astype(np.int64), len(first))
+        n[n < 2] = 0
+        listed = np.flatnonzero(n > 0)
+        of, q = at[entry[first[listed]]], p[first[listed]].astype(float)
+        summed = lambda x: np.bincount(of, x, len(known))
+        explicit = (n[listed].astype(float) - DISCOUNT) / total[of]
+        free = np.maximum(1 - summed(explicit), 1e-30)
+        here = explicit + free[of] * q
+        # followers that are not listed have the free share of the suffix's probability, so they add (rest) log2(free)
+        divergence = summed(here * np.log2(here / q)) + free * np.maximum(1 - summed(q), 0) * np.log2(free)
+        kept = (np.bincount(of, minlength=len(known)) > 0) & (divergence >= min_divergence)
+        shares = np.where(kept, free, np.nan).astype(np.float32)
+        out, at_first = n[pair], 0
+        ends = np.cumsum(sizes)
+        for unit, own in zip(units, contexts, strict=True):
+            last = at_first + len(own)
+            a, b = (ends[at_first - 1] if at_first else 0), ends[last - 1]
+            yield _row(TOLD_SCHEMA, unit=unit, bucket=bucket, told=dictionary.pack_wide(out[a:b]),
+                       shares=dictionary.pack_numbers(shares[at[at_first:last]].view(np.uint32)))
+            at_first = last
+        in_tree = kept[of]
+        by = listed[in_tree][np.argsort(of[in_tree], kind="stable")]
+        yield _row(TOLD_SCHEMA, bucket=bucket, contexts=dictionary.pack_wide(np.diff(known[kept], prepend=np.uint64(0))),
+                   shares=dictionary.pack_numbers(shares[kept].view(np.uint32)), sizes=dictionary.pack_numbers(np.bincount(of, minlength=len(known))[kept]),
+                   followers=dictionary.pack_wide(follower[first[by]]), told=dictionary.pack_wide(n[by]))
+
+    return solve
 
 
 def _summed(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -399,80 +434,19 @@ def _summed(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
-def _counted(asked: DataFrame, tasks: int, number: int) -> DataFrame:
-    """Tell each unit the training counts of its n-grams, 0 for fewer than 2, and which of them it is to write (the lowest bit)."""
-    def solve(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-        lists = [_keys(k) for _, k, _ in rows]
-        sizes = np.cumsum([len(x) for x in lists])[:-1]
-        _, first, at = distinct(np.concatenate(lists))
-        counts = np.concatenate([dictionary.unpack_wide(c) for _, _, c in rows]).astype(np.int64)
-        n = _summed(at, counts, len(first))
-        n[n < 2] = 0
-        out = n[at] << np.uint64(1)
-        out[first[n > 0]] |= np.uint64(1)
-        return _told(number, bucket, [u for u, _, _ in rows], [dictionary.pack_wide(x) for x in np.split(out, sizes)])
-
+def tree_level(grown: Grown, depth: int) -> DataFrame:
+    """(context, free, follower, n) of the kept contexts of one depth, by hash and symbol."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
         for b in batches:
-            for bucket, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if rows and bucket != now:
-                    yield solve(now, rows)
-                    rows = []
-                now = bucket
-                rows.append(tuple(row))
-        if rows:
-            yield solve(now, rows)
-
-    return asked.repartition(tasks, "bucket").sortWithinPartitions("bucket", "unit").mapInArrow(returns_memory(run), TOLD_SCHEMA)
-
-
-def _kept(listed: DataFrame, min_divergence: float) -> DataFrame:
-    """(context, free) of the contexts that diverge enough from their suffixes. ``listed``: one row per n-gram seen twice."""
-    explicit = (F.col("n") - F.lit(DISCOUNT)) / F.col("total")
-    by = listed.groupBy("context").agg(F.greatest(1 - F.sum(explicit), F.lit(1e-30)).alias("free"))
-    p = explicit + F.col("free") * F.col("p")
-    parts = listed.join(by, "context").groupBy("context").agg(
-        F.first("free").alias("free"), F.sum(p * F.log2(p / F.col("p"))).alias("seen"), F.sum("p").alias("share"))
-    # followers that are not listed have the free share of the suffix's probability, so they add (rest) log2(free)
-    unlisted = F.col("free") * F.greatest(1 - F.col("share"), F.lit(0.0)) * F.log2("free")
-    return parts.where(F.col("seen") + unlisted >= min_divergence).select("context", "free")
-
-
-def _looked_up(asked: DataFrame, kept: DataFrame, walk: Walk, number: int) -> DataFrame:
-    """Tell each unit the share that each of its contexts leaves to the suffix; NaN for those that are not kept."""
-    rows = kept.select(F.expr(f"cast(shiftright(shiftrightunsigned(context, 32) * {walk.buckets}L, 32) as int)").alias("bucket"), "context", "free")
-    both = asked.select("bucket", "unit", "keys").unionByName(rows, allowMissingColumns=True)
-    dealt = both.repartition(walk.tasks, "bucket").sortWithinPartitions("bucket", F.col("unit").asc_nulls_first())
+            for row in b.to_pylist():
+                contexts = np.cumsum(dictionary.unpack_wide(row["contexts"]), dtype=np.uint64).view(np.int64)
+                sizes, free = dictionary.unpack_numbers(row["sizes"]), dictionary.unpack_numbers(row["shares"]).view(np.float32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(contexts, sizes)), pa.array(np.repeat(free, sizes)), pa.array(dictionary.unpack_wide(row["followers"]).astype(np.int64)),
+                     pa.array(dictionary.unpack_wide(row["told"]).astype(np.int64))], ["context", "free", "follower", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, contexts, free = None, [], []
-        for b in batches:
-            bucket = b.column("bucket").to_numpy()
-            in_tree = b.column("unit").is_null().to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(in_tree.astype(np.int8)) != 0)) + 1
-            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(bucket)], strict=True):
-                if i == j:
-                    continue
-                if bucket[i] != now:
-                    now, contexts, free = int(bucket[i]), [], []
-                if in_tree[i]:
-                    contexts.append(b.column("context").slice(i, j - i).to_numpy().view(np.uint64))
-                    free.append(b.column("free").slice(i, j - i).to_numpy())
-                    continue
-                have = np.concatenate([*contexts, np.zeros(0, np.uint64)])
-                order = np.argsort(have)
-                have, left = have[order], np.concatenate([*free, np.zeros(0)])[order]
-                contexts, free = [have], [left]
-                units, values = b.column("unit").slice(i, j - i).to_pylist(), []
-                for packed in b.column("keys").slice(i, j - i).to_pylist():
-                    keys = _keys(packed)
-                    at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
-                    own = np.where(have[at] == keys, left[at], np.nan) if len(have) else np.full(len(keys), np.nan)
-                    values.append(dictionary.pack_numbers(own.astype(np.float32).view(np.uint32)))
-                yield _told(number, now, units, values)
-
-    return dealt.mapInArrow(returns_memory(run), TOLD_SCHEMA)
+    tree = grown.told[depth].where("unit is null").select("contexts", "sizes", "shares", "followers", "told")
+    return tree.mapInArrow(run, "context bigint, free float, follower bigint, n bigint")
 
 
 def score(model: Model) -> DataFrame:
@@ -493,9 +467,9 @@ def score(model: Model) -> DataFrame:
 
     def use(b, i, ids, lengths, words, got) -> Iterator[pa.RecordBatch]:
         tokens = walk.start(words, lengths)
-        if list(walk.go(*tokens, np.zeros(len(tokens[0]), bool), got)):
+        if list(walk.go(tokens, np.zeros(len(tokens.p), bool), got)):
             raise ValueError("the tree is not told in full")
-        yield scored(b, i, ids, lengths, np.log10(tokens[3]))
+        yield scored(b, i, ids, lengths, np.log10(tokens.p))
 
     return _with_totals(_walked(model.coded, model.grown.told, use, schema), model)
 

@@ -255,7 +255,7 @@ def test_grown_tree_is_brute_force(spark, monkeypatch, unit_words):
     df = df.unionByName(df.limit(3)).unionByName(df.limit(1).withColumn("doc_id", df.doc_id * 0 - 5).withColumn("text", df.text.substr(1, 0)))
     model = suffix_tree.fit(df)
     expected, kept = plain_tree([(r.doc_id, r.text) for r in df.collect()])
-    assert [k.count() for _, k in model.grown.levels] == [kept[d] for d in (1, 2, 3)]
+    assert [suffix_tree.tree_level(model.grown, d).select("context").distinct().count() for d in (1, 2, 3)] == [kept[d] for d in (1, 2, 3)]
     got = sorted((r.doc_id, r.score) for r in suffix_tree.score(model).collect())
     assert [g[0] for g in got] == [e[0] for e in sorted(expected)]
     assert all(abs(g[1] - e[1]) < 1e-6 * abs(e[1]) for g, e in zip(got, sorted(expected), strict=True))
@@ -265,7 +265,7 @@ def test_tree_grows_with_the_corpus(spark):
     sizes = []
     for sf in ("0.001", "0.01"):
         model = suffix_tree.fit(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
-        sizes.append((model.symbols, *(k.count() for _, k in model.grown.levels)))
+        sizes.append((model.symbols, *(suffix_tree.tree_level(model.grown, d).select("context").distinct().count() for d in (1, 2, 3))))
     assert all(b > 2 * a for a, b in zip(*sizes, strict=True)) and sum(sizes[1][1:]) > 10_000
 
 
