@@ -6,6 +6,7 @@ import ctypes
 import gc
 import json
 import os
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,6 +57,15 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to let go of frames that nobody holds: Spark deletes their shuffles, which it would keep for
+    half an hour else. A frame's plan is released by one collection, its shuffles are found by the next."""
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def returns_memory(run: Callable) -> Callable:
     """A function of a stream of batches that gives freed memory back to the system when its task ends.
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dictionary
-from .common import bounded_batches, remove, returns_memory, staged, staged_at
+from .common import bounded_batches, release_shuffles, remove, returns_memory, staged, staged_at
 
 OTHER, END, FIRST = 0, 1, 2  # symbols: all other words, the end, then frequent words
 SMOOTHING = 0.1
@@ -140,6 +140,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     coded, _ = dictionary.bucketed(unit, parts.layout.files, "unit")
     for path in (parts.path, answers_path):  # the words are coded: their lists can go
         remove(spark, path)
+    del unit, values, answers, told, each
+    release_shuffles(spark)
     return Model(coded, symbols, n_all, vocabulary, _grow(coded, walk, min_divergence))
 
 
@@ -376,7 +378,7 @@ def _grow(coded: DataFrame, walk: Walk, min_divergence: float) -> Grown:
         told = told | {d: staged(asked.select("bucket", *(c for c in asked.columns if c != "bucket")).mapInArrow(
             dictionary._in_turn(1, _decided(min_divergence)), TOLD_SCHEMA), "told")}
         del asked
-        spark.sparkContext._jvm.System.gc()  # the driver lets go of frames, and Spark of their shuffles
+        release_shuffles(spark)
     return Grown(told, walk)
 
 
