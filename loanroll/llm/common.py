@@ -59,11 +59,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Ask the driver to let go of frames that nobody holds: Spark deletes their shuffles, which it would keep for
-    half an hour else. A frame's plan is released by one collection, its shuffles are found by the next."""
+    half an hour else. A frame's plan is released by one collection, its shuffles are found by a later one."""
     gc.collect()
-    for _ in range(2):
+    for _ in range(3):
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.3)
 
 
 def returns_memory(run: Callable) -> Callable:

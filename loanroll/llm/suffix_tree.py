@@ -34,13 +34,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanroll.session import scratch_dir
+
 from . import dictionary
 from .common import bounded_batches, release_shuffles, remove, returns_memory, staged, staged_at
 
@@ -54,8 +55,8 @@ CODED_SCHEMA = ("doc_ids array<bigint>, null_ids array<boolean>, lengths array<i
 #: Words of the texts that ask together, beyond the document that passes the limit.
 UNIT_WORDS = 1_000_000
 ASKED_SCHEMA = "unit bigint, bucket int, contexts binary, totals binary, sizes binary, followers binary, counts binary, p binary"
-#: Rows without a unit are the tree: kept contexts, their shares left, and their followers with counts.
-TOLD_SCHEMA = "unit bigint, bucket int, told binary, shares binary, contexts binary, sizes binary, followers binary"
+#: Rows of the kind ``tree`` are kept contexts, their shares left, and their followers with counts.
+TOLD_SCHEMA = "kind string, unit bigint, bucket int, told binary, shares binary, contexts binary, sizes binary, followers binary"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -85,9 +86,10 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 
 @dataclass(frozen=True)
 class Grown:
-    """A tree kept as tables: for each depth what units were told, and the kept contexts (``tree_level``)."""
+    """A tree kept as tables: for each depth what units were told, and the kept contexts (see ``tree_level``)."""
 
     told: dict[int, DataFrame]
+    tree: dict[int, DataFrame]
     walk: Walk
 
 
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
         remove(spark, path)
     del unit, values, answers, told, each
     release_shuffles(spark)
-    return Model(coded, symbols, n_all, vocabulary, _grow(coded, walk, min_divergence))
+    return Model(coded, symbols, n_all, vocabulary, _grow(coded, walk, parts.layout.files, min_divergence))
 
 
 def _shifted(values: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -275,6 +277,9 @@ class Walk:
         """
         n, above = len(t.local), t.count
         full, key = t.symbols[t.local], np.zeros(n, np.uint64)
+        order = np.argsort(t.symbols)  # followers of a context ascend: their differences pack well
+        by_symbol, rank = t.symbols[order], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         for d in range(1, self.depth + 1):
             total, near = np.zeros(n, np.int64), np.zeros(n, np.uint64)
             total[1:], near[d:] = above[:-1], full[:-d]  # a context is the n-gram that ends before the token
@@ -283,12 +288,12 @@ class Walk:
             contexts, first, at = distinct(key[reach])
             some = np.arange(len(reach)) if d == 1 else np.flatnonzero(above[reach] >= 2)
             rows = reach[some]
-            context, follower, pair = _pairs(at[some], t.local[rows], len(contexts), len(t.symbols))
+            context, follower, pair = _pairs(at[some], rank[t.local[rows]], len(contexts), len(t.symbols))
             if d not in told:
                 one = np.zeros(len(context), np.int64)
                 one[pair] = rows  # any token of each pair: what its suffix makes of it is the same everywhere
                 yield {"contexts": contexts, "totals": total[reach[first]].astype(np.uint64), "sizes": np.bincount(context, minlength=len(contexts)),
-                       "followers": t.symbols[follower], "counts": np.bincount(pair[train[rows]], minlength=len(context)).astype(np.uint64),
+                       "followers": by_symbol[follower], "counts": np.bincount(pair[train[rows]], minlength=len(context)).astype(np.uint64),
                        "p": t.p[one].astype(np.float32)}
                 return
             counts, shares = (np.concatenate([f(x) for x in parts]) if parts else np.zeros(0, np.uint32)
@@ -334,28 +339,25 @@ def _pairs(context: np.ndarray, follower: np.ndarray, n_contexts: int, n_followe
 
 def _walked(coded: DataFrame, told: dict[int, DataFrame], use, schema: str) -> DataFrame:
     """``use(batch, row, ids, lengths, words, told)`` for each unit, with what it was told about each depth."""
-    rows = coded.withColumn("got", F.lit(None).cast("array<struct<depth:int,bucket:int,told:binary,shares:binary>>"))
-    depths = sorted(told)
-    if told:
-        # rows per unit and bucket, bounded by its words
-        every = reduce(DataFrame.unionByName, (told[d].where("unit is not null").select(
-            "unit", F.struct(F.lit(d).alias("depth"), "bucket", "told", "shares").alias("t")) for d in depths))
-        rows = coded.join(every.groupBy("unit").agg(F.collect_list("t").alias("got")), "unit", "left")
+    rows, depths = coded, sorted(told)
+    for d in depths:  # rows per unit and bucket, bounded by its words; all tables lie in files by unit
+        parts = told[d].groupBy("unit").agg(F.collect_list(F.struct("bucket", "told", "shares")).alias(f"got{d}"))
+        rows = rows.join(parts, "unit", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, ids, lengths, words in _decoded(x.slice(k, 1) for x in batches for k in range(x.num_rows)):
-            by: dict[int, tuple[list[bytes], list[bytes]]] = {d: ([], []) for d in depths}
-            for g in sorted(b.column("got")[i].as_py() or [], key=lambda g: (g["depth"], g["bucket"])):
-                by[g["depth"]][0].append(g["told"])
-                by[g["depth"]][1].append(g["shares"])
+            by: dict[int, tuple[list[bytes], list[bytes]]] = {}
+            for d in depths:
+                got = sorted(b.column(f"got{d}")[i].as_py() or [], key=lambda g: g["bucket"])
+                by[d] = [g["told"] for g in got], [g["shares"] for g in got]
             yield from use(b, i, ids, lengths, words, by)
 
     return rows.mapInArrow(returns_memory(run), schema)
 
 
-def _grow(coded: DataFrame, walk: Walk, min_divergence: float) -> Grown:
-    """Ask and tell depth by depth."""
-    spark, told = coded.sparkSession, {}
+def _grow(coded: DataFrame, walk: Walk, files: int, min_divergence: float) -> Grown:
+    """Ask and tell depth by depth. What is told is written in files by unit, as the texts are, so that it is dealt once."""
+    spark, told, tree = coded.sparkSession, {}, {}
 
     def ask(b, i, ids, lengths, words, got) -> Iterator[pa.RecordBatch]:
         unit = b.column("unit")[i].as_py()
@@ -370,16 +372,39 @@ def _grow(coded: DataFrame, walk: Walk, min_divergence: float) -> Grown:
                 if len(contexts):
                     yield _row(ASKED_SCHEMA, unit=unit, bucket=int(walk.bucket(contexts[:1])[0]),
                                contexts=dictionary.pack_wide(np.diff(contexts, prepend=np.uint64(0))), totals=dictionary.pack_wide(parts["totals"][k]),
-                               sizes=dictionary.pack_numbers(parts["sizes"][k]), followers=dictionary.pack_wide(parts["followers"][k]),
+                               sizes=dictionary.pack_numbers(parts["sizes"][k]), followers=pack_ascending(parts["followers"][k], parts["sizes"][k]),
                                counts=dictionary.pack_wide(parts["counts"][k]), p=dictionary.pack_numbers(parts["p"][k].view(np.uint32)))
 
     for d in range(1, walk.depth + 1):
         asked = _walked(coded, told, ask, ASKED_SCHEMA).repartition(walk.tasks, "bucket").sortWithinPartitions("bucket", "unit")
-        told = told | {d: staged(asked.select("bucket", *(c for c in asked.columns if c != "bucket")).mapInArrow(
-            dictionary._in_turn(1, _decided(min_divergence)), TOLD_SCHEMA), "told")}
-        del asked
+        decided = asked.select("bucket", *(c for c in asked.columns if c != "bucket")).mapInArrow(
+            dictionary._in_turn(1, _decided(min_divergence)), TOLD_SCHEMA)
+        path = scratch_dir(spark, "decided")
+        decided.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+        del asked, decided
+        rows = spark.read.schema(TOLD_SCHEMA).parquet(path)
+        answers = rows.where("kind = 'told'").select("unit", "bucket", "told", "shares")
+        told = told | {d: dictionary.bucketed(answers.repartition(files, "unit"), files, "unit")[0]}
+        tree[d] = rows.where("kind = 'tree'").select("contexts", "sizes", "shares", "followers", "told")
+        del answers
+        remove(spark, f"{path}/kind=told")
         release_shuffles(spark)
-    return Grown(told, walk)
+    return Grown(told, tree, walk)
+
+
+def pack_ascending(x: np.ndarray, sizes: np.ndarray) -> bytes:
+    """64-bit numbers that ascend inside runs of the given sizes, as differences."""
+    d = np.diff(x, prepend=np.uint64(0))
+    begins = (np.cumsum(sizes) - sizes)[sizes > 0]
+    d[begins] = x[begins]
+    return dictionary.pack_wide(d)
+
+
+def unpack_ascending(packed: bytes, sizes: np.ndarray) -> np.ndarray:
+    total = np.cumsum(dictionary.unpack_wide(packed), dtype=np.uint64)  # may wrap around: differences of it don't
+    begins = (np.cumsum(sizes) - sizes)[sizes > 0]
+    before = np.where(begins > 0, total[begins - 1], np.uint64(0)) if len(begins) else begins.astype(np.uint64)
+    return total - np.repeat(before, sizes[sizes > 0])
 
 
 def _row(schema: str, **values) -> pa.RecordBatch:
@@ -392,8 +417,10 @@ def _decided(min_divergence: float):
         bucket, = key
         units = [r[0] for r in rows]
         contexts = [np.cumsum(dictionary.unpack_wide(r[1]), dtype=np.uint64) for r in rows]
-        sizes = np.concatenate([dictionary.unpack_numbers(r[3]) for r in rows]).astype(np.int64)
-        follower, counts = (np.concatenate([dictionary.unpack_wide(r[k]) for r in rows]) for k in (4, 5))
+        each = [dictionary.unpack_numbers(r[3]).astype(np.int64) for r in rows]
+        sizes = np.concatenate(each)
+        follower = np.concatenate([unpack_ascending(r[4], own) for r, own in zip(rows, each, strict=True)])
+        counts = np.concatenate([dictionary.unpack_wide(r[5]) for r in rows])
         p = np.concatenate([dictionary.unpack_numbers(r[6]) for r in rows]).view(np.float32)
         every = np.concatenate(contexts)
         known, one, at = distinct(every)
@@ -417,12 +444,12 @@ def _decided(min_divergence: float):
         for unit, own in zip(units, contexts, strict=True):
             last = at_first + len(own)
             a, b = (ends[at_first - 1] if at_first else 0), ends[last - 1]
-            yield _row(TOLD_SCHEMA, unit=unit, bucket=bucket, told=dictionary.pack_wide(out[a:b]),
+            yield _row(TOLD_SCHEMA, kind="told", unit=unit, bucket=bucket, told=dictionary.pack_wide(out[a:b]),
                        shares=dictionary.pack_numbers(shares[at[at_first:last]].view(np.uint32)))
             at_first = last
         in_tree = kept[of]
         by = listed[in_tree][np.argsort(of[in_tree], kind="stable")]
-        yield _row(TOLD_SCHEMA, bucket=bucket, contexts=dictionary.pack_wide(np.diff(known[kept], prepend=np.uint64(0))),
+        yield _row(TOLD_SCHEMA, kind="tree", bucket=bucket, contexts=dictionary.pack_wide(np.diff(known[kept], prepend=np.uint64(0))),
                    shares=dictionary.pack_numbers(shares[kept].view(np.uint32)), sizes=dictionary.pack_numbers(np.bincount(of, minlength=len(known))[kept]),
                    followers=dictionary.pack_wide(follower[first[by]]), told=dictionary.pack_wide(n[by]))
 
@@ -447,8 +474,7 @@ def tree_level(grown: Grown, depth: int) -> DataFrame:
                     [pa.array(np.repeat(contexts, sizes)), pa.array(np.repeat(free, sizes)), pa.array(dictionary.unpack_wide(row["followers"]).astype(np.int64)),
                      pa.array(dictionary.unpack_wide(row["told"]).astype(np.int64))], ["context", "free", "follower", "n"])
 
-    tree = grown.told[depth].where("unit is null").select("contexts", "sizes", "shares", "followers", "told")
-    return tree.mapInArrow(run, "context bigint, free float, follower bigint, n bigint")
+    return grown.tree[depth].mapInArrow(run, "context bigint, free float, follower bigint, n bigint")
 
 
 def score(model: Model) -> DataFrame:
