@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import dictionary
-from .common import bounded_batches, list_column, list_slices, load_tokenizer, ranges, tokenizer_source
+from .common import bounded_batches, list_column, list_slices, load_tokenizer, ranges, returns_memory, tokenizer_source
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,7 +84,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = decoded_texts(list(list_slices(b.column("ids"))), pieces.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.large_string()).cast(pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(returns_memory(run), "doc_id bigint, text string")
 
 
 def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -104,4 +104,4 @@ def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.select("doc_id", "ids").mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        returns_memory(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

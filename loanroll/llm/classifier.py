@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, list_column, list_slices, staged, texts_as_bytes
+from .common import bounded_batches, list_column, list_slices, returns_memory, staged, texts_as_bytes
 
 STATISTICS = ("log_words", "log_word_length", "upper", "digits", "symbols", "stops", "exclaims", "other_marks", "space",
               "non_ascii", "distinct_words", "short_words", "wordless", "repeated_lines", "log_line_length")
@@ -80,7 +80,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
     schema = rows.withColumn("text", F.array(F.lit(0.0))).withColumnRenamed("text", "x").schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(returns_memory(run), schema)
 
 
 @dataclass(frozen=True)
@@ -150,7 +150,7 @@ def score(described: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
 
     schema = described.select(*names, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
-    return described.mapInArrow(run, schema)
+    return described.mapInArrow(returns_memory(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -188,4 +188,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
             x = np.array([statistics(t) for t in texts_as_bytes(b.column(at))]).reshape(-1, len(STATISTICS))
             yield b.filter(pa.array(model.scores(x) >= threshold))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(returns_memory(run), plain.schema).toDF(*names)

@@ -349,7 +349,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             columns = [pa.array(texts, b.schema.field("text").type) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
-    out = carried.mapInArrow(cut, carried.select(*(f"c{i}" for i in range(len(names)))).schema)
+    out = carried.mapInArrow(returns_memory(cut), carried.select(*(f"c{i}" for i in range(len(names)))).schema)
     return out.toDF(*names)
 
 

@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from . import dictionary
-from .common import bounded_batches, list_column, list_slices, ranges
+from .common import bounded_batches, list_column, list_slices, ranges, returns_memory
 
 SPACE = "▁"
 #: A byte that no UTF-8 text holds stands for a line end inside words, as word lists are joined by line ends.
@@ -250,7 +250,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             texts = [d.text(x) for x in list_slices(b.column("ids"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(returns_memory(run), "doc_id bigint, text string")
 
 
 def digests(encoded: DataFrame, model: str) -> DataFrame:
@@ -268,4 +268,4 @@ def digests(encoded: DataFrame, model: str) -> DataFrame:
                  pa.array([digest(",".join(map(numbers.__getitem__, x.tolist()))) for x in ids], pa.string()),
                  pa.array([digest(d.text(x)) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(returns_memory(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
