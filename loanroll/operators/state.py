@@ -12,16 +12,21 @@ months are not read.
 Rows without a date come before all dated ones (as ``orden`` counts them), so a
 loan may have them in its first state only. A batch that breaks the order for
 any loan fails while it is merged.
+
+States are stored one folder a month (``hasta=yyyymm``), so that a month can be
+run again, and an older one be gone back to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from loanroll.operators import ledger as L
+from loanroll.sources.layout import in_period
 
 _OBSERVED = L.OBSERVED_COLUMNS
 
@@ -105,3 +110,49 @@ def profile(state: DataFrame, strict_na: bool = True) -> DataFrame:
         "prior_exposure AS capital_ant", "prior_capital AS saldo_ant", "n_prior",
         "last_capital AS _ultimo_capital", "last_type AS _ultimo_tipo", "before_capital AS _previo_capital", "before_type AS _previo_tipo")
     return out.withColumns({"Saldo_exposicion_inicial": L.exposure("_inicial"), "Saldo_exposicion_actual": L.exposure("_actual")})
+
+
+def stored_state(spark: SparkSession, folder: str, until: int | None = None) -> tuple[DataFrame, int] | None:
+    """The state of the latest stored month (at most ``until``, ``yyyymm``) with that month; none if there is none."""
+    try:
+        known = spark.read.parquet(folder)
+    except AnalysisException:  # nothing is stored there
+        return None
+    if "hasta" not in known.columns:
+        return None
+    months = known.select("hasta") if until is None else known.filter(F.col("hasta") <= until).select("hasta")
+    last = months.agg(F.max("hasta")).first()[0]  # from the folders' names
+    return None if last is None else (known.filter(F.col("hasta") == last).drop("hasta"), last)
+
+
+def months_between(first: int, last: int) -> list[int]:
+    """The months after ``first`` up to ``last``, as ``yyyymm``."""
+    out, now = [], first
+    while now < last:
+        now = now + 1 if now % 100 < 12 else now + 89
+        out.append(now)
+    return out
+
+
+def advance(ledger: DataFrame, folder: str, until: int, product: int = L.PRODUCT, tie_break: Sequence[str] = (),
+            max_loan_rows: int | None = None) -> DataFrame:
+    """The stored state up to the month ``until`` (``yyyymm``): the latest one merged with each month since, each stored.
+
+    Only those months are read; where no state is stored, it is started from all rows up to that month and
+    those without a date.
+    """
+    spark = ledger.sparkSession
+
+    def store(state: DataFrame, month: int) -> DataFrame:
+        state.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/hasta={month}")
+        return stored_state(spark, folder, month)[0]
+
+    found = stored_state(spark, folder, until)
+    if found is None:
+        rows = ledger.filter(F.col("id_fecha").isNull() | (F.expr("id_fecha DIV 100") <= until))
+        return store(loan_state(rows, product, tie_break, max_loan_rows), until)
+    state, last = found
+    for month in months_between(last, until):
+        rows = ledger.filter(L.month_range(month // 100, month % 100) & in_period(ledger, month // 100, month % 100))
+        state = store(merge(state, loan_state(rows, product, tie_break, max_loan_rows)), month)
+    return state

@@ -152,10 +152,15 @@ def priced_portfolio(tape: DataFrame, valued: DataFrame) -> DataFrame:
     )
 
 
+def with_balance(tape: DataFrame, min_balance: float) -> DataFrame:
+    """Tape rows above the least balance."""
+    return tape.filter(F.col("suma_importe_base") > min_balance)
+
+
 def priced_portfolio_v1(tape: DataFrame, extract: DataFrame, min_balance: float = 0.0001) -> DataFrame:
     """M11 (older report): balance filter first, then join to the hand-off extract."""
     return (
-        tape.filter(F.col("suma_importe_base") > min_balance)
+        with_balance(tape, min_balance)
         .join(extract, "credito", "left")
         .withColumnRenamed("suma_importe_base", "saldo_actual")
         .withColumns({

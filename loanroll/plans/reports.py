@@ -24,6 +24,7 @@ from loanroll.operators import ledger as L
 from loanroll.operators import portfolio as P
 from loanroll.operators import recovery as R
 from loanroll.operators import rolling as RM
+from loanroll.operators import state as S
 from loanroll.operators import valuation as V
 from loanroll.sources.layout import PERIOD_COLUMNS
 from loanroll.sources.model import Sources
@@ -73,6 +74,8 @@ class _Base:
     src: Sources
     params: ReportParams = field(default_factory=ReportParams)
     exclusions: DataFrame | None = None        # P15: loan ids left out of every report
+    observed: Observed | None = None           # D4: joins' rows are counted by the passes that write
+    state: DataFrame | None = None             # per-loan state to take the profile from, instead of the ledger
 
     @cached_property
     def ledger(self) -> DataFrame:
@@ -98,6 +101,11 @@ class _Base:
 
     @cached_property
     def profile(self) -> DataFrame:
+        if self.state is not None:
+            if self.exclusions is None:
+                return S.profile(self.state)
+            excluded = self.exclusions.select("credito").distinct()
+            return S.profile(self.state.join(excluded, L.same_loan(self.state, excluded), "left_anti"))
         return L.loan_profile(self.ledger, self.params.product, tie_break=self.params.tie_break,
                               max_loan_rows=self.src.max_loan_rows)
 
@@ -110,6 +118,18 @@ class _Base:
     def tape(self) -> DataFrame:
         return V.purchase_tape(self.src.purchase_tape_raw)
 
+    def mark(self, df: DataFrame, name: str) -> DataFrame:
+        return self.observed.mark(df, name) if self.observed else df
+
+    def check_fan_out(self) -> dict[str, tuple[int, int]]:
+        """Rows before and after each join, as the passes that have written them saw them; with ``assert_unique`` a
+        join that made rows is looked into (one aggregate per side) and fails the report."""
+        seen = self.observed.counts()
+        rows = {name: (seen[a], seen[b]) for name, (a, b) in self.FAN_OUT.items() if a in seen and b in seen}
+        if self.params.assert_unique and any(b != a for a, b in rows.values()):
+            type(self)(self.src, self.params, self.exclusions, state=self.state).require_unique()
+        return rows
+
 
 class Observed:
     """Rows before and after the joins of a report, counted while it is written.
@@ -130,17 +150,12 @@ class Observed:
         return {name: seen.get["filas"] for name, seen in self.seen.items()}
 
 
-#: The joins that may fan out: rows before, rows after.
-FAN_OUT = {"ltv": ("rates", "ltv"), "daily": ("ltv", "daily"), "valuation": ("tape", "priced")}
-
-
 def _require_unique(df: DataFrame, what: str) -> None:
     """D4 option: raise when a per-loan side would fan a left join out."""
     if not L.assert_unique_key(df, ["credito"]).isEmpty():
         raise ValueError(f"{what} holds several rows for some loans; the join would fan out")
 
 
-@dataclass
 class ValuationReport(_Base):
     """Newest script: recovery rates -> valuation -> priced portfolio -> report.
 
@@ -148,7 +163,8 @@ class ValuationReport(_Base):
     ``priced``, and no side is read ahead of it.
     """
 
-    observed: Observed | None = None
+    #: The joins that may fan out: rows before, rows after.
+    FAN_OUT = {"ltv": ("rates", "ltv"), "daily": ("ltv", "daily"), "valuation": ("tape", "priced")}
 
     @cached_property
     def base(self) -> DataFrame:
@@ -168,35 +184,24 @@ class ValuationReport(_Base):
 
     @cached_property
     def valuation(self) -> DataFrame:
-        if self.observed:
-            return V.valuation_table(self.rates, self.ltv_snapshot, self.daily, self.observed.mark)
-        if self.params.assert_unique:
-            self.require_unique()
-        return V.valuation_table(self.rates, self.ltv_snapshot, self.daily)
+        if self.params.assert_unique and not self.observed:
+            _require_unique(self.ltv_snapshot, "LTV snapshot")
+            _require_unique(self.daily, "daily closing snapshot")
+        return V.valuation_table(self.rates, self.ltv_snapshot, self.daily, self.mark)
 
     def require_unique(self) -> None:
+        """Raise for the first side that would fan its join out."""
         _require_unique(self.ltv_snapshot, "LTV snapshot")
         _require_unique(self.daily, "daily closing snapshot")
         _require_unique(self.valued, "valuation")
 
-    def check_fan_out(self) -> dict[str, tuple[int, int]]:
-        """Rows before and after each join, as the write of ``priced`` has seen them; with ``assert_unique`` a
-        join that made rows is looked into (one aggregate per side) and fails the report."""
-        seen = self.observed.counts()
-        rows = {name: (seen[a], seen[b]) for name, (a, b) in FAN_OUT.items()}
-        if self.params.assert_unique and any(b != a for a, b in rows.values()):
-            ValuationReport(self.src, self.params, self.exclusions).require_unique()
-        return rows
-
     @cached_property
     def valued(self) -> DataFrame:
         return V.with_price_factors(self.valuation)
 
     @cached_property
     def priced(self) -> DataFrame:
-        if self.observed:
-            return self.observed.mark(V.priced_portfolio(self.observed.mark(self.tape, "tape"), self.valued), "priced")
-        return V.priced_portfolio(self.tape, self.valued)
+        return self.mark(V.priced_portfolio(self.mark(self.tape, "tape"), self.valued), "priced")
 
     @cached_property
     def active(self) -> DataFrame:
@@ -239,7 +244,18 @@ class ValuationReport(_Base):
 
 
 class ExtractReport(_Base):
-    """Older pair: capital rates + direct-LTV factor -> extract -> priced report."""
+    """Older pair: capital rates + direct-LTV factor -> extract -> priced report.
+
+    The last two rows of a loan may fan its rates out (M4b, as in the script); the joins after that are observed.
+    """
+
+    FAN_OUT = {"daily": ("rates", "daily"), "ltv": ("daily", "ltv"), "extract": ("tape", "priced")}
+
+    def require_unique(self) -> None:
+        """Raise for the first side that would fan its join out."""
+        _require_unique(self.daily, "daily closing snapshot")
+        _require_unique(self.ltv_snapshot, "LTV snapshot")
+        _require_unique(self.extract, "extract")
 
     @cached_property
     def capital_base(self) -> DataFrame:
@@ -262,7 +278,8 @@ class ExtractReport(_Base):
     @cached_property
     def extract(self) -> DataFrame:
         """``VALORACION_FINAl``: the 19-column hand-off extract."""
-        t = L.left_by_loan(L.left_by_loan(self.rates, self.daily), self.ltv_snapshot.select(*V.LTV_COLUMNS))
+        with_daily = self.mark(L.left_by_loan(self.mark(self.rates, "rates"), self.daily), "daily")
+        t = self.mark(L.left_by_loan(with_daily, self.ltv_snapshot.select(*V.LTV_COLUMNS)), "ltv")
         return t.withColumn("Valoracion_pd",
                             V.price_factor_direct("tasa_recuperacion_anual", "LTV", "Duracion_p70"))
 
@@ -279,7 +296,9 @@ class ExtractReport(_Base):
 
     @cached_property
     def priced(self) -> DataFrame:
-        return V.priced_portfolio_v1(self.tape, self.extract_with_mod, self.params.min_balance)
+        # the balance filter comes before the join, so that the rows before it are the tape's that pass it
+        tape = self.mark(V.with_balance(self.tape, self.params.min_balance), "tape")
+        return self.mark(V.priced_portfolio_v1(tape, self.extract_with_mod, self.params.min_balance), "priced")
 
     @cached_property
     def active(self) -> DataFrame:

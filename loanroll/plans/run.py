@@ -23,6 +23,7 @@ import json
 from pyspark.sql import SparkSession
 
 from loanroll.functions.calendar import previous_month_name
+from loanroll.operators.state import advance
 from loanroll.plans.reports import ExtractReport, Observed, ReportParams, RollReport, ValuationReport
 from loanroll.session import write_and_read
 from loanroll.sources import readers, sinks
@@ -56,13 +57,19 @@ def write_valuation_report(spark: SparkSession, report: ValuationReport, out_dir
 
 def write_extract(report: ExtractReport, out_dir: str) -> str:
     """K2: the older script's hand-off extract (';' CSV, decimal comma), built once for the older report too."""
+    if report.observed is None and "extract" not in report.__dict__:
+        report.observed = Observed()
     share(report, "extract")
+    if report.observed:
+        report.check_fan_out()  # before anything is published
     return sinks.write_csv2(report.extract, out_dir, key=report.params.report_key)
 
 
 def write_extract_report(spark: SparkSession, report: ExtractReport, out_dir: str) -> dict[str, str]:
     """K1 for the older report: tape, summary, residual, live 70/71 lists."""
     share(report, "priced")
+    if report.observed:
+        report.check_fan_out()
     bundle = {
         "Cartera": report.tape,
         "Resumen": report.summary,
@@ -84,10 +91,14 @@ def write_roll_report(spark: SparkSession, report: RollReport, out_dir: str) ->
     }, base)
 
 
-def run_all(spark: SparkSession, sources: Sources, params: ReportParams, out_dir: str) -> dict[str, str]:
-    out = {}
-    out.update(write_valuation_report(spark, ValuationReport(sources, params), f"{out_dir}/valuation"))
-    extract_report = ExtractReport(sources, params)
+def run_all(spark: SparkSession, sources: Sources, params: ReportParams, out_dir: str, state_dir: str | None = None) -> dict[str, str]:
+    """All reports. With ``state_dir`` the profile comes from the state stored there, merged with the months up to
+    the report's (rows of later months are then left out); only those months of the ledger are read for it."""
+    out, state = {}, None
+    if state_dir:
+        state = advance(sources.ledger_month, state_dir, params.report_key // 100, params.product, params.tie_break, sources.max_loan_rows)
+    out.update(write_valuation_report(spark, ValuationReport(sources, params, state=state), f"{out_dir}/valuation"))
+    extract_report = ExtractReport(sources, params, state=state)
     out["extract"] = write_extract(extract_report, f"{out_dir}/extracts")
     out.update({f"v1/{k}": v for k, v in
                 write_extract_report(spark, extract_report, f"{out_dir}/valuation_v1").items()})
@@ -104,6 +115,7 @@ def main(argv: list[str] | None = None) -> None:
     source.add_argument("--tables", help="JSON file: source table -> Parquet folder, .csv tape or JDBC options")
     source.add_argument("--sf-dir", help="folder of the driver's parquet tables (the test fixture)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
+    ap.add_argument("--state", default=None, help="folder of the per-loan states by month: read, advanced and written")
     ap.add_argument("--as-of", default=None,
                     help="report run date, YYYY-MM-DD (default: today)")
     args = ap.parse_args(argv)
@@ -116,7 +128,7 @@ def main(argv: list[str] | None = None) -> None:
         from loanroll.sources.fixtures import staged_sources
 
         sources = staged_sources(spark, args.sf_dir)
-    for name, path in run_all(spark, sources, params, args.out).items():
+    for name, path in run_all(spark, sources, params, args.out, args.state).items():
         print(f"{name}\t{path}")
 
 

@@ -108,3 +108,18 @@ def test_range_predicates_hold_every_row_once(spark):
     assert sum(counts) == 6000 and min(counts) > 0
     assert ids.filter(" OR ".join(f"({c})" for c in conditions)).count() == 6000
     assert readers.range_predicates(readers.split_ranges(ids.limit(0), "k", 10), "k") == ["k IS NULL", "k IS NOT NULL"]
+
+
+def test_fan_out_of_the_older_report(spark):
+    from loanroll.plans.reports import ExtractReport
+
+    src, out = staged_sources(spark, SF_SMALL), scratch_dir(spark, "t-fan3")
+    with pytest.raises(ValueError, match="fan out"):
+        run.write_extract(ExtractReport(src, fixture_params(assert_unique=True)), out)
+    assert not os.path.exists(out)
+    report = ExtractReport(src, fixture_params())
+    run.write_extract(report, out)
+    assert set(report.check_fan_out()) == {"daily", "ltv"}
+    run.write_extract_report(spark, report, out)
+    rows = report.check_fan_out()
+    assert set(rows) == {"daily", "ltv", "extract"} and rows["ltv"][1] > rows["ltv"][0]
