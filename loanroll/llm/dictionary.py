@@ -231,7 +231,8 @@ def bucketed(df: DataFrame, buckets: int, key: str = "chunk") -> tuple[DataFrame
     opened, the files stay.
     """
     spark, path = df.sparkSession, scratch_dir(df.sparkSession, "words")
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+    base = path.rsplit("/", 1)[0].replace("'", "\\'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE} LOCATION '{base}/database'")  # nothing is stored in it
     name = f"{DATABASE}.words_" + path.rsplit("-", 1)[1]
     writer = df.write.format("parquet").option("path", path).option("compression", "uncompressed")  # rows are packed already
     writer.bucketBy(buckets, key).saveAsTable(name)
