@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, list_column, list_slices, load_tokenizer, ranges, returns_memory, staged, tokenizer_source
+from .dictionary import _Numbered
 
 FILE_SCHEMA = "doc_id bigint, row bigint, ids array<int>"
 
@@ -37,97 +39,125 @@ _RE2_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A cut before a space falls between pieces, unless the space stands inside a run of white space.
 INNER_SPACE = f"[{_RE2_SPACE}] (?:[{_RE2_SPACE}]|\\z)"
-#: Pieces after which a worker begins a new generation; it remembers two.
-REMEMBERED = 250_000
+#: Characters on which ``PRE_TOKENS`` is the pre-tokenizer's own pattern: ASCII, and Latin, Greek and Cyrillic letters that
+#: every version of Unicode in use calls letters. Fixed values.
+_LETTERS = (("A", "Z"), ("a", "z"), ("\xc0", "\xd6"), ("\xd8", "\xf6"), ("\xf8", "\u024f"), ("\u0391", "\u03a1"), ("\u03a3", "\u03ce"), ("\u0400", "\u0481"))
+LETTER = "".join(f"{a}-{b}" for a, b in _LETTERS)
+_BLANK, _SIGN = "\t\n\r ", r"!-/:-@\[-`{-~"
+_RE2_PLAIN = rf"^[{_BLANK}0-9{_SIGN}{LETTER}]*\z"
+#: What the pre-tokenizer makes of plain pieces that end with a zero character each.
+PRE_TOKENS = re.compile(rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[{_SIGN}]+|\0|[{_BLANK}]+(?![^{_BLANK}\0])|[{_BLANK}]+")
+#: Pre-tokens (and pieces that are not plain) that a worker remembers, beyond those of the texts that pass the limit.
+REMEMBERED = 500_000
 #: Bytes of text whose distinct pieces are looked up together.
-GATHERED = 8 << 20
+GATHERED = 16 << 20
 
 
 class PieceIds:
-    """Ids of whole texts: each distinct piece between spaces is encoded once while it is remembered."""
+    """Ids of whole texts. Each distinct piece between spaces is cut into pre-tokens, each distinct pre-token is encoded
+    by the library's model once while it is remembered. Pieces with characters beyond the plain ones, and all pieces of
+    files with another pre-tokenizer, are encoded by the library as they are."""
 
     def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
+
         self.tokenizer = tokenizer
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.newline = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces not seen before: together, one per line; those with a line end are cut there first; white space alone."""
-        compound = {p: PIECES.findall(p) for p in pieces if "\n" in p and not p.isspace()}
-        if compound:
-            parts = {x for own in compound.values() for x in own}
-            self._learn([*(p for p in pieces if p not in compound), *(x for x in parts if x not in self.young)])
-            self.young.update((p, b"".join(map(self.young.__getitem__, own))) for p, own in compound.items())
-            return
-        one = len(self.newline) == 1
-        lines = [p for p in pieces if one and p and not p.isspace()]
-        alone = [p for p in pieces if not one or not p or p.isspace()]
-        for i in range(0, len(lines), 50_000):
-            blocks = [lines[j:j + 1000] for j in range(i, min(i + 50_000, len(lines)), 1000)]
-            for block, ids in zip(blocks, self._ids(["\n".join(b) for b in blocks]), strict=True):
-                cuts = np.flatnonzero(ids == self.newline[0]).tolist()
-                if len(cuts) == len(block) - 1:
-                    raw = ids.tobytes()
-                    self.young.update(zip(block, map(raw.__getitem__, map(slice, [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), len(raw)])), strict=True))
-                else:
-                    alone += block
-        self.young.update(zip(alone, (x.tobytes() for x in self._ids(alone)), strict=True))
-
-    def _known(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and joined ids of distinct pieces. What the last two generations did not hold is forgotten."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        known = list(map(young.get, pieces))
-        missing = [p for p, ids in zip(pieces, known, strict=True) if ids is None]
-        if missing:
-            new = []
-            for p in missing:
-                ids = old.get(p)
-                if ids is None:
-                    new.append(p)
-                else:
-                    young[p] = ids
-            self._learn(new)
-            known = list(map(young.__getitem__, pieces))
-        return np.fromiter(map(len, known), np.int64, len(known)) // 4, np.frombuffer(b"".join(known), np.uint32)
-
-    def _whole(self, text: str) -> np.ndarray:
-        """A text with special strings, which cut it first, or with spaces inside runs of white space."""
-        if any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = PIECES.findall(text)
-        distinct = list(dict.fromkeys(pieces))
-        sizes, flat = self._known(distinct)
-        begins, place = np.cumsum(sizes) - sizes, dict(zip(distinct, range(len(distinct)), strict=True))
-        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-        return flat[ranges(begins[at], sizes[at])]
+        cut = tokenizer.pre_tokenizer
+        self.cuts_plainly = tokenizer.normalizer is None and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        # bytes as the library writes them
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        plain = [*map(chr, range(128)), *(chr(c) for a, b in _LETTERS[2:] for c in range(ord(a), ord(b) + 1))]
+        self.spelled = {ord(c): spell(c)[0][0] for c in plain}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Number 0 is the end of a piece, which has no ids."""
+        self.numbers = _Numbered()
+        self.numbers["\0"] = 0
+        self.sizes, self.begins, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _library_s(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _numbered(self, found: list[str], encode: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
+        """Each one's number; ``encode`` gives the ids of those not seen before."""
+        before = len(self.numbers)
+        at = np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
+        new = list(islice(self.numbers, before, None))
+        if new:
+            ids = encode(new)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        return at
+
+    def _by_model(self, pre_tokens: list[str]) -> list[list[int]]:
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(x)] for x in "\0".join(pre_tokens).translate(self.spelled).split(self.spelled[0])]
+
+    def _by_library(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([x[2:] for x in pieces], add_special_tokens=False)]
+
+    def _of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and joined ids of pieces."""
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        if self.cuts_plainly:
+            plain = pc.match_substring_regex(pieces, _RE2_PLAIN)
+        else:
+            plain = pa.array(np.zeros(len(pieces), bool))
+        n = pc.sum(plain, min_count=0).as_py()
+        pre = self._numbered(PRE_TOKENS.findall("\0".join([*_strings(pieces.filter(plain)), ""])), self._by_model) if n else np.zeros(0, np.int64)
+        if n == len(pieces):
+            at = pre
+        else:  # the others are one number each, in their places; marked, as one may be the zero character
+            others = self._numbered(["\0\0" + x for x in _strings(pieces.filter(pc.invert(plain)))], self._by_library)
+            ends = np.flatnonzero(pre == 0)
+            counts = np.full(len(pieces), 2)
+            counts[plain.to_numpy(zero_copy_only=False)] = np.diff(ends, prepend=-1)
+            is_pre = np.repeat(plain.to_numpy(zero_copy_only=False), counts)
+            at = np.zeros(len(is_pre), np.int64)
+            at[is_pre] = pre
+            at[np.flatnonzero(~is_pre)[::2]] = others
+        sizes = self.sizes[at]
+        flat = self.flat[ranges(self.begins[at], sizes)]
+        return np.diff(np.cumsum(sizes)[at == 0], prepend=0), flat
+
+    def _odd(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts with special strings, which cut them first, or with spaces inside runs of white space."""
+        special = [any(x in t for x in self.special) for t in texts]
+        pieces = [[] if own else PIECES.findall(t) for t, own in zip(texts, special, strict=True)]
+        sizes, flat = self._of(pa.array(list(chain.from_iterable(pieces)), pa.large_string()))
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]
+        return [np.array(self._library_s(t), np.uint32) if own else x for t, own, x in zip(texts, special, np.split(flat, ends[:-1]), strict=True)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """32-bit ids of each text (no nulls)."""
         odd = pc.match_substring_regex(texts, INNER_SPACE)
         for x in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, x))
+        rest = iter(self._odd(texts.filter(odd).to_pylist()) if pc.any(odd).as_py() else ())
         plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
         codes = plain.flatten().dictionary_encode()
         at, lengths = codes.indices.to_numpy(), pc.list_value_length(plain).to_numpy()
         begins = np.cumsum(lengths) - lengths  # every text has a first piece, which no space precedes
-        words = codes.dictionary.to_pylist()
-        firsts = np.unique(at[begins]).tolist()
-        sizes, flat = self._known([*(" " + w for w in words), *(words[i] for i in firsts)])
+        firsts = np.unique(at[begins])
+        words = codes.dictionary
+        after_space = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string()))
+        sizes, flat = self._of(pa.concat_arrays([after_space, words.take(pa.array(firsts))]))
         # a piece that never follows a space costs an encoding, no more
         at = at.astype(np.int64)
         at[begins] = len(words) + np.searchsorted(firsts, at[begins])
-        starts = np.cumsum(sizes) - sizes
-        ids, each = flat[ranges(starts[at], sizes[at])], np.cumsum(sizes[at])
-        ends = np.where(lengths > 0, each[np.cumsum(lengths) - 1], 0) if len(at) else np.zeros(0, np.int64)
+        starts, each = np.cumsum(sizes) - sizes, sizes[at]
+        ids, ends = flat[ranges(starts[at], each)], np.cumsum(each)[np.cumsum(lengths) - 1] if len(at) else np.zeros(0, np.int64)
         fast = iter(np.split(ids, ends[:-1]) if len(ends) else ())
-        return [self._whole(t) if o else next(fast) for t, o in zip(texts.to_pylist() if pc.any(odd).as_py() else [None] * len(texts), odd.to_pylist(), strict=True)]
+        return [next(rest) if o else next(fast) for o in odd.to_pylist()]
+
+
+def _strings(x: pa.Array) -> list[str]:
+    return x.to_numpy(zero_copy_only=False).tolist()
 
 
 _WORKER: dict[int, PieceIds] = {}

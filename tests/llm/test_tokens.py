@@ -1,6 +1,7 @@
 """op4 and op8 against the tokenizers library on whole texts, op8's files, round trips."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -18,6 +19,7 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 
 
 TOK = Tokenizer.from_file(BYTE)
+PIECES = token_files.PieceIds(TOK)
 
 
 def sha(text):
@@ -101,3 +103,33 @@ def test_pieces_are_the_library_s(texts):
     tok = TOK
     for t, x in zip(texts, token_files.PieceIds(tok).encode(pa.array(texts, pa.large_string())), strict=True):
         assert x.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_each_pre_token_is_encoded_once(monkeypatch):
+    """Words that differ only by the signs around them share their ids."""
+    pieces, learned = token_files.PieceIds(TOK), []
+    by_model = pieces._by_model
+    monkeypatch.setattr(pieces, "_by_model", lambda new: learned.extend(new) or by_model(new))
+    texts = [f"go ({w}) {w}, {w}. {w}'s\n{w} {w}%%%" for w in ("alpha", "ñandú", "слово", "gamma")] * 2
+    for t in texts:
+        got, = pieces.encode(pa.array([t], pa.large_string()))
+        assert got.tolist() == TOK.encode(t, add_special_tokens=False).ids
+    assert len(learned) == len(set(learned)) < 2 * 4 + 12  # a word with and without a space, and the signs
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*" \n\t\r", *"aZſɏÀ×÷µªΑωΪЀҁ҂²٣5_'.-~", "'s", "'ll", "e\u0301", "\0", "漢", "🙂", "\x85", "\x0b"]), max_size=30).map("".join),
+                min_size=1, max_size=5))
+def test_pre_tokens_are_the_library_s(texts):
+    for t, x in zip(texts, PIECES.encode(pa.array(texts, pa.large_string())), strict=True):
+        assert x.tolist() == TOK.encode(t, add_special_tokens=False).ids, t
+
+
+def test_files_with_another_pre_tokenizer_are_the_library_s():
+    spec = json.loads(TOK.to_str())
+    spec["pre_tokenizer"]["use_regex"] = False
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, spec["pre_tokenizer"]]}
+    pieces = token_files.PieceIds(Tokenizer.from_str(json.dumps(spec)))
+    assert not pieces.cuts_plainly
+    sizes, flat = pieces._of(pa.array(["abc123", " x"], pa.large_string()))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [pieces._library_s("abc123"), pieces._library_s(" x")]
