@@ -28,9 +28,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,7 +42,9 @@ from loanroll.session import scratch_dir
 
 from .common import bounded_batches, ranges, returns_memory, staged, texts_as_bytes
 
-#: Words and distinct words of a chunk at most, beyond the document that passes the limit.
+#: Bytes of text whose distinct words are numbered together.
+GATHERED = 8 << 20
+#: Words of a chunk at most, beyond the document that passes the limit, and distinct words, beyond the texts numbered together.
 CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 500_000
 #: Bytes of text per bucket of the written table.
 CHUNK_BYTES = 16 << 20
@@ -78,11 +82,20 @@ def unpack_numbers(b: bytes) -> np.ndarray:
 
 def pack_wide(x: np.ndarray) -> bytes:
     """64-bit numbers, their bytes of equal weight together."""
-    return pack(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T)
+    x = np.ascontiguousarray(x).view(np.uint64)
+    planes, size = np.zeros((8, len(x)), np.uint8), int(x.max()).bit_length() if len(x) else 0
+    for k in range(-(-size // 8)):  # the others are zero
+        planes[k] = x.view(np.uint8)[k::8]
+    return pack(planes)
 
 
 def unpack_wide(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    planes = unpack(b, np.uint8).reshape(8, -1)
+    x = planes[0].astype(np.uint64)
+    for k in range(1, 8):
+        if planes[k].any():
+            x |= planes[k].astype(np.uint64) << np.uint64(8 * k)
+    return x
 
 
 class _Numbered(dict):
@@ -93,14 +106,34 @@ class _Numbered(dict):
         return n
 
 
-def words_as_is(text: bytes) -> list[bytes]:
-    """Words between ASCII white space."""
-    return text.split()
+def _strings(texts: pa.Array) -> pa.Array:
+    return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
-def words_lower(text: bytes) -> list[bytes]:
+def words_as_is(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Words between ASCII white space: their number in each text (a null counts as the empty text), and all of them."""
+    words = pc.ascii_split_whitespace(_strings(texts))
+    lengths, flat = pc.list_value_length(words).to_numpy().astype(np.int64), words.flatten()
+    empty = pc.equal(flat, "")  # white space at the edges of a text
+    ends = np.cumsum(lengths)
+    dropped = np.concatenate([[0], np.cumsum(empty.to_numpy(zero_copy_only=False))])
+    return lengths - (dropped[ends] - dropped[ends - lengths]), flat.filter(pc.invert(empty))
+
+
+def words_lower(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Words between ASCII white space, A-Z lower-cased."""
-    return text.lower().split()
+    return words_as_is(pc.ascii_lower(_strings(texts)))
+
+
+def words_by(cut: Callable[[bytes], list[bytes]]) -> Words:
+    """The words of texts that ``cut`` makes of each one's bytes."""
+    def to_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+        words = [cut(t) for t in texts_as_bytes(texts)]
+        return np.fromiter(map(len, words), np.int64, len(words)), list(chain.from_iterable(words))
+    return to_words
+
+
+Words = Callable[[pa.Array], tuple[np.ndarray, pa.Array | list[bytes]]]
 
 
 def _record(schema: str, rows: list[dict]) -> pa.RecordBatch:
@@ -116,33 +149,36 @@ class _Chunk:
     number: int
     slice_words: int = _SLICE_WORDS
     words: _Numbered = field(default_factory=_Numbered)
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     n: int = 0
     ids: list[int | None] = field(default_factory=list)
+    counted: list[bool] = field(default_factory=list)
+    lengths: list[int] = field(default_factory=list)
     places: list[np.ndarray] = field(default_factory=list)
 
-    def add(self, doc_id: int | None, counted: bool, words: list[bytes]) -> None:
-        places = np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words))
-        if counted and len(places):
-            found = np.bincount(places)
-            if len(self.counts) < len(found):
-                self.counts = np.concatenate([self.counts, np.zeros(max(len(found), 2 * len(self.counts)) - len(self.counts), np.int64)])
-            self.counts[:len(found)] += found
-        self.ids.append(doc_id)
+    def add(self, ids: list[int | None], counted: list[bool], lengths: list[int], words: pa.Array | list[bytes]) -> None:
+        """Texts and all their words. An Arrow column is numbered by its distinct words."""
+        if isinstance(words, list):
+            places = np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words))
+        else:
+            found = words.dictionary_encode()
+            own = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+            places = np.fromiter(map(self.words.__getitem__, own), np.uint32, len(own))[found.indices.to_numpy()]
+        self.ids += ids
+        self.counted += counted
+        self.lengths += lengths
         self.places.append(places)
-        self.n += len(words)
+        self.n += len(places)
 
     def rows(self, buckets: int) -> Iterator[dict]:
         """The chunk's documents, and its words by bucket. Words are numbered anew by frequency: small numbers pack better."""
-        lengths, places = [len(p) for p in self.places], np.concatenate(self.places)
+        lengths, places = self.lengths, np.concatenate(self.places)
         words, self.words, self.places = list(self.words), _Numbered(), []  # what is done with is let go
         order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order), dtype=np.uint32)
         yield self._documents(lengths, number[places])
+        counts = np.bincount(places[np.repeat(np.array(self.counted, bool), lengths)], minlength=len(words))
         del places
-        counts = np.zeros(len(words), np.int64)
-        counts[:min(len(words), len(self.counts))] = self.counts[:len(words)]
         bucket = (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets)[order]
         by = np.argsort(bucket, kind="stable")
         for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
@@ -196,7 +232,20 @@ class Split:
         return self.layout.all_buckets
 
 
-def split(docs: DataFrame, to_words: Callable[[bytes], list[bytes]], id_col: str = "doc_id", text_col: str = "text",
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Neighbouring batches together, up to GATHERED bytes and the batch that passes them."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= GATHERED:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def split(docs: DataFrame, to_words: Words, id_col: str = "doc_id", text_col: str = "text",
           counted=None, slice_words: int = _SLICE_WORDS) -> Split:
     """Write chunks of word places and their word lists; ``counted`` (a condition) says whose words are counted."""
     spark = docs.sparkSession
@@ -209,10 +258,15 @@ def split(docs: DataFrame, to_words: Callable[[bytes], list[bytes]], id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk(TaskContext.get().partitionId() << 32, slice_words)
-        for b in batches:
-            for doc, on, text in zip(b.column("doc_id").to_pylist(), b.column("counted").to_pylist(),
-                                     texts_as_bytes(b.column("text")), strict=True):
-                chunk.add(doc, on, to_words(text))
+        for b in _gathered(batches):
+            ids, on = b.column("doc_id").to_pylist(), b.column("counted").to_pylist()
+            lengths, words = to_words(b.column("text").combine_chunks())
+            ends, first = np.cumsum(lengths), 0
+            while first < len(ids):  # up to the document that passes the limit of words
+                before = int(ends[first] - lengths[first])
+                last = min(int(np.searchsorted(ends, before + CHUNK_WORDS - chunk.n)) + 1, len(ids))
+                chunk.add(ids[first:last], on[first:last], lengths[first:last].tolist(), words[before:int(ends[last - 1])])
+                first = last
                 if chunk.n >= CHUNK_WORDS or len(chunk.words) >= CHUNK_DISTINCT:
                     yield from (_record(SPLIT_SCHEMA, [r]) for r in chunk.rows(buckets))
                     chunk = _Chunk(chunk.number + 1, slice_words)

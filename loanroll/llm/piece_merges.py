@@ -190,7 +190,7 @@ def _source(spark: SparkSession, path: str) -> Broadcast:
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id and ids (array<int>) as the library gives them for the whole text."""
     source = _source(docs.sparkSession, model)
-    parts = dictionary.split(docs, words_of, id_col, text_col)
+    parts = dictionary.split(docs, dictionary.words_by(words_of), id_col, text_col)
 
     def answer(_bucket: int, words: list[bytes], _counts: np.ndarray):
         word, ids = _encoder(source).word, []

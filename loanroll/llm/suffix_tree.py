@@ -276,23 +276,22 @@ class Walk:
         ``above`` is the count of the n-gram that ends at a token, of as many symbols as the contexts have.
         """
         n, above = len(t.local), t.count
-        full, key = t.symbols[t.local], np.zeros(n, np.uint64)
+        full, gram, grams = t.symbols[t.local], t.local, len(t.symbols)  # ``gram`` numbers the n-grams that ``above`` counts
         order = np.argsort(t.symbols)  # followers of a context ascend: their differences pack well
         by_symbol, rank = t.symbols[order], np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         for d in range(1, self.depth + 1):
-            total, near = np.zeros(n, np.int64), np.zeros(n, np.uint64)
-            total[1:], near[d:] = above[:-1], full[:-d]  # a context is the n-gram that ends before the token
-            key = _mix(key + (near + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            total = np.zeros(n, np.int64)
+            total[1:] = above[:-1]  # a context is the n-gram that ends before the token
             reach = np.flatnonzero((t.place >= d) & (total >= self.least))
-            contexts, first, at = distinct(key[reach])
+            contexts, tokens, at = _contexts(full, reach, gram[reach - 1], grams, d)
             some = np.arange(len(reach)) if d == 1 else np.flatnonzero(above[reach] >= 2)
             rows = reach[some]
             context, follower, pair = _pairs(at[some], rank[t.local[rows]], len(contexts), len(t.symbols))
             if d not in told:
                 one = np.zeros(len(context), np.int64)
                 one[pair] = rows  # any token of each pair: what its suffix makes of it is the same everywhere
-                yield {"contexts": contexts, "totals": total[reach[first]].astype(np.uint64), "sizes": np.bincount(context, minlength=len(contexts)),
+                yield {"contexts": contexts, "totals": total[tokens].astype(np.uint64), "sizes": np.bincount(context, minlength=len(contexts)),
                        "followers": by_symbol[follower], "counts": np.bincount(pair[train[rows]], minlength=len(context)).astype(np.uint64),
                        "p": t.p[one].astype(np.float32)}
                 return
@@ -300,6 +299,8 @@ class Walk:
                               for f, parts in zip((dictionary.unpack_wide, dictionary.unpack_numbers), told[d], strict=True))
             above = np.zeros(n, np.int64)
             above[rows] = counts.astype(np.int64)[pair]
+            gram, grams = np.zeros(n, np.int64), len(context)
+            gram[rows] = pair
             free = shares.view(np.float32)[at].astype(float)
             kept = ~np.isnan(free)
             r = reach[kept]
@@ -317,6 +318,22 @@ class Tokens:
     p: np.ndarray
 
 
+def _contexts(full: np.ndarray, reach: np.ndarray, gram: np.ndarray, grams: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the d symbols before tokens, of which ``gram`` (below ``grams``) is a number, with one of the
+    tokens after each, and each token's place among them. Only distinct ones are hashed and sorted."""
+    after = np.full(grams, -1, np.int64)
+    after[gram] = reach
+    used = np.flatnonzero(after >= 0)
+    after = after[used]
+    key = np.zeros(len(used), np.uint64)
+    for e in range(1, d + 1):
+        key = _mix(key + (full[after - e] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key)
+    number = np.empty(grams, np.int64)
+    number[used[order]] = np.arange(len(used))
+    return key[order], after[order], number[gram]
+
+
 def _pairs(context: np.ndarray, follower: np.ndarray, n_contexts: int, n_followers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in the order of their contexts, and each row's pair. Sorted as one number with the row where it fits."""
     n = len(context)

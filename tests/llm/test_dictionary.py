@@ -1,7 +1,12 @@
 """The distinct-word table where the corpus is larger than a group of chunks."""
 
+from collections import Counter
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from conftest import WEIRD
 from sentencepiece import SentencePieceProcessor
 from test_documents import plain_tree
 from tokenizers import Tokenizer
@@ -58,3 +63,47 @@ def test_layout_of_100_tb():
 def test_files_with_a_decoder_are_refused():
     with pytest.raises(ValueError, match="decoder"):
         bpe.piece_table(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_of_arrow_texts():
+    for cut, plain in ((dictionary.words_as_is, lambda t: t.split()), (dictionary.words_lower, lambda t: t.lower().split())):
+        for texts in (WEIRD, [], [None], ["", " \x0b"], [" a", "b ", "\x1ca\xa0B  İ\n"]):
+            lengths, words = cut(pa.array(texts, pa.string()))
+            own = [plain((t or "").encode()) for t in texts]
+            assert lengths.tolist() == [len(w) for w in own]
+            assert [w.encode() for w in words.to_pylist()] == [w for x in own for w in x]
+
+
+@pytest.mark.parametrize("words", [lambda w: pa.array(w, pa.large_string()), lambda w: [x.encode() for x in w]])
+def test_counts_of_a_chunk(monkeypatch, words):
+    """Counted once for the whole chunk: a count for each text would be as long as the chunk's word list."""
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(dictionary.np, "bincount", lambda *a, **k: calls.append(a) or bincount(*a, **k))
+    texts, chunk = [[f"w{i % 7}", f"x{i}", "w0"] for i in range(50)], dictionary._Chunk(0)
+    for a in range(0, 50, 20):
+        own = texts[a:a + 20]
+        chunk.add(list(range(a, a + len(own))), [i % 3 > 0 for i in range(a, a + len(own))], [3] * len(own), words([w for t in own for w in t]))
+    rows = list(chunk.rows(4))
+    expected = Counter(w for i, t in enumerate(texts) if i % 3 for w in t)
+    got = {w.decode(): int(n) for r in rows[1:] for w, n in zip(dictionary.unpack(r["words"]).split(b"\n"), dictionary.unpack_wide(r["counts"]), strict=True)}
+    assert got == {w: expected[w] for t in texts for w in t}
+    assert rows[0]["doc_ids"] == list(range(50)) and rows[0]["lengths"] == [3] * 50
+    assert len(calls) == 2
+
+
+def test_wide_numbers_packed():
+    for x in ([], [0], [255, 256, 3], [1 << 63, 5, (1 << 64) - 1]):
+        assert dictionary.unpack_wide(dictionary.pack_wide(np.array(x, np.uint64))).tolist() == x
+
+
+def test_a_context_is_hashed_once(monkeypatch):
+    """Tokens that follow the same symbols share one hash, in each depth."""
+    hashed, mix = [], suffix_tree._mix
+    monkeypatch.setattr(suffix_tree, "_mix", lambda x: hashed.append(len(x)) or mix(x))
+    lengths, at = np.full(200, 10), np.tile(np.arange(5), 400)
+    words = np.arange(2, 7).astype(np.uint64), np.full(5, 400), at
+    walk = suffix_tree.Walk(1, 2, 4, 200, 0, 2200.0, 0.1)
+    asked, = walk.go(walk.start(words, lengths), np.ones(2200, bool), {})
+    assert len(asked["contexts"]) == 5 and sorted(asked["contexts"].tolist()) == asked["contexts"].tolist()
+    assert asked["totals"].tolist() == [400] * 5 and int(asked["counts"].sum()) == 2000
+    assert sum(hashed) == 5
