@@ -14,8 +14,8 @@ suffix's distribution; followers seen once have only the latter.
 
 Words, contexts and followers are kept by absolute counts, so the tree grows
 with the corpus; it is never collected or broadcast. Depth by depth, each unit
-of texts asks about its distinct contexts (64-bit hashes, dealt by hash) with
-their followers, how often it has them, and what their suffixes make of them.
+of texts asks about its distinct contexts (dealt by 64-bit hashes, short ones
+spelled as their symbols, which take less room) with their followers, how often it has them, and what their suffixes make of them.
 The task that a context is dealt to sums the followers over all units, decides
 whether the context is kept, writes it as a part of the tree, and tells the
 units the followers' counts and the share that the context leaves to its
@@ -32,7 +32,7 @@ the smoothed share of an unknown one. Only the id and text columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +54,8 @@ CODED_SCHEMA = ("doc_ids array<bigint>, null_ids array<boolean>, lengths array<i
                 "base array<double>, rest array<double>, symbols binary, counts binary, places binary")
 #: Words of the texts that ask together, beyond the document that passes the limit.
 UNIT_WORDS = 1_000_000
+#: Contexts of so many symbols at most are asked about as their symbols, longer ones as their hashes.
+SPELLED = 2
 ASKED_SCHEMA = "unit bigint, bucket int, contexts binary, totals binary, sizes binary, followers binary, counts binary, p binary"
 #: Rows of the kind ``tree`` are kept contexts, their shares left, and their followers with counts.
 TOLD_SCHEMA = "kind string, unit bigint, bucket int, told binary, shares binary, contexts binary, sizes binary, followers binary"
@@ -259,8 +261,26 @@ class Walk:
         return min(self.buckets, dictionary.MOST_BUCKETS)
 
     def bucket(self, keys: np.ndarray) -> np.ndarray:
-        """Ranges of sorted keys."""
-        return (((keys >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(np.int64)
+        """Ranges of keys."""
+        kind = np.uint16 if self.buckets <= 1 << 16 else np.int64  # the former are sorted faster
+        return (((keys >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).astype(kind)
+
+    def _contexts(self, full: np.ndarray, reach: np.ndarray, gram: np.ndarray, grams: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the d symbols before tokens, of which ``gram`` (below ``grams``) is a number, with one of the tokens
+        after each, and each token's place among them. Only distinct ones are hashed and sorted.
+
+        They are in the order of their buckets, and there in that of their hashes or, if they are spelled in more than one
+        symbol, in that of their numbers: those of the same first symbol together, the second ones ascending.
+        """
+        after = np.full(grams, -1, np.int64)
+        after[gram] = reach
+        used = np.flatnonzero(after >= 0)
+        after = after[used]
+        key = _hashed(full[after - e] for e in range(1, d + 1))
+        order = np.argsort(self.bucket(key), kind="stable") if 1 < d <= SPELLED else np.argsort(key)
+        number = np.empty(grams, np.int64)
+        number[used[order]] = np.arange(len(used))
+        return key[order], after[order], number[gram]
 
     def start(self, words: tuple[np.ndarray, ...], lengths: np.ndarray) -> Tokens:
         kinds, counts, at = words
@@ -284,14 +304,15 @@ class Walk:
             total = np.zeros(n, np.int64)
             total[1:] = above[:-1]  # a context is the n-gram that ends before the token
             reach = np.flatnonzero((t.place >= d) & (total >= self.least))
-            contexts, tokens, at = _contexts(full, reach, gram[reach - 1], grams, d)
+            contexts, tokens, at = self._contexts(full, reach, gram[reach - 1], grams, d)
             some = np.arange(len(reach)) if d == 1 else np.flatnonzero(above[reach] >= 2)
             rows = reach[some]
             context, follower, pair = _pairs(at[some], rank[t.local[rows]], len(contexts), len(t.symbols))
             if d not in told:
                 one = np.zeros(len(context), np.int64)
                 one[pair] = rows  # any token of each pair: what its suffix makes of it is the same everywhere
-                yield {"contexts": contexts, "totals": total[tokens].astype(np.uint64), "sizes": np.bincount(context, minlength=len(contexts)),
+                spelled = np.stack([full[tokens - e] for e in range(d, 0, -1)], 1) if d <= SPELLED else np.zeros((len(contexts), 0), np.uint64)
+                yield {"contexts": contexts, "spelled": spelled, "totals": total[tokens].astype(np.uint64), "sizes": np.bincount(context, minlength=len(contexts)),
                        "followers": by_symbol[follower], "counts": np.bincount(pair[train[rows]], minlength=len(context)).astype(np.uint64),
                        "p": t.p[one].astype(np.float32)}
                 return
@@ -318,20 +339,12 @@ class Tokens:
     p: np.ndarray
 
 
-def _contexts(full: np.ndarray, reach: np.ndarray, gram: np.ndarray, grams: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the d symbols before tokens, of which ``gram`` (below ``grams``) is a number, with one of the
-    tokens after each, and each token's place among them. Only distinct ones are hashed and sorted."""
-    after = np.full(grams, -1, np.int64)
-    after[gram] = reach
-    used = np.flatnonzero(after >= 0)
-    after = after[used]
-    key = np.zeros(len(used), np.uint64)
-    for e in range(1, d + 1):
-        key = _mix(key + (full[after - e] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key)
-    number = np.empty(grams, np.int64)
-    number[used[order]] = np.arange(len(used))
-    return key[order], after[order], number[gram]
+def _hashed(symbols: Iterable[np.ndarray]) -> np.ndarray:
+    """Hashes of contexts, from their symbols, the last one first."""
+    key = np.uint64(0)
+    for x in symbols:
+        key = _mix(key + (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return key
 
 
 def _pairs(context: np.ndarray, follower: np.ndarray, n_contexts: int, n_followers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -381,24 +394,25 @@ def _grow(coded: DataFrame, walk: Walk, files: int, min_divergence: float) -> Gr
         train = np.repeat(~np.array(b.column("held").to_pylist()[i], bool), lengths + 1)
         for made in walk.go(walk.start(words, lengths), train, got):
             bucket = walk.bucket(made["contexts"])
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
             ends = np.cumsum(made["sizes"])
             inner = ends[cuts - 1] if len(cuts) else cuts
-            parts = {c: np.split(made[c], cuts if c in ("contexts", "totals", "sizes") else inner) for c in made}
+            parts = {c: np.split(made[c], cuts if c in ("contexts", "spelled", "totals", "sizes") else inner) for c in made}
             for k, contexts in enumerate(parts["contexts"]):
                 if len(contexts):
                     yield _row(ASKED_SCHEMA, unit=unit, bucket=int(walk.bucket(contexts[:1])[0]),
-                               contexts=dictionary.pack_wide(np.diff(contexts, prepend=np.uint64(0))), totals=dictionary.pack_wide(parts["totals"][k]),
+                               contexts=pack_contexts(contexts, parts["spelled"][k]), totals=dictionary.pack_wide(parts["totals"][k]),
                                sizes=dictionary.pack_numbers(parts["sizes"][k]), followers=pack_ascending(parts["followers"][k], parts["sizes"][k]),
                                counts=dictionary.pack_wide(parts["counts"][k]), p=dictionary.pack_numbers(parts["p"][k].view(np.uint32)))
 
     for d in range(1, walk.depth + 1):
         asked = _walked(coded, told, ask, ASKED_SCHEMA).repartition(walk.tasks, "bucket").sortWithinPartitions("bucket", "unit")
         decided = asked.select("bucket", *(c for c in asked.columns if c != "bucket")).mapInArrow(
-            dictionary._in_turn(1, _decided(min_divergence)), TOLD_SCHEMA)
+            dictionary._in_turn(1, _decided(d, min_divergence)), TOLD_SCHEMA)
         path = scratch_dir(spark, "decided")
         decided.write.option("compression", "zstd").partitionBy("kind").parquet(path)
         del asked, decided
+        release_shuffles(spark)  # the questions, before the answers are dealt
         rows = spark.read.schema(TOLD_SCHEMA).parquet(path)
         answers = rows.where("kind = 'told'").select("unit", "bucket", "told", "shares")
         told = told | {d: dictionary.bucketed(answers.repartition(files, "unit"), files, "unit")[0]}
@@ -424,16 +438,44 @@ def unpack_ascending(packed: bytes, sizes: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, sizes[sizes > 0])
 
 
+def pack_contexts(keys: np.ndarray, spelled: np.ndarray) -> bytes:
+    """Contexts of one bucket as their symbols, one row each, or, where these are left out, as ascending hashes.
+
+    A first symbol that is that of the context before is 0 (others are one more), and a second one a difference then.
+    """
+    if not spelled.shape[1]:
+        return dictionary.pack_wide(np.diff(keys, prepend=np.uint64(0)))
+    first = spelled[:, 0]
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] != first[:-1]
+    later = [np.where(new, x, np.diff(x, prepend=np.uint64(0))) for x in spelled.T[1:]]
+    return dictionary.pack_wide(np.concatenate([np.where(new, first + np.uint64(1), np.uint64(0)), *later]))
+
+
+def unpack_contexts(packed: bytes, depth: int) -> np.ndarray:
+    """The hashes of contexts of ``depth`` symbols."""
+    if depth > SPELLED:
+        return np.cumsum(dictionary.unpack_wide(packed), dtype=np.uint64)
+    first, *later = dictionary.unpack_wide(packed).reshape(depth, -1)
+    begins = np.flatnonzero(first)
+    sizes = np.diff(np.append(begins, len(first)))
+    columns = [np.repeat(first[begins] - np.uint64(1), sizes)]
+    for x in later:
+        total = np.cumsum(x, dtype=np.uint64)  # may wrap around: differences of it don't
+        columns.append(total - np.repeat(total[begins] - x[begins], sizes))
+    return _hashed(reversed(columns))
+
+
 def _row(schema: str, **values) -> pa.RecordBatch:
     return dictionary._record(schema, [values])
 
 
-def _decided(min_divergence: float):
-    """For the units' questions of one bucket: the answers, and the part of the tree that its contexts are."""
+def _decided(depth: int, min_divergence: float):
+    """For the units' questions about contexts of one length and bucket: the answers, and the part of the tree that its contexts are."""
     def solve(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         bucket, = key
         units = [r[0] for r in rows]
-        contexts = [np.cumsum(dictionary.unpack_wide(r[1]), dtype=np.uint64) for r in rows]
+        contexts = [unpack_contexts(r[1], depth) for r in rows]
         each = [dictionary.unpack_numbers(r[3]).astype(np.int64) for r in rows]
         sizes = np.concatenate(each)
         follower = np.concatenate([unpack_ascending(r[4], own) for r, own in zip(rows, each, strict=True)])

@@ -1,5 +1,6 @@
 """The distinct-word table where the corpus is larger than a group of chunks."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -107,3 +108,56 @@ def test_a_context_is_hashed_once(monkeypatch):
     assert len(asked["contexts"]) == 5 and sorted(asked["contexts"].tolist()) == asked["contexts"].tolist()
     assert asked["totals"].tolist() == [400] * 5 and int(asked["counts"].sum()) == 2000
     assert sum(hashed) == 5
+
+
+def test_short_contexts_are_spelled():
+    """Contexts of one and two symbols come back as the hashes of their symbols, whatever the order, and take less room than these."""
+    rng = np.random.default_rng(3)
+    wide = [(1 << 64) - 2, 0, 5]
+    for first, second in (([], []), ([0], [0]), ([7, 7, 2, 7], [9, 1, 0, 5]), (wide, wide[::-1])):
+        x = np.array([first, second], np.uint64).T
+        for d in (1, 2):
+            keys = suffix_tree._hashed(x[:, e] for e in range(d - 1, -1, -1))
+            assert suffix_tree.unpack_contexts(suffix_tree.pack_contexts(keys, x[:, :d]), d).tolist() == keys.tolist()
+    keys = np.sort(suffix_tree._mix(np.arange(50, dtype=np.uint64)))
+    assert suffix_tree.unpack_contexts(suffix_tree.pack_contexts(keys, np.zeros((50, 0), np.uint64)), 3).tolist() == keys.tolist()
+
+    lengths, at = np.full(2000, 10), np.minimum(rng.zipf(1.3, 20000) - 1, 2999)
+    counts = np.bincount(at, minlength=3000)
+    walk = suffix_tree.Walk(2, 2, 4, 2000, 0, 22000.0, 0.1)
+    words = np.arange(2, 3002).astype(np.uint64), counts, at
+    one, = walk.go(walk.start(words, lengths), np.ones(22000, bool), {})
+    told = {1: ([dictionary.pack_wide(one["counts"])], [dictionary.pack_numbers(np.ones(len(one["contexts"]), np.float32).view(np.uint32))])}
+    two, = walk.go(walk.start(words, lengths), np.ones(22000, bool), told)
+    for d, asked in ((1, one), (2, two)):
+        bucket = walk.bucket(asked["contexts"]).astype(int)
+        assert len(bucket) > 300 and (np.diff(bucket) >= 0).all() and len(set(asked["contexts"].tolist())) == len(bucket)
+        for b in range(4):
+            keys, spelled = asked["contexts"][bucket == b], asked["spelled"][bucket == b]
+            packed = suffix_tree.pack_contexts(keys, spelled)
+            assert suffix_tree.unpack_contexts(packed, d).tolist() == keys.tolist()
+            assert len(packed) < 0.7 * len(dictionary.pack_wide(np.diff(np.sort(keys), prepend=np.uint64(0))))
+
+
+def test_questions_go_before_answers_are_dealt(spark, docs, monkeypatch):
+    """When a depth's answers are dealt, the shuffle of its questions is off the disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles() -> set[str]:
+        every = files.getAllFiles()
+        return {n for n in (every.apply(i).getName() for i in range(every.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+    suffix_tree.release_shuffles(spark)
+    others, left, bucketed = shuffles(), [], dictionary.bucketed
+
+    def watched(df, buckets, key="chunk"):
+        end = time.time() + 3  # Spark deletes a little later
+        while (now := shuffles() - others) and time.time() < end:
+            time.sleep(0.1)
+        left.append((key, len(now)))
+        return bucketed(df, buckets, key)
+
+    monkeypatch.setattr(dictionary, "bucketed", watched)
+    suffix_tree.fit(docs)
+    assert [key for key, _ in left] == ["chunk", "unit", "unit", "unit", "unit"]
+    assert [n for _, n in left[2:]] == [0, 0, 0]
