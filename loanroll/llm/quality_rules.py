@@ -152,8 +152,10 @@ def references(measured: DataFrame) -> dict[str, tuple[list[float], dict[str, fl
     for lang, words in COMMON_WORDS.items():
         known = F.aggregate(F.filter("common", lambda x: x["w"].isin(*words)), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])  # noqa: B023
         own = F.when(F.col("lang") == lang, known).otherwise(own)
+    # Spark computes arrays that are to be exploded before it applies the filter: texts without words are divided by, too.
+    some = lambda n: F.greatest(n, F.lit(1))
     rows = measured.where(F.col("lang").isin(*COMMON_WORDS) & (F.col("n_words") >= MIN_WORDS)).select(
-        "lang", "n_words", "chars", "common", size.alias("size"), own.alias("own"))
+        "lang", some(F.col("n_words")).alias("n_words"), "chars", "common", some(size).alias("size"), own.alias("own"))
     bins = F.concat(F.transform("chars", lambda n: F.floor(n * BINS / F.col("size"))),
                     F.array(F.floor(F.col("own") * BINS / F.col("n_words"))))
     rows = rows.withColumn("bins", bins)

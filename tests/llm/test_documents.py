@@ -108,6 +108,20 @@ def test_rules_keep_rows_and_columns(weird_docs, no_docs):
     assert quality_rules.quality_rules(no_docs).count() == 0 and quality_rules.keep_well_formed(no_docs).count() == 0
 
 
+def test_texts_without_words_lie_beside_others(spark, docs):
+    """Empty, null and blank texts of a language in one file with its other texts: shares are not divided by their 0 words."""
+    empty = [(-1, "", "en", "s", 0), (-2, None, "en", "s", 0), (-3, " \n ", "de", "s", 3), (-4, None, "es", None, None), (-5, "", None, "s", 0), (-6, "un mot", "fr", "s", 6)]
+    df = docs.unionByName(spark.createDataFrame(empty, docs.schema)).coalesce(1)
+    refs, rows = plain_references(df.collect()), df.collect()
+    expected = {r.doc_id: (*plain_measures(r.text), plain_kept(r.text, refs)) for r in rows}
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept)
+           for r in quality_rules.quality_rules(df).collect()}
+    assert got == expected and len(got) == len(rows)
+    assert sorted(r.doc_id for r in quality_rules.keep_well_formed(df).collect()) == sorted(i for i, m in expected.items() if m[-1])
+    lone = spark.createDataFrame(empty, docs.schema).coalesce(1)
+    assert not any(r.kept for r in quality_rules.quality_rules(lone).collect()) and quality_rules.keep_well_formed(lone).count() == 0
+
+
 def test_texts_without_common_words_are_rejected(spark):
     """Ordinary letters alone make no language; short and long clean texts stay."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
