@@ -1,10 +1,15 @@
 """op2, op3, op5 and op10 against brute force, held-out accuracy and properties."""
 
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from loanroll.llm import classifier, quality_rules, sharding, suffix_tree
@@ -122,6 +127,40 @@ def test_texts_without_words_lie_beside_others(spark, docs):
     assert not any(r.kept for r in quality_rules.quality_rules(lone).collect()) and quality_rules.keep_well_formed(lone).count() == 0
 
 
+@pytest.mark.parametrize("source,long,piece", [("weird_docs", 0, 1), ("docs", 300, 50)])
+def test_texts_in_pieces_give_the_same_rows(request, monkeypatch, source, long, piece):
+    df = request.getfixturevalue(source)
+    results = lambda: [sorted(map(tuple, f(df).collect()), key=str) for f in (quality_rules.quality_rules, quality_rules.keep_well_formed)]
+    whole = results()
+    monkeypatch.setattr(quality_rules, "LONG", long)
+    monkeypatch.setattr(quality_rules, "PIECE", piece)
+    assert results() == whole
+
+
+LONG_RUN = """
+import sys
+from loanroll.llm import quality_rules
+from loanroll.session import get_session
+spark = get_session("local[1]", 4)
+docs = spark.read.parquet(sys.argv[1])
+r, = quality_rules.quality_rules(docs).collect()
+print("RESULT", r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words, r.kept, quality_rules.keep_well_formed(docs).count())
+"""
+
+
+def test_long_text_in_a_small_heap(tmp_path):
+    """14 MB in one text: more than a heap of 600 MB takes as an array of words."""
+    lines = [f"row{i} has a value and the key {i * i}" for i in range(360_000)]
+    lines += lines[:1000]
+    text = "\n".join(lines)
+    pq.write_table(pa.table({"doc_id": pa.array([1]), "text": [text], "lang": ["en"]}), f"{tmp_path}/long.parquet")
+    env = os.environ | {"LOANROLL_DRIVER_MEMORY": "600m", "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(quality_rules.__file__))), "TMPDIR": str(tmp_path)}
+    run = subprocess.run([sys.executable, "-c", LONG_RUN, f"{tmp_path}/long.parquet"], env=env, capture_output=True, text=True, timeout=300)
+    found = [x.split()[1:] for x in run.stdout.splitlines() if x.startswith("RESULT")]
+    m = plain_measures(text)
+    assert found == [[*map(str, (m[0], m[1], m[3], m[4], True, 1))]], run.stderr[-2000:]
+
+
 def test_texts_without_common_words_are_rejected(spark):
     """Ordinary letters alone make no language; short and long clean texts stay."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
